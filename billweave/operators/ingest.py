@@ -1,9 +1,12 @@
 """Intake of document files: listing rules, readiness, content hash, duplicates."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from billweave import fixed
 from billweave.functions.text import SPACE
+from billweave.operators.joins import left_join_sparse
+from billweave.session import cut_lineage
 
 LOADED = "loaded"
 DUPLICATE_IN_BATCH = "duplicate-in-batch"
@@ -78,32 +81,44 @@ def settled_files(samples: DataFrame) -> DataFrame:
     )
 
 
-def listed_files(inventory: DataFrame) -> DataFrame:
-    """Regular files of a listing with junk dropped and lone placeholders renamed to their target."""
-    listing = inventory.select(F.col("scan_id").alias("_scan"), F.col("filename").alias("_sibling"))
-    files = inventory.filter(F.col("is_file") & ~F.col("is_symlink")).withColumn(
-        "_target", placeholder_target(F.col("filename"))
-    )
-    plain = files.filter(F.col("_target").isNull() & ~is_junk(F.col("filename")))
-    lone = files.filter(F.col("_target").isNotNull()).join(
-        listing, (F.col("scan_id") == F.col("_scan")) & (F.col("_target") == F.col("_sibling")), "left_anti"
-    )
+def _stub_facts(inventory: DataFrame) -> DataFrame:
+    """(scan_id, _real, lone, has_stub) for every name a placeholder refers to: few rows, names only."""
+    name = F.col("filename")
+    target = placeholder_target(name)
+    exact = F.endswith(name, F.lit(fixed.PLACEHOLDER_SUFFIX))
     return (
-        plain.withColumn("placeholder", F.lit(False))
-        .unionByName(lone.withColumn("filename", F.col("_target")).withColumn("placeholder", F.lit(True)))
-        .drop("_target")
+        inventory.select(
+            "scan_id", F.coalesce(target, name).alias("_real"), target.isNotNull().alias("_stub"), exact.alias("_exact")
+        )
+        .groupBy("scan_id", "_real")
+        .agg(
+            F.bool_or("_stub").alias("_any"),
+            F.bool_and("_stub").alias("lone"),
+            F.bool_or(F.col("_stub") & F.col("_exact")).alias("has_stub"),
+        )
+        .filter("_any")
+        .drop("_any")
     )
 
 
-def stub_siblings(inventory: DataFrame) -> DataFrame:
-    """(scan_id, filename, has_stub): files with a ``.<name>.icloud`` entry beside them."""
-    suffix = fixed.PLACEHOLDER_SUFFIX
-    name = F.col("filename")
+def listed_files(inventory: DataFrame) -> DataFrame:
+    """Regular files of a listing, junk dropped, lone placeholders renamed to their target.
+
+    A placeholder next to its real file is dropped. Adds placeholder and has_stub.
+    """
+    target = placeholder_target(F.col("filename"))
+    files = (
+        inventory.filter(F.col("is_file") & ~F.col("is_symlink"))
+        .withColumn("placeholder", target.isNotNull())
+        .filter(F.col("placeholder") | ~is_junk(F.col("filename")))
+        .withColumn("_real", F.coalesce(target, F.col("filename")))
+    )
+    joined = files.join(_stub_facts(inventory), ["scan_id", "_real"], "left")
     return (
-        inventory.filter(F.startswith(name, F.lit(".")) & F.endswith(name, F.lit(suffix)) & (F.length(name) > len(suffix)))
-        .select("scan_id", F.substring(name, F.lit(2), F.length(name) - len(suffix) - 1).alias("filename"))
-        .distinct()
-        .withColumn("has_stub", F.lit(True))
+        joined.filter(~F.col("placeholder") | F.col("lone"))
+        .withColumn("filename", F.col("_real"))
+        .withColumn("has_stub", F.coalesce("has_stub", F.lit(False)))
+        .select(*inventory.columns, "placeholder", "has_stub")
     )
 
 
@@ -120,8 +135,8 @@ def classify(inventory: DataFrame) -> DataFrame:
     Needs ``settled`` and ``hash`` (null when the bytes could not be read). One
     listing of one folder is (scan_id, position, filename, ...).
     """
-    files = listed_files(inventory).join(stub_siblings(inventory), ["scan_id", "filename"], "left")
-    absent = is_not_materialized(F.coalesce(F.col("has_stub"), F.lit(False)))
+    files = listed_files(inventory)
+    absent = is_not_materialized(F.col("has_stub"))
     status = (
         F.when(F.col("placeholder"), NOT_READY)
         .when(~is_supported(F.col("filename")), UNSUPPORTED)
@@ -137,27 +152,27 @@ def classify(inventory: DataFrame) -> DataFrame:
 def mark_duplicates(files: DataFrame) -> DataFrame:
     """The first listed copy of a hash stays loaded, later copies become duplicates.
 
-    First copies come from a map-side combined minimum; only they are joined
-    back, by hash. Rows without a hash take no part in the join.
+    First positions come from a map-side combined minimum, and only hashes with
+    more than one copy are joined back.
     """
-    loaded = files.filter(F.col("status") == LOADED)
-    first = loaded.groupBy("scan_id", "hash").agg(F.min("position").alias("_first"))
-    marked = loaded.join(first, ["scan_id", "hash"]).withColumn(
-        "status", F.when(F.col("position") > F.col("_first"), DUPLICATE_IN_BATCH).otherwise(F.col("status"))
+    first = (
+        files.filter(F.col("status") == LOADED)
+        .groupBy("scan_id", "hash")
+        .agg(F.min("position").alias("_first"), F.count("*").alias("_copies"))
+        .filter(F.col("_copies") > 1)
+        .drop("_copies")
     )
-    rest = files.filter(F.col("status") != LOADED)
-    return marked.drop("_first").select(*files.columns).unionByName(rest)
+    later = (F.col("status") == LOADED) & (F.col("position") > F.col("_first"))
+    marked = left_join_sparse(files, first, "hash", ["scan_id"])
+    return marked.withColumn("status", F.when(later, DUPLICATE_IN_BATCH).otherwise(F.col("status"))).select(*files.columns)
 
 
 def exclude_posted(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every copy of an already posted document is excluded and carries the posting time."""
-    posted = ledger.select("hash", F.col("posted_at"))
-    hashed = files.filter(F.col("hash").isNotNull())
-    joined = hashed.join(posted, "hash", "left").withColumn(
+    joined = left_join_sparse(files, ledger.select("hash", "posted_at"), "hash")
+    return joined.withColumn(
         "status", F.when(F.col("posted_at").isNotNull(), DUPLICATE_EXCLUDED).otherwise(F.col("status"))
-    )
-    rest = files.filter(F.col("hash").isNull()).withColumn("posted_at", F.lit(None).cast(ledger.schema["posted_at"].dataType))
-    return joined.select(*files.columns, "posted_at").unionByName(rest.select(*files.columns, "posted_at"))
+    ).select(*files.columns, "posted_at")
 
 
 def scan(inventory: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -240,53 +255,121 @@ def intake(uploads: DataFrame) -> DataFrame:
     )
 
 
+_NUMBERED = r"(?s)^(.+) \(([2-9]|[1-9][0-9]{1,2})\)\z"
+
+
+def _extension(name: Column) -> Column:
+    return F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1)
+
+
+def _stem(name: Column) -> Column:
+    return F.left(name, F.length(name) - F.length(_extension(name)))
+
+
+def _unnumbered(name: Column) -> Column:
+    """``a (2).pdf`` -> ``a.pdf``; null for a name without a counter."""
+    stem = _stem(name)
+    parent = F.concat(F.regexp_extract(stem, _NUMBERED, 1), _extension(name))
+    return F.when(F.rlike(stem, F.lit(_NUMBERED)), parent)
+
+
+def _number(name: Column) -> Column:
+    return F.regexp_extract(_stem(name), _NUMBERED, 2).try_cast("int")
+
+
+def _counted(name: Column, number: Column) -> Column:
+    return F.concat(_stem(name), F.lit(" ("), number.cast("string"), F.lit(")"), _extension(name))
+
+
+def _take_numbers(family: pd.DataFrame) -> pd.DataFrame:
+    """Walk one wanted name's arrivals in order; a family is at most 999 of each kind of row."""
+    blocked = {int(n): at for n, at in zip(family["n"], family["at"]) if n > 0}  # number -> taken from this arrival on
+    arrivals = sorted(int(at) for n, at in zip(family["n"], family["at"]) if n == 0)
+    got, mine = [], set()
+    for at in arrivals:
+        for n in range(1, fixed.COLLISION_LAST_NUMBER + 1):
+            if n not in mine and blocked.get(n, at) >= at:
+                mine.add(n)
+                got.append((at, n))
+                break
+    first = family.iloc[0]
+    return pd.DataFrame(
+        [(first["folder"], first["desired"], at, n) for at, n in got], columns=["folder", "desired", "arrival", "n"]
+    )
+
+
 def collision_names(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
     """Name every arriving file ends up with in its folder.
 
-    ``arrivals``: folder, arrival (unique order number), desired, arrived_ms.
-    ``existing``: folder, filename. The k-th arrival of a wanted name takes the
-    k-th free of ``base.ext``, ``base (2).ext`` .. ``base (999).ext``, then a time
-    suffix. A numbered name that arrives under its own right in the same set
-    counts as taken for the counter. At most 999 arrivals of a name can get a
-    number, so only those are ever ranked together.
+    ``arrivals``: folder, arrival (unique, >= 0, the order of arriving), desired,
+    arrived_ms. ``existing``: folder, filename. An arrival takes the first free of
+    ``base.ext``, ``base (2).ext`` .. ``base (999).ext``, else a time suffix. At most
+    999 arrivals of one name can get a number, so only those are ranked together.
+
+    Most names only compete with themselves: their k-th arrival takes the k-th free
+    number. Where a name and one of its numbered forms both arrive, the arrivals
+    are walked in order, name by name, plain names before their numbered forms.
     """
     last = fixed.COLLISION_LAST_NUMBER
-    wanted = arrivals.select("folder", "desired").distinct()
-    extension = F.regexp_extract(F.col("desired"), r"(?s)^.+(\.[^.]*)\z", 1)
-    base = F.left(F.col("desired"), F.length("desired") - F.length(extension))
-    taken = (
-        existing.select("folder", "filename")
-        .unionByName(wanted.select("folder", F.col("desired").alias("filename")).filter(F.rlike("desired", F.lit(r" \([0-9]+\)(\.[^.]*)?\z"))))
-        .distinct()
-    )
-    # which numbers of a wanted name are taken: derived from the taken names, not by trying all numbers
-    numbered = F.regexp_extract(F.col("filename"), r"(?s)^(.+) \(([1-9][0-9]{0,2})\)(\.[^.]*)?\z", 2)
-    stem = F.regexp_replace(F.col("filename"), r"(?s)^(.+) \([1-9][0-9]{0,2}\)((?:\.[^.]*)?)\z", "$1$2")
+    key = ["folder", "desired"]
+    wanted = arrivals.groupBy(*key).agg(F.min("arrival").alias("first_at"))
+    forms = wanted.withColumn("parent", _unnumbered(F.col("desired")))
+    children = forms.join(
+        wanted.select("folder", F.col("desired").alias("parent")), ["folder", "parent"], "left_semi"
+    ).select("folder", F.col("parent").alias("desired"), _number(F.col("desired")).alias("n"), F.col("first_at").alias("at"), F.col("desired").alias("child"))
+    tangled = children.select(*key).unionByName(children.select("folder", F.col("child").alias("desired"))).distinct()
+
+    # numbers of a wanted name that are taken from the start, read off the existing names
+    name = F.col("filename")
     used = (
-        taken.select("folder", stem.alias("desired"), numbered.cast("int").alias("n"))
-        .filter(F.col("n") >= 2)
-        .unionByName(existing.select("folder", F.col("filename").alias("desired"), F.lit(1).alias("n")))
-        .join(wanted, ["folder", "desired"], "left_semi")
-        .groupBy("folder", "desired")
-        .agg(F.collect_set("n").alias("_used"))  # at most 999 numbers
+        existing.select("folder", _unnumbered(name).alias("desired"), _number(name).alias("n"))
+        .filter(F.col("desired").isNotNull())
+        .unionByName(existing.select("folder", name.alias("desired"), F.lit(1).alias("n")))
+        .distinct()
+        .join(wanted, key, "left_semi")
     )
-    by_arrival = Window.partitionBy("folder", "desired").orderBy("arrival")
+    by_arrival = Window.partitionBy(*key).orderBy("arrival")
     ranked = (
-        arrivals.select("folder", "desired", "arrival")
-        .withColumn("_k", F.row_number().over(by_arrival))
-        .filter(F.col("_k") <= last)
+        arrivals.select(*key, "arrival").withColumn("_k", F.row_number().over(by_arrival)).filter(F.col("_k") <= last)
     )
+    used_set = used.groupBy(*key).agg(F.collect_set("n").alias("_used"))
     free = F.array_except(F.sequence(F.lit(1), F.lit(last)), F.coalesce(F.col("_used"), F.array().cast("array<int>")))
-    numbers = ranked.join(used, ["folder", "desired"], "left").select(
-        "folder", "arrival", F.get(free, F.col("_k") - 1).alias("_n")
+    numbers = (
+        ranked.join(tangled, key, "left_anti")
+        .join(used_set, key, "left")
+        .select(*key, "arrival", F.get(free, F.col("_k") - 1).alias("n"))
     )
+
+    level = F.when(F.col("desired").isNotNull(), F.size(F.regexp_extract_all(F.regexp_extract(_stem(F.col("desired")), r"((?: \([0-9]+\))*)\z", 1), F.lit(r"\([0-9]+\)"), F.lit(0))))
+    depths = tangled.withColumn("_level", level)
+    deepest = depths.agg(F.max("_level")).first()[0]  # a single number: counters in the longest chained name
+    given = None
+    for step in range(0 if deepest is None else deepest + 1):
+        names = depths.filter(F.col("_level") == step).select(*key)
+        rows = (
+            ranked.select(*key, F.lit(0).alias("n"), "arrival")
+            .unionByName(used.select(*key, "n", F.lit(-1).cast("bigint").alias("arrival")))
+            .unionByName(children.select(*key, "n", F.col("at").alias("arrival")))
+        )
+        if given is not None:
+            rows = rows.unionByName(given.select("folder", _counted(F.col("desired"), F.col("n")).alias("desired"), F.lit(1).alias("n"), "arrival"))
+        # a number may be blocked twice: by an existing file and by a later arrival
+        rows = rows.withColumn("at", F.col("arrival").cast("bigint")).join(names, key, "left_semi")
+        blocked = rows.filter(F.col("n") > 0).groupBy(*key, "n").agg(F.min("at").alias("at"))
+        family = rows.filter(F.col("n") == 0).select(*key, "n", "at").unionByName(blocked)
+        taken = cut_lineage(
+            family.groupBy(*key).applyInPandas(_take_numbers, "folder string, desired string, arrival bigint, n int")
+        )
+        given = taken.filter(F.col("n") > 1)
+        numbers = numbers.unionByName(taken.withColumn("arrival", F.col("arrival").cast(arrivals.schema["arrival"].dataType)))
+    n = F.col("n")
     return (
-        arrivals.join(numbers, ["folder", "arrival"], "left")
+        arrivals.join(numbers.select("folder", "arrival", "n"), ["folder", "arrival"], "left")
         .withColumn(
             "saved_name",
-            F.when(F.col("_n") == 1, F.col("desired"))
-            .when(F.col("_n").isNotNull(), F.concat(base, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), extension))
-            .otherwise(F.concat(base, F.lit(" ("), F.col("arrived_ms").cast("string"), F.lit(")"), extension)),
+            F.when(n == 1, F.col("desired"))
+            .when(n.isNotNull(), _counted(F.col("desired"), n))
+            .otherwise(_counted(F.col("desired"), F.col("arrived_ms"))),
         )
-        .drop("_n")
+        .drop("n")
     )

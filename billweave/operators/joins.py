@@ -15,6 +15,22 @@ def lookup(df: DataFrame, table: DataFrame, on, how: str = "left") -> DataFrame:
     return df.join(table, on, how)
 
 
+def left_join_sparse(df: DataFrame, table: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Left join on a text key that is null in many rows of ``df``.
+
+    A shuffle would send every null to one task; here each such row gets a key of
+    its own that matches nothing, so they spread evenly.
+    """
+    rest = [c for c in df.columns if c != key]
+    spread = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.xxhash64(*[F.col(c) for c in rest if not _is_map(df, c)]).cast("string")))
+    right = table.withColumnRenamed(key, "_key")
+    return df.withColumn("_key", spread).join(right, ["_key", *by], "left").drop("_key")
+
+
+def _is_map(df: DataFrame, name: str) -> bool:
+    return "map<" in df.schema[name].dataType.simpleString() or "variant" in df.schema[name].dataType.simpleString()
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], keep: Sequence[str]) -> DataFrame:
     """The row with the lowest ``order`` per key, as an aggregate.
 
