@@ -16,10 +16,6 @@ _MINUS_AHEAD = r"[-(][^0-9a-z]{0,4}"
 _CREDIT_BEHIND = r" ?(?:-|\)|cr(?![a-z0-9_]))"
 
 
-def _any_of(values: Column) -> Column:
-    return F.concat(F.lit("(?:"), F.array_join(F.transform(values, quote), "|"), F.lit(")"))
-
-
 def _found(text: Column, *pattern) -> Column:
     return F.coalesce(
         F.regexp_like(text, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pattern])), F.lit(False)
@@ -36,23 +32,20 @@ def grounds_token(text: Column, value: Column) -> Column:
 
 
 def grounds_date(text: Column, date: Column) -> Column:
-    return _found(text, _NOT_INSIDE_NUMBER, _any_of(printed_forms(date)), _NUMBER_ENDS)
+    return _found(text, _NOT_INSIDE_NUMBER, F.lit("(?:"), F.replace(F.array_join(printed_forms(date), "|"), F.lit("."), F.lit("[.]")), F.lit(")"), _NUMBER_ENDS)
 
 
-def printed_amounts(cents: Column) -> Column:
-    """The four printed forms of an amount, without sign."""
+def _amount_pattern(cents: Column) -> Column:
+    """The four printed forms of an amount: either decimal mark, whole digits grouped or not."""
     whole, fraction = whole_part(cents), fraction_part(cents)
-    return F.array(
-        F.concat(whole, F.lit("."), fraction),
-        F.concat(group_digits(whole, ","), F.lit("."), fraction),
-        F.concat(whole, F.lit(","), fraction),
-        F.concat(group_digits(whole, "."), F.lit(","), fraction),
-    )
+    us = F.concat(F.lit("(?:"), whole, F.lit("|"), group_digits(whole, ","), F.lit(")[.]"), fraction)
+    european = F.concat(F.lit("(?:"), whole, F.lit("|"), group_digits(whole, "[.]"), F.lit("),"), fraction)
+    return F.concat(F.lit("(?:"), us, F.lit("|"), european, F.lit(")"))
 
 
 def grounds_money(text: Column, cents: Column) -> Column:
     """An amount stands in the text with the same sign it has as a value."""
-    amount = F.concat(F.lit(_NOT_INSIDE_NUMBER), _any_of(printed_amounts(cents)), F.lit(_NUMBER_ENDS))
+    amount = F.concat(F.lit(_NOT_INSIDE_NUMBER), _amount_pattern(cents), F.lit(_NUMBER_ENDS))
     as_charge = _found(text, f"(?<!{_MINUS_AHEAD})", amount, f"(?!{_CREDIT_BEHIND})")
     as_credit = _found(text, f"(?:(?<={_MINUS_AHEAD})", amount, "|", amount, f"(?={_CREDIT_BEHIND}))")
     return F.when(cents < 0, as_credit).otherwise(as_charge)

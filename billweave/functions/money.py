@@ -17,10 +17,22 @@ _CREDIT = (
 _DECIMAL = r"^(?:(?=[0-9,]*\.)(?=[0-9.]*,)([0-9.,]*)[.,]|([0-9]*)(?:\.|,(?![0-9]{3}\z)))([0-9]+)\z"
 
 
+_LIMIT = str(fixed.MAX_SAFE_INTEGER)
+# digit texts above the limit: longer ones, or equal up to some place and greater there
+_TOO_LARGE = r"^-?(?:[0-9]{%d,}|%s)\z" % (
+    len(_LIMIT) + 1,
+    "|".join(
+        f"{_LIMIT[:i]}[{int(d) + 1}-9][0-9]{{{len(_LIMIT) - i - 1}}}" for i, d in enumerate(_LIMIT) if d != "9"
+    ),
+)
+
+
 def _whole_number(digits: Column) -> Column:
-    """Signed digit text to BIGINT; null when unreadable or beyond the exact integer range."""
-    value = digits.try_cast("decimal(38,0)")
-    return F.when(F.abs(value) <= fixed.MAX_SAFE_INTEGER, value.cast("bigint"))
+    """Signed digit text to BIGINT; null when unreadable or beyond the exact integer range.
+
+    The range is tested on the text, in line, so that the rewrites before it run once.
+    """
+    return F.regexp_replace(digits, _TOO_LARGE, "").try_cast("bigint")
 
 
 def printed_to_cents(raw: Column) -> Column:

@@ -11,14 +11,25 @@ SPACE = f"[{_SPACES}]"
 NOT_LINE_END = r"[^\n\r\u2028\u2029]"
 
 
+_SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim_all(text: Column) -> Column:
     """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
+
+
+def trim_start(text: Column) -> Column:
+    return F.ltrim(text, F.lit(_SPACE_CHARS))
+
+
+def trim_end(text: Column) -> Column:
+    return F.rtrim(text, F.lit(_SPACE_CHARS))
 
 
 def is_blank(text: Column) -> Column:
     """True for null and for text made of white space only."""
-    return text.isNull() | ~F.rlike(text, F.lit(f"[^{_SPACES}]"))
+    return text.isNull() | (trim_all(text) == "")
 
 
 def collapse(text: Column) -> Column:
@@ -34,9 +45,3 @@ def ascii_lower(text: Column) -> Column:
 def quote(text: Column) -> Column:
     """Turn a value into a regex that matches it literally."""
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-
-
-def regexp_group(text: Column, pattern: str, group: int) -> Column:
-    """A capture group, or null when the pattern does not match or the group took no part."""
-    hit = F.regexp_extract(text, pattern, group)
-    return F.when(hit != "", hit)

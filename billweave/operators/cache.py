@@ -27,9 +27,12 @@ def with_cache_hit(files: DataFrame, parsed: DataFrame, force: bool = False) ->
     return files.join(current, "file_hash", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
-def store(parsed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """New snapshot of the parse table: one row per file, the fresh one wins."""
-    return upsert(parsed, fresh.withColumn("schema_version", F.lit(fixed.PARSE_SCHEMA_VERSION)), ["file_hash"])
+def store(parsed: DataFrame, fresh: DataFrame, newest: str = "parsed_at") -> DataFrame:
+    """New snapshot of the parse table: one row per file, the fresh one (the newest of several) wins."""
+    values = [c for c in parsed.columns if c != "file_hash"]
+    stamped = fresh.withColumn("schema_version", F.lit(fixed.PARSE_SCHEMA_VERSION))
+    latest = stamped.groupBy("file_hash").agg(F.max_by(F.struct(*values), newest).alias("_v"))
+    return upsert(parsed, latest.select("file_hash", *[F.col(f"_v.{c}").alias(c) for c in values]), ["file_hash"])
 
 
 def url_host(url: Column) -> Column:

@@ -42,6 +42,16 @@ def _is_grounded(field: str, text: Column, value: Column) -> Column:
     return grounds_token(text, value)
 
 
+def _condemns(field: str):
+    """Test of one flag: any check of exactly this field, except a mere disagreement."""
+
+    def test(flag: Column) -> Column:
+        names_field = F.endswith(flag, F.lit(f":{field}")) & (F.instr(flag, ":") == F.length(flag) - len(field))
+        return names_field & ~F.startswith(flag, F.lit(fixed.AGREEMENT_PREFIX))
+
+    return test
+
+
 def field_confidence(source_text: Column, self_report: Column | None = None) -> Column:
     """MAP field -> flagged / low / high for the typed bill columns of a row.
 
@@ -53,12 +63,7 @@ def field_confidence(source_text: Column, self_report: Column | None = None) ->
     entries = []
     for field, name in fixed.FIELD_COLUMNS.items():
         value = F.col(name)
-        condemned = F.exists(
-            flags,
-            lambda f, field=field: F.endswith(f, F.lit(f":{field}"))
-            & (F.instr(f, ":") == F.length(f) - len(field))
-            & ~F.startswith(f, F.lit(fixed.AGREEMENT_PREFIX)),
-        )
+        condemned = F.exists(flags, _condemns(field))
         if field in fixed.MONEY_FIELDS:
             condemned = condemned | bad_sum
         reported = F.lit("low") if self_report is None else F.coalesce(F.try_element_at(self_report, F.lit(field)), F.lit("low"))

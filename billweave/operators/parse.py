@@ -6,7 +6,7 @@ from billweave import fixed
 from billweave.functions.dates import printed_to_date
 from billweave.functions.money import printed_to_cents
 from billweave.functions.replies import error_detail, loose_json, reply_errors, reply_field
-from billweave.functions.text import SPACE, is_blank, trim_all
+from billweave.functions.text import SPACE, is_blank, trim_all, trim_end, trim_start
 
 NATIVE = "native"
 IMAGE_ONLY = "image-only"
@@ -96,7 +96,7 @@ def reference_text(page_text: DataFrame) -> DataFrame:
     bare = F.length(trim_all(text))
     edges = (
         page_text.withColumn("_full", ~is_blank(text))
-        .withColumn("_lead", F.length(text) - F.length(F.regexp_replace(text, rf"^{SPACE}+", "")))
+        .withColumn("_lead", F.length(text) - F.length(trim_start(text)))
         .withColumn("_tail", F.length(text) - F.col("_lead") - bare)
         .filter("_full")
         .groupBy("file_hash")
@@ -113,7 +113,7 @@ def reference_text(page_text: DataFrame) -> DataFrame:
     head = inside.select(
         "file_hash",
         "page_no",
-        F.when(F.col("page_no") == F.col("_a.page_no"), F.regexp_replace(text, rf"^{SPACE}+", "")).otherwise(text).alias("_t"),
+        F.when(F.col("page_no") == F.col("_a.page_no"), trim_start(text)).otherwise(text).alias("_t"),
         F.row_number().over(by_page).alias("_n"),
     ).filter(F.col("_n") <= limit // 2 + 1)
     before = F.sum(F.length("_t") + 2).over(by_page.rowsBetween(Window.unboundedPreceding, -1))
@@ -128,7 +128,8 @@ def reference_text(page_text: DataFrame) -> DataFrame:
         "file_hash",
         F.when(
             F.col("full_length") > limit, F.left(joined, F.lit(limit))
-        ).otherwise(F.regexp_replace(joined, rf"{SPACE}+\z", "")).alias("reference_text"),
+        ).otherwise(trim_end(joined)).alias("reference_text"),
+        "full_length",
         (F.col("full_length") > limit).alias("text_truncated"),
     )
 

@@ -10,34 +10,6 @@ COLUMNS = ["realm_id", "entity_kind", "entity_id", "name", "active", "account_ty
 _KEY = ["realm_id", "entity_kind", "entity_id"]
 
 
-def complete_pages(pages: DataFrame) -> DataFrame:
-    """Drop pages past the end of a pull: the first short or empty page ends it, as do 200 pages.
-
-    ``pages``: realm_id, entity, page_no (from 0), records ARRAY.
-    """
-    last = (
-        pages.filter(F.coalesce(F.size("records"), F.lit(0)) < fixed.REMOTE_PAGE_SIZE)
-        .groupBy("realm_id", "entity")
-        .agg(F.min("page_no").alias("_last"))
-    )
-    ended = F.coalesce(F.col("_last"), F.lit(fixed.REMOTE_MAX_PAGES - 1))
-    return (
-        lookup(pages, last, ["realm_id", "entity"])
-        .filter((F.col("page_no") <= ended) & (F.col("page_no") < fixed.REMOTE_MAX_PAGES))
-        .drop("_last")
-    )
-
-
-def remote_records(pages: DataFrame) -> DataFrame:
-    """One row per record of the kept pages, with the remote filter of its kind applied."""
-    rows = complete_pages(pages).select("realm_id", "entity", F.explode("records").alias("record"))
-    wanted = F.when(
-        F.col("entity") == "Account",
-        F.col("record.AccountType").isin(*fixed.EXPENSE_ACCOUNT_TYPES, *fixed.PAYMENT_ACCOUNT_TYPES),
-    ).otherwise(F.coalesce(F.col("record.Active"), F.lit(True)))
-    return rows.filter(wanted)
-
-
 def map_records(records: DataFrame) -> DataFrame:
     """Remote records -> reference rows; records without an id or a usable name are dropped."""
     r = F.col("record")

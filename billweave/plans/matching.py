@@ -1 +1,321 @@
-"""Queries."""
+"""Queries for reference lists, names and matching."""
+
+from pyspark.sql import functions as F
+
+from billweave.functions import names
+from billweave.operators import reconcile, reference
+from billweave.plans.intake import by_case
+from billweave.plans.registry import query, spread
+from billweave.sources.remote import wanted_records
+
+
+# --- reference snapshots -------------------------------------------------------
+def old_snapshot(t):
+    """All customers: the market segment is the company, the nation picks the kind of record."""
+    kind = F.pmod("c_nationkey", F.lit(3))
+    return t.customer.select(
+        F.col("c_mktsegment").alias("realm_id"),
+        by_case(kind, F.lit("vendor"), F.lit("account"), F.lit("item")).alias("entity_kind"),
+        F.col("c_custkey").cast("string").alias("entity_id"),
+        F.when(kind == 1, F.concat(F.lit("Costs: "), "c_name")).otherwise(F.col("c_name")).alias("name"),
+        (F.col("c_acctbal") > 0).alias("active"),
+        F.when(kind == 1, by_case(F.pmod("c_custkey", F.lit(4)), F.lit("Expense"), F.lit("Bank"), F.lit("Credit Card"), F.lit("Income"))).alias("account_type"),
+        F.lit(None).cast("string").alias("account_sub_type"),
+        F.lit("2024-01-01").alias("synced_at"),
+    )
+
+
+def received(t):
+    """A later pull of all companies but one: overdrawn customers vanished, some were renamed."""
+    rows = old_snapshot(t).join(t.customer.select(F.col("c_custkey").cast("string").alias("entity_id"), "c_acctbal", "c_nationkey"), "entity_id")
+    return (
+        rows.filter((F.col("realm_id") != "FURNITURE") & (F.col("c_acctbal") >= -500))
+        .withColumn("name", F.when(F.col("c_nationkey") < 5, F.concat(F.lit("New "), "name")).otherwise(F.col("name")))
+        .withColumn("active", F.lit(True))
+        .drop("c_acctbal", "c_nationkey", "synced_at")
+    )
+
+
+_OLD_SQL = """old AS (SELECT c_mktsegment AS realm_id, ['vendor', 'account', 'item'][c_nationkey % 3 + 1] AS entity_kind, CAST(c_custkey AS VARCHAR) AS entity_id,
+  CASE WHEN c_nationkey % 3 = 1 THEN 'Costs: ' ELSE '' END || c_name AS name, c_acctbal > 0 AS active,
+  CASE WHEN c_nationkey % 3 = 1 THEN ['Expense', 'Bank', 'Credit Card', 'Income'][c_custkey % 4 + 1] END AS account_type, c_acctbal, c_nationkey FROM customer),
+merged AS (SELECT realm_id, entity_kind, entity_id, CASE WHEN arrived AND c_nationkey < 5 THEN 'New ' || name ELSE name END AS name,
+  CASE WHEN arrived THEN true WHEN realm_id = 'FURNITURE' THEN active ELSE false END AS active, account_type,
+  CASE WHEN arrived THEN '2024-02-01' ELSE '2024-01-01' END AS synced_at
+  FROM (SELECT *, realm_id <> 'FURNITURE' AND c_acctbal >= -500 AS arrived FROM old))"""
+
+
+def merged(t):
+    new = received(t)
+    realms = old_snapshot(t).select("realm_id").filter(F.col("realm_id") != "FURNITURE").distinct()
+    return reference.merge_snapshot(old_snapshot(t), new, realms, F.lit("2024-02-01"))
+
+
+@query("ref_merge", f"WITH {_OLD_SQL} SELECT * FROM merged")
+def ref_merge(t):
+    """Received rows replace, vanished rows of a pulled company turn inactive, other companies stay."""
+    return merged(t).drop("account_sub_type")
+
+
+@query(
+    "ref_sync_counts",
+    f"""WITH {_OLD_SQL} SELECT realm_id, count(*) FILTER (entity_kind = 'vendor') AS vendors, count(*) FILTER (account_type = 'Expense') AS expense_accounts,
+    count(*) FILTER (account_type IN ('Bank', 'Credit Card')) AS payment_accounts, count(*) FILTER (entity_kind = 'item') AS items
+    FROM old WHERE realm_id <> 'FURNITURE' AND c_acctbal >= -500 GROUP BY 1""",
+)
+def ref_sync_counts(t):
+    return reference.sync_counts(received(t))
+
+
+@query(
+    "ref_lists",
+    f"""WITH {_OLD_SQL} SELECT realm_id, CASE entity_kind WHEN 'vendor' THEN 'vendors' WHEN 'item' THEN 'items' ELSE CASE WHEN account_type = 'Expense' THEN 'expense_accounts'
+      ELSE 'payment_accounts' END END AS list_name, entity_id, name, active FROM merged WHERE account_type IS DISTINCT FROM 'Income'""",
+)
+def ref_lists(t):
+    return reference.read_lists(merged(t)).select("realm_id", "list_name", "entity_id", "name", "active")
+
+
+@query(
+    "ref_drop_realm",
+    f"WITH {_OLD_SQL} SELECT realm_id, entity_id FROM old WHERE realm_id <> 'BUILDING'",
+)
+def ref_drop_realm(t):
+    return reference.drop_realm(old_snapshot(t), "BUILDING").select("realm_id", "entity_id")
+
+
+@query(
+    "ref_lookup",
+    f"""WITH {_OLD_SQL} SELECT o_orderkey, m.name AS vendor_name FROM orders o JOIN customer c ON o_custkey = c_custkey
+    LEFT JOIN merged m ON m.entity_kind = 'vendor' AND m.entity_id = CAST(o_custkey AS VARCHAR)""",
+)
+def ref_lookup(t):
+    """Names by id, inactive records included."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("c_mktsegment").alias("realm_id"), F.col("o_custkey").cast("string").alias("vendor_id")
+    )
+    return reference.resolve(rows, merged(t), "vendor", "vendor_id", "vendor_name").select("o_orderkey", "vendor_name")
+
+
+@query(
+    "option_list",
+    f"""WITH {_OLD_SQL} SELECT realm_id, entity_id, active FROM merged m WHERE active OR EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = '1-URGENT' AND CAST(o_custkey AS VARCHAR) = m.entity_id)""",
+)
+def option_list(t):
+    """Active records, and inactive ones an urgent order still uses."""
+    chosen = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("realm_id"), F.col("o_custkey").cast("string").alias("entity_id")
+    )
+    return reference.option_list(merged(t), chosen).select("realm_id", "entity_id", "active")
+
+
+@query(
+    "account_leaf",
+    """SELECT p_partkey, p_type || ':' || p_brand || ': ' || p_name || ' ' AS path, CASE WHEN p_size < 5 THEN p_type || ':' ELSE p_name END AS leaf FROM part""",
+)
+def account_leaf(t):
+    """Last segment of an account path, the whole path when it is blank."""
+    path = F.concat_ws(":", "p_type", "p_brand", F.concat(F.lit(" "), "p_name", F.lit(" ")))
+    return t.part.select(
+        "p_partkey",
+        path.alias("path"),
+        reference.account_leaf(F.when(F.col("p_size") < 5, F.concat("p_type", F.lit(":"))).otherwise(path)).alias("leaf"),
+    )
+
+
+_RECORD = "Id string, DisplayName string, CompanyName string, Name string, FullyQualifiedName string, AccountType string, AccountSubType string, Active boolean"
+
+
+@query(
+    "remote_pages",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS i FROM customer)
+    SELECT c_mktsegment AS realm_id, 'account' AS entity_kind, CAST(c_custkey AS VARCHAR) AS entity_id, CASE WHEN c_nationkey < 12 THEN 'All:' || c_name ELSE c_name END AS name,
+      CASE WHEN c_nationkey % 2 = 0 THEN 'Bank' ELSE 'Expense' END AS account_type, c_acctbal > 0 AS active FROM n WHERE c_nationkey % 5 <> 4""",
+)
+def remote_pages(t):
+    """Paged JSON of accounts, one record per page line: filtered, mapped, unusable records dropped."""
+    nation = F.col("c_nationkey")
+    record = F.to_json(
+        F.struct(
+            F.col("c_custkey").cast("string").alias("Id"),
+            F.col("c_name").alias("Name"),
+            F.when(nation < 12, F.concat(F.lit("All:"), "c_name")).alias("FullyQualifiedName"),
+            F.when(F.pmod(nation, F.lit(5)) == 4, "Income").when(F.pmod(nation, F.lit(2)) == 0, "Bank").otherwise("Expense").alias("AccountType"),
+            (F.col("c_acctbal") > 0).alias("Active"),
+        )
+    )
+    rows = t.customer.select(F.col("c_mktsegment").alias("realm_id"), F.lit("Account").alias("entity"), F.from_json(record, _RECORD).alias("record"))
+    return reference.map_records(wanted_records(rows)).select("realm_id", "entity_kind", "entity_id", "name", "account_type", "active")
+
+
+@query(
+    "vision_class",
+    """SELECT event_id, CASE WHEN event_type = 'view' AND value > 40 THEN 'vision' WHEN event_type IN ('click', 'signup', 'purchase') THEN 'vision-family' ELSE 'unknown' END AS vision FROM events""",
+)
+def vision_class(t):
+    """Model ids built from events: declared image input, known families, unknown ones."""
+    kind = F.col("event_type")
+    user = F.col("user_id").cast("string")
+    model = (
+        F.when(kind == "click", F.concat(F.lit("openai/GPT-4o-"), user))
+        .when(kind == "signup", F.lit("o3-mini"))
+        .when(kind == "purchase", F.concat(F.lit("qwen2.5-vl-"), user))
+        .otherwise(F.concat(F.lit("text-only-"), user))
+    )
+    inputs = F.when((kind == "view") & (F.col("value") > 40), F.array(F.lit("text"), F.lit("Image")))
+    return t.events.select("event_id", reference.vision_class(model, inputs).alias("vision"))
+
+
+@query(
+    "model_catalogue",
+    """SELECT 'm-' || event_type || '-' || user_id AS id, 'vision' AS vision, count(*) AS entries FROM events WHERE event_type <> 'error' GROUP BY 1""",
+)
+def model_catalogue(t):
+    """Model listing entries as JSON; broken ones are skipped."""
+    entry = F.concat(F.lit('{"id": "m-'), "event_type", F.lit("-"), F.col("user_id").cast("string"), F.lit('", "architecture": {"input_modalities": ["text", "image"]}, "x": '), "props", F.lit("}"))
+    entries = t.events.select(F.when(F.col("event_type") == "error", "oops").otherwise(entry).alias("entry"))
+    return reference.model_catalogue(entries).groupBy("id", "vision").agg(F.count("*").alias("entries"))
+
+
+# --- names ---------------------------------------------------------------------
+def company_name():
+    form = by_case(F.pmod("p_size", F.lit(5)), F.lit(" LLC"), F.lit(", Inc."), F.lit(" & Co"), F.lit(""), F.lit(" Supply Company"))
+    return F.concat(F.lit("Café-"), F.initcap("p_name"), F.lit(" "), F.col("p_brand"), form)
+
+
+_NORM_SQL = """n AS (SELECT p_partkey, trim(regexp_replace(replace(lower(strip_accents('Café-' || p_name || ' ' || p_brand ||
+  [' LLC', ', Inc.', ' & Co', '', ' Supply Company'][p_size % 5 + 1])), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded FROM part),
+k AS (SELECT p_partkey, array_to_string(list_filter(string_split(folded, ' '), lambda w: w NOT IN ('llc', 'inc', 'co', 'company')), ' ') AS norm FROM n)"""
+
+
+@query("norm_name", f"WITH {_NORM_SQL} SELECT p_partkey, norm FROM k")
+def norm_name(t):
+    """Comparable core of names with accents, punctuation and company forms."""
+    return t.part.select("p_partkey", names.normal_form(company_name()).alias("norm"))
+
+
+@query(
+    "name_tokens",
+    f"""WITH {_NORM_SQL}, w AS (SELECT p_partkey, unnest(string_split(norm || ' ' || norm, ' ')) AS word FROM k)
+    SELECT p_partkey, word, count(*) AS copies FROM (SELECT DISTINCT * FROM w) GROUP BY 1, 2""",
+)
+def name_tokens(t):
+    """Distinct words of a name; repeated ones count once."""
+    norm = names.normal_form(company_name())
+    words = names.words_of(F.concat_ws(" ", norm, norm))
+    return t.part.select("p_partkey", F.explode(words).alias("word")).groupBy("p_partkey", "word").agg(F.count("*").alias("copies"))
+
+
+@query("jaro_winkler")
+def jaro_winkler(t):
+    """Scores of the distinct pairs of names that stand in neighbouring lines of an order."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("p_name").alias("other"))
+    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).select("p_name", "other").distinct()
+    return pairs.withColumn("score", names.jaro_winkler("p_name", "other"))
+
+
+# --- matching ------------------------------------------------------------------
+def vendor_reference(t):
+    """Vendors named after what they sell and where: part name, nation and brand."""
+    sold = (
+        t.lineitem.select("l_suppkey", "l_partkey")
+        .groupBy("l_suppkey")
+        .agg(F.min("l_partkey").alias("p_partkey"))
+        .join(t.part, "p_partkey")
+        .join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+        .join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey"), "s_nationkey")
+        .join(t.region.select(F.col("r_regionkey").alias("n_regionkey"), "r_name"), "n_regionkey")
+    )
+    return sold.select(
+        F.lit("r1").alias("realm_id"),
+        F.lit("vendor").alias("entity_kind"),
+        F.col("l_suppkey").cast("string").alias("entity_id"),
+        F.initcap(F.concat_ws(" ", "p_name", "r_name", "p_type", F.replace("p_brand", F.lit("#"), F.lit(" ")))).alias("name"),
+        (F.pmod("s_nationkey", F.lit(7)) != 3).alias("active"),
+        F.lit(None).cast("string").alias("account_type"),
+    )
+
+
+def account_reference(t):
+    return (
+        t.part.groupBy("p_type", "p_name")
+        .agg(F.min("p_partkey").alias("p_partkey"))
+        .select(
+            F.lit("r1").alias("realm_id"),
+            F.lit("account").alias("entity_kind"),
+            F.col("p_partkey").cast("string").alias("entity_id"),
+            F.concat_ws(":", "p_type", "p_name").alias("name"),
+            F.lit(True).alias("active"),
+            F.when(F.col("p_type") == "PROMO", "Bank").otherwise("Expense").alias("account_type"),
+        )
+    )
+
+
+def printed_vendors(t):
+    """Every line's vendor as printed: full, upper case with a company form, a word short, misspelt, unknown."""
+    name = F.col("name")
+    n = F.col("l_linenumber")
+    printed = (
+        F.when(n == 1, name)
+        .when(n == 2, F.concat(F.upper(name), F.lit(", L.L.C")))
+        .when(n == 3, F.regexp_replace(name, r" [^ ]+ [^ ]+\z", " Co."))
+        .when(n == 4, F.regexp_replace(name, "([aeiou])([a-z])", "$2$1"))
+        .when(n == 5, F.concat_ws(" ", F.lit("Quality Craft Tools"), F.col("l_returnflag")))
+        .otherwise(F.concat(name, F.lit(" Supplies Inc")))
+    )
+    vendors = vendor_reference(t).select(F.col("entity_id").cast("bigint").alias("l_suppkey"), "name")
+    return spread(t.lineitem).join(vendors, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", printed.alias("query")
+    )
+
+
+@query("match_vendor")
+def match_vendor(t):
+    """Ranked vendor candidates of every distinct printed name."""
+    asked = printed_vendors(t).select(F.lit("r1").alias("realm_id"), "query")
+    return reconcile.rank_candidates(asked, reconcile.vendor_options(vendor_reference(t)))
+
+
+@query("match_tier")
+def match_tier(t):
+    """Lines per match tier and whether the answer is the true vendor."""
+    lines = printed_vendors(t)
+    answers = reconcile.match_texts(
+        lines.select(F.lit("r1").alias("realm_id"), "query"), reconcile.vendor_options(vendor_reference(t))
+    )
+    return (
+        lines.join(answers.select("query", "selected_id", "confidence"), "query", "left")
+        .groupBy(F.coalesce("confidence", F.lit("none")).alias("confidence"), F.col("selected_id").eqNullSafe(F.col("l_suppkey").cast("string")).alias("right"))
+        .agg(F.count("*").alias("lines"))
+    )
+
+
+@query("match_batch")
+def match_batch(t):
+    """Vendor and category answer per order, through the parse table."""
+    parsed = (
+        printed_vendors(t)
+        .groupBy(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("file_hash"))
+        .agg(F.min_by("query", "l_linenumber").alias("vendor"), F.min(F.concat(F.lit("small "), F.lower("query"))).alias("suggested_category"))
+        .withColumn("schema_version", F.lit(2))
+    )
+    hashes = t.orders.select(F.lit("r1").alias("realm_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"))
+    both = vendor_reference(t).unionByName(account_reference(t))
+    answers = reconcile.match_batch(hashes, parsed, both)
+    return answers.select("file_hash", "vendor_selected_id", "vendor_confidence", "category_selected_id", "category_confidence", "error")
+
+
+@query(
+    "vendors_to_create",
+    """SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS file_hash, 'Customer ' || o_custkey AS display_name FROM orders WHERE o_orderstatus <> 'F'""",
+)
+def vendors_to_create(t):
+    """Rows without a vendor, with the printed name to start a record from."""
+    status = F.col("o_orderstatus")
+    rows = t.orders.select(
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"),
+        F.when(status == "F", "7").when(status == "O", "").alias("vendor_id"),
+        F.concat(F.lit("  Customer "), F.col("o_custkey").cast("string"), F.lit(" ")).alias("printed_vendor"),
+    )
+    return reconcile.vendors_to_create(rows)

@@ -11,6 +11,9 @@ _SETTINGS = {
     # a third of all rows may share one key: split it even where that costs an extra exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # the JVM never compiles methods above 8000 bytes of code: let long projections be
+    # generated in pieces instead of one such method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
