@@ -14,6 +14,7 @@ from billweave.functions.names import (
 from billweave.functions.text import is_blank
 from billweave.operators.joins import lookup
 from billweave.operators.reference import account_leaf
+from billweave.session import cut_lineage
 
 # A pair without one similar word pair scores 0.45 * Jaro-Winkler and has to reach
 # 0.44995. Unequal texts differ by at least one letter or one swap, so their
@@ -76,7 +77,14 @@ def candidate_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
         .groupBy("realm_id", "query_norm")
         .agg(F.array_sort(F.collect_set("similar")).alias("reach"))  # words of one name and their near forms
     )
-    probes = q.join(reach, ["realm_id", "query_norm"]).withColumn("_at", F.explode("reach"))
+    # Names are distinct here, so these parts are even. A fixed number keeps small inputs on
+    # all cores for the scoring that follows, and the later top five is already partitioned.
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    probes = (
+        q.join(reach, ["realm_id", "query_norm"])
+        .repartition(3 * cores, "realm_id", "query_norm")
+        .withColumn("_at", F.explode("reach"))
+    )
     postings = o.withColumn("_at", F.explode("o_words"))
 
     common = F.array_intersect(F.col("reach"), F.col("o_words"))
@@ -123,7 +131,11 @@ def scored_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
     long = [F.length(c) > LONGEST_BLOCKED_NAME - 2 for c in key[1:]]
     pairs = blocked.unionByName(_long_pairs(queries, options).join(blocked.filter(long[0] & long[1]).select(*key), key, "left_anti")).withColumn(
         "score",
-        rounded_score(similarity(F.col("query_norm"), F.col("option_norm"), F.col("q_words"), F.col("o_words"))),
+        rounded_score(
+            similarity(
+                F.col("query_norm"), F.col("option_norm"), F.col("q_words"), F.col("o_words"), fixed.CANDIDATE_FLOOR - 1e-4
+            )
+        ),
     )
     empties = queries.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("query_norm")).join(
         options.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("option_norm")), "realm_id"
@@ -142,8 +154,9 @@ def rank_candidates(queries: DataFrame, options: DataFrame) -> DataFrame:
     Everything runs on distinct normal forms; each map task keeps five per query
     before the shuffle.
     """
-    asked = _normalised(queries.filter(~is_blank(F.col("query"))).select("realm_id", "query").distinct(), "query")
-    offered = _normalised(options, "match_text")
+    # both lists are read several times below: compute them once
+    asked = cut_lineage(_normalised(queries.filter(~is_blank(F.col("query"))).select("realm_id", "query").distinct(), "query"))
+    offered = cut_lineage(_normalised(options, "match_text"))
     pairs = scored_pairs(asked.select("realm_id", "norm").distinct(), offered.select("realm_id", "norm").distinct())
     # of options with one normal form at most five can appear in any answer
     same_form = Window.partitionBy("realm_id", "norm").orderBy("option_name", "option_id")

@@ -1,6 +1,7 @@
 """Session settings the operators rely on, and lineage cuts that survive lost executors."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; only where none is set, as in a local test, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="billweave-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """Compute once, write to the shared folder, go on from the written table.
 
-    Only where neither the setting nor a folder exists, as in a local test, a
-    temporary one is made.
+    Survives lost executors, runs the plan a single time (a checkpoint would run it
+    twice), and gives later joins true sizes to choose by.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="billweave-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark).rstrip('/')}/billweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
