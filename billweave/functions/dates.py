@@ -5,17 +5,17 @@ from pyspark.sql import Column, functions as F
 from billweave import fixed
 from billweave.functions.text import NOT_LINE_END, SPACE, is_blank, trim_all
 
-# Each rewrite turns one printed layout into =year-month-day; a y instead of the =
-# marks a year that may still be two digits long. Every step reads the text once, so
+# Each rewrite turns one printed layout into =year-month-day; a double == marks a year
+# that may still be two digits long (no printed = gets this far). Every step reads the text once, so
 # nothing runs twice in the generated code.
 _SHORT = [m[:3] for m in fixed.MONTHS]
 _NAMES = "|".join(f"({m[:3]})(?:{m[3:]})?" for m in fixed.MONTHS)
 _LAYOUTS = (
     (rf"^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:[t ]{NOT_LINE_END}*)?\z", "=$1-$2-$3"),
-    (r"^(1[3-9]|[2-9][0-9])[/.-]([0-9]{1,2})[/.-]([0-9]{2}|[0-9]{4})\z", "y$3-$2-$1"),
-    (r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2}|[0-9]{4})\z", "y$3-$1-$2"),
-    (r"^y([0-6][0-9])-", "=20$1-"),
-    (r"^y([7-9][0-9])-", "=19$1-"),
+    (r"^(1[3-9]|[2-9][0-9])[/.-]([0-9]{1,2})[/.-]([0-9]{2}|[0-9]{4})\z", "==$3-$2-$1"),
+    (r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{2}|[0-9]{4})\z", "==$3-$1-$2"),
+    (r"^==([0-6][0-9])-", "=20$1-"),
+    (r"^==([7-9][0-9])-", "=19$1-"),
     (rf"^([a-z]{{3,9}})\.?{SPACE}+([0-9]{{1,2}})(?:st|nd|rd|th)?,?{SPACE}+([0-9]{{4}})\z", "=$3-$1-$2"),
     (rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?{SPACE}+([a-z]{{3,9}})\.?,?{SPACE}+([0-9]{{4}})\z", "=$3-$2-$1"),
     (rf"-(?:{_NAMES})-", "-" + "".join(f"${i}" for i in range(1, 13)) + "-"),
@@ -27,12 +27,12 @@ def printed_to_date(raw: Column) -> Column:
 
     Numeric dates are month-first unless the first number cannot be a month.
     """
-    text = F.lower(trim_all(raw))
+    text = F.translate(F.lower(trim_all(raw)), "=", "?")
     for pattern, layout in _LAYOUTS:
         text = F.regexp_replace(text, pattern, layout)
     for number, name in enumerate(_SHORT, 1):
         text = F.replace(text, F.lit(f"-{name}-"), F.lit(f"-{number}-"))
-    return F.regexp_extract(text, r"^[=y]([1-9][0-9]{3}-[0-9]{1,2}-[0-9]{1,2})\z", 1).try_cast("date")
+    return F.regexp_extract(text, r"^={1,2}([1-9][0-9]{3}-[0-9]{1,2}-[0-9]{1,2})\z", 1).try_cast("date")
 
 
 def date_is_flagged(raw: Column) -> Column:

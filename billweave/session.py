@@ -25,7 +25,7 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; only where none is set, as in a local test, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
@@ -41,6 +41,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     twice), and gives later joins true sizes to choose by.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/billweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/billweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

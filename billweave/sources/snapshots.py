@@ -1,0 +1,30 @@
+"""Versioned snapshots of a keyed table on plain parquet.
+
+A new version is written beside the old one and becomes current by one appended
+row in the table's ``versions`` folder. Readers see the old version until that row
+is there, so a failed write changes nothing. One writer per table.
+"""
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    try:
+        return spark.read.schema("version bigint").parquet(f"{root}/versions").agg(F.max("version")).first()[0]
+    except AnalysisException:  # the folder does not exist yet
+        return None
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame | None:
+    version = current_version(spark, root)
+    return None if version is None else spark.read.parquet(f"{root}/data/version={version}")
+
+
+def write_next(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> int:
+    """Write ``df`` as the next version and make it current."""
+    spark = df.sparkSession
+    version = (current_version(spark, root) or 0) + 1
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/data/version={version}")
+    spark.range(version, version + 1).toDF("version").coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    return version
