@@ -1,6 +1,6 @@
 """Reading a model reply: tolerant about wrapping, strict about types."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from billweave import fixed
 from billweave.functions.text import SPACE, trim_all
@@ -10,37 +10,49 @@ from billweave.functions.text import SPACE, trim_all
 _MARK = "␞end of text␞"
 
 
-def _whole_json(text: Column) -> Column:
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
-    complete = F.try_variant_get(listed, "$[1]", "string") == _MARK
-    return F.when(complete, F.variant_get(listed, "$[0]", "variant"))
+def _listed(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
 
 
-def loose_json(reply: Column) -> Column:
-    """VARIANT of a reply: fences stripped, else from the first ``{`` to the last ``}``."""
-    bare = trim_all(
-        F.regexp_replace(
-            F.regexp_replace(trim_all(reply), rf"^```(?:[jJ][sS][oO][nN])?{SPACE}*", ""), rf"{SPACE}*```\z", ""
-        )
+def _only_value(listed: Column) -> Column:
+    return F.when(F.try_variant_get(listed, "$[1]", "string") == _MARK, F.variant_get(listed, "$[0]", "variant"))
+
+
+def _without_fences(reply: Column) -> Column:
+    opened = F.regexp_replace(trim_all(reply), rf"^```(?:[jJ][sS][oO][nN])?{SPACE}*", "")
+    return trim_all(F.regexp_replace(opened, rf"{SPACE}*```\z", ""))
+
+
+def _braced(text: Column) -> Column:
+    """From the first ``{`` to the last ``}``."""
+    start = F.instr(text, "{")
+    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return F.when((start > 0) & (end > start) & (end <= F.length(text)), F.substring(text, start, end - start + 1))
+
+
+def with_reply_value(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Adds the VARIANT of a reply: fences stripped, else only its braced part.
+
+    Each step is a column of its own, so a text is rewritten and parsed once.
+    """
+    return (
+        df.withColumn("_bare", _without_fences(F.col(column)))
+        .withColumn("_direct", _listed(F.col("_bare")))
+        .withColumn("_whole", _only_value(F.col("_direct")))
+        .withColumn("_inner", F.when(F.col("_whole").isNull(), _listed(_braced(F.col("_bare")))))
+        .withColumn(value, F.coalesce("_whole", _only_value(F.col("_inner"))))
+        .drop("_bare", "_direct", "_whole", "_inner")
     )
-    start = F.instr(bare, "{")
-    end = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
-    inner = F.when((start > 0) & (end > start) & (end <= F.length(bare)), F.substring(bare, start, end - start + 1))
-    return F.coalesce(_whole_json(bare), _whole_json(inner))
+
+
+_KINDS = {"VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array"}
 
 
 def variant_kind(value: Column) -> Column:
     """``object``, ``array``, ``string``, ``number``, ``boolean``, ``null``; SQL null when missing."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind.isNull(), F.lit(None).cast("string"))
-        .when(kind == "VOID", "null")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .otherwise("number")
-    )
+    name = F.substring_index(F.schema_of_variant(value), "<", 1)
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(kinds, name), F.when(name.isNotNull(), "number"))
 
 
 def _key_kind(value: Column, key: str) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from billweave import fixed
 from billweave.functions.dates import printed_to_date
 from billweave.functions.money import printed_to_cents
-from billweave.functions.replies import error_detail, loose_json, reply_errors, reply_field
+from billweave.functions.replies import error_detail, reply_errors, reply_field, with_reply_value
 from billweave.functions.text import SPACE, is_blank, trim_all, trim_end, trim_start
 
 NATIVE = "native"
@@ -138,9 +138,11 @@ def reference_text(page_text: DataFrame) -> DataFrame:
 def decode_reply(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Adds reply_value (VARIANT), reply_detail (null when valid) and reply_valid."""
     return (
-        replies.withColumn("reply_value", loose_json(F.col(column)))
-        .withColumn("reply_detail", error_detail(reply_errors(F.col("reply_value"))))
-        .withColumn("reply_valid", F.col("reply_detail").isNull())
+        with_reply_value(replies, column, "reply_value")
+        .withColumn("_errors", reply_errors(F.col("reply_value")))
+        .withColumn("reply_detail", error_detail(F.col("_errors")))
+        .withColumn("reply_valid", F.size("_errors") == 0)
+        .drop("_errors")
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from billweave import fixed
-from billweave.functions.dates import iso
+from billweave.functions.dates import days_between, iso
 from billweave.functions.money import cents_to_decimal_string
 from billweave.functions.text import SPACE, is_blank
 from billweave.operators.joins import first_per_key, lookup, upsert
@@ -424,11 +424,15 @@ def _prior(entries: DataFrame) -> DataFrame:
     return entries.filter((F.col("state") == "confirmed") & F.col("undone_at").isNull())
 
 
-def _each_day(probes: DataFrame, window_days: int) -> DataFrame:
-    """One row per probe and day of its window, so the range test becomes an equality."""
-    return probes.withColumn("days_apart", F.explode(F.sequence(F.lit(-window_days), F.lit(window_days)))).withColumn(
-        "_day", F.date_add("txn_date", F.col("days_apart"))
-    )
+def _bucket(day: Column, window_days: int) -> Column:
+    return F.floor(F.unix_date(day) / (2 * window_days + 1))
+
+
+def _near_buckets(probes: DataFrame, window_days: int) -> DataFrame:
+    """One row per probe and bucket its window touches: at most two, as a bucket is as wide as the window."""
+    first = _bucket(F.date_sub("txn_date", window_days), window_days)
+    last = _bucket(F.date_add("txn_date", window_days), window_days)
+    return probes.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
 
 
 def duplicate_warnings(
@@ -437,13 +441,14 @@ def duplicate_warnings(
     """Earlier confirmed entries of the same vendor and amount within a few days of each probe.
 
     ``probes``: row_key, vendor_id, amount_cents, txn_date DATE. Vendor, amount and
-    day are all equality keys: the join yields result rows only, never a vendor's
-    whole history to be filtered afterwards.
+    a bucket of days are equality keys, so a probe only ever meets entries of two
+    window widths around it, never a vendor's whole history.
     """
     posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
     prior = lookup(_prior(entries), posted, "file_hash").select(
         "vendor_id",
         "amount_cents",
+        _bucket(F.col("txn_date"), window_days).alias("_bucket"),
         F.col("txn_date").alias("_day"),
         "batch_id",
         "file_hash",
@@ -454,9 +459,15 @@ def duplicate_warnings(
         "vendor_name",
         "posted_at",
     )
-    keys = ["vendor_id", "amount_cents", "_day"]
-    asked = _each_day(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
-    return asked.join(prior, keys).drop("txn_date").withColumnRenamed("_day", "txn_date")
+    asked = _near_buckets(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
+    apart = days_between(F.col("txn_date"), F.col("_day"))
+    return (
+        asked.join(prior, ["vendor_id", "amount_cents", "_bucket"])
+        .withColumn("days_apart", apart)
+        .filter(F.col("days_apart").between(-window_days, window_days))
+        .drop("txn_date", "_bucket")
+        .withColumnRenamed("_day", "txn_date")
+    )
 
 
 def duplicate_counts(
@@ -468,14 +479,18 @@ def duplicate_counts(
     distinct questions first, so equal entries never multiply with equal probes.
     """
     posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
-    keys = ["vendor_id", "amount_cents", "_day"]
     prior = lookup(_prior(entries), posted, "file_hash").withColumn("_day", F.col("txn_date"))
-    daily = prior.groupBy(*keys).agg(F.count("*").alias("_n"), F.min_by(F.struct("posted_at"), "id").alias("_first"))
+    daily = (
+        prior.groupBy("vendor_id", "amount_cents", "_day")
+        .agg(F.count("*").alias("_n"), F.min_by(F.struct("posted_at"), "id").alias("_first"))
+        .withColumn("_bucket", _bucket(F.col("_day"), window_days))
+    )
     questions = probes.select("vendor_id", "amount_cents", "txn_date").distinct()
     shown = F.coalesce(F.date_format("_first.posted_at", "yyyy-MM-dd"), iso(F.col("_day")))
     answers = (
-        _each_day(questions, window_days)
-        .join(daily, keys)
+        _near_buckets(questions, window_days)
+        .join(daily, ["vendor_id", "amount_cents", "_bucket"])
+        .filter(days_between(F.col("txn_date"), F.col("_day")).between(-window_days, window_days))
         .groupBy("vendor_id", "amount_cents", "txn_date")
         .agg(F.sum("_n").alias("warnings"), F.min_by(shown, "_day").alias("first_day"))
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import dates
 from billweave.operators import posting
-from billweave.plans.registry import query
+from billweave.plans.registry import query, spread
 
 
 def entries(t):
@@ -13,7 +13,7 @@ def entries(t):
     state = F.when(flag.isin("A", "N"), "confirmed").when(line == "O", "failed").otherwise("pending")
     entry_id = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"))
     undone = (state == "confirmed") & (F.col("l_discount") > 0.085)
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         entry_id.alias("id"),
         F.col("l_orderkey").cast("string").alias("batch_id"),
         F.col("l_linenumber").alias("position"),
