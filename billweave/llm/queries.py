@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, sharding, topk, warc
+from billweave.llm import decontaminate, packing, sharding, topk, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def op4_decontaminate(spark, table):
 def op10_shards(spark, table):
     """All documents over eight shards, and over nine."""
     return sharding.assign_shards(table("documents"), shards=8)
+
+
+@query("op6_packing")
+def op6_packing(spark, table):
+    """All documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(table("documents"), public_tokenizers.path(packing.TOKENIZER), max_tokens=4096)
