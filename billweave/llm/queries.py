@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, packing, sharding, topk, warc
+from billweave.llm import decontaminate, packing, sharding, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,10 @@ def op6_packing(spark, table):
     import public_tokenizers
 
     return packing.pack_documents(table("documents"), public_tokenizers.path(packing.TOKENIZER), max_tokens=4096)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, table):
+    """Every document's toxicity, learned from two thirds of the labels."""
+    found = toxicity.toxicity_report(table("documents"), table("labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
