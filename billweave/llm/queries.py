@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, packing, sharding, topk, toxicity, warc
+from billweave.llm import decontaminate, packing, sharding, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op9_toxicity(spark, table):
     """Every document's toxicity, learned from two thirds of the labels."""
     found = toxicity.toxicity_report(table("documents"), table("labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_suffix_tree_lm")
+def op8_suffix_tree_lm(spark, table):
+    """log10 probabilities of all texts, learned from six sevenths of them."""
+    return suffix_tree_lm.score_documents(table("documents"))
