@@ -62,57 +62,79 @@ class Term:
 
 
 class Trie:
-    """Nodes as dictionaries; a node lists the terms that end there and the largest distance any term below allows."""
+    """Nodes as dictionaries; a node lists the terms that end there.
+
+    ``pieces`` keeps the walks few: k edits leave one of k + 1 pieces of a term whole, moved by
+    k places at most, so a word can only be near the terms of which it has a piece.
+    """
 
     def __init__(self, terms: list[Term]):
+        self.terms = terms
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
-        self.distance = [0]
-        self.pieces: dict[int, set[str]] = {}
+        self.paths: list[list[int]] = []
+        self.pieces: dict[tuple[int, int], dict[str, list[int]]] = {}
         for number, term in enumerate(terms):
-            k = allowed_distance(len(term.text), term.stem)
-            node = 0
-            self.distance[0] = max(self.distance[0], k)
+            node, path = 0, []
             for letter in term.text:
                 node = self.children[node].setdefault(letter, len(self.children))
                 if node == len(self.ends):
                     self.children.append({})
                     self.ends.append([])
-                    self.distance.append(0)
-                self.distance[node] = max(self.distance[node], k)
+                path.append(node)
             self.ends[node].append(number)
-            # k edits leave one of k + 1 pieces whole, moved by k places at most
+            self.paths.append(path)
+            k = allowed_distance(len(term.text), term.stem)
             size = len(term.text) // (k + 1)
-            for piece in range(k + 1):
-                head = term.text[piece * size : piece * size + 2]
-                for shift in range(-k if piece else 0, (k if piece else 0) + 1):
-                    self.pieces.setdefault(max(0, piece * size + shift), set()).add(head)
-
-    def may_match(self, word: str) -> bool:
-        """Cheap and without misses: some piece of some term is where it could be."""
-        return any(word[p : p + 2] in heads for p, heads in self.pieces.items())
+            for n in range(k + 1):
+                piece = term.text[n * size : (n + 1) * size if n < k else None]
+                for at in {max(0, n * size + shift) for shift in (range(-k, k + 1) if n else (0,))}:
+                    self.pieces.setdefault((at, at + len(piece)), {}).setdefault(piece, []).append(number)
+
+    def near(self, word: str) -> set[int]:
+        """Terms of which the word has a piece where it could be; every term within its distance is among them."""
+        out = set()
+        for (a, b), known in self.pieces.items():
+            for number in known.get(word[a:b], ()):
+                term = self.terms[number]
+                if term.stem or abs(len(term.text) - len(word)) <= allowed_distance(len(term.text), False):
+                    out.add(number)
+        return out
 
-    def matches(self, word: str, terms: list[Term]) -> list[tuple[int, int]]:
+    def matches(self, word: str) -> list[tuple[int, int]]:
         """(term, distance) of every term within its distance of the word, or of a beginning of it for stems.
 
-        The state of the automaton is the row of distances between what the branch spells and
-        every beginning of the word; a branch ends when the whole row is out of reach.
+        The word's Levenshtein automaton runs along the trie's branches: its state holds, for
+        places of the word that are in reach, the fewest edits that lead there.
         """
-        found = []
-        stack = [(0, tuple(range(len(word) + 1)))]
+        wanted = self.near(word)
+        if not wanted:
+            return []
+        branches = {node for number in wanted for node in self.paths[number]}
+        k = max(allowed_distance(len(self.terms[number].text), self.terms[number].stem) for number in wanted)
+        n, found = len(word), []
+        stack = [(0, {i: i for i in range(min(n, k) + 1)})]
         while stack:
-            node, row = stack.pop()
+            node, state = stack.pop()
             for number in self.ends[node]:
-                term = terms[number]
-                reached = min(row) if term.stem else row[-1]
-                if reached <= allowed_distance(len(term.text), term.stem):
+                term = self.terms[number]
+                reached = min(state.values()) if term.stem else state.get(n, k + 1)
+                if number in wanted and reached <= allowed_distance(len(term.text), term.stem):
                     found.append((number, reached))
             for letter, child in self.children[node].items():
-                new = [row[0] + 1]
-                for j, own in enumerate(word):
-                    new.append(min(row[j] + (own != letter), row[j + 1] + 1, new[j] + 1))
-                if min(new) <= self.distance[child]:
-                    stack.append((child, tuple(new)))
+                if child not in branches:
+                    continue
+                new: dict[int, int] = {}
+                for i in range(min(state), min(n, max(state) + 1 + k) + 1):
+                    best = state.get(i, k) + 1
+                    if i and i - 1 in state:
+                        best = min(best, state[i - 1] + (word[i - 1] != letter))
+                    if i - 1 in new:
+                        best = min(best, new[i - 1] + 1)
+                    if best <= k:
+                        new[i] = best
+                if new:
+                    stack.append((child, new))
         return found
 
 
@@ -139,7 +161,7 @@ class Matcher:
         for h, raw in zip(hashes.tolist(), words):
             if h not in self.known:
                 word = raw.decode(errors="replace").lower()
-                found = self.trie.matches(word, self.terms) if self.trie.may_match(word) else []
+                found = self.trie.matches(word)
                 self.known[h] = min(found, key=lambda f: (f[1], -self.terms[f[0]].weight, f[0]), default=None)
             out.append(self.known[h])
         return out

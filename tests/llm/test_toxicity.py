@@ -31,8 +31,7 @@ def test_trie_and_automaton_find_what_edit_distance_finds(seed):
             d = min(distance(t.text, w[:n]) for n in range(len(w) + 1)) if t.stem else distance(t.text, w)
             if d <= allowed_distance(len(t.text), t.stem):
                 want.add((number, d))
-        assert set(trie.matches(w, terms)) == want
-        assert trie.may_match(w) or not want
+        assert sorted(trie.matches(w)) == sorted(want)
 
 
 def test_windows_and_quotes():
