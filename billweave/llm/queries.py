@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, packing, sharding, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, packing, sharding, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op9_toxicity(spark, table):
 def op8_suffix_tree_lm(spark, table):
     """log10 probabilities of all texts, learned from six sevenths of them."""
     return suffix_tree_lm.score_documents(table("documents"))
+
+
+@query("op7_suffix_array")
+def op7_suffix_array(spark, table):
+    """Bytes left of every document without strings of 400 bytes that start twice."""
+    return suffix_array.removal_report(table("documents"), length=400)

@@ -93,7 +93,7 @@ class Rolling:
     def fixed(self, width: int) -> np.ndarray:
         """Of every range of one width."""
         raw = (self.sums[width:] - self.sums[:-width]) * self.back[: len(self.back) - width]
-        return mix(raw + np.uint64(width) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(raw + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def byte_values(data: np.ndarray, seed: int = 1) -> np.ndarray:
