@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, packing, sharding, suffix_array, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op8_suffix_tree_lm(spark, table):
 def op7_suffix_array(spark, table):
     """Bytes left of every document without strings of 400 bytes that start twice."""
     return suffix_array.removal_report(table("documents"), length=400)
+
+
+@query("op2_substring_trees")
+def op2_substring_trees(spark, table):
+    """Words left of every document without windows of 13 words that an earlier one has."""
+    return substring_trees.removal_report(table("documents"), window=13)
