@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
