@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.llm import decontaminate, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op7_suffix_array(spark, table):
 def op2_substring_trees(spark, table):
     """Words left of every document without windows of 13 words that an earlier one has."""
     return substring_trees.removal_report(table("documents"), window=13)
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark, table):
+    """Components of documents with a shingle similarity of 0.75 or more."""
+    return near_dedup.component_report(table("documents"))
