@@ -89,7 +89,10 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range: what is covered, which classes share a group with others, and the rows of the groups at its edges."""
+    """One range: what is covered, which classes share a group with others, and the classes of the groups at its edges.
+
+    An edge's class is one row, its first, with the number of its rows here in place of ``classes``.
+    """
     names = [c.split()[0] for c in _SUFFIX.split(", ")]
     parts = [b for b in batches if b.num_rows]
     if not parts:
@@ -106,8 +109,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, classes = np.bincount(class_)[class_], np.bincount(group[new_class])[group]
     edge = (group == 0) | (group == group[-1])
     chosen = [
-        (_EDGE, edge),
-        (_COVERED, ~edge & (size > 1)),
+        (_EDGE, edge & new_class),
+        (_COVERED, size > 1),
         (_SINGLE, ~edge & (size == 1) & (classes > 1)),
         (_SHARED, ~edge & (size > 1) & (classes > 1) & new_class),
     ]
@@ -115,18 +118,18 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(rows)
         bare = kind == _COVERED  # only the place matters
         columns = [np.full(len(rows), kind, np.int32)] + [np.zeros(len(rows), np.int64) if bare and c in ("t1", "t2", "u") else column[c][rows] for c in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, classes[rows]]], names=[c.split()[0] for c in _FOUND.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, (size if kind == _EDGE else classes)[rows]]], names=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 def _settled(edges: DataFrame) -> DataFrame:
-    """Groups at the edges of ranges, added up over all ranges; a class is counted in the task before it is shuffled."""
-    by_class = edges.groupBy("t1", "t2", "u").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "key", "at")).alias("_first"))
+    """Classes at the edges of ranges, added up over all ranges; of a class with several rows in a range these are covered already."""
+    by_class = edges.groupBy("t1", "t2", "u").agg(F.sum("classes").alias("_n"), F.min(F.struct("doc", "key", "at")).alias("_first"))
     by_group = by_class.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("_classes"))
     known = by_class.join(by_group, ["t1", "t2"])
-    rows = edges.drop("classes").join(known, ["t1", "t2", "u"]).withColumn("classes", F.col("_classes"))
+    rows = edges.withColumnRenamed("classes", "_here").join(known, ["t1", "t2", "u"]).withColumn("classes", F.col("_classes"))
     first = F.struct("doc", "key", "at") == F.col("_first")
     kinds = F.array(
-        F.when(F.col("_n") > 1, _COVERED).otherwise(F.when(F.col("classes") > 1, _SINGLE)),
+        F.when((F.col("_n") > 1) & (F.col("_here") == 1), _COVERED).when((F.col("_n") == 1) & (F.col("classes") > 1), _SINGLE),
         F.when((F.col("_n") > 1) & (F.col("classes") > 1) & first, _SHARED),
     )
     return rows.withColumn("kind", F.explode(kinds)).where("kind is not null").select(*[c.split()[0] for c in _FOUND.split(", ")])
