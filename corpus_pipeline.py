@@ -1,20 +1,62 @@
-"""From raw documents to packed sequences: five stages, each written and read again."""
+"""From raw documents to packed sequences: five stages, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but
+the last return the columns of documents.
+"""
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from billweave.llm.decontaminate import decontaminated
+from billweave.llm.near_dedup import one_of_each
+from billweave.llm.packing import TOKENIZER, pack_documents
+from billweave.llm.suffix_array import without_repeats
+from billweave.llm.toxicity import without_toxic
 from billweave.session import configure, shared_folder
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.7 or more go."""
+    configure(spark)
+    return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with a shingle similarity of 0.75 or more, directly or over others, the first stays."""
+    configure(spark)
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes that start more than once are taken out of the texts."""
+    configure(spark)
+    return without_repeats(docs, length=400)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth of their words or more inside benchmark passages go."""
     configure(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontamination", drop_contaminated)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    configure(spark)
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), max_tokens=4096)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_array", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: No SQL says token ids, learned scores or cuts in the middle of texts; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
