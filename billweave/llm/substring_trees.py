@@ -82,7 +82,11 @@ def frequent_prefixes(docs: DataFrame, window: int, partitions: int, sample_one_
 
 
 def _subtrees(long_prefixes: np.ndarray):
-    """All subtrees of one task, as runs of its sorted suffixes."""
+    """All subtrees of one task, as runs of its sorted suffixes.
+
+    Of a prefix that was made longer the task has a part; what is later than the earliest
+    document of a node here is covered whatever the other parts hold, and only the rest goes on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _SUFFIX.split(", ")]
@@ -100,7 +104,7 @@ def _subtrees(long_prefixes: np.ndarray):
         earliest = column["doc"][node][number]
         several = np.bincount((np.cumsum(branch) - 1)[node])[np.cumsum(branch) - 1] > 1
         longer = np.isin(column["prefix"], long_prefixes)
-        for kind, rows in ((_LONG, longer), (_COVERED, ~longer & (column["doc"] > earliest)), (_OPEN, ~longer & several & (column["doc"] == earliest))):
+        for kind, rows in ((_LONG, longer & (column["doc"] == earliest)), (_COVERED, column["doc"] > earliest), (_OPEN, ~longer & several & (column["doc"] == earliest))):
             rows = np.flatnonzero(rows)
             columns = [np.full(len(rows), kind, np.int32)] + [np.zeros(len(rows), np.int64) if kind == _COVERED and c in ("prefix", "around") else column[c][rows] for c in names]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _NODES.split(", ")])
