@@ -162,11 +162,14 @@ def prepare_entries(rows: DataFrame, batch: DataFrame, entries: DataFrame, now:
 
 
 # --- sending and the fold of events --------------------------------------------
-def response_class(status: Column) -> Column:
+def response_class(status: Column, remote_id: Column, sync_token: Column) -> Column:
+    """No status is a transport failure; a success has to name the record it made and its token."""
+    named = (F.coalesce(remote_id, F.lit("")) != "") & (F.coalesce(sync_token, F.lit("")) != "")
     return (
-        F.when(status.isin(401, 403), "not-connected")
+        F.when(status.isNull(), "unavailable")
+        .when(status.isin(401, 403), "not-connected")
         .when((status >= 500) | (status == 429), "unavailable")
-        .when((status < 200) | (status >= 300), "rejected")
+        .when((status < 200) | (status >= 300) | ~named, "rejected")
         .otherwise("ok")
     )
 
@@ -194,7 +197,7 @@ def send_outcomes(entries: DataFrame, ledger: DataFrame, responses: DataFrame) -
     posted = ledger.select(F.col("hash").alias("file_hash"), F.lit(True).alias("_posted"))
     answers = responses.select(
         "request_id",
-        response_class(F.col("http_status")).alias("_class"),
+        response_class(F.col("http_status"), F.col("remote_id"), F.col("sync_token")).alias("_class"),
         F.col("remote_id").alias("_remote_id"),
         F.col("sync_token").alias("_sync_token"),
     )
@@ -259,8 +262,12 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def ledger_after(ledger: DataFrame, entries: DataFrame, undone: DataFrame) -> DataFrame:
-    """Ledger once confirmations are written (a newer one replaces) and undone documents are removed."""
-    confirmed = entries.filter(F.col("state") == "confirmed").select(
+    """Ledger once confirmations are written (a newer one replaces) and undone documents are removed.
+
+    ``entries`` and ``undone`` have ``undone_at``: an undone entry puts no row, and its undo
+    removes a document only if no confirmation came after it, so a document that was undone and entered again stays.
+    """
+    confirmed = entries.filter((F.col("state") == "confirmed") & F.col("undone_at").isNull()).select(
         F.col("file_hash").alias("hash"),
         F.col("confirmed_at").alias("posted_at"),
         F.coalesce("filename", "file_hash").alias("original_filename"),
@@ -269,8 +276,9 @@ def ledger_after(ledger: DataFrame, entries: DataFrame, undone: DataFrame) -> Da
     )
     newest = confirmed.groupBy("hash").agg(F.max_by(F.struct(*LEDGER_COLUMNS[1:]), F.struct("posted_at", "remote_id")).alias("_r"))
     fresh = newest.select("hash", *[F.col(f"_r.{c}").alias(c) for c in LEDGER_COLUMNS[1:]])
-    gone = undone.select(F.col("file_hash").alias("hash")).distinct()
-    return upsert(ledger.select(*LEDGER_COLUMNS), fresh, ["hash"]).join(gone, "hash", "left_anti").select(*LEDGER_COLUMNS)
+    gone = undone.groupBy(F.col("file_hash").alias("hash")).agg(F.max("undone_at").alias("_undone_at"))
+    written = upsert(ledger.select(*LEDGER_COLUMNS), fresh, ["hash"]).join(gone, "hash", "left")
+    return written.filter(F.col("_undone_at").isNull() | (F.col("posted_at") > F.col("_undone_at"))).select(*LEDGER_COLUMNS)
 
 
 # --- payloads ------------------------------------------------------------------
@@ -502,7 +510,8 @@ def undo_decisions(batch: DataFrame, entries: DataFrame, live: DataFrame) -> Dat
     """What undoing a batch does to each of its entries.
 
     ``live``: entity_kind, remote_id, entity_exists, sync_token, read_error, delete_error
-    as read from the remote system. Undone documents leave the ledger.
+    as read from the remote system. Undone documents leave the ledger. An entry that was
+    not read is not undone: only a successful read that finds nothing means it is gone.
     """
     mine = entries.join(batch.select(F.col("id").alias("batch_id")), "batch_id", "left_semi").filter(
         (F.col("state") == "confirmed") & F.col("undone_at").isNull() & F.col("remote_id").isNotNull()
@@ -510,12 +519,14 @@ def undo_decisions(batch: DataFrame, entries: DataFrame, live: DataFrame) -> Dat
     now = live.select("entity_kind", "remote_id", "entity_exists", F.col("sync_token").alias("_token"), "read_error", "delete_error")
     joined = mine.withColumn("entity_kind", entity_kind(F.col("entry_type"))).join(now, ["entity_kind", "remote_id"], "left")
     changed = ~F.col("_token").eqNullSafe(F.col("sync_token"))
-    missing = ~F.coalesce(F.col("entity_exists"), F.lit(False))
+    missing = ~F.col("entity_exists")
+    unread = F.col("read_error").isNotNull() | F.col("entity_exists").isNull()
     reason = (
         F.when(F.col("read_error").isNotNull(), F.col("read_error"))
+        .when(unread, "not-read")
         .when(missing, "entity-missing")
         .when(changed, "changed")
         .when(F.col("delete_error").isNotNull(), F.col("delete_error"))
     )
-    undone = F.col("read_error").isNull() & (missing | (~changed & F.col("delete_error").isNull()))
+    undone = ~unread & (missing | (~changed & F.col("delete_error").isNull()))
     return joined.select("batch_id", "file_hash", "remote_id", undone.alias("undone"), reason.alias("reason"))

@@ -209,24 +209,25 @@ def payment_type(t):
 
 
 def responses(t):
-    status = F.when(F.col("l_tax") < 0.02, 200).when(F.col("l_tax") < 0.04, 503).when(F.col("l_tax") < 0.06, 401).otherwise(400)
+    status = F.when(F.col("l_tax") < 0.02, 200).when(F.col("l_tax") < 0.03, None).when(F.col("l_tax") < 0.04, 503).when(F.col("l_tax") < 0.06, 401).otherwise(400)
     keyed = entries(t).select("id", "request_id")
     tax = t.lineitem.select(
         F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 9, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("id"),
-        status.alias("http_status"), F.col("l_tax"),
+        status.alias("http_status"), F.col("l_tax"), F.col("l_linenumber"),
     ).filter(F.col("l_tax") < 0.075)
-    return keyed.join(tax, "id").select("request_id", "http_status", F.lit("n1").alias("remote_id"), F.lit("0").alias("sync_token"))
+    line = F.col("l_linenumber")
+    return keyed.join(tax, "id").select("request_id", "http_status", F.when(line != 2, "n1").alias("remote_id"), F.when(line != 3, "0").alias("sync_token"))
 
 
 @query(
     "send_outcomes",
     f"""WITH {_ENTRIES}, o AS (SELECT id, CASE WHEN state = 'confirmed' THEN 'skipped' WHEN entry_type = 'expense' AND l_returnflag = 'N' THEN 'expense-needs-account'
-      WHEN l_tax >= 0.075 THEN 'sent' WHEN l_tax < 0.02 THEN 'confirmed' WHEN l_tax < 0.04 THEN 'unavailable' WHEN l_tax < 0.06 THEN 'not-connected' ELSE 'rejected' END AS outcome, l_partkey, state FROM e)
+      WHEN l_tax >= 0.075 THEN 'sent' WHEN l_tax < 0.02 AND l_linenumber IN (2, 3) THEN 'rejected' WHEN l_tax < 0.02 THEN 'confirmed' WHEN l_tax < 0.04 THEN 'unavailable' WHEN l_tax < 0.06 THEN 'not-connected' ELSE 'rejected' END AS outcome, l_partkey, state FROM e)
     SELECT sha256(id) AS file_hash, outcome, CASE WHEN outcome IN ('skipped', 'confirmed') THEN 'confirmed' WHEN outcome = 'sent' THEN 'sent' ELSE 'failed' END AS new_state,
       CASE WHEN outcome = 'confirmed' THEN 'n1' WHEN state = 'confirmed' THEN CAST(l_partkey AS VARCHAR) END AS remote_id FROM o""",
 )
 def send_outcomes(t):
-    """What sending does to every entry."""
+    """What sending does to every entry; some answers have no status, some successes no id or no token."""
     return posting.send_outcomes(entries(t), ledger(t), responses(t)).select("file_hash", "outcome", "new_state", "remote_id")
 
 
@@ -243,14 +244,14 @@ def already_entered(t):
 @query(
     "undo_decision",
     f"""WITH {_ENTRIES}, u AS (SELECT * FROM b WHERE batch_id IN (SELECT batch_id FROM e WHERE state = 'confirmed' AND NOT undone)),
-    d AS (SELECT e.batch_id, sha256(id) AS file_hash, CAST(l_partkey AS VARCHAR) AS remote_id, CASE WHEN p_size < 5 THEN 'unavailable' WHEN p_size < 10 THEN 'entity-missing' WHEN l_linenumber <> 3 THEN 'changed' WHEN p_size > 40 THEN 'undo-failed' END AS reason
+    d AS (SELECT e.batch_id, sha256(id) AS file_hash, CAST(l_partkey AS VARCHAR) AS remote_id, CASE WHEN p_size < 5 THEN 'unavailable' WHEN p_size BETWEEN 20 AND 24 THEN 'not-read' WHEN p_size < 10 THEN 'entity-missing' WHEN l_linenumber <> 3 THEN 'changed' WHEN p_size > 40 THEN 'undo-failed' END AS reason
       FROM e JOIN u ON u.batch_id = e.batch_id JOIN part ON p_partkey = l_partkey WHERE e.state = 'confirmed' AND NOT e.undone)
     SELECT *, reason IS NULL OR reason = 'entity-missing' AS undone FROM d""",
 )
 def undo_decision(t):
     """Undo of every batch that can be undone, against what the remote system holds now."""
     size = F.col("p_size")
-    live = t.part.select(
+    live = t.part.filter(~size.between(20, 24)).select(  # some were never read
         F.explode(F.array(F.lit("Bill"), F.lit("Purchase"))).alias("entity_kind"),
         F.col("p_partkey").cast("string").alias("remote_id"),
         (~size.between(5, 9)).alias("entity_exists"),
@@ -298,11 +299,16 @@ def posting_fold(t):
 
 @query(
     "ledger_write",
-    f"""WITH {_ENTRIES}, k AS (SELECT sha256(id) AS hash, 'Purchase' AS entity_kind, strftime(CAST(l_shipdate AS DATE) + 1, '%Y-%m-%d') AS posted_at FROM e WHERE state = 'confirmed' AND entry_type = 'expense' AND NOT undone
-      UNION ALL SELECT sha256(id), 'Bill', strftime(CAST(l_shipdate AS DATE) + 1, '%Y-%m-%d') FROM e WHERE state = 'confirmed' AND entry_type = 'bill' AND NOT undone) SELECT * FROM k""",
+    f"""WITH {_ENTRIES}, x AS (SELECT *, sha256(id) AS hash, CAST(l_shipdate AS DATE) + 1 AS on_day, undone AND l_linenumber <= 2 AS again FROM e WHERE state = 'confirmed')
+    SELECT hash, 'Purchase' AS entity_kind, strftime(on_day, '%Y-%m-%d') AS posted_at FROM x WHERE entry_type = 'expense' AND NOT undone
+    UNION ALL SELECT hash, 'Purchase', strftime(on_day + 60, '%Y-%m-%d') FROM x WHERE entry_type = 'expense' AND again
+    UNION ALL SELECT hash, 'Bill', strftime(on_day, '%Y-%m-%d') FROM x WHERE entry_type = 'bill' AND NOT undone""",
 )
 def ledger_write(t):
-    """Ledger of bills extended by confirmed expenses, undone documents removed."""
-    fresh = entries(t).filter(F.col("entry_type") == "expense")
+    """Ledger of bills extended by confirmed expenses; undone documents are removed unless they were entered again."""
+    expenses = entries(t).filter(F.col("entry_type") == "expense")
+    again = expenses.filter(F.col("undone_at").isNotNull() & (F.col("position") <= 2)).withColumns(
+        {"batch_id": F.concat(F.lit("again-"), F.col("batch_id")), "confirmed_at": F.date_add("confirmed_at", 60), "undone_at": F.lit(None).cast("date")}
+    )
     undone = entries(t).filter(F.col("undone_at").isNotNull())
-    return posting.ledger_after(ledger(t), fresh, undone).select("hash", "entity_kind", F.col("posted_at").cast("string").alias("posted_at"))
+    return posting.ledger_after(ledger(t), expenses.unionByName(again), undone).select("hash", "entity_kind", F.col("posted_at").cast("string").alias("posted_at"))
