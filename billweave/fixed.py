@@ -140,7 +140,6 @@ MAX_CANDIDATES = 5
 EXPENSE_ACCOUNT_TYPES = ("Expense",)
 PAYMENT_ACCOUNT_TYPES = ("Bank", "Credit Card")
 REMOTE_PAGE_SIZE = 1000
-REMOTE_MAX_PAGES = 200
 VISION_MODEL_PATTERNS = (
     r"gpt-4o",
     r"gpt-4\.1",

@@ -4,11 +4,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from billweave import fixed
 from billweave.functions.names import (
-    jaro_winkler,
     normal_form,
     rounded_score,
     similarity,
+    weighed_once,
     word_block_keys,
+    word_overlap,
     words_of,
 )
 from billweave.functions.text import is_blank
@@ -46,7 +47,7 @@ def _normalised(df: DataFrame, text: str) -> DataFrame:
 
 
 def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(word, similar): pairs of the two vocabularies with Jaro-Winkler of at least 0.88.
+    """(word, similar, weight): pairs of the two vocabularies with Jaro-Winkler of at least 0.88.
 
     Distinct words meet only on shared blocking keys, which lose no pair; exact
     scores are then taken on distinct word pairs.
@@ -54,37 +55,38 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select("word", F.explode(word_block_keys("word")).alias("_key"))
     b = right.select(F.col("word").alias("similar"), F.explode(word_block_keys("word")).alias("_key"))
     pairs = a.join(b, "_key").select("word", "similar").distinct()
-    return pairs.filter(jaro_winkler("word", "similar") >= fixed.TOKEN_MATCH_FLOOR)
+    weighed = pairs.withColumn("weight", weighed_once(F.col("word"), F.col("similar")))
+    return weighed.filter(F.col("weight") >= fixed.TOKEN_MATCH_FLOOR)
 
 
-def candidate_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
-    """Pairs of distinct normal forms that can reach the candidate floor.
+def near_words(names: DataFrame, soft: DataFrame) -> DataFrame:
+    """realm_id, query_norm, near: for each name the option words near one of its own, with their weights."""
+    pairs = names.select("realm_id", "query_norm", F.explode("q_words").alias("word")).join(soft, "word")
+    return pairs.groupBy("realm_id", "query_norm").agg(F.collect_list(F.struct("word", "similar", "weight")).alias("near"))
 
-    Both inputs: realm_id, norm (distinct). Returns realm_id, query_norm, option_norm and both word
-    lists. A pair is emitted at one word only, the lowest it has in common, so no
+
+def _overlap() -> Column:
+    """Word overlap of a candidate pair, from the weights its query name carries."""
+    met = F.filter("near", lambda p: F.array_contains(F.col("o_words"), p["similar"]))
+    return F.coalesce(word_overlap(met, F.col("q_words"), F.col("o_words")), F.lit(0.0))
+
+
+def _with_words(names: DataFrame, side: str) -> DataFrame:
+    return names.filter(F.col("norm") != "").select(
+        "realm_id", F.col("norm").alias(f"{side}_norm"), words_of(F.col("norm")).alias(f"{side[0]}_words")
+    )
+
+
+def candidate_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs of distinct normal forms that can reach the candidate floor, with their word overlap.
+
+    A pair is emitted at one word only, the lowest it has in common, so no
     later deduplication of pairs is needed; pairs whose best possible score is
     too low are dropped inside the join.
     """
-    q = queries.filter(F.col("norm") != "").select("realm_id", F.col("norm").alias("query_norm"), words_of(F.col("norm")).alias("q_words"))
-    o = options.filter(F.col("norm") != "").select("realm_id", F.col("norm").alias("option_norm"), words_of(F.col("norm")).alias("o_words"))
-    q_vocabulary = q.select(F.explode("q_words").alias("word")).distinct()
-    o_vocabulary = o.select(F.explode("o_words").alias("word")).distinct()
-    soft = similar_words(q_vocabulary, o_vocabulary)
-
-    reach = (
-        q.select("realm_id", "query_norm", F.explode("q_words").alias("word"))
-        .join(soft, "word")
-        .groupBy("realm_id", "query_norm")
-        .agg(F.array_sort(F.collect_set("similar")).alias("reach"))  # words of one name and their near forms
-    )
-    # Names are distinct here, so these parts are even. A fixed number keeps small inputs on
-    # all cores for the scoring that follows, and the later top five is already partitioned.
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    probes = (
-        q.join(reach, ["realm_id", "query_norm"])
-        .repartition(3 * cores, "realm_id", "query_norm")
-        .withColumn("_at", F.explode("reach"))
-    )
+    # the words of a query's near forms; the join's own shuffle deals the probes
+    probes = q.join(near, ["realm_id", "query_norm"]).withColumn("reach", F.array_sort(F.array_distinct(F.transform("near", lambda p: p["similar"]))))
+    probes = probes.withColumn("_at", F.explode("reach"))
     postings = o.withColumn("_at", F.explode("o_words"))
 
     common = F.array_intersect(F.col("reach"), F.col("o_words"))
@@ -104,38 +106,38 @@ def candidate_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
             (F.array_min(common) == F.col("_at"))
             & ((best >= fixed.CANDIDATE_FLOOR - 1e-4) | (F.col("query_norm") == F.col("option_norm")))
         )
-        .select("realm_id", "query_norm", "option_norm", "q_words", "o_words")
+        .select("realm_id", "query_norm", "option_norm", _overlap().alias("overlap"))
     )
 
 
-def _long_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
+def _long_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
     """Pairs of very long names, which may match by letters alone.
 
     They then need Jaro above 0.9998, so their lengths differ by less than
     0.0556 percent: names meet in neighbouring buckets of the length's logarithm.
     """
-    bucket = F.floor(F.log(F.length("norm").cast("double")) * 1800)
-    long = F.length("norm") > LONGEST_BLOCKED_NAME - 2
-    q = queries.filter(long).select(
-        "realm_id", F.col("norm").alias("query_norm"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_bucket")
-    )
-    o = options.filter(long).select("realm_id", F.col("norm").alias("option_norm"), bucket.alias("_bucket"))
-    pairs = q.join(o, ["realm_id", "_bucket"]).drop("_bucket")
-    return pairs.withColumn("q_words", words_of(F.col("query_norm"))).withColumn("o_words", words_of(F.col("option_norm")))
+    def bucket(c):
+        return F.floor(F.log(F.length(c).cast("double")) * 1800)
+
+    near_buckets = F.array(*[bucket("query_norm") + d for d in (-1, 0, 1)])
+    asked = q.filter(F.length("query_norm") > LONGEST_BLOCKED_NAME - 2).withColumn("_bucket", F.explode(near_buckets))
+    offered = o.filter(F.length("option_norm") > LONGEST_BLOCKED_NAME - 2).withColumn("_bucket", bucket("option_norm"))
+    pairs = asked.join(offered, ["realm_id", "_bucket"]).join(near, ["realm_id", "query_norm"], "left")
+    return pairs.select("realm_id", "query_norm", "option_norm", _overlap().alias("overlap"))
 
 
 def scored_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
     """(realm_id, query_norm, option_norm, score) at or above the candidate floor."""
     key = ["realm_id", "query_norm", "option_norm"]
-    blocked = candidate_pairs(queries, options)
+    q, o = _with_words(queries, "query"), _with_words(options, "option")
+    soft = similar_words(q.select(F.explode("q_words").alias("word")).distinct(), o.select(F.explode("o_words").alias("word")).distinct())
+    near = near_words(q, soft)
+    blocked = candidate_pairs(q, o, near)
     long = [F.length(c) > LONGEST_BLOCKED_NAME - 2 for c in key[1:]]
-    pairs = blocked.unionByName(_long_pairs(queries, options).join(blocked.filter(long[0] & long[1]).select(*key), key, "left_anti")).withColumn(
+    by_letters = _long_pairs(q, o, near).join(blocked.filter(long[0] & long[1]).select(*key), key, "left_anti")
+    pairs = blocked.unionByName(by_letters).withColumn(
         "score",
-        rounded_score(
-            similarity(
-                F.col("query_norm"), F.col("option_norm"), F.col("q_words"), F.col("o_words"), fixed.CANDIDATE_FLOOR - 1e-4
-            )
-        ),
+        rounded_score(similarity(F.col("query_norm"), F.col("option_norm"), F.col("overlap"), fixed.CANDIDATE_FLOOR - 1e-4)),
     )
     empties = queries.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("query_norm")).join(
         options.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("option_norm")), "realm_id"

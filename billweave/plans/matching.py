@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from billweave.functions import names
 from billweave.operators import reconcile, reference
 from billweave.plans.intake import by_case
-from billweave.plans.registry import query, spread
+from billweave.plans.registry import query
+from billweave.sources import remote
 from billweave.sources.remote import wanted_records
 
 
@@ -148,6 +149,43 @@ def remote_pages(t):
     return reference.map_records(wanted_records(rows)).select("realm_id", "entity_kind", "entity_id", "name", "account_type", "active")
 
 
+def remote_lists(t):
+    """Landed pages of three pulls, 1,000 records a page: customers as vendors, suppliers as accounts, parts as items.
+
+    A left-over page stands one page behind each pull's last one.
+    """
+
+    def pull(rows, entity, key, **fields):
+        record = F.from_json(F.to_json(F.struct(F.col(key).cast("string").alias("Id"), *[v.alias(k) for k, v in fields.items()])), _RECORD)
+        numbered = rows.select(F.floor(F.col(key) / 1000).cast("int").alias("page_no"), record.alias("record"))
+        left_over = F.from_json(F.lit('{"Id": "old", "Name": "left over", "DisplayName": "left over", "AccountType": "Bank"}'), _RECORD)
+        behind = numbered.agg((F.max("page_no") + 2).alias("page_no")).select("page_no", left_over.alias("record"))
+        paged = numbered.unionByName(behind).groupBy("page_no").agg(F.collect_list("record").alias("records"))
+        return paged.select(F.lit("r1").alias("realm_id"), F.lit(entity).alias("entity"), "page_no", "records")
+
+    vendors = pull(t.customer, "Vendor", "c_custkey", DisplayName=F.col("c_name"), Active=F.col("c_acctbal") > 0)
+    accounts = pull(t.supplier, "Account", "s_suppkey", Name=F.col("s_name"), AccountType=F.when(F.col("s_nationkey") < 12, "Expense").otherwise("Income"))
+    return vendors.unionByName(accounts).unionByName(pull(t.part, "Item", "p_partkey", Name=F.when(F.col("p_size") > 3, F.col("p_name"))))
+
+
+@query(
+    "remote_union",
+    """WITH n AS (SELECT 'vendor' AS entity_kind, count(*) % 1000 <> 0 AS complete FROM customer UNION ALL SELECT 'account', count(*) % 1000 <> 0 FROM supplier
+      UNION ALL SELECT 'item', count(*) % 1000 <> 0 FROM part),
+    r AS (SELECT 'vendor' AS entity_kind, CAST(c_custkey AS VARCHAR) AS entity_id, c_name AS name FROM customer WHERE c_acctbal > 0
+      UNION ALL SELECT 'account', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE s_nationkey < 12
+      UNION ALL SELECT 'item', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE p_size > 3
+      UNION ALL SELECT entity_kind, 'old', 'left over' FROM n WHERE NOT complete)
+    SELECT 'r1' AS realm_id, entity_kind, entity_id, name, complete FROM r JOIN n USING (entity_kind)""",
+)
+def remote_union(t):
+    """Records of all pages up to each pull's end, and whether that pull is complete."""
+    pages = remote_lists(t)
+    records = reference.map_records(remote.remote_records(pages)).select("realm_id", "entity_kind", "entity_id", "name")
+    whole = remote.complete_pulls(pages).select("realm_id", F.lower("entity").alias("entity_kind"), F.lit(True).alias("complete"))
+    return records.join(whole, ["realm_id", "entity_kind"], "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+
+
 @query(
     "vision_class",
     """SELECT event_id, CASE WHEN event_type = 'view' AND value > 40 THEN 'vision' WHEN event_type IN ('click', 'signup', 'purchase') THEN 'vision-family' ELSE 'unknown' END AS vision FROM events""",
@@ -265,7 +303,7 @@ def printed_vendors(t):
         .otherwise(F.concat(name, F.lit(" Supplies Inc")))
     )
     vendors = vendor_reference(t).select(F.col("entity_id").cast("bigint").alias("l_suppkey"), "name")
-    return spread(t.lineitem).join(vendors, "l_suppkey").select(
+    return t.lineitem.join(vendors, "l_suppkey").select(
         "l_orderkey", "l_linenumber", "l_suppkey", printed.alias("query")
     )
 

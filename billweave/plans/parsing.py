@@ -6,7 +6,7 @@ from billweave.functions import dates, grounding, money
 from billweave.functions.text import collapse
 from billweave.operators import cache, confidence, ingest, parse
 from billweave.plans.intake import by_case
-from billweave.plans.registry import query, spread
+from billweave.plans.registry import query
 
 
 # --- routing -------------------------------------------------------------------
@@ -103,7 +103,7 @@ def reference_text(t):
 
 # --- replies -------------------------------------------------------------------
 def _cents(t):
-    return spread(t.orders).withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    return t.orders.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
 
 
 _CENTS = "orders_c AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)"
@@ -151,7 +151,7 @@ def calls(t):
     n = F.col("l_linenumber")
     kind = F.pmod(F.col("l_orderkey") * 7 + n * n * 3, F.lit(8))
     failed = kind.isin(0, 1, 2, 3)
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("file_hash"),
         F.lit(1).alias("pass"),
         F.when(n <= 3, "json_schema").when(n <= 5, "json_object").otherwise("plain").alias("rung"),
@@ -320,7 +320,7 @@ def printed_date(day, style):
 def date_normalise(t):
     """Printed date styles, absent and impossible ones."""
     raw = printed_date(F.col("o_orderdate"), F.pmod(F.col("o_orderkey"), F.lit(10)))
-    return spread(t.orders).select(
+    return t.orders.select(
         "o_orderkey", dates.iso(dates.printed_to_date(raw)).alias("iso"), dates.date_is_flagged(raw).alias("flagged")
     )
 
@@ -492,7 +492,7 @@ def ground_money(t):
 def ground_date(t):
     """Dates in text in their printed forms; layouts outside the known twelve do not count."""
     text = collapse(F.concat(F.lit("Dated  "), printed_date(F.col("o_orderdate"), F.pmod(F.col("o_orderkey"), F.lit(10))), F.lit(" ok")))
-    return spread(t.orders).select("o_orderkey", grounding.grounds_date(text, F.col("o_orderdate").cast("date")).alias("found"))
+    return t.orders.select("o_orderkey", grounding.grounds_date(text, F.col("o_orderdate").cast("date")).alias("found"))
 
 
 # --- the parse table -----------------------------------------------------------

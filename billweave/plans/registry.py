@@ -21,14 +21,6 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table has fewer files than cores; large tables pass unchanged."""
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under a name."""
 

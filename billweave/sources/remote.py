@@ -21,21 +21,32 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("realm_id", "entity", "page_no", records.alias("records"))
 
 
+def _last_pages(pages: DataFrame) -> DataFrame:
+    """realm_id, entity and the number of the first short or empty page, which ends a pull (null: none landed yet)."""
+    short = F.coalesce(F.size("records"), F.lit(0)) < fixed.REMOTE_PAGE_SIZE
+    return pages.groupBy("realm_id", "entity").agg(F.min(F.when(short, F.col("page_no"))).alias("_last"), F.count_distinct("page_no").alias("_pages"))
+
+
 def complete_pages(pages: DataFrame) -> DataFrame:
-    """Drop pages past the end of a pull: the first short or empty page ends it, as do 200 pages."""
-    last = (
-        pages.filter(F.coalesce(F.size("records"), F.lit(0)) < fixed.REMOTE_PAGE_SIZE)
-        .groupBy("realm_id", "entity")
-        .agg(F.min("page_no").alias("_last"))
-    )
-    ended = F.coalesce(F.col("_last"), F.lit(fixed.REMOTE_MAX_PAGES - 1))
+    """Pages up to the first short or empty one. However many pages a pull has, none of them is left out."""
     return (
-        pages.join(last, ["realm_id", "entity"], "left")
-        .filter((F.col("page_no") <= ended) & (F.col("page_no") < fixed.REMOTE_MAX_PAGES))
-        .drop("_last")
+        pages.join(_last_pages(pages), ["realm_id", "entity"])
+        .filter(F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
+        .drop("_last", "_pages")
     )
 
 
+def complete_pulls(pages: DataFrame) -> DataFrame:
+    """realm_id, entity of the pulls that reached their end with every page before it landed.
+
+    Only these may be merged as whole snapshots: records missing from any other pull are not gone.
+    """
+    first = pages.groupBy("realm_id", "entity").agg(F.min("page_no").alias("_first"), F.max("page_no").alias("_highest"))
+    kept = complete_pages(pages).groupBy("realm_id", "entity").agg(F.count_distinct("page_no").alias("_kept"))
+    ended = _last_pages(pages).join(first, ["realm_id", "entity"]).join(kept, ["realm_id", "entity"])
+    return ended.filter(F.col("_last").isNotNull() & (F.col("_kept") == F.col("_last") - F.col("_first") + 1)).select("realm_id", "entity")
+
+
 def wanted_records(rows: DataFrame) -> DataFrame:
     """The filter of each kind: active vendors and items, accounts of the three usable types."""
     usable = F.col("record.AccountType").isin(*fixed.EXPENSE_ACCOUNT_TYPES, *fixed.PAYMENT_ACCOUNT_TYPES)

@@ -85,7 +85,16 @@ def brute(a, b):
         return 1.0
     if not x or not y:
         return 0.0
-    words = names._soft_overlap(list(dict.fromkeys(x.split())), list(dict.fromkeys(y.split())), {})
+    left, right, total = set(x.split()), set(y.split()), 0.0
+    size = len(left) + len(right)
+    while left and right:
+        weight, _, p, q = min((-names._jaro_winkler(p, q), sorted((p, q)), p, q) for p in left for q in right)
+        if -weight < fixed.TOKEN_MATCH_FLOOR:
+            break
+        total -= weight
+        left.discard(p)
+        right.discard(q)
+    words = 2 * total / size if size else 0.0
     return min(1.0, max(0.0, 0.55 * words + 0.45 * names._jaro_winkler(x, y)))
 
 
