@@ -3,15 +3,17 @@
 A document is the set of its 5-word shingles. Documents with one set are one class, and only
 classes are compared. A signature has ``COORDINATES`` minimum hashes; a class is
 posted under each of its first ``POSTED`` coordinate-value pairs. Two sets of similarity
-0.75 have none of these in common, or fewer than ``LEAST_MATCHES`` coordinates in all, with a
+0.75 have none of these in common, or fewer than ``LEAST_MATCHES`` of all coordinates, with a
 probability of a few in a million.
 
-1. In each list the first class is compared with all others by counting equal coordinates
+1. Each list has a centre: the class most like the list's usual coordinates, which a hash
+   sample of its members shows. It is compared with all others by counting equal coordinates
    (eight bits of each travel with a posting), and every class is linked to the best of its
-   lists' first classes if the full sets confirm it. That settles large groups of near copies with
-   one link a member.
+   lists' centres if the full sets confirm it. That settles large groups of near copies with
+   one link a member: copies of one text are more like that text than like each other.
 2. Lists that lie within one component by then are skipped. In the others all members of
-   different components are compared, in blocks, and pairs with enough matches are confirmed too.
+   different components are compared, in blocks and by many more coordinates, and pairs with
+   enough matches are confirmed too.
 
 Components come from the confirmed links by alternating stars. Links, lists and sets stay in
 tables; first classes and list sizes are found by map-side combined aggregates.
@@ -29,7 +31,8 @@ from billweave.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-COORDINATES, POSTED, LEAST_MATCHES = 48, 10, 22
+COORDINATES, POSTED, LEAST_MATCHES = 256, 10, 159
+SHORT, LEAST_SHORT_MATCHES, CENTRE_SAMPLE = 48, 22, 48
 BLOCK = 2_000
 PIVOT_SHARE = 5_000
 _LAST = (1 << 63) - 1
@@ -81,30 +84,61 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """list (coordinate and value as one long), node, sketch."""
+    """list (coordinate and value as one long), node, and the first coordinates of its sketch."""
     value = lambda c: F.conv(F.hex(F.substring("posted", 4 * c + 1, 4)), 16, 10).cast("long") + F.lit(c << 32)
-    return classes.select("node", "sketch", F.explode(F.array(*[value(c) for c in range(POSTED)])).alias("list"))
+    lists = F.explode(F.array(*[value(c) for c in range(POSTED)]))
+    return classes.select("node", F.substring("sketch", 1, SHORT).alias("sketch"), lists.alias("list"))
 
 
-def _matches(a: pa.Array, b: pa.Array) -> np.ndarray:
-    one, two = [np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, COORDINATES) for x in (a, b)]
-    return (one == two).sum(axis=1)
+def _matrix(sketches: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, width)
 
 
 _NODE = "struct<doc:long,key:int>"
 
 
+def _centres(postings: DataFrame) -> DataFrame:
+    """list, centre (node and sketch): of three or fewer members the first, else the one most like the usual coordinates.
+
+    What is usual comes from a hash sample of about ``CENTRE_SAMPLE`` members; all members are
+    compared with it, in the tasks, and the best is a map-side combined minimum.
+    """
+    sizes = postings.groupBy("list").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    placed = postings.join(sizes, "list")
+    part = F.pmod(F.xxhash64("node", "list"), F.lit(1 << 20)) * F.col("_n") < CENTRE_SAMPLE * (1 << 20)
+    samples = placed.where((F.col("_n") > 3) & part).groupBy("list").agg(F.collect_list("sketch").alias("_some"))
+
+    def usual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offset = np.arange(SHORT) * 256
+        for batch in batches:
+            out = []
+            for some in batch.column("_some"):
+                seen = _matrix(some.values, SHORT)
+                out.append(np.bincount((seen + offset).ravel(), minlength=256 * SHORT).reshape(SHORT, 256).argmax(axis=1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("list"), pa.array(out, pa.binary())], names=["list", "usual"])
+
+    known = placed.join(samples.mapInArrow(usual, "list long, usual binary"), "list", "left").select("list", "node", "sketch", F.coalesce("usual", "sketch").alias("usual"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                unlike = (_matrix(batch.column("sketch"), SHORT) != _matrix(batch.column("usual"), SHORT)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("list"), pa.array(unlike.astype(np.int32)), batch.column("node"), batch.column("sketch")], names=["list", "unlike", "node", "sketch"])
+
+    compared = known.mapInArrow(compare, f"list long, unlike int, node {_NODE}, sketch binary")
+    return compared.groupBy("list").agg(F.min(F.struct("unlike", "node", "sketch")).alias("centre"))
+
+
 def first_candidates(postings: DataFrame) -> DataFrame:
-    """node, target: for each class the best match among the first classes of its lists, if it is good enough."""
-    heads = postings.groupBy("list").agg(F.min(F.struct("node", "sketch")).alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    joined = postings.join(heads, "list").where(F.col("node") != F.col("head.node"))
-    rows = joined.select("node", "sketch", F.col("head.node").alias("target"), F.col("head.sketch").alias("other"))
+    """node, target: for each class the best match among the centres of its lists, if it is good enough."""
+    joined = postings.join(_centres(postings), "list").where(F.col("node") != F.col("centre.node"))
+    rows = joined.select("node", "sketch", F.col("centre.node").alias("target"), F.col("centre.sketch").alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                matches = _matches(batch.column("sketch"), batch.column("other"))
-                good = pa.array(matches >= LEAST_MATCHES)
+                matches = (_matrix(batch.column("sketch"), SHORT) == _matrix(batch.column("other"), SHORT)).sum(axis=1)
+                good = pa.array(matches >= LEAST_SHORT_MATCHES)
                 columns = [batch.column("node"), batch.column("target"), pa.array(matches.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([c.filter(good) for c in columns], names=["node", "target", "matches"])
 
@@ -114,12 +148,13 @@ def first_candidates(postings: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min(order).alias("best")).select("node", F.col("best.target").alias("target"))
 
 
-def second_candidates(postings: DataFrame, components: DataFrame) -> DataFrame:
+def second_candidates(postings: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
     """node, target: all pairs of one list, of different components and with enough matches."""
-    placed = postings.join(components, "node")
+    placed = postings.select("list", "node").join(components, "node")
     lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    open_ = placed.join(lists.select("list", blocks.alias("_blocks")), "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    members = placed.join(lists.select("list", blocks.alias("_blocks")), "list").join(classes.select("node", "sketch"), "node")
+    open_ = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # a member of a list of several blocks goes to every pair of blocks that has its own
     partner = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     dealt = open_.withColumn("_with", partner).select("list", F.least("own", "_with").alias("one"), F.greatest("own", "_with").alias("two"), "own", "node", "component", "sketch")
@@ -132,7 +167,7 @@ def second_candidates(postings: DataFrame, components: DataFrame) -> DataFrame:
         key = np.stack([table.column(c).to_numpy() for c in ("list", "one", "two")])
         order = np.lexsort(key[::-1])
         key = key[:, order]
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)[order]
+        sketch = _matrix(table.column("sketch"), COORDINATES)[order]
         own, node = table.column("own").to_numpy()[order], table.column("node").combine_chunks().take(pa.array(order))
         part_of = table.column("component").combine_chunks()
         component = np.unique(np.stack([part_of.field("doc").to_numpy(), part_of.field("key").to_numpy().astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)[order]
@@ -150,8 +185,8 @@ def second_candidates(postings: DataFrame, components: DataFrame) -> DataFrame:
                 if not across:
                     differ &= mine[:, None] < others[None, :]
                 x, y = np.nonzero(differ)
-                for k in range(0, len(x), 1 << 20):
-                    p, q = mine[x[k : k + (1 << 20)]], others[y[k : k + (1 << 20)]]
+                for k in range(0, len(x), 1 << 16):
+                    p, q = mine[x[k : k + (1 << 16)]], others[y[k : k + (1 << 16)]]
                     good = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_MATCHES
                     left.append(p[good])
                     right.append(q[good])
@@ -217,17 +252,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
 # ---- components
 
 
-def forest_roots(links: DataFrame) -> DataFrame:
-    """node, component of a forest in which every node has one smaller target: pointers are doubled until they rest."""
-    current = cut_lineage(links.select("node", F.col("target").alias("component")))
-    while True:
-        step = current.join(current.select(F.col("node").alias("component"), F.col("component").alias("_next")), "component", "left")
-        step = cut_lineage(step.select("node", F.coalesce("_next", "component").alias("component"), F.col("_next").isNotNull().alias("_moved")))
-        current = step.select("node", "component")
-        if step.where("_moved").limit(1).count() == 0:
-            return current
-
-
 def star_components(links: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) of any links, for every node of a link: large and small stars in turn."""
     edges = cut_lineage(links.select(F.greatest("node", "target").alias("v"), F.least("node", "target").alias("u")).where(F.col("u") < F.col("v")).distinct())
@@ -258,8 +282,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     postings = _postings(classes)
     first = cut_lineage(first_candidates(postings))
     links = cut_lineage(confirmed(keyed, first, width, percent))
-    components = cut_lineage(_component_of(classes, forest_roots(links)))
-    second = cut_lineage(second_candidates(postings, components))
+    components = cut_lineage(_component_of(classes, star_components(links)))
+    second = cut_lineage(second_candidates(postings, classes, components))
     if second.limit(1).count():
         more = cut_lineage(confirmed(keyed, second, width, percent))
         of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
