@@ -25,6 +25,7 @@ from billweave.session import cut_lineage
 
 LENGTH = 400
 _GRAM = 16
+_SLICE_BYTES = 2 << 20
 _SUFFIX = "t1 long, t2 long, u long, doc long, key int, at long, lo int, hi int"
 
 
@@ -50,7 +51,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     tail = length - length // 2 + _GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", _SLICE_BYTES):
             rolling, at, first, last = _anchors(part.data, part.offsets, length)
             row = np.searchsorted(part.offsets, at, "right") - 1
             t1, t2 = rolling.of(at, at + tail // 3), rolling.of(at + tail // 3, at + tail)
@@ -147,18 +148,23 @@ def _surroundings(docs: DataFrame, listed: DataFrame, length: int) -> DataFrame:
     """For documents with listed anchors the bytes their strings touch."""
     joined = docs.select("doc", "key", "text").join(listed.hint("shuffle_hash"), ["doc", "key"])
 
+    names = [c.split()[0] for c in _AROUND.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column("text")[i].as_buffer()
-                text = memoryview(text) if text is not None else memoryview(b"")
-                doc, key = batch.column("doc")[i].as_py(), batch.column("key")[i].as_py()
-                own = batch.column("listed")[i].values
-                t1, t2, at, lo, hi, single = [own.field(c) for c in ("t1", "t2", "at", "lo", "hi", "single")]
-                around = [bytes(text[a - h : a - l + length]) for a, l, h in zip(at.to_pylist(), lo.to_pylist(), hi.to_pylist())]
-                n = len(own)
-                columns = [t1, t2, pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int32()), at, lo, hi, single, pa.array(around, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _AROUND.split(", ")])
+        for part in text_slices(batches, "text", _SLICE_BYTES):
+            lists = part.rows.column("listed")
+            n, own = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            row = np.repeat(np.arange(len(n)), n)
+            t1, t2, at, lo, hi, single = [own.field(c) for c in ("t1", "t2", "at", "lo", "hi", "single")]
+            doc, key = [part.rows.column(c).take(pa.array(row)) for c in ("doc", "key")]
+            start = part.offsets[row] + at.to_numpy() - hi.to_numpy()
+            stop = part.offsets[row] + at.to_numpy() - lo.to_numpy() + length
+            for a in range(0, len(row), 2_000):
+                b = min(a + 2_000, len(row))
+                offsets = np.concatenate(([0], np.cumsum(stop[a:b] - start[a:b]))).astype(np.int32)
+                data = np.ascontiguousarray(part.data[ranges(start[a:b], stop[a:b])])
+                around = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*[c.slice(a, b - a) for c in (t1, t2, doc, key, at, lo, hi, single)], around], names=names)
 
     return joined.mapInArrow(run, _AROUND)
 
