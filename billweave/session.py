@@ -1,5 +1,6 @@
 """Session settings the operators rely on, and lineage cuts that survive lost executors."""
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ _SETTINGS = {
     # a third of all rows may share one key: split it even where that costs an extra exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # texts come in rows of any length: small Arrow batches bound what a task and its Python worker hold
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
     # the JVM never compiles methods above 8000 bytes of code: let long projections be
     # generated in pieces instead of one such method
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -25,13 +29,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; only where none is set, as in a local test, a temporary one."""
+    """The run's folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session that runs in this process alone may do without the setting; it gets a
+    temporary folder. On a cluster the executors would not see one, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    run = spark.sparkContext.applicationId
     if named is None:
-        named = tempfile.mkdtemp(prefix="billweave-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if run not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[run] = tempfile.mkdtemp(prefix="billweave-")
+        named = _LOCAL_FOLDERS[run]
+    return f"{named.rstrip('/')}/billweave-{run}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete what this run has written between jobs; call it when its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -41,6 +62,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     twice), and gives later joins true sizes to choose by.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/billweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
