@@ -1,25 +1,26 @@
 """Keyed state for continuous input: settling files and the fold of posting events.
 
-Input rows of one key are read in chunks, and each chunk is reduced to a few values
-before the next one is read, so one busy key never has to fit in memory.
+What a key's state holds does not depend on the order in which its rows arrive or on how they
+are cut into micro-batches: the first samples of a file by time, the events of an
+entry by number. Each micro-batch emits a key's row as it stands; the newest counts.
+With ``kept_ms`` the state of a key that gets no rows for so long ends; a stream with it runs on
+until it is stopped, since time alone can be a reason for another micro-batch.
 """
 
 from heapq import nsmallest
-from itertools import islice
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from billweave import fixed
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHUNK = 10_000
-SETTLED = "path bigint, settled boolean"
-FOLDED = (
-    "batch_id string, file_hash string, state string, sent_at date, confirmed_at date, remote_id string, "
-    "sync_token string, error string, undone_at date, undo_reason string"
+# times are microseconds inside the state, so that they come back as they went in
+_FOLDED = (
+    "batch_id string, file_hash string, state string, sent_at bigint, confirmed_at bigint, remote_id string, "
+    "sync_token string, error string, undone_at bigint, undo_reason string"
 )
-EVENT_KINDS = ("pending", "sent", "failed", "confirmed", "undone", "undo-refused")
+_STATES, _UNDOS = ("pending", "sent", "failed", "confirmed"), ("undone", "undo-refused")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -27,25 +28,20 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class SettleProcessor(StatefulProcessor):
-    """Emits a path once: settled at the first two equal samples, not settled after six repeats."""
+    """A file is settled when two neighbouring samples of its first seven are equal."""
+
+    def __init__(self, kept_ms=None):
+        self.kept_ms = kept_ms
 
     def init(self, handle):
-        self.last = handle.getValueState("last", "seen int, size bigint, mtime bigint, done boolean")
+        self.first = handle.getValueState("first", "samples array<struct<at: bigint, size: bigint, mtime: bigint>>", self.kept_ms)
 
     def handleInputRows(self, key, rows, timer_values):
-        seen, size, mtime, done = self.last.get() or (0, None, None, False)
-        limit = fixed.SETTLE_MAX_RESAMPLES + 1
-        answer = None
-        for sample in nsmallest(limit, rows, key=lambda r: r.sample_ts):
-            if done:
-                break
-            same = seen > 0 and (sample.size_bytes, sample.mtime) == (size, mtime)
-            seen, size, mtime = seen + 1, sample.size_bytes, sample.mtime
-            if same or seen == limit:
-                done, answer = True, same
-        self.last.update((seen, size, mtime, done))
-        if answer is not None:
-            yield Row(path=key[0], settled=answer)
+        kept = [tuple(s) for s in (self.first.get() or ([],))[0]]
+        new = ((r.at, r.size_bytes, r.mtime) for r in rows)
+        samples = nsmallest(fixed.SETTLE_MAX_RESAMPLES + 1, (s for part in (kept, new) for s in part), key=lambda s: s[0])
+        self.first.update((samples,))
+        yield Row(path=key[0], settled=any(a[1:] == b[1:] for a, b in zip(samples, samples[1:])))
 
     def close(self):
         pass
@@ -54,62 +50,57 @@ class SettleProcessor(StatefulProcessor):
 class FoldProcessor(StatefulProcessor):
     """Current entry of a document. Nothing leaves ``confirmed``; a replayed event changes nothing."""
 
+    def __init__(self, kept_ms=None):
+        self.kept_ms = kept_ms
+
     def init(self, handle):
-        # one value per entry, a group of five columns per kind: a single read and write per key
-        columns = ", ".join(
-            f"seq{i} bigint, day{i} date, remote{i} string, token{i} string, error{i} string" for i in range(len(EVENT_KINDS))
-        )
-        self.events = handle.getValueState("events", columns)
+        self.events = handle.getMapState("events", "seq bigint", "kind string, at bigint, remote string, token string, error string", self.kept_ms)
 
     def handleInputRows(self, key, rows, timer_values):
-        flat = self.events.get() or (None,) * (5 * len(EVENT_KINDS))
-        best = {k: tuple(flat[5 * i : 5 * i + 5]) for i, k in enumerate(EVENT_KINDS) if flat[5 * i] is not None}
-        sealed = best["confirmed"][0] if "confirmed" in best else None
-        while events := sorted(islice(rows, CHUNK), key=lambda e: e.seq):
-            sealed = min([e.seq for e in events if e.kind == "confirmed"] + ([] if sealed is None else [sealed]), default=None)
-            for e in events:
-                undo = e.kind in ("undone", "undo-refused")
-                if undo != (sealed is not None and e.seq > sealed):
-                    continue
-                old = best.get(e.kind)
-                newer = old is None or (e.seq < old[0] if e.kind == "confirmed" else e.seq > old[0])
-                if newer:
-                    best[e.kind] = (e.seq, e.event_ts, e.remote_id, e.sync_token, e.error)
-        flat = [v for k in EVENT_KINDS for v in best.get(k, (None,) * 5)]
-        self.events.update(tuple(flat))
-        if best:
-            yield self._entry(key, best)
+        for e in rows:
+            self.events.updateValue((e.seq,), (e.kind, e.at, e.remote_id, e.sync_token, e.error))
+        entry = self._entry(key, sorted((seq[0], *event) for seq, event in self.events.iterator()))
+        if entry is not None:
+            yield entry
 
     @staticmethod
-    def _entry(key, best):
-        steps = [k for k in ("pending", "sent", "failed", "confirmed") if k in best]
-        state = "confirmed" if "confirmed" in best else max(steps, key=lambda k: best[k][0]) if steps else None
-        undo = max((k for k in ("undone", "undo-refused") if k in best), key=lambda k: best[k][0], default=None)
-        confirmed = best.get("confirmed", (None,) * 5)
+    def _entry(key, events):
+        sealed = min((e[0] for e in events if e[1] == "confirmed"), default=None)
+        steps = [e for e in events if e[1] in _STATES and (sealed is None or e[0] <= sealed)]
+        undos = [e for e in events if e[1] in _UNDOS and sealed is not None and e[0] > sealed]
+        if not steps and not undos:
+            return None
+        newest = {e[1]: e for e in [*steps, *undos]}  # in order of their numbers
+        at = lambda kind: newest[kind][2] if kind in newest else None
+        confirmed = newest.get("confirmed", (None,) * 6)
         return Row(
             batch_id=key[0],
             file_hash=key[1],
-            state=state,
-            sent_at=best["sent"][1] if "sent" in best else None,
-            confirmed_at=confirmed[1],
-            remote_id=confirmed[2],
-            sync_token=confirmed[3],
-            error=best["failed"][4] if state == "failed" else None,
-            undone_at=best["undone"][1] if "undone" in best else None,
-            undo_reason=best[undo][4] if undo == "undo-refused" else None,
+            state=steps[-1][1] if steps else None,
+            sent_at=at("sent"),
+            confirmed_at=at("confirmed"),
+            remote_id=confirmed[3],
+            sync_token=confirmed[4],
+            error=steps[-1][5] if steps and steps[-1][1] == "failed" else None,
+            undone_at=at("undone"),
+            undo_reason=undos[-1][5] if undos and undos[-1][1] == "undo-refused" else None,
         )
 
     def close(self):
         pass
 
 
-def settle_stream(samples: DataFrame) -> DataFrame:
-    """Streaming samples (path, size_bytes, mtime, sample_ts) -> (path, settled), once per path."""
+def settle_stream(samples: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """Streaming samples (path, size_bytes, mtime, sample_ts) -> (path, settled) after each micro-batch."""
     use_rocksdb(samples.sparkSession)
-    return samples.groupBy("path").transformWithState(SettleProcessor(), SETTLED, "append", "None")
+    settled = f"path {samples.schema['path'].dataType.simpleString()}, settled boolean"
+    timed = samples.withColumn("at", F.unix_micros("sample_ts"))
+    return timed.groupBy("path").transformWithState(SettleProcessor(kept_ms), settled, "update", "ProcessingTime" if kept_ms else "None")
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
+def fold_stream(events: DataFrame, kept_ms: int | None = None) -> DataFrame:
     """Streaming posting events -> the entry as it stands after each micro-batch."""
     use_rocksdb(events.sparkSession)
-    return events.groupBy("batch_id", "file_hash").transformWithState(FoldProcessor(), FOLDED, "update", "None")
+    timed = events.withColumn("at", F.unix_micros("event_ts"))
+    folded = timed.groupBy("batch_id", "file_hash").transformWithState(FoldProcessor(kept_ms), _FOLDED, "update", "ProcessingTime" if kept_ms else "None")
+    return folded.withColumns({c: F.timestamp_micros(c) for c in ("sent_at", "confirmed_at", "undone_at")})

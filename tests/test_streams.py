@@ -41,3 +41,36 @@ def test_duplicate_job(spark, tmp_path):
     stream = spark.readStream.schema("row_key string, vendor_id string, amount_cents bigint, txn_date date").parquet(probes)
     drain(batches.duplicate_job(stream, entries, ledger, out, str(tmp_path / "check")))
     assert [(r["row_key"], r["days_apart"]) for r in spark.read.parquet(out).collect()] == [("p", -3)]
+
+
+def test_streams_do_not_depend_on_arrival(spark, tmp_path):
+    """One key with 30,000 events, undone first, and samples of text paths out of order, in several micro-batches."""
+    import random
+
+    from billweave.operators import posting
+    from billweave.streaming import stateful
+
+    r = random.Random(1)
+    events = [("b", "h", 0, "undone"), ("b", "h", 29_000, "undone"), ("b", "h", 28_000, "confirmed")]
+    events += [("b", "h", i, r.choice(["pending", "sent", "failed"])) for i in range(1, 30_000) if i not in (28_000, 29_000)]
+    events += [("b", "other", 5, "confirmed"), ("b", "other", 9, "sent"), ("b", "third", 3, "undone")]
+    rows = [(b, h, s, k, f"id{s}", f"t{s}", f"e{s}") for b, h, s, k in events]
+    columns = "batch_id string, file_hash string, seq bigint, kind string, remote_id string, sync_token string, error string"
+    frame = spark.createDataFrame(rows, columns).withColumn("event_ts", F.timestamp_seconds(1_770_000_000 + 37 * F.col("seq")))
+    folded = run(spark, tmp_path / "fold", frame.repartition(3, F.hash("seq")), stateful.fold_stream, ["batch_id", "file_hash"])
+    want = posting.fold_events(frame).select(*folded.columns)
+    assert sorted(map(repr, folded.collect())) == sorted(map(repr, want.collect()))
+
+    samples = [("a/b.pdf", 5 - i, 10, 1) for i in range(2)] + [("c.pdf", i, i, 1) for i in range(9, 0, -1)] + [("d.pdf", i, i // 8, 1) for i in range(20)] + [("e", 1, 1, 1)]
+    frame = spark.createDataFrame(samples, "path string, at long, size_bytes long, mtime long").withColumn("sample_ts", F.timestamp_seconds("at")).drop("at")
+    got = {x["path"]: x["settled"] for x in run(spark, tmp_path / "settle", frame.repartition(3, F.hash("sample_ts")), stateful.settle_stream, ["path"]).collect()}
+    assert got == {"a/b.pdf": True, "c.pdf": False, "d.pdf": True, "e": False}
+
+
+def run(spark, folder, rows, job, key):
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    batches.run_available(job(stream), "update", f"{folder}/out", f"{folder}/check")
+    written = spark.read.parquet(f"{folder}/out")
+    assert written.select("batch").distinct().count() >= 2
+    return batches.newest_rows(written, key)
