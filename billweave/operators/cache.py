@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from billweave import fixed
-from billweave.functions.text import is_blank
+from billweave.functions.text import is_blank, trim_all
 from billweave.operators.joins import upsert
 
 
@@ -37,7 +37,7 @@ def store(parsed: DataFrame, fresh: DataFrame, newest: str = "parsed_at") -> Dat
 
 def url_host(url: Column) -> Column:
     """host[:port] of a web address without user info and default port, null on junk."""
-    address = F.trim(url)
+    address = trim_all(url)
     scheme = F.lower(F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*:[\\/]{2,}([^/\\?#]*)", 1)
     host = F.lower(F.regexp_replace(authority, r"^.*@", ""))

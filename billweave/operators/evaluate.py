@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from billweave.functions.text import SPACE, trim_all
+
 
 _CHECKS = {
     "total_cents": ("total_cents", "total_cents", False),
@@ -101,12 +103,12 @@ def posted_checks(plan: DataFrame, truth: DataFrame, posted: DataFrame) -> DataF
 
 def category_resolution(documents: DataFrame) -> DataFrame:
     """Share of documents whose category phrase resolves at suggested or better, and phrases of more than four words."""
-    phrase = F.trim("phrase")
+    phrase = trim_all(F.col("phrase"))
     return documents.agg(
         F.count("*").alias("documents"),
         F.count_if(F.coalesce(phrase, F.lit("")) != "").alias("inferred"),
         F.count_if(F.col("tier").isin("auto", "suggested")).alias("resolved"),
-        F.count_if(F.size(F.split(phrase, r"\s+")) > 4).alias("long_phrases"),
+        F.count_if(F.size(F.split(phrase, f"{SPACE}+")) > 4).alias("long_phrases"),
     )
 
 

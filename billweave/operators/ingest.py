@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from billweave import fixed
-from billweave.functions.text import SPACE
+from billweave.functions.text import SPACE, trim_all
 from billweave.operators.joins import left_join_sparse
 from billweave.session import cut_lineage
 
@@ -235,7 +235,7 @@ def intake(uploads: DataFrame) -> DataFrame:
     Needs request_id, filename, mime_type, size_bytes. Files of a wrong type are
     skipped before the limits count, so they never fail a request by size.
     """
-    mime = F.trim(F.lower(F.element_at(F.split(F.coalesce(F.col("mime_type"), F.lit("")), ";"), 1)))
+    mime = trim_all(F.lower(F.element_at(F.split(F.coalesce(F.col("mime_type"), F.lit("")), ";"), 1)))
     named = uploads.withColumn("saved_name", sanitize_filename(F.col("filename")))
     typed = named.withColumn("_ok", is_supported(F.col("saved_name")) & mime.isin(*fixed.INTAKE_MIME_TYPES))
     limits = typed.groupBy("request_id").agg(

@@ -12,7 +12,7 @@ from billweave.functions.names import (
     word_overlap,
     words_of,
 )
-from billweave.functions.text import is_blank
+from billweave.functions.text import is_blank, trim_all
 from billweave.operators.joins import lookup
 from billweave.operators.reference import account_leaf
 from billweave.session import cut_lineage
@@ -240,5 +240,5 @@ def match_batch(hashes: DataFrame, parsed: DataFrame, reference: DataFrame) -> D
 def vendors_to_create(rows: DataFrame) -> DataFrame:
     """Rows without a vendor, with the printed name to start a new record from."""
     return rows.filter(F.col("vendor_id").isNull() | (F.col("vendor_id") == "")).select(
-        "file_hash", F.trim(F.coalesce("printed_vendor", F.lit(""))).alias("display_name")
+        "file_hash", trim_all(F.coalesce("printed_vendor", F.lit(""))).alias("display_name")
     )

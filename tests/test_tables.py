@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from billweave.operators import confidence, ingest, parse, posting, reference, review
-from billweave.sources import remote, snapshots
+from billweave.sources import remote
 
 
 def test_collision_names_equal_a_sequential_walk(spark):
@@ -170,13 +170,14 @@ def test_remote_pages_end_at_the_first_short_page(spark, tmp_path):
     assert rows.count() == 1001 and rows.filter("entity_id = 'x'").first()["name"] == "Short"
 
 
-def test_versions_switch_only_when_written(spark, tmp_path):
-    root = str(tmp_path / "ref")
-    assert snapshots.read_current(spark, root) is None
-    snapshots.write_next(spark.range(3), root)
-    assert snapshots.write_next(spark.range(5), root) == 2
-    spark.range(9).write.parquet(f"{root}/data/version=3")  # written but never made current
-    assert snapshots.read_current(spark, root).count() == 5
+def test_a_pull_without_its_end_is_not_complete(spark):
+    page = lambda realm, no, n: (realm, "Vendor", no, [{"Id": f"{no}-{i}", "DisplayName": "v"} for i in range(n)])
+    rows = [page("whole", 0, 1000), page("whole", 1, 3), page("open", 0, 1000), page("gap", 0, 1000), page("gap", 2, 1)]
+    rows += [page("many", i, 1000 if i < 230 else 0) for i in range(231)]
+    pages = spark.createDataFrame(rows, "realm_id string, entity string, page_no int, records array<struct<Id: string, DisplayName: string>>")
+    assert {r["realm_id"] for r in remote.complete_pulls(pages).collect()} == {"whole", "many"}
+    kept = {r["realm_id"]: r["count"] for r in remote.complete_pages(pages).groupBy("realm_id").count().collect()}
+    assert kept == {"whole": 2, "open": 1, "gap": 2, "many": 231}
 
 
 def test_review_clears_are_kept_apart_from_untouched(spark):
