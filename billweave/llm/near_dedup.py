@@ -31,7 +31,7 @@ from billweave.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-COORDINATES, POSTED, LEAST_MATCHES = 256, 10, 159
+COORDINATES, POSTED, LEAST_MATCHES = 512, 10, 338
 SHORT, LEAST_SHORT_MATCHES, CENTRE_SAMPLE = 48, 22, 48
 BLOCK = 2_000
 PIVOT_SHARE = 5_000
@@ -153,11 +153,11 @@ def second_candidates(postings: DataFrame, classes: DataFrame, components: DataF
     placed = postings.select("list", "node").join(components, "node")
     lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    members = placed.join(lists.select("list", blocks.alias("_blocks")), "list").join(classes.select("node", "sketch"), "node")
+    members = placed.join(lists.select("list", blocks.alias("_blocks")), "list").join(classes.select("node", "posted", "sketch"), "node")
     open_ = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     # a member of a list of several blocks goes to every pair of blocks that has its own
     partner = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = open_.withColumn("_with", partner).select("list", F.least("own", "_with").alias("one"), F.greatest("own", "_with").alias("two"), "own", "node", "component", "sketch")
+    dealt = open_.withColumn("_with", partner).select("list", F.least("own", "_with").alias("one"), F.greatest("own", "_with").alias("two"), "own", "node", "component", "posted", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -168,6 +168,7 @@ def second_candidates(postings: DataFrame, classes: DataFrame, components: DataF
         order = np.lexsort(key[::-1])
         key = key[:, order]
         sketch = _matrix(table.column("sketch"), COORDINATES)[order]
+        posted = np.frombuffer(b"".join(table.column("posted").to_pylist()), np.uint32).reshape(-1, POSTED)[order]
         own, node = table.column("own").to_numpy()[order], table.column("node").combine_chunks().take(pa.array(order))
         part_of = table.column("component").combine_chunks()
         component = np.unique(np.stack([part_of.field("doc").to_numpy(), part_of.field("key").to_numpy().astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)[order]
@@ -185,8 +186,11 @@ def second_candidates(postings: DataFrame, classes: DataFrame, components: DataF
                 if not across:
                     differ &= mine[:, None] < others[None, :]
                 x, y = np.nonzero(differ)
-                for k in range(0, len(x), 1 << 16):
-                    p, q = mine[x[k : k + (1 << 16)]], others[y[k : k + (1 << 16)]]
+                for k in range(0, len(x), 1 << 15):
+                    p, q = mine[x[k : k + (1 << 15)]], others[y[k : k + (1 << 15)]]
+                    # a pair is looked at in the first list it has in common
+                    here = (posted[p] == posted[q]).argmax(axis=1) == key[0, a] >> 32
+                    p, q = p[here], q[here]
                     good = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_MATCHES
                     left.append(p[good])
                     right.append(q[good])
