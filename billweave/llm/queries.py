@@ -53,7 +53,22 @@ def op3_warc(spark, table):
     return warc.archived(table("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op4_decontaminate")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op4_decontaminate",
+    rf"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    p AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) AS k FROM b WHERE len(ws) > 0),
+    z AS (SELECT DISTINCT n FROM p),
+    s AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS k FROM w CROSS JOIN z WHERE len(ws) >= n),
+    f AS (SELECT doc_id, i, n, item_id FROM s JOIN p USING (n, k)),
+    h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM f) GROUP BY 1),
+    t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM f) GROUP BY 1)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(ws) AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
 def op4_decontaminate(spark, table):
     """Every document against every benchmark item."""
     found = decontaminate.contamination_report(table("documents"), table("benchmark"))
@@ -93,13 +108,32 @@ def op7_suffix_array(spark, table):
     return suffix_array.removal_report(table("documents"), length=400)
 
 
-@query("op2_substring_trees")
+@query(
+    "op2_substring_trees",
+    r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS k FROM w WHERE len(ws) >= 13),
+    m AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+    h AS (SELECT DISTINCT doc_id, i + j AS pos FROM s JOIN m USING (k) CROSS JOIN range(13) t(j) WHERE first < doc_id),
+    u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+    t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM u ANTI JOIN h USING (doc_id, pos) GROUP BY 1)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)""",
+)
 def op2_substring_trees(spark, table):
     """Words left of every document without windows of 13 words that an earlier one has."""
     return substring_trees.removal_report(table("documents"), window=13)
 
 
-@query("op5_near_dedup")
+@query(
+    "op5_near_dedup",
+    rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS k FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    o AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM o LEFT JOIN n USING (doc_id)""",
+)
 def op5_near_dedup(spark, table):
     """Components of documents with a shingle similarity of 0.75 or more."""
     return near_dedup.component_report(table("documents"))
