@@ -1,6 +1,7 @@
 """Scoring texts with a probabilistic suffix tree over words.
 
-A token is a word or the end of a text. The tree's alphabet is bounded: the words that make
+A token is a word or the end of a text. The tree has two layers. The upper one is a small tree
+over classes of words that stands where words are too rare; its alphabet is bounded: the words that make
 up at least ``SYMBOL_SHARE`` of all tokens, the end, and for all other words one symbol per
 ending (last two bytes) with such a share, the rest of them together. Contexts are the last
 few symbols. A context is a candidate with at least ``CONTEXT_SHARE`` of all positions and
@@ -10,11 +11,19 @@ scored in the state of the longest retained suffix of what stands before it, and
 word behind a symbol of several words by its share of the symbol, with discounted counts: what
 is taken off is the probability of a word not met in training.
 
-Alphabet and contexts are bounded by the shares whatever the size of the corpus, so the tree
-travels to tasks by value. The word counts are not bounded: they stay in a table, and
-documents meet them in one exchange. Words of at least ``HOT_SHARE`` of all tokens (at most
-1 / HOT_SHARE) are added up where the text is read; the others go as blobs (words, rows of the
-slice they stand in) to the bucket that holds their values, and partial sums come back per slice.
+The lower layer grows with the corpus. Its contexts are the last one to ``MAX_DEPTH`` words as
+they are, the beginning included; a context is a candidate when it was met ``LEAST_COUNT`` times,
+and retained by the same divergence test against the longest one inside it (for a
+single word: its class). Contexts and next-word counts are tables, one grouped count a depth. A
+``Sieve`` of the candidates keeps other rows out of the exchange; it only ever lets too many pass.
+
+Upper alphabet and contexts are bounded by the shares whatever the size of the corpus, so that tree
+travels to tasks by value. Word counts and lower contexts are not bounded: they stay in tables, and
+documents meet them in one exchange. A token's logarithm is the class value plus one term for each
+retained context and each run of words met behind one, so a document's score is a sum of looked-up
+values. Words and runs of at least ``HOT_SHARE`` of all tokens (at most 1 / HOT_SHARE a depth) are
+added up where the text is read; the others go as blobs (hashes, rows of the slice they stand in)
+to the bucket that holds their values, and partial sums come back per slice.
 """
 
 from collections.abc import Iterator
@@ -26,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.text import LOWER, NOT_SPACE, Slice, text_slices, word_hashes, word_spans
+from billweave.llm.text import LOWER, NOT_SPACE, Rolling, Slice, text_slices, word_hashes, word_spans
 from billweave.session import cut_lineage
 
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -34,10 +43,13 @@ MAX_DEPTH = 4
 SYMBOL_SHARE = 1e-3
 CONTEXT_SHARE = 1e-3
 HOT_SHARE = 1e-4
+LEAST_COUNT = 20
 DIVERGENCE = 20.0
 DISCOUNT = 0.75
 _BASE = 4096
 _ENDINGS = 1 << 16
+_SIEVE_BITS = 26
+_BEGIN, _END = np.uint64(0x8B1F3C6A5D2E9074), np.uint64(0x5C93A7E1F06B4D28)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,11 +182,11 @@ class SuffixTree:
     log_p: np.ndarray
     depth: int
 
-    def score(self, symbols: np.ndarray, place: np.ndarray, begin: int) -> np.ndarray:
-        """log10 probability of the symbols at these places, each in its longest retained state."""
+    def score(self, symbols: np.ndarray, place: np.ndarray, begin: int, depth: int | None = None) -> np.ndarray:
+        """log10 probability of the symbols at these places, each in its longest retained state (of at most ``depth`` symbols)."""
         node = np.zeros(len(place), np.int64)
         open_ = np.arange(len(place))
-        for j in range(1, self.depth + 1):
+        for j in range(1, (self.depth if depth is None else min(depth, self.depth)) + 1):
             before = symbols[place[open_] - j]
             next_ = self.child[node[open_], before]
             open_, next_, before = open_[next_ >= 0], next_[next_ >= 0], before[next_ >= 0]
@@ -233,43 +245,163 @@ def learn_tree(sequences: DataFrame, alphabet: Alphabet, *, max_depth: int = MAX
     return SuffixTree(np.concatenate(children), np.array(state), np.log10(np.stack(rows)).astype(np.float32), reached)
 
 
+# ---- contexts of words
+
+
+@dataclass
+class Sieve:
+    """Bits of the hashes of a table: what is in it passes, and some of what is not. Its size is fixed, results do not depend on it."""
+
+    bits: np.ndarray
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - _SIEVE_BITS)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def sieve_of(hashes: DataFrame) -> Sieve:
+    """Of the column ``hash``; at most 2 ** 20 rows reach the driver."""
+    bit = f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - _SIEVE_BITS}) & 63 as int))"
+    found = hashes.select(F.expr(f"cast(shiftrightunsigned(hash, {70 - _SIEVE_BITS}) as int)").alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << _SIEVE_BITS - 6, np.uint64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return Sieve(bits)
+
+
+def _runs(words: np.ndarray, rolling: Rolling, place: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words that end before each place; a single word has its own."""
+    return words[place - 1] if length == 1 else rolling.of(place - length, place)
+
+
+def _framed_words(hashes: np.ndarray, at: np.ndarray, alphabet: Alphabet, symbols: np.ndarray, placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of framed symbols, and how many of its own text's stand before each."""
+    words = np.where(symbols == alphabet.begin, _BEGIN, _END)
+    words[placed] = hashes
+    return words, np.arange(len(words)) - np.repeat(at[:-1] + 2 * np.arange(len(at) - 1), np.diff(at) + 2)
+
+
+def _followed(docs: DataFrame, depth: int, sieve: Sieve, alphabet: Alphabet, tree: SuffixTree) -> DataFrame:
+    """gram, context, inner, last, base, count: what follows the contexts of one depth in training texts.
+
+    ``gram`` is the context with the word behind it, ``inner`` the same without its first word, ``last``
+    the context's last word, ``base`` the log10 probability of the word's class behind the last word's.
+    """
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            hashes, endings, at = _words(part)
+            symbols, placed = framed(alphabet.encode(hashes, endings), at, alphabet)
+            words, since = _framed_words(hashes, at, alphabet, symbols, placed)
+            rolling = Rolling(words)
+            train = np.repeat(~part.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at) + 2)
+            place = np.flatnonzero(train & (since >= depth))
+            place = place[sieve.passes(_runs(words, rolling, place, depth))]
+            gram, first, n = np.unique(_runs(words, rolling, place + 1, depth + 1), return_index=True, return_counts=True)
+            place = place[first]
+            longs = [gram, _runs(words, rolling, place, depth), _runs(words, rolling, place + 1, depth), words[place - 1]]
+            base = tree.score(symbols, place, alphabet.begin, 1) if depth == 1 else np.zeros(len(place))
+            end = words[place] == _END
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in longs), pa.array(base), pa.array(end), pa.array(n)], names=["gram", "context", "inner", "last", "base", "end", "count"])
+
+    rows = docs.mapInArrow(follow, "gram long, context long, inner long, last long, base double, end boolean, count long")
+    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in ("context", "inner", "last", "base", "end")), F.sum("count").alias("count"))
+
+
+def word_contexts(docs: DataFrame, words: DataFrame, values: DataFrame, alphabet: Alphabet, tree: SuffixTree, *, max_depth: int, least_count: int, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """The retained contexts (hash, depth, last, count, back) and the runs met behind them (hash, count, log_p).
+
+    ``back`` is the log10 of what a context leaves to the longest one inside it, for words not met behind
+    it; ``log_p`` is what replaces it for one that was: the gain over that shorter context, less ``back``.
+    """
+    spark = docs.sparkSession
+    candidates = words.where(F.col("count") >= least_count).select("hash").union(spark.createDataFrame([(int(_BEGIN.view(np.int64)),)], "hash long"))
+    inside = values.select(F.col("hash").alias("inner"), F.col("log_p").alias("inner_p"))
+    contexts, runs = [], []
+    for depth in range(1, max_depth + 1):
+        counted = cut_lineage(_followed(docs, depth, sieve_of(candidates), alphabet, tree))
+        sums = counted.groupBy("context").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= least_count)
+        # an end has no row among the words; its share of its symbol is one
+        met = counted.join(sums, "context").join(inside, "inner", "left" if depth == 1 else "inner")
+        met = cut_lineage(met.withColumn("inner_p", F.col("base") + F.coalesce("inner_p", F.lit(0.0))))
+        gain = F.col("count") * (F.ln(F.col("count") / F.col("n")) - F.col("inner_p") * float(np.log(10)))
+        facts = met.groupBy("context").agg(F.first("last").alias("last"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum(gain).alias("gain"))
+        kept = cut_lineage(facts.where(F.col("gain") >= divergence).select("context", "last", "n", F.log10(F.col("kinds") / (F.col("n") + F.col("kinds"))).alias("back")))
+        own = F.log10((F.col("count") + F.col("kinds") * F.pow(F.lit(10.0), F.col("inner_p"))) / (F.col("n") + F.col("kinds")))
+        level = cut_lineage(met.join(kept.select("context", "back"), "context", "left").withColumn("p", F.when(F.col("back").isNull(), F.col("inner_p")).otherwise(own)))
+        contexts.append(kept.select(F.col("context").alias("hash"), F.lit(depth).alias("depth"), "last", F.col("n").alias("count"), "back"))
+        runs.append(level.where("back is not null").select(F.col("gram").alias("hash"), "count", (F.col("p") - F.col("inner_p") - F.col("back")).alias("log_p")))
+        candidates = level.where(~F.col("end") & (F.col("count") >= least_count)).select(F.col("gram").alias("hash"))
+        inside = level.select(F.col("gram").alias("inner"), F.col("p").alias("inner_p"))
+        if candidates.isEmpty():
+            break
+    all_contexts, all_runs = contexts[0], runs[0]
+    for more_contexts, more_runs in zip(contexts[1:], runs[1:]):
+        all_contexts, all_runs = all_contexts.union(more_contexts), all_runs.union(more_runs)
+    return all_contexts, all_runs
+
+
 # ---- document sums
 
-_BLOBS = "bucket int, slice long, kind int, hashes binary, number binary, rows binary, header binary"
+_BLOBS = "bucket int, slice long, kind int, hashes binary, number binary, rows binary, steps binary, header binary"
+_VALUES = ("base", "log_p", "known", "back", "opens")
 
 
-def _posted(docs: DataFrame, buckets: int, alphabet: Alphabet, tree: SuffixTree, hot: np.ndarray, hot_values: np.ndarray) -> DataFrame:
-    """What every slice sends to the buckets: its rare words with the rows they stand in, and once its rows with what is known."""
+def _blobs(kind: int, slice_id: int, hashes: np.ndarray, row: np.ndarray, step: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Hashes by bucket, each once, with the rows they stand in and the step to the next token's class value there."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, row, step = hashes[order], row[order].astype(np.uint32), step[order].astype(np.float32)
+    new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
+    times = np.diff(np.append(new, len(hashes)))
+    held = (hashes[new] >> np.uint64(11)) % np.uint64(buckets)
+    by_bucket = np.argsort(held, kind="stable")
+    edges = np.searchsorted(held[by_bucket], np.arange(buckets + 1))
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        own = by_bucket[edges[bucket] : edges[bucket + 1]]
+        at = np.repeat(new[own] - np.concatenate(([0], np.cumsum(times[own])[:-1])), times[own]) + np.arange(int(times[own].sum()))
+        yield bucket, slice_id, kind, hashes[new[own]].tobytes(), times[own].astype(np.uint32).tobytes(), row[at].tobytes(), step[at].tobytes() if kind == 1 else b"", b""
+
+
+def _posted(docs: DataFrame, buckets: int, alphabet: Alphabet, tree: SuffixTree, sieve: Sieve, depth: int, hot: np.ndarray, hot_values: np.ndarray) -> DataFrame:
+    """What every slice sends to the buckets: its rare words and runs with the rows they stand in, and once its rows with what is known."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
         for number, part in enumerate(text_slices(batches, "text")):
             hashes, endings, at = _words(part)
             n = len(part.null)
-            row = np.repeat(np.arange(n), np.diff(at))
-            symbols, _ = framed(alphabet.encode(hashes, endings), at, alphabet)
+            symbols, placed = framed(alphabet.encode(hashes, endings), at, alphabet)
             place = np.flatnonzero(symbols != alphabet.begin)
-            by_tree = np.bincount(np.repeat(np.arange(n), np.diff(at) + 1), weights=tree.score(symbols, place, alphabet.begin), minlength=n)
-            index, there = member(hot, hashes)
-            sums = [np.bincount(row[there], weights=column[index[there]], minlength=n).astype(float) for column in hot_values.T]
-            sums[1] += by_tree
+            text_of = np.repeat(np.arange(n), np.diff(at) + 2)
+            by_class = np.zeros(len(symbols))
+            by_class[place] = tree.score(symbols, place, alphabet.begin)
+            words, since = _framed_words(hashes, at, alphabet, symbols, placed)
+            rolling = Rolling(words)
+            # behind a word of the lower layer, the class value is that of one symbol
+            step = np.zeros(len(symbols))
+            step[place - 1] = tree.score(symbols, place, alphabet.begin, 1) - by_class[place]
+            index, there = member(hot, words)
+            sums = np.stack([np.bincount(text_of[there], weights=column[index[there]], minlength=n).astype(float) for column in hot_values.T])
+            opened = np.bincount(text_of[there], weights=step[there] * hot_values[index[there], 4], minlength=n)
+            sums[1] += np.bincount(text_of, weights=by_class, minlength=n) + sums[3] + opened
+            rare = placed[~there[placed]]
+            runs, run_rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for length in range(2, depth + 2):
+                end = np.flatnonzero(since >= length - 1) + 1
+                run = _runs(words, rolling, end, length)
+                wanted = sieve.passes(_runs(words, rolling, end - 1, length - 1)) | sieve.passes(run)
+                run, end = run[wanted], end[wanted]
+                index, there = member(hot, run)
+                sums[1] += np.bincount(text_of[end[there] - 1], weights=hot_values[index[there], 1], minlength=n)
+                runs.append(run[~there])
+                run_rows.append(text_of[end[~there] - 1])
+            runs, run_rows = np.concatenate(runs), np.concatenate(run_rows)
             slice_id = part_id << 32 | number
             doc = part.rows.column("doc_id").cast(pa.int64())
             header = np.stack([doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), part.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at)]).astype(np.int64)
-            out = [(slice_id % buckets, slice_id, 0, b"", b"", b"", header.tobytes() + np.stack(sums).tobytes())]
-            hashes, row = hashes[~there], row[~there]
-            order = np.argsort(hashes, kind="stable")
-            hashes, row = hashes[order], row[order].astype(np.uint32)
-            new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
-            times = np.diff(np.append(new, len(hashes)))
-            held = (hashes[new] >> np.uint64(11)) % np.uint64(buckets)
-            by_bucket = np.argsort(held, kind="stable")
-            edges = np.searchsorted(held[by_bucket], np.arange(buckets + 1))
-            for bucket in np.flatnonzero(np.diff(edges)).tolist():
-                own = by_bucket[edges[bucket] : edges[bucket + 1]]
-                rows = row[np.repeat(new[own] - np.concatenate(([0], np.cumsum(times[own])[:-1])), times[own]) + np.arange(int(times[own].sum()))]
-                out.append((bucket, slice_id, 1, hashes[new[own]].tobytes(), times[own].astype(np.uint32).tobytes(), rows.tobytes(), b""))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+            out = [(slice_id % buckets, slice_id, 0, b"", b"", b"", b"", header.tobytes() + sums[:3].tobytes())]
+            out += _blobs(1, slice_id, words[rare], text_of[rare], step[rare], buckets)
+            out += _blobs(2, slice_id, runs, run_rows, np.zeros(len(runs)), buckets)
+            kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in _BLOBS.split(", ")])
 
     return docs.mapInArrow(post, _BLOBS)
@@ -280,19 +412,27 @@ def _answered(blobs: pa.Table, values: pa.Table) -> pa.Table:
     key = values.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(key)
     key = key[order]
-    columns = [values.column(c).to_numpy()[order].astype(float) for c in ("base", "log_p", "known")]
+    base, log_p, known, back, opens = [values.column(c).to_numpy()[order].astype(float) for c in _VALUES]
+    log_p = log_p + back
     out: list[tuple] = []
-    for slice_id, kind, hashes, number, rows, header in zip(*[blobs.column(c).to_pylist() for c in ("slice", "kind", "hashes", "number", "rows", "header")]):
-        if kind == 0:
-            out.append((slice_id, 0, header))
-            continue
-        index, there = member(key, np.frombuffer(hashes, np.uint64))
-        if not there.all():
-            raise ValueError("a word without values")
-        index = np.repeat(index, np.frombuffer(number, np.uint32))
-        own, which = np.unique(np.frombuffer(rows, np.uint32), return_inverse=True)
-        sums = np.stack([np.bincount(which.reshape(-1), weights=c[index]) for c in columns])
-        out.append((slice_id, 1, own.tobytes() + sums.tobytes()))
+    for batch in blobs.to_batches():
+        for i in range(batch.num_rows):
+            slice_id, kind, hashes, number, rows, steps, header = [batch.column(c)[i].as_py() for c in ("slice", "kind", "hashes", "number", "rows", "steps", "header")]
+            if kind == 0:
+                out.append((slice_id, 0, header))
+                continue
+            index, there = member(key, np.frombuffer(hashes, np.uint64))
+            if kind == 1 and not there.all():
+                raise ValueError("a word without values")
+            number = np.frombuffer(number, np.uint32)
+            met = np.repeat(there, number)
+            index = np.repeat(index, number)[met]
+            own, which = np.unique(np.frombuffer(rows, np.uint32)[met], return_inverse=True)
+            if not len(own):
+                continue
+            weights = [base[index], log_p[index] + (opens[index] * np.frombuffer(steps, np.float32)[met] if kind == 1 else 0.0), known[index]]
+            sums = np.stack([np.bincount(which.reshape(-1), weights=w) for w in weights])
+            out.append((slice_id, 1, own.tobytes() + sums.tobytes()))
     return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["slice", "kind", "data"])
 
 
@@ -343,7 +483,7 @@ def word_values(words: DataFrame, alphabet: Alphabet, below: int) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_depth: int = MAX_DEPTH, symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, divergence: float = DIVERGENCE, buckets: int | None = None
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_depth: int = MAX_DEPTH, symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, divergence: float = DIVERGENCE, least_count: int = LEAST_COUNT, buckets: int | None = None
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -364,14 +504,24 @@ def score_documents(
     alphabet = alphabet_of(words, tokens, symbol_share)
     tree = learn_tree(cut_lineage(encoded(picked, alphabet)), alphabet, max_depth=max_depth, share=context_share, divergence=divergence)
     values = cut_lineage(word_values(words, alphabet, below))
+    contexts, runs = word_contexts(picked, words, values, alphabet, tree, max_depth=max_depth, least_count=least_count, divergence=divergence)
+    # a word opens the lower layer where it ends a retained context
+    ends_one = contexts.groupBy(F.col("last").alias("hash")).agg(F.sum(F.when(F.col("depth") == 1, F.col("back")).otherwise(0.0)).alias("back"), F.lit(1.0).alias("opens"))
+    begins = ends_one.where(F.col("hash") == int(_BEGIN.view(np.int64))).select("hash", F.lit(ends).cast("long").alias("count"), F.lit(0.0).alias("base"), F.lit(0.0).alias("log_p"), F.lit(0.0).alias("known"), "back", "opens")
+    of_words = values.join(ends_one, "hash", "left").fillna(0.0, ["back", "opens"]).select(*begins.columns)
+    # a run that is met is a context for what comes next, unless it ends the text
+    of_runs = runs.union(contexts.where("depth > 1").select("hash", "count", F.col("back").alias("log_p"))).groupBy("hash").agg(F.max("count").alias("count"), F.sum("log_p").alias("log_p"))
+    of_runs = of_runs.select("hash", "count", F.lit(0.0).alias("base"), "log_p", *(F.lit(0.0).alias(c) for c in ("known", "back", "opens")))
+    values = cut_lineage(of_words.union(of_runs))
+    sieve = sieve_of(contexts.select("hash"))
     least = max(2.0, HOT_SHARE * tokens)
-    hot = values.where(F.col("count") >= least).toArrow()
+    hot = values.where(F.col("count") >= least).union(begins).toArrow()
     hot_keys = hot.column("hash").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hot_keys)
-    hot_values = np.stack([hot.column(c).to_numpy().astype(float) for c in ("base", "log_p", "known")], axis=1)[order]
+    hot_values = np.stack([hot.column(c).to_numpy().astype(float) for c in _VALUES], axis=1)[order]
     rare = values.where(F.col("count") < least).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 11), F.lit(buckets)).cast("int"))
-    posted = _posted(picked, buckets, alphabet, tree, hot_keys[order], hot_values)
-    answered = posted.groupBy("bucket").cogroup(rare.select("bucket", "hash", "base", "log_p", "known").groupBy("bucket")).applyInArrow(_answered, "slice long, kind int, data binary")
+    posted = _posted(picked, buckets, alphabet, tree, sieve, max_depth, hot_keys[order], hot_values)
+    answered = posted.groupBy("bucket").cogroup(rare.select("bucket", "hash", *_VALUES).groupBy("bucket")).applyInArrow(_answered, "slice long, kind int, data binary")
     summed = answered.groupBy("slice").applyInArrow(_summed, "doc_id long, held_out boolean, n_words long, n_known long, base double, log_p double")
     return summed.select(
         "doc_id",

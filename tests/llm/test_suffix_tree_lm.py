@@ -98,3 +98,55 @@ def test_empty_and_untrained(spark):
     only = [i for i in range(200) if is_held_out(i)][:3]
     rows = lm.score_documents(frame(spark, [(i, "some words") for i in only])).collect()
     assert len(rows) == 3 and all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)
+
+
+def test_contexts_of_words_by_count(spark):
+    """A pair of rare words is a context wherever it was met often enough, whatever its share of the corpus."""
+    docs = corpus(4, 400) + [(20000 + k, f"{'zig' if k % 2 else 'zag'} odd pair {'left' if k % 2 else 'right'}") for k in range(120)]
+    kwargs = {"symbol_share": 0.05, "context_share": 0.05}
+    few, many = [{r.doc_id: r.score for r in lm.score_documents(frame(spark, docs), **kwargs, **more).collect() if r.doc_id and r.doc_id >= 20000 and r.held_out} for more in ({"max_depth": 2}, {})]
+    # the words before 'pair' are the same; only the third one back tells left from right
+    assert len(few) > 5 and all(many[i] > few[i] + 0.1 for i in few)
+
+
+def test_word_scores_by_hand(spark):
+    """Every token's chain of retained contexts, from counts of the texts themselves."""
+    docs = corpus(5, 200)
+    docs = [(i, t if i is None or i > 9000 else re.sub("é", "e", t)) for i, t in docs]
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score_documents(frame(spark, docs), symbol_share=0.9, context_share=0.9, max_depth=2, divergence=5.0).collect()}
+    token = lambda t: [w.lower() for w in WORD.findall((t or "").encode())]
+    texts = [["^", *token(t), "$"] for i, t in docs if not is_held_out(i)]
+    words = Counter(w for t in texts for w in t[1:-1])
+    total, ends = sum(words.values()) + len(texts), len(texts)
+    root = {s: ((c + 1) / (total + 2)) for s, c in (("word", total - ends), ("end", ends))}
+
+    def base(w):
+        if w == "$":
+            return root["end"]
+        return root["word"] * ((words[w] - lm.DISCOUNT) / (total - ends) if words[w] else lm.DISCOUNT * len(words) / (total - ends))
+
+    after = {}
+    for t in texts:
+        for i in range(1, len(t)):
+            for d in (1, 2):
+                if i >= d:
+                    after.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    kept = set()
+
+    def p(w, c):
+        if not c:
+            return base(w)
+        inner = p(w, c[1:])
+        if c not in kept:
+            return inner
+        return (after[c][w] + len(after[c]) * inner) / (sum(after[c].values()) + len(after[c]))
+
+    for c in sorted((c for c in after if sum(after[c].values()) >= lm.LEAST_COUNT), key=len):
+        n = sum(after[c].values())
+        if sum(k * math.log(k / n / p(w, c[1:])) for w, k in after[c].items()) >= 5.0:
+            kept.add(c)
+    assert {len(c) for c in kept} == {1, 2} or len(kept) > 10
+    for i, t in docs:
+        t = ["^", *token(t), "$"]
+        want = sum(math.log10(p(t[k], tuple(t[max(0, k - 2) : k]))) for k in range(1, len(t)))
+        assert got[i, len(t) - 1] == pytest.approx(want, abs=1e-3)
