@@ -13,6 +13,8 @@ scored where they are read, without a shuffle.
 """
 
 import math
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +39,8 @@ UNSEEN_MISSPELLING, UNSEEN_QUOTED = 0.6, 0.5
 
 _IN_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’"}
+_CLOSING = {a.encode(): b.encode() for a, b in _QUOTES.items()}
+_MARKS = re.compile(b"|".join([b"\n", *sorted({*_CLOSING, *_CLOSING.values()})]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -177,17 +181,19 @@ def _distinct_words(part: Slice):
     return starts, ends, at, keys, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], which.reshape(-1)
 
 
-def _in_quotes(line: str, start: int) -> bool:
-    """Is the place between an opening quotation mark and its closing one, on its line?"""
-    closing = None
-    for at, letter in enumerate(line):
-        if at == start:
-            return closing is not None and closing in line[start:]
-        if closing is None:
-            closing = _QUOTES.get(letter)
-        elif letter == closing:
+def quotations(text: bytes) -> tuple[list[int], list[int]]:
+    """Where quotations begin (behind the opening mark) and end (at its closing one); a mark that is not closed on its line opens none."""
+    begins, ends, closing, begin = [], [], None, 0
+    for mark in _MARKS.finditer(text):
+        if mark[0] == b"\n":
             closing = None
-    return False
+        elif closing is None:
+            closing, begin = _CLOSING.get(mark[0]), mark.end()
+        elif mark[0] == closing:
+            begins.append(begin)
+            ends.append(mark.start())
+            closing = None
+    return begins, ends
 
 
 def hits_of(part: Slice, matcher: Matcher) -> list[list[tuple[int, int, int, bool]]]:
@@ -198,15 +204,15 @@ def hits_of(part: Slice, matcher: Matcher) -> list[list[tuple[int, int, int, boo
         return rows
     best = matcher.best(keys, words)
     is_hit = np.array([b is not None for b in best])[which]
+    of_row, begins, ends_at = -1, [], []
     for w in np.flatnonzero(is_hit).tolist():
         row = int(np.searchsorted(at, w, "right")) - 1
+        if row != of_row:
+            of_row, (begins, ends_at) = row, quotations(part.data[part.offsets[row] : part.offsets[row + 1]].tobytes())
         term, distance = best[which[w]]
-        lo, hi = int(part.offsets[row]), int(part.offsets[row + 1])
-        # the line around the hit, within a few hundred bytes
-        a, b = max(lo, int(starts[w]) - 300), min(hi, int(ends[w]) + 300)
-        before = bytes(part.data[a : starts[w]]).decode(errors="ignore").rpartition("\n")[2]
-        after = bytes(part.data[starts[w] : b]).decode(errors="ignore").partition("\n")[0]
-        rows[row].append((w - int(at[row]), term, distance, _in_quotes(before + after, len(before))))
+        start = int(starts[w] - part.offsets[row])
+        span = bisect_right(begins, start) - 1
+        rows[row].append((w - int(at[row]), term, distance, span >= 0 and start <= ends_at[span]))
     return rows
 
 

@@ -3,9 +3,11 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from billweave.llm import toxicity
+from billweave.llm.text import text_slices
 from billweave.llm.toxicity import Model, Term, Trie, allowed_distance, window_score
 
 
@@ -97,3 +99,20 @@ def test_no_labels_null_ids_and_clashing_columns(spark):
     left = toxicity.without_toxic(docs, labels)
     assert left.columns == docs.columns and left.count() == 3
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
+
+
+def test_quotation_over_a_whole_line():
+    """Marks count wherever they stand on the line of a hit, and only there."""
+    far = "word " * 200
+    texts = [
+        f'he said "{far}villain {far}" and left',
+        f'"{far}" villain "{far}"',
+        f'"{far}\n villain "',
+        f'"a" «{far}" villain {far}» b',
+        f"„{far}\nno “villain {far}” villain",
+        "no marks, villain",
+        f'"{far} villain',
+    ]
+    part = next(text_slices([pa.RecordBatch.from_pydict({"text": texts})], "text"))
+    found = toxicity.hits_of(part, toxicity.Matcher([Term("villain", False, 1.0)]))
+    assert [[h[3] for h in row if h[2] == 0] for row in found] == [[True], [False], [False], [True], [False], [False], [False]]
