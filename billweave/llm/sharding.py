@@ -7,9 +7,10 @@ only: a change of weights in one subtree moves keys between that subtree and the
 leaves all other placements alone. A shard that is added as a region of its own takes keys
 into itself and moves none between old shards.
 
-All column expressions; slots are numbered inside hash blocks, and the blocks' offsets
-(at most shards x ``SLOT_BLOCKS`` rows, hence a proven bound) are added afterwards, so no
-task holds a whole shard.
+All column expressions. Equal rows are counted first, and stand as one row with a number of
+copies until the end. Slots are numbered inside hash blocks of key, checksum and size, whose number
+follows that of the rows, and the blocks' offsets are added afterwards: no task holds a whole
+shard, or all rows of one key. Copies are given their slots in runs of ``RUN``, dealt anew.
 """
 
 from dataclasses import dataclass
@@ -17,7 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from billweave.session import cut_lineage
+
 SLOT_BLOCKS = 1024
+ROWS_A_BLOCK = 1 << 16
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -79,30 +84,35 @@ def assign_shards(docs: DataFrame, *, key: str = "doc_id", text: str = "text", s
     nothing, 0. Null keys share one placement. Slots run from 0 without gaps in each shard, by
     hash block, key, checksum and size; which of two equal rows comes first does not matter.
     Rows with one key share a shard, as the law says. Other columns play no part.
+    ``slot_blocks``: hash blocks at least; more where a block would have over ``ROWS_A_BLOCK`` rows.
     """
     tree = tree or even_tree(shards)
     new = 1 + max(_shards(tree))
-    doc = F.col(key)
-    block = F.pmod(F.xxhash64(F.lit("slot"), doc), F.lit(slot_blocks)).cast("int")
-    keys = docs.select(doc.alias("doc_id")).select("doc_id", block.alias("_block"), place(F.col("doc_id"), tree).alias("shard"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keys.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(
-        doc.alias("doc_id"),
-        (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-    ).select("*", place(F.col("doc_id"), tree).alias("shard"), F.pmod(F.xxhash64(F.lit("slot"), F.col("doc_id")), F.lit(slot_blocks)).cast("int").alias("_block"))
-    inside = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "_block"]).select(
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    same = cut_lineage(rows.groupBy("doc_id", "text_crc32", "size").agg(F.count(F.lit(1)).alias("_n")))
+    blocks = max(slot_blocks, -(-same.count() // ROWS_A_BLOCK))
+    block = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int")
+    placed = same.select("*", place(F.col("doc_id"), tree).alias("shard"), block.alias("_block"))
+    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("shard", "_block").agg(F.sum("_n").alias("_rows"))
+    offsets = offsets.select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("_rank", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    first = numbered.join(offsets, ["shard", "_block"]).withColumn("_first", F.col("_offset") + F.col("_rank"))
+    # single rows stay where they are; only long groups of copies are cut into runs and dealt over the tasks
+    few = first.where(F.col("_n") <= RUN).withColumn("_last", F.col("_first") + F.col("_n") - 1)
+    cut = first.where(F.col("_n") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))))
+    cut = cut.withColumns({"_last": F.least(F.col("_first") + (F.col("_run") + 1) * RUN, F.col("_first") + F.col("_n")) - 1, "_start": F.col("_first") + F.col("_run") * RUN})
+    columns = ["doc_id", "size", "text_crc32", "shard", "_last"]
+    runs = few.select(*columns, F.col("_first").alias("_start")).union(cut.select(*columns, "_start").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return runs.withColumn("slot", F.explode(F.sequence("_start", "_last"))).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        (F.col("_offset") + F.col("_rank")).cast("long").alias("slot"),
+        F.col("slot").cast("long").alias("slot"),
         place(F.col("doc_id"), grown(tree, new)).alias("grown_shard"),
     )
 

@@ -121,3 +121,13 @@ def test_query_equals_sql(spark, name):
 def test_all_are_registered():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_rows_of_one_id_stand_in_many_slot_blocks(spark):
+    """One id over many texts is no single run of slots, and copies of one row have a slot each."""
+    rows = [(7, f"text {i}") for i in range(300)] + [(i, "x") for i in range(1000, 2200)] + [(None, "same")] * 5000
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=1, slot_blocks=64).collect()
+    assert sorted(r.slot for r in got) == list(range(len(rows)))
+    assert sorted((r.doc_id or -1, r.text_crc32, r.size) for r in got) == sorted((i or -1, zlib.crc32(t.encode()), len(t) + 1) for i, t in rows)
+    of_id = sorted(r.slot for r in got if r.doc_id == 7)
+    assert sum(b - a > 1 for a, b in zip(of_id, of_id[1:])) > 30
