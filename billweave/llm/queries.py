@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from billweave.llm import decontaminate, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, merkle, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +138,46 @@ def op2_substring_trees(spark, table):
 def op5_near_dedup(spark, table):
     """Components of documents with a shingle similarity of 0.75 or more."""
     return near_dedup.component_report(table("documents"))
+
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+# the checksum of a text of plain characters, by its table; ``k`` is that table
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS k)"
+_CRC = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda c, b: xor(k[(xor(c, b) & 255) + 1], c >> 8)))"""
+# a tree is one list a level; a parent is the hash of a pair, the last one's of a single node where the count is odd
+_CLIMB = """SELECT {key}, level + 1, list_transform(range(1, (len(nodes) + 1) // 2 + 1), lambda i: sha256(nodes[2 * i - 1] || coalesce(nodes[2 * i], '')))
+      FROM {tree} WHERE len(nodes) > 1"""
+# one step of a proof: the side the sibling stands on and the sibling
+_STEP = "CASE WHEN (({at} - 1) >> level) % 2 = 1 THEN 'L' || nodes[(({at} - 1) >> level)] ELSE 'R' || coalesce(nodes[(({at} - 1) >> level) + 2], '') END"
+
+
+@query(
+    "op11_merkle",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf,
+        {_CRC} % 7 = 0 AS hit, {_leaf_sql("(n_chars + 1)")} AS changed FROM documents, {_CRC_TABLE}),
+    p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) AS pos FROM l),
+    t(tree, level, nodes) AS (SELECT tree, 0, list(leaf ORDER BY pos) FROM p GROUP BY tree UNION ALL {_CLIMB.format(key="tree", tree="t")}),
+    s AS (SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) AS place FROM t WHERE len(nodes) = 1),
+    f(one, level, nodes) AS (SELECT 1, 0, list(subroot ORDER BY place) FROM s UNION ALL {_CLIMB.format(key="one", tree="f")}),
+    r AS (SELECT nodes[1] AS root FROM f WHERE len(nodes) = 1),
+    a AS (SELECT doc_id, list({_STEP.format(at="pos")} ORDER BY level) AS steps FROM p JOIN t USING (tree) WHERE len(nodes) > 1 GROUP BY 1),
+    b AS (SELECT tree, list({_STEP.format(at="place")} ORDER BY level) AS steps FROM s, f WHERE len(nodes) > 1 GROUP BY 1),
+    c AS (SELECT p.doc_id, leaf, subroot, root, coalesce(a.steps, []) || coalesce(b.steps, []) AS steps, CASE WHEN hit THEN changed ELSE leaf END AS start
+      FROM p JOIN s USING (tree) CROSS JOIN r LEFT JOIN a USING (doc_id) LEFT JOIN b USING (tree)),
+    d AS (SELECT *, list_reduce([start] || steps, lambda low, step: CASE WHEN step[1] = 'L' THEN sha256(step[2:] || low) ELSE sha256(low || step[2:]) END) AS folded_root FROM c)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM d""",
+)
+def op11_merkle(spark, table):
+    """The manifest of all documents by language, every seventh one (by checksum) claimed one character longer."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    said = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    rows = merkle.manifest(table("documents"), claimed={"n_chars": said})
+    proof = F.sha2(merkle.proof_text(F.col("proof")), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
