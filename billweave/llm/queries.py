@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import decontaminate, merkle, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, fill_in_middle, merkle, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,20 @@ def op11_merkle(spark, table):
     rows = merkle.manifest(table("documents"), claimed={"n_chars": said})
     proof = F.sha2(merkle.proof_text(F.col("proof")), 256)
     return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+@query(
+    "op12_fill_in_middle",
+    """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+    g AS (SELECT *, list_transform(range(4), lambda i: ('0x' || s[8 * i + 1:8 * i + 8])::BIGINT) AS h FROM h),
+    c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+    o AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s3 FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s3 || '<M>' || m ELSE '<S>' || s3 || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM o""",
+)
+def op12_fill_in_middle(spark, table):
+    """All documents cut in three and arranged, and put together again."""
+    rows = fill_in_middle.hashes(table("documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
