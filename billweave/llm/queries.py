@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import decontaminate, fill_in_middle, merkle, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
+from billweave.llm import decontaminate, exact_dedup, fill_in_middle, merkle, near_dedup, packing, sharding, substring_trees, suffix_array, suffix_tree_lm, topk, toxicity, warc
 from billweave.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,13 @@ def op12_fill_in_middle(spark, table):
     """All documents cut in three and arranged, and put together again."""
     rows = fill_in_middle.hashes(table("documents"))
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query(
+    "op13_exact_dedup",
+    """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+    FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents) WINDOW same AS (PARTITION BY text_sha256)""",
+)
+def op13_exact_dedup(spark, table):
+    """Groups of equal texts; every second document, by checksum, is the history the others are looked up in."""
+    return exact_dedup.exact_groups(table("documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
