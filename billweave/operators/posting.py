@@ -428,18 +428,18 @@ def batch_line() -> Column:
 
 
 # --- likely duplicates ---------------------------------------------------------
-def _prior(entries: DataFrame) -> DataFrame:
+def prior_entries(entries: DataFrame) -> DataFrame:
     return entries.filter((F.col("state") == "confirmed") & F.col("undone_at").isNull())
 
 
-def _bucket(day: Column, window_days: int) -> Column:
+def day_bucket(day: Column, window_days: int) -> Column:
     return F.floor(F.unix_date(day) / (2 * window_days + 1))
 
 
-def _near_buckets(probes: DataFrame, window_days: int) -> DataFrame:
+def near_buckets(probes: DataFrame, window_days: int) -> DataFrame:
     """One row per probe and bucket its window touches: at most two, as a bucket is as wide as the window."""
-    first = _bucket(F.date_sub("txn_date", window_days), window_days)
-    last = _bucket(F.date_add("txn_date", window_days), window_days)
+    first = day_bucket(F.date_sub("txn_date", window_days), window_days)
+    last = day_bucket(F.date_add("txn_date", window_days), window_days)
     return probes.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
 
 
@@ -453,10 +453,10 @@ def duplicate_warnings(
     window widths around it, never a vendor's whole history.
     """
     posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
-    prior = lookup(_prior(entries), posted, "file_hash").select(
+    prior = lookup(prior_entries(entries), posted, "file_hash").select(
         "vendor_id",
         "amount_cents",
-        _bucket(F.col("txn_date"), window_days).alias("_bucket"),
+        day_bucket(F.col("txn_date"), window_days).alias("_bucket"),
         F.col("txn_date").alias("_day"),
         "batch_id",
         "file_hash",
@@ -467,7 +467,7 @@ def duplicate_warnings(
         "vendor_name",
         "posted_at",
     )
-    asked = _near_buckets(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
+    asked = near_buckets(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
     apart = days_between(F.col("txn_date"), F.col("_day"))
     return (
         asked.join(prior, ["vendor_id", "amount_cents", "_bucket"])
@@ -487,16 +487,16 @@ def duplicate_counts(
     distinct questions first, so equal entries never multiply with equal probes.
     """
     posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
-    prior = lookup(_prior(entries), posted, "file_hash").withColumn("_day", F.col("txn_date"))
+    prior = lookup(prior_entries(entries), posted, "file_hash").withColumn("_day", F.col("txn_date"))
     daily = (
         prior.groupBy("vendor_id", "amount_cents", "_day")
         .agg(F.count("*").alias("_n"), F.min_by(F.struct("posted_at"), "id").alias("_first"))
-        .withColumn("_bucket", _bucket(F.col("_day"), window_days))
+        .withColumn("_bucket", day_bucket(F.col("_day"), window_days))
     )
     questions = probes.select("vendor_id", "amount_cents", "txn_date").distinct()
     shown = F.coalesce(F.date_format("_first.posted_at", "yyyy-MM-dd"), iso(F.col("_day")))
     answers = (
-        _near_buckets(questions, window_days)
+        near_buckets(questions, window_days)
         .join(daily, ["vendor_id", "amount_cents", "_bucket"])
         .filter(days_between(F.col("txn_date"), F.col("_day")).between(-window_days, window_days))
         .groupBy("vendor_id", "amount_cents", "txn_date")

@@ -1,4 +1,4 @@
-"""Keyed state for continuous input: settling files and the fold of posting events.
+"""Keyed state for continuous input: first copies, settling files, the fold of posting events and its batch counts.
 
 What a key's state holds does not depend on the order in which its rows arrive or on how they
 are cut into micro-batches: the first samples of a file by time, the events of an
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from billweave import fixed
+from billweave.operators.ingest import DUPLICATE_IN_BATCH, LOADED
+from billweave.operators.posting import batch_state
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # times are microseconds inside the state, so that they come back as they went in
@@ -20,6 +22,7 @@ _FOLDED = (
     "batch_id string, file_hash string, state string, sent_at bigint, confirmed_at bigint, remote_id string, "
     "sync_token string, error string, undone_at bigint, undo_reason string"
 )
+COUNTS = ("total", "confirmed", "failed", "undone")
 _STATES, _UNDOS = ("pending", "sent", "failed", "confirmed"), ("undone", "undo-refused")
 
 
@@ -27,6 +30,40 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+class FirstCopyProcessor(StatefulProcessor):
+    """The copy of a document that was listed first stays loaded, all others are duplicates.
+
+    State is that one copy. A copy that turns up later but was listed earlier takes its place, and the
+    one before is told again as a duplicate; the same file once more changes nothing.
+    """
+
+    def __init__(self, kept_ms=None):
+        self.kept_ms = kept_ms
+
+    def init(self, handle):
+        self.first = handle.getValueState("first", "position bigint, filename string, size_bytes bigint", self.kept_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        before = self.first.get()
+        first = before = None if before is None else tuple(before)
+        for r in rows:
+            file = (r.position, r.filename, r.size_bytes)
+            if first is None or file[:2] < first[:2]:
+                first, file = file, first
+            if file is not None and file[:2] != first[:2]:
+                yield self._row(key, file, DUPLICATE_IN_BATCH)
+        if first != before:
+            self.first.update(first)
+            yield self._row(key, first, LOADED)
+
+    @staticmethod
+    def _row(key, file, status):
+        return Row(scan_id=key[0], hash=key[1], position=file[0], filename=file[1], size_bytes=file[2], status=status)
+
+    def close(self):
+        pass
+
+
 class SettleProcessor(StatefulProcessor):
     """A file is settled when two neighbouring samples of its first seven are equal."""
 
@@ -90,6 +127,43 @@ class FoldProcessor(StatefulProcessor):
         pass
 
 
+class CorrectionProcessor(FoldProcessor):
+    """What an entry's change does to the counts of its batch: the difference to what it was counted as before.
+
+    Differences may be added up in any order, so counts need no entry again. An event that changes nothing gives no row.
+    """
+
+    def init(self, handle):
+        super().init(handle)
+        self.counted = handle.getValueState("counted", ", ".join(f"{c} bigint" for c in COUNTS), self.kept_ms)
+
+    def handleInputRows(self, key, rows, timer_values):
+        now = (0,) * len(COUNTS)
+        for entry in super().handleInputRows(key, rows, timer_values):
+            confirmed = entry.state == "confirmed"
+            now = tuple(map(int, (entry.state is not None, confirmed, entry.state == "failed", confirmed and entry.undone_at is not None)))
+        before = self.counted.get() or (0,) * len(COUNTS)
+        change = tuple(a - b for a, b in zip(now, before))
+        if any(change):
+            self.counted.update(now)
+            yield Row(batch_id=key[0], **dict(zip(COUNTS, change)))
+
+
+def first_copies(arrivals: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """Streaming files (scan_id, hash, position, filename, size_bytes, status) with copies of loaded ones marked.
+
+    Each micro-batch gives the files whose status is new or other than said before; files that are not loaded
+    pass without state. ``position`` orders the files of a scan, names decide where it is equal.
+    """
+    use_rocksdb(arrivals.sparkSession)
+    columns = ["scan_id", "hash", "position", "filename", "size_bytes", "status"]
+    rows = arrivals.select(*columns)
+    loaded = rows.filter(F.col("status") == LOADED).groupBy("scan_id", "hash")
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
+    marked = loaded.transformWithState(FirstCopyProcessor(kept_ms), types, "update", "ProcessingTime" if kept_ms else "None")
+    return marked.unionByName(rows.filter(F.col("status") != LOADED))
+
+
 def settle_stream(samples: DataFrame, kept_ms: int | None = None) -> DataFrame:
     """Streaming samples (path, size_bytes, mtime, sample_ts) -> (path, settled) after each micro-batch."""
     use_rocksdb(samples.sparkSession)
@@ -104,3 +178,21 @@ def fold_stream(events: DataFrame, kept_ms: int | None = None) -> DataFrame:
     timed = events.withColumn("at", F.unix_micros("event_ts"))
     folded = timed.groupBy("batch_id", "file_hash").transformWithState(FoldProcessor(kept_ms), _FOLDED, "update", "ProcessingTime" if kept_ms else "None")
     return folded.withColumns({c: F.timestamp_micros(c) for c in ("sent_at", "confirmed_at", "undone_at")})
+
+
+def correction_stream(events: DataFrame, kept_ms: int | None = None) -> DataFrame:
+    """Streaming posting events -> (batch_id, total, confirmed, failed, undone), each a difference to add."""
+    use_rocksdb(events.sparkSession)
+    timed = events.withColumn("at", F.unix_micros("event_ts"))
+    types = "batch_id string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    return timed.groupBy("batch_id", "file_hash").transformWithState(CorrectionProcessor(kept_ms), types, "append", "ProcessingTime" if kept_ms else "None")
+
+
+def batch_stream(corrections: DataFrame) -> DataFrame:
+    """Streaming corrections -> a batch's counts and state after each micro-batch.
+
+    Sums by built-in aggregates: each task adds up its own corrections first, so a batch with a third of all entries is no hot key.
+    """
+    use_rocksdb(corrections.sparkSession)
+    counted = corrections.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return counted.withColumn("state", batch_state(F.col("total"), F.col("confirmed"), F.col("undone")))
