@@ -1,10 +1,13 @@
 """Posting queries: an order is a batch, its lines are the entries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from billweave.functions import dates
-from billweave.operators import posting
+from billweave.operators import posting, sending
+from billweave.operators.joins import first_per_key
 from billweave.plans.registry import query
+from billweave.session import cut_lineage
 
 
 def entries(t):
@@ -182,6 +185,115 @@ def day_arithmetic(t):
     )
 
 
+# --- many sends ----------------------------------------------------------------
+#: orders before this day are batches that exist, later ones are sends; a supplier's bill is the document
+_FIRST_SEND = "1993-01-01"
+
+
+def documents_of_orders(t):
+    """One row per order and document, the first line that has it; of orders that are sends or batches."""
+    wanted = ["order_no", "ordered_at", "realm_id", "id", "position", "state", "entry_type", "vendor_id", "category_account_id", "paid_from_account_id", "txn_date", "amount_cents"]
+    orders = t.orders.select(F.col("o_orderkey").alias("order_no"), F.col("o_orderdate").cast("date").cast("string").alias("ordered_at"), F.col("o_orderpriority").alias("realm_id"))
+    lines = entries(t).withColumn("order_no", F.col("batch_id").cast("bigint")).withColumn("file_hash", F.sha2(F.concat(F.lit("doc-"), F.col("vendor_id")), 256))
+    return first_per_key(lines.join(orders, "order_no"), ["batch_id", "file_hash"], ["position", "id"], wanted)
+
+
+def _entry_like(rows):
+    names = ["filename", "vendor_name", "category_account_name", "paid_from_account_name", "ref_number", "memo"]
+    return rows.withColumns({**{c: F.lit(None).cast("string") for c in names}, "due_date": F.lit(None).cast("date")})
+
+
+def earlier_batches(t):
+    """(batches, entries) from before the sends."""
+    orders = batches(t).filter(F.col("created_at") < _FIRST_SEND)
+    rows = _entry_like(documents_of_orders(t).filter(F.col("ordered_at") < _FIRST_SEND))
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("batch_id").orderBy("position", "file_hash")) - 1)  # an order has a few lines
+    added = {
+        "request_id": F.sha2(F.concat(F.lit("r"), "id"), 256),
+        "error": F.when(F.col("state") == "failed", "rejected"),
+        "created_at": F.col("ordered_at"),
+        "updated_at": F.col("ordered_at"),
+    }
+    return orders, rows.withColumns(added).drop("order_no", "ordered_at")
+
+
+def sends(t):
+    """Later orders as sends, those that break no rule."""
+    rows = _entry_like(documents_of_orders(t).filter(F.col("ordered_at") >= _FIRST_SEND)).withColumnsRenamed({"order_no": "send_no", "ordered_at": "sent_at"})
+    return sending.accepted(rows.withColumn("send_id", F.col("send_no").cast("string")).drop("batch_id", "state", "id"))
+
+
+# the walk of a realm's sends: ``last`` is the last send before (or the open batch, -1) that has one of its documents
+_SENDS = f"""WITH RECURSIVE {_ENTRIES.replace("WITH ", "")},
+l AS (SELECT e.*, sha256('doc-' || l_suppkey) AS doc, o.o_orderpriority AS realm_id, strftime(o_orderdate, '%Y-%m-%d') AS on_day, CASE WHEN entry_type = 'expense' AND l_returnflag <> 'N' THEN '35' END AS paid
+  FROM e JOIN orders o ON o.o_orderkey = e.l_orderkey),
+d AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey, doc ORDER BY l_linenumber, id) = 1),
+old AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, doc) - 1 AS place FROM d WHERE on_day < '{_FIRST_SEND}'),
+sent AS (SELECT *, l_orderkey AS send_no FROM d WHERE on_day >= '{_FIRST_SEND}' AND l_orderkey NOT IN (SELECT l_orderkey FROM d WHERE entry_type = 'expense' AND paid IS NULL)),
+cur AS (SELECT realm_id, batch_id AS open_id, on_day AS open_at FROM old WHERE state <> 'confirmed' QUALIFY row_number() OVER (PARTITION BY realm_id ORDER BY on_day DESC, batch_id DESC) = 1),
+u AS (SELECT DISTINCT realm_id, doc, send_no FROM sent UNION ALL SELECT DISTINCT old.realm_id, doc, -1 FROM old JOIN cur ON cur.open_id = old.batch_id),
+p AS (SELECT realm_id, doc, send_no, lag(send_no) OVER (PARTITION BY realm_id, doc ORDER BY send_no) AS before FROM u),
+n AS (SELECT realm_id, send_no, coalesce(max(before), -2) AS last, row_number() OVER (PARTITION BY realm_id ORDER BY send_no) AS i FROM p WHERE send_no >= 0 GROUP BY realm_id, send_no),
+w(realm_id, i, send_no, since, joined) AS (
+  SELECT realm_id, 0::BIGINT, -1::BIGINT, -1::BIGINT, true FROM (SELECT DISTINCT realm_id FROM n)
+  UNION ALL SELECT n.realm_id, n.i, n.send_no, CASE WHEN last >= since THEN since ELSE n.send_no END, last >= since FROM w JOIN n ON n.realm_id = w.realm_id AND n.i = w.i + 1),
+b2 AS (SELECT w.realm_id, w.send_no, since, joined AS resumed, CASE WHEN since = -1 THEN open_id ELSE sha256('batch|' || w.realm_id || '|' || since) END AS batch_id,
+    CASE WHEN since = -1 THEN open_at ELSE strftime(o_orderdate, '%Y-%m-%d') END AS created_at
+  FROM w LEFT JOIN cur USING (realm_id) LEFT JOIN orders ON o_orderkey = since WHERE w.send_no >= 0)"""
+
+
+@query("open_batch", f"{_SENDS} SELECT realm_id, send_no, batch_id, created_at, resumed FROM b2")
+def open_batch(t):
+    """The batch of every send: the realm's open one if it has a document of the send, else a new one."""
+    before, held = earlier_batches(t)
+    return sending.open_batches(sends(t), before, held).select("realm_id", "send_no", "batch_id", "created_at", "resumed")
+
+
+@query(
+    "prepare_entries",
+    f"""{_SENDS}, r AS (SELECT b2.batch_id AS bid, sent.* EXCLUDE (batch_id) FROM sent JOIN b2 ON b2.send_no = sent.send_no),
+    f AS (SELECT bid, doc, arg_max(struct_pack(entry_type, l_suppkey, l_partkey, paid, txn_date, amount_cents, on_day), send_no) AS v, min(send_no) AS first, arg_min(on_day, send_no) AS created, arg_min(l_linenumber, send_no) AS line FROM r GROUP BY 1, 2),
+    a AS (SELECT f.*, coalesce(taken, 0) + row_number() OVER (PARTITION BY bid ORDER BY first, line, doc) - 1 AS place FROM f LEFT JOIN (SELECT batch_id, count(*) AS taken FROM old GROUP BY 1) k ON k.batch_id = bid
+      WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.batch_id = bid AND old.doc = f.doc))
+    SELECT old.batch_id, old.doc AS file_hash, CAST(place AS BIGINT) AS position, sha256('r' || id) AS request_id, CASE WHEN m THEN 'pending' ELSE state END AS state,
+      CASE WHEN state = 'failed' AND NOT m THEN 'rejected' END AS error, CASE WHEN m THEN v.entry_type ELSE entry_type END AS entry_type, CAST(CASE WHEN m THEN v.l_partkey ELSE l_partkey END AS VARCHAR) AS category_account_id,
+      CASE WHEN m THEN v.paid ELSE paid END AS paid_from_account_id, strftime(CASE WHEN m THEN v.txn_date ELSE txn_date END, '%Y-%m-%d') AS txn_date, CASE WHEN m THEN v.amount_cents ELSE amount_cents END AS amount_cents,
+      on_day AS created_at, CASE WHEN m THEN v.on_day ELSE on_day END AS updated_at
+      FROM (SELECT old.*, f.v, f.bid IS NOT NULL AND state <> 'confirmed' AS m FROM old LEFT JOIN f ON f.bid = old.batch_id AND f.doc = old.doc) old
+    UNION ALL SELECT bid, doc, CAST(place AS BIGINT), sha256('request|' || bid || '|' || doc), 'pending', NULL, v.entry_type, CAST(v.l_partkey AS VARCHAR), v.paid, strftime(v.txn_date, '%Y-%m-%d'), v.amount_cents, created, v.on_day FROM a""",
+)
+def prepare_entries(t):
+    """All entries after the sends: refreshed, left alone where confirmed, appended with places that go on."""
+    before, held = earlier_batches(t)
+    rows = sends(t)
+    opened = cut_lineage(sending.open_batches(rows, before, held))
+    found = sending.prepare_entries(rows, opened, held)
+    return found.select(
+        "batch_id", "file_hash", F.col("position").cast("bigint").alias("position"), "request_id", "state", "error", "entry_type", "category_account_id", "paid_from_account_id",
+        F.col("txn_date").cast("string").alias("txn_date"), "amount_cents", "created_at", "updated_at",
+    )
+
+
+@query(
+    "name_rows",
+    f"""WITH {_ENTRIES} SELECT id, s_name AS vendor_name, p_name AS category_account_name, CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'N' THEN q.name END AS paid_from_account_name,
+      CASE WHEN d.doc_id IS NOT NULL THEN 'bill-' || d.doc_id || '.pdf' END AS filename
+    FROM e LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN documents d ON d.doc_id = l_orderkey
+      LEFT JOIN (SELECT p_name AS name FROM part WHERE p_partkey = 35) q ON true""",
+)
+def name_rows(t):
+    """Names of vendor, category and paid-from account by id, inactive ones too, and the file names of parsed documents."""
+    rows = entries(t).withColumns({"realm_id": F.lit("r"), "file_hash": F.concat(F.lit("doc-"), "batch_id")})
+    rows = rows.drop("vendor_name", "category_account_name", "paid_from_account_name", "filename")
+    listed = lambda table, kind, key, name, active: table.select(
+        F.lit("r").alias("realm_id"), F.lit(kind).alias("entity_kind"), F.col(key).cast("string").alias("entity_id"), F.col(name).alias("name"),
+        active.alias("active"), F.lit("Expense").alias("account_type"))
+    known = listed(t.supplier, "vendor", "s_suppkey", "s_name", F.col("s_acctbal") > 0).unionByName(listed(t.part, "account", "p_partkey", "p_name", F.col("p_size") > 10))
+    key = F.col("doc_id").cast("string")
+    parsed = t.documents.select(F.concat(F.lit("doc-"), key).alias("file_hash"), F.concat(F.lit("bill-"), key, F.lit(".pdf")).alias("original_filename"))
+    return posting.name_rows(rows, known, parsed).select("id", "vendor_name", "category_account_name", "paid_from_account_name", "filename")
+
+
 # --- sending -------------------------------------------------------------------
 @query(
     "payload_json",

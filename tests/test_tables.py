@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from billweave.operators import confidence, ingest, parse, posting, reference, review
+from billweave.operators import confidence, ingest, parse, posting, reference, review, sending
 from billweave.sources import remote
 
 
@@ -132,14 +132,77 @@ def test_send_joins_the_open_batch_and_keeps_request_ids(spark):
     )
     rows = e.select("file_hash", "position", *posting.ENTRY_FIELDS).filter("file_hash = 'h1'")
     rows = rows.unionByName(rows.withColumn("file_hash", F.lit("h8")).withColumn("position", F.lit(5))).unionByName(rows.withColumn("file_hash", F.lit("h2")).withColumn("position", F.lit(2))).withColumn("vendor_id", F.lit("77"))
-    batch = posting.joined_batch(rows, batches, e, "new", "r", F.lit("t9"))
+    send = {"realm_id": F.lit("r"), "send_id": F.lit("s9"), "send_no": F.lit(9).cast("long"), "sent_at": F.lit("t9")}
+    rows = rows.withColumns(send)
+    batch = sending.open_batches(rows, batches, e)
     assert batch.select("batch_id", "resumed").collect()[0][:] == ("b2", True)
-    got = {r["file_hash"]: r for r in posting.prepare_entries(rows, batch, e, F.lit("t9")).collect()}
+    got = {r["file_hash"]: r for r in sending.prepare_entries(rows, batch, e).collect()}
     assert (got["h1"]["state"], got["h1"]["request_id"], got["h1"]["vendor_id"], got["h1"]["error"]) == ("pending", "k1", "77", None)
     assert (got["h2"]["state"], got["h2"]["vendor_id"], got["h2"]["updated_at"]) == ("confirmed", "1", "t0")
     assert (got["h8"]["state"], got["h8"]["position"], got["h8"]["batch_id"]) == ("pending", 2, "b2") and len(got["h8"]["request_id"]) == 64
     other = rows.withColumn("file_hash", F.concat(F.lit("z"), "file_hash"))
-    assert posting.joined_batch(other, batches, e, "new", "r", F.lit("t9")).first()["batch_id"] == "new"
+    assert sending.open_batches(other, batches, e).select("batch_id", "resumed").first()[0] not in ("b1", "b2")
+
+
+def send_one_by_one(batches, entries, rows):
+    """The same on dictionaries: {(batch, document): entry} and {send: (batch, resumed)}, one send after another."""
+    import hashlib
+
+    batches, held, went = {b: (at, realm) for b, at, realm in batches}, {(e["batch_id"], e["file_hash"]): dict(e) for e in entries}, {}
+    sends = sorted({(r["realm_id"], r["send_no"], r["send_id"], r["sent_at"]) for r in rows})
+    for realm, no, name, at in sends:
+        mine = sorted((r for r in rows if (r["realm_id"], r["send_id"]) == (realm, name)), key=lambda r: r["position"])
+        waiting = [(batches[b][0], b) for b, h in held if batches[b][1] == realm and held[b, h]["state"] != "confirmed"]
+        target = max(waiting, default=(None, None))[1]
+        resumed = target is not None and any((target, r["file_hash"]) in held for r in mine)
+        if not resumed:
+            target = hashlib.sha256(f"batch|{realm}|{name}".encode()).hexdigest()
+            batches[target] = (at, realm)
+        went[realm, name] = (target, resumed)
+        for r in mine:
+            old = held.get((target, r["file_hash"]))
+            place = sum(b == target for b, _ in held)
+            if old is None:
+                held[target, r["file_hash"]] = {"state": "pending", "position": place, "vendor_id": r["vendor_id"], "created_at": at, "updated_at": at}
+            elif old["state"] != "confirmed":
+                old.update(state="pending", vendor_id=r["vendor_id"], updated_at=at)
+    return held, went
+
+
+def test_many_sends_equal_one_after_another(spark):
+    import random
+
+    r = random.Random(12)
+    batches = [(f"b{i}", f"t0{i}", f"r{i % 3}") for i in range(9)]
+    held = [dict(id=f"e{i}-{h}", batch_id=f"b{i}", file_hash=f"h{h}", position=k, state=r.choice(["confirmed"] * 5 + ["failed", "sent"]), realm_id=f"r{i % 3}", vendor_id="0", request_id=f"k{i}-{h}")
+            for i in range(9) for k, h in enumerate(r.sample(range(40), 4))]
+    rows = []
+    for realm in range(5):  # two realms have no batch yet
+        for no in range(60):
+            rows += [dict(realm_id=f"r{realm}", send_id=f"s{no}", send_no=no, sent_at=f"t1{no:02}", position=k, file_hash=f"h{h}", vendor_id=f"{no}-{k}") for k, h in enumerate(r.sample(range(40), r.randrange(1, 5)))]
+    want, went = send_one_by_one(batches, [{**h, "created_at": "t0", "updated_at": "t0"} for h in held], rows)
+    before = spark.createDataFrame(batches, "id string, created_at string, realm_id string")
+    e = entries(spark, *held)
+    sent = entries(spark, *[dict(file_hash=x["file_hash"], vendor_id=x["vendor_id"], position=x["position"], realm_id=x["realm_id"], remote_id=x["send_id"], created_at=x["sent_at"]) for x in rows])
+    sent = sent.select("realm_id", F.col("remote_id").alias("send_id"), F.expr("int(substr(remote_id, 2))").cast("long").alias("send_no"), F.col("created_at").alias("sent_at"), "position", "file_hash", *posting.ENTRY_FIELDS)
+    opened = sending.open_batches(sent, before, e)
+    assert {(o.realm_id, o.send_id): (o.batch_id, o.resumed) for o in opened.collect()} == went
+    assert {resumed for _, resumed in went.values()} == {True, False}
+    after = sending.prepare_entries(sent, opened, e)
+    got = {(x.batch_id, x.file_hash): x for x in after.collect()}
+    assert set(got) == set(want)
+    for key, entry in want.items():
+        assert all(got[key][c] == entry[c] for c in ("state", "position", "vendor_id", "created_at", "updated_at")), key
+        assert got[key].request_id == entry["request_id"] if "request_id" in entry else len(got[key].request_id) == 64
+    # a second run of the same sends does nothing
+    again = sending.open_batches(sent, sending.batches_after(before, opened), after, log=opened)
+    assert again.count() == 0 and sending.changed_entries(sent, again, after).count() == 0
+    assert sending.batches_after(before, opened).count() == 9 + sum(not resumed for _, resumed in went.values())
+
+
+def test_a_send_with_a_violation_is_refused_whole(spark):
+    rows = spark.sql("select 'r' as realm_id, s as send_id, 1 as position, f as file_hash, t as entry_type, cast(null as string) as paid_from_account_id from values ('a','x','bill'),('a','y','expense'),('b','x','bill') as v(s, f, t)")
+    assert [x.send_id for x in sending.accepted(rows).collect()] == ["b"]
 
 
 def test_fold_ignores_order_replay_and_late_events(spark):
