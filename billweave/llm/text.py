@@ -15,7 +15,6 @@ SLICE_BYTES = 4 << 20
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 NOT_SPACE = np.array([b not in SPACES for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 
@@ -72,28 +71,99 @@ def _table(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER) + np.uint64(seed))
 
 
+#: fingerprints are polynomials modulo this prime. Modulo a power of two every odd multiplier gives equal values to sequences that
+#: anybody can write down (two symbols in the order of the Thue-Morse sequence and its complement); a prime has no such pair
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = _MULTIPLIER % ((1 << 61) - 1)
+_LOW29, _LOW30, _LOW31, _LOW32 = (np.uint64((1 << k) - 1) for k in (29, 30, 31, 32))
+_30, _31, _61 = (np.uint64(k) for k in (30, 31, 61))
+_PIECE = 1 << 14  # what is worked on at once stays in the processor's cache
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Equal modulo the prime and at most 7 above it, for any 64 bits."""
+    return (x & _PRIME) + (x >> _61)
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """The value below the prime of something folded."""
+    return np.minimum(x, x - _PRIME)
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, folded, for folded values, by halves of 30 and 31 bits."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), _PIECE):
+        x, y = a[i : i + _PIECE], b[i : i + _PIECE] if b.ndim else b
+        x1, x0, y1, y0 = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+        middle = x1 * y0
+        middle += x0 * y1
+        x1 *= y1  # stands for 2**62, which is 2; the upper part of the middle stands for 2**61, which is 1
+        x1 += x1
+        x1 += middle >> _30
+        middle &= _LOW30
+        middle <<= _31
+        x1 += middle
+        x0 *= y0
+        x1 += x0
+        out[i : i + _PIECE] = _folded(x1)
+    return out
+
+
+class _Powers:
+    """Powers of a number modulo the prime; a process keeps as many as its longest sequence needed."""
+
+    def __init__(self, base: int):
+        self.base = base
+        self.known = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.base, len(self.known), int(_PRIME)))
+            self.known = np.concatenate((self.known, _least(_product(self.known, np.asarray(step)))))
+        return self.known[:n]
+
+
+_POWERS, _BACK = _Powers(_BASE), _Powers(pow(_BASE, -1, (1 << 61) - 1))
+
+
 class Rolling:
-    """Fingerprints of any range of a sequence of 64-bit values, by prefix sums modulo 2**64."""
+    """Fingerprints of any range of a sequence of 64-bit values, by prefix sums modulo a prime."""
 
     def __init__(self, values: np.ndarray):
-        n = len(values)
-        power = np.full(n + 1, _MULTIPLIER, np.uint64)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * power[:-1], out=self.sums[1:])
-        self.back = np.full(n + 1, _INVERSE, np.uint64)
-        self.back[0] = 1
-        np.cumprod(self.back, out=self.back)
+        terms = _product(_folded(values), _POWERS.upto(len(values)))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        before = np.uint64(0)
+        for i in range(0, len(values), _PIECE):
+            part = terms[i : i + _PIECE]
+            # the upper half counts 2**32 each: what passes 2**61 comes back as ones
+            upper, lower = np.cumsum(part >> np.uint64(32)), np.cumsum(part & _LOW32)
+            lower += upper >> np.uint64(29)
+            upper &= _LOW29
+            upper <<= np.uint64(32)
+            upper += lower
+            upper += before
+            self.sums[i + 1 : i + 1 + len(part)] = part = _folded(upper)
+            before = part[-1]
+
+    @staticmethod
+    def _print(low: np.ndarray, high: np.ndarray, back: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = np.empty(len(low), np.uint64)
+        for i in range(0, len(low), _PIECE):
+            at = slice(i, i + _PIECE)
+            apart = high[at] + (_PRIME + _PRIME) - low[at]
+            raw = _least(_product(_folded(apart), back[at]))
+            out[at] = mix(raw + (length[at] if length.ndim else length) * np.uint64(0xD6E8FEB86659FD93))
+        return out
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        raw = (self.sums[stop] - self.sums[start]) * self.back[start]
-        return mix(raw + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        back = _BACK.upto(len(self.sums))[start]
+        return self._print(self.sums[start], self.sums[stop], back, (stop - start).astype(np.uint64))
 
     def fixed(self, width: int) -> np.ndarray:
         """Of every range of one width."""
-        raw = (self.sums[width:] - self.sums[:-width]) * self.back[: len(self.back) - width]
-        return mix(raw + np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64)))
+        back = _BACK.upto(len(self.sums) - width)
+        return self._print(self.sums[:-width], self.sums[width:], back, np.array(width, np.uint64))
 
 
 def byte_values(data: np.ndarray, seed: int = 1) -> np.ndarray:
