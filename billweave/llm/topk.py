@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from billweave.session import cut_lineage
@@ -23,38 +23,39 @@ from billweave.session import cut_lineage
 BLOCK_ROWS = 2048
 BUCKETS_PER_OCTAVE = 8
 COORDINATE_FROM = 0.7
-_LARGEST_SQUARE = float(1 << 62)
 _NO_BOUND = -(1 << 63)
 
 
 def integer_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id, ints, norm2. A vector takes no part if null, or with a null or non-finite component,
+    """vec_id, ints, norm2, one row per input row. A vector takes no part if null, or with a null or non-finite component;
 
-    or so long (a squared norm of 2**62) that products could leave the range of a long. One
-    row per id: of several vectors with one id the smallest counts. A null id takes no part.
+    a null id takes no part. Repeated ids are rows of their own. A component that leaves the range of a long is an error.
     """
     x = F.col(embedding)
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(2.0**54)))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * scale))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
+
+    def whole(v: Column) -> Column:
+        wide = v.cast("double") * scale
+        return F.when(F.abs(wide) < 2.0**63, F.floor(wide)).otherwise(F.raise_error(F.lit("a component leaves the range of a long")).cast("bigint"))
+
     square = F.aggregate("ints", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
-    usable = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & finite).select(F.col(vec_id).cast("long").alias("vec_id"), ints.alias("ints"))
-    one = usable.groupBy("vec_id").agg(F.min("ints").alias("ints"))
-    return one.withColumn("norm2", square).where(F.col("norm2") < _LARGEST_SQUARE)
+    usable = vectors.where(F.col(vec_id).isNotNull() & x.isNotNull() & finite)
+    return usable.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("ints")).withColumn("norm2", square)
 
 
 def _bucketed(vectors: DataFrame) -> DataFrame:
     """Bucket: an integer that grows with the norm; its exact bounds are taken from the rows."""
     level = F.when(F.col("norm2") > 0, F.floor(F.log2(F.col("norm2")) * (BUCKETS_PER_OCTAVE / 2))).otherwise(-1)
-    return vectors.select("vec_id", "ints", "norm2", F.size("ints").alias("dim"), level.cast("int").alias("bucket"))
+    return vectors.select("vec_id", F.monotonically_increasing_id().alias("row"), "ints", "norm2", F.size("ints").alias("dim"), level.cast("int").alias("bucket"))
 
 
 def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Blocks of rows of one key as binary matrices, longest vectors first; the rows of a key are spread over its blocks by id.
+    """Blocks of rows of one key as binary matrices, longest vectors first; the rows of a key are spread over its blocks by their numbers.
 
     ``theta``: the score each row must reach as a query; ``need``: the shortest vector that lets any of them.
     """
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts"))
-    salted = rows.join(counts, keys).withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.col("_parts")).cast("int"))
+    salted = rows.join(counts, keys).withColumn("_part", F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int"))
     schema = ", ".join(f"{k} int" for k in keys) + ", part int, n int, norm_to double, need double, ids binary, theta binary, vectors binary"
 
     def pack(table: pa.Table) -> pa.Table:
@@ -73,9 +74,16 @@ def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products: doubles while every sum stays below 2**53, long integers beyond."""
+    """Exact inner products: doubles while every sum stays below 2**53, then long integers, beyond them Python's own."""
     bound = float(np.sqrt((q.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0)))
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if bound < 2**52 else q @ x.T
+    if bound < 2**52:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return q @ x.T
+    exact = q.astype(object) @ x.T.astype(object)
+    if exact.size and (exact.max() >= 1 << 63 or exact.min() < -(1 << 63)):
+        raise ValueError("an inner product leaves the range of a long")
+    return exact.astype(np.int64)
 
 
 def search_block(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +154,8 @@ def _kept(scored: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 5, query_every: int = 50, block_rows: int = BLOCK_ROWS, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by ``query_every``.
 
-    Candidates are all rows of other ids with as many components. Ties go to the smaller id.
+    Candidates are all rows of other ids with as many components. Ties go to the smaller id. Rows that share an id are
+    candidates each, and one query together. A product that leaves the range of a long is an error.
     An empty table, or a query alone among vectors of its size, gives no rows.
     """
     rows = cut_lineage(_bucketed(integer_vectors(vectors, vec_id=vec_id, embedding=embedding, scale=scale)).withColumn("theta", F.lit(_NO_BOUND)))

@@ -91,20 +91,27 @@ def test_top_k_equals_all_products(spark, seed, block):
         scale = 2.0 ** r.randrange(-6, 4)
         base = axis if i % 3 == 0 else [0.0] * 6
         rows.append((i, [scale * (b + r.gauss(0, 0.1 if i % 3 == 0 else 1)) for b in base], i))
-    rows += [(400, None, 0), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (402, [float("nan")] * 6, 0), (403, [float("inf")] * 6, 0), (404, [1e30] * 6, 0)]
+    rows += [(400, None, 0), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (402, [float("nan")] * 6, 0), (403, [float("inf")] * 6, 0)]
     rows += [(450, [3.0, 4.0], 0), (451, [1.0, 1.0], 0), (500, [], 0), (550, [0.0] * 6, 0), (1, rows[1][1], 9), (None, rows[2][1], 0)]
+    # rows of one id with vectors of their own, one of them a query; vectors that are long, but whose products a long holds
+    rows += [(7, [9.0, -9.0, 3.0, 0.0, 1.0, 2.0], 0), (50, [-1.0, 2.0, 0.5, 0.0, -3.0, 1.0], 0), (600, [2.0**49, 1.0, -1.0], 0), (601, [1.0, 2.0**40, 3.0], 0), (602, [-1.0, 2.0**20, 2.0**43], 0)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), k=5, query_every=50, block_rows=block)
     import numpy as np
 
-    vectors = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(x) < 1e20 for x in v)}
+    vectors = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, a in vectors.items():
-        if q % 50 == 0:
-            scores = sorted(((-sum(x * y for x, y in zip(a, b)), c) for c, b in vectors.items() if c != q and len(a) == len(b)))[:5]
-            want += [(q, k, c, -s) for k, (s, c) in enumerate(scores, 1)]
+    for q in sorted({i for i, _ in vectors if i % 50 == 0}):
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), c) for i, a in vectors if i == q for c, b in vectors if c != q and len(a) == len(b))[:5]
+        want += [(q, k, c, -s) for k, (s, c) in enumerate(scores, 1)]
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("rows", [[(0, [1e30, 0.0]), (1, [1.0, 1.0])], [(0, [1e17, 0.0]), (1, [1e17, 2.0])]])
+def test_products_beyond_a_long_are_an_error(spark, rows):
+    with pytest.raises(Exception, match="leaves the range of a long"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -119,7 +126,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
