@@ -229,8 +229,8 @@ def contaminated_spans(
     """Documents with four more columns: ``_n_words``, ``_n_hit``, ``_spans`` and ``_items``.
 
     ``_spans``: merged word ranges [start, stop) inside an occurrence; ``_items``: ids (as
-    strings, sorted, distinct) of the items with an occurrence. Other columns pass through,
-    whatever their names. Null or empty text: no words. A null item_id counts for
+    strings, sorted, distinct) of the items with an occurrence. Other columns pass through; where the documents have a column of
+    one of these names, it is replaced (``decontaminated`` keeps it). Null or empty text: no words. A null item_id counts for
     spans and is not listed. Empty benchmark: no hits. Repeated rows are judged each.
     """
     names = [c for c in docs.columns if c not in ("_n_words", "_n_hit", "_spans", "_items")]
@@ -330,7 +330,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
     )
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    found = contaminated_spans(docs, benchmark, **options)
-    return found.where(~is_contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, unchanged, whatever their columns are called."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = contaminated_spans(docs.toDF(*names), benchmark, text=names[docs.columns.index(text)], **options)
+    return found.where(~is_contaminated()).select(*names).toDF(*docs.columns)

@@ -328,8 +328,9 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """The first document of every component, unchanged, and all without shingles; of rows with one id and text, one."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, width=width, percent=percent)
     per_row = found.groupBy("doc", "key").agg(F.count(F.lit(1)).alias("_n"), F.first("component").alias("_c"), F.first("n_shingles").alias("_s"))
-    kept = cut_lineage(per_row.where(F.struct("doc", "key") == F.col("_c")).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), ((F.col("_n") > 1) & (F.col("_s") > 0)).alias("_repeated")))
-    joined = docs.withColumns({"_doc": _doc(F.col(doc_id)), "_key": _key(F.col(text))}).join(kept.hint("shuffle_hash"), ["_doc", "_key"])
-    single = joined.where("not _repeated")
-    repeated = joined.where("_repeated").dropDuplicates(["_doc", "_key"])
-    return single.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut_lineage(per_row.where(F.struct("doc", "key") == F.col("_c")).select("doc", "key", ((F.col("_n") > 1) & (F.col("_s") > 0)).alias("repeated")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _doc(F.col(doc_id)).alias("doc"), _key(F.col(text)).alias("key"))
+    joined = whole.join(kept.hint("shuffle_hash"), ["doc", "key"])
+    single = joined.where("not repeated")
+    repeated = joined.where("repeated").dropDuplicates(["doc", "key"])
+    return single.unionByName(repeated).select("row.*")

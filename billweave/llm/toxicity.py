@@ -396,29 +396,31 @@ def _calibrate(counts: list[tuple[float, int, int]]) -> tuple[float, float]:
 # ---- scoring
 
 
-def with_scores(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """The documents with ``_score`` (0 to 1) and ``_n_hits``; a null text is an empty one."""
-    schema = docs.withColumns({"_score": F.lit(0.0), "_n_hits": F.lit(0).cast("long")}).schema
+def _scored(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """The documents' columns by number (c0, c1, ...), whatever they are called, with score (0 to 1) and n_hits; a null text is an empty one."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    numbered, body = docs.toDF(*names), names[docs.columns.index(text)]
+    schema = numbered.withColumns({"score": F.lit(0.0), "n_hits": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
-        for part in text_slices(batches, text):
+        for part in text_slices(batches, body):
             hits = hits_of(part, matcher)
             score = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.intercept + model.slope * window_score(h, model))))) for h in hits]
             added = [pa.array(score, pa.float64()), pa.array([len(h) for h in hits], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.rows.columns, *added], names=[*part.rows.schema.names, "_score", "_n_hits"])
+            yield pa.RecordBatch.from_arrays([*part.rows.columns, *added], names=[*names, "score", "n_hits"])
 
-    return docs.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, n_hits. Repeated rows are scored each."""
     model = learn(docs, labels, sample_rows=sample_rows)
-    scored = with_scores(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_n_hits").alias("n_hits"))
+    scored = _scored(docs.select("doc_id", "text"), model, "text").withColumnRenamed("c0", "doc_id")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that score below the threshold, unchanged."""
     model = learn(docs, labels, sample_rows=sample_rows)
-    return with_scores(docs, model).where(F.col("_score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _scored(docs, model, "text").where(F.col("score") < threshold).drop("score", "n_hits").toDF(*docs.columns)
