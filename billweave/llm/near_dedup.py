@@ -13,7 +13,7 @@ probability of a few in a million.
    one link a member: copies of one text are more like that text than like each other.
 2. Lists that lie within one component by then are skipped. In the others all members of
    different components are compared, in blocks and by many more coordinates, and pairs with
-   enough matches are confirmed too.
+   enough matches are confirmed too. In lists of more than ``LONG_LIST`` members the full sets meet at once.
 
 Components come from the confirmed links by alternating stars. Links, lists and sets stay in
 tables; first classes and list sizes are found by map-side combined aggregates.
@@ -34,6 +34,7 @@ PERCENT = 75
 COORDINATES, POSTED, LEAST_MATCHES = 512, 10, 338
 SHORT, LEAST_SHORT_MATCHES, CENTRE_SAMPLE = 48, 22, 48
 BLOCK = 2_000
+LONG_LIST, BLOCK_SHINGLES = 256, 2_000_000
 PIVOT_SHARE = 5_000
 _LAST = (1 << 63) - 1
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -148,16 +149,24 @@ def first_candidates(postings: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.min(order).alias("best")).select("node", F.col("best.target").alias("target"))
 
 
-def second_candidates(postings: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
-    """node, target: all pairs of one list, of different components and with enough matches."""
-    placed = postings.select("list", "node").join(components, "node")
-    lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b")
-    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
-    members = placed.join(lists.select("list", blocks.alias("_blocks")), "list").join(classes.select("node", "posted", "sketch"), "node")
-    open_ = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    # a member of a list of several blocks goes to every pair of blocks that has its own
+def open_lists(postings: DataFrame, classes: DataFrame, components: DataFrame) -> DataFrame:
+    """The lists with members of more than one component: list, members, shingles (of all their sets)."""
+    placed = postings.select("list", "node").join(components, "node").join(classes.select("node", "n"), "node")
+    lists = placed.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+    return lists.where("_a < _b").select("list", "members", "shingles")
+
+
+def _dealt(members: DataFrame, blocks: Column, *columns: str) -> DataFrame:
+    """Members of lists of several blocks, each to every pair of blocks that has its own."""
+    own = members.withColumn("_blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    dealt = open_.withColumn("_with", partner).select("list", F.least("own", "_with").alias("one"), F.greatest("own", "_with").alias("two"), "own", "node", "component", "posted", "sketch")
+    return own.withColumn("_with", partner).select("list", F.least("own", "_with").alias("one"), F.greatest("own", "_with").alias("two"), "own", "node", "component", *columns)
+
+
+def second_candidates(postings: DataFrame, classes: DataFrame, components: DataFrame, lists: DataFrame) -> DataFrame:
+    """node, target: all pairs of one list (of those given), of different components and with enough matches."""
+    members = postings.select("list", "node").join(lists, "list").join(components, "node").join(classes.select("node", "posted", "sketch"), "node")
+    dealt = _dealt(members, F.ceil(F.col("members") / BLOCK), "posted", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -204,6 +213,90 @@ def second_candidates(postings: DataFrame, classes: DataFrame, components: DataF
     return pairs.select(F.greatest("p", "q").alias("node"), F.least("p", "q").alias("target")).where(F.col("node") != F.col("target")).distinct()
 
 
+def long_list_links(docs: DataFrame, postings: DataFrame, classes: DataFrame, components: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, target: links between components inside long lists, by full sets.
+
+    In a long list even pairs that only might be similar are too many to be told. Here the sets themselves meet, in blocks of at most
+    ``BLOCK_SHINGLES`` shingles; a block counts the shingles a member shares with all members of other
+    components at once, joins components as it finds links, and tells the links that joined two: fewer than it has members.
+    """
+    members = postings.select("list", "node").join(lists, "list").join(components, "node").join(classes.select("node", "posted"), "node")
+    needed = members.select(F.col("node.doc").alias("doc"), F.col("node.key").alias("key")).distinct()
+    texts = docs.select("doc", "key", "text").join(needed.hint("shuffle_hash"), ["doc", "key"])
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            prints, at = shingle_sets(part.data, part.offsets, width)
+            node = pa.StructArray.from_arrays([part.rows.column("doc"), part.rows.column("key")], names=["doc", "key"])
+            yield pa.RecordBatch.from_arrays([node, pa.array([prints[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["node", "prints"])
+
+    sets = texts.mapInArrow(to_sets, f"node {_NODE}, prints binary").groupBy("node").agg(F.first("prints").alias("prints"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    dealt = _dealt(members.join(sets, "node"), blocks, "posted", "prints")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, ("list", "one", "two")):
+            links = _joining_links(rows, percent)
+            if len(links):
+                node = rows.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(links[:, k])) for k in range(2)], names=["p", "q"])
+
+    found = dealt.repartition("list", "one", "two").sortWithinPartitions("list", "one", "two").mapInArrow(run, f"p {_NODE}, q {_NODE}")
+    return found.select(F.greatest("p", "q").alias("node"), F.least("p", "q").alias("target")).distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Neighbouring rows of one key, one group at a time, out of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and tuple(key[:, a]) != name:
+                yield pa.Table.from_batches(held)
+                held = []
+            name = tuple(key[:, a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joining_links(rows: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of rows whose sets are similar enough and whose components were apart until then."""
+    part = rows.column("component").combine_chunks()
+    _, group = np.unique(np.stack([part.field("doc").to_numpy(), part.field("key").to_numpy().astype(np.int64)]), axis=1, return_inverse=True)
+    group = group.reshape(-1)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("prints").combine_chunks()]
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate(([0], np.cumsum(size)))
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.reshape(-1)
+    row_of = np.repeat(np.arange(len(sets)), size)
+    posted = np.frombuffer(b"".join(rows.column("posted").to_pylist()), np.uint32).reshape(-1, POSTED)
+    coordinate, own = rows.column("list")[0].as_py() >> 32, rows.column("own").to_numpy()
+    one, two = rows.column("one")[0].as_py(), rows.column("two")[0].as_py()
+    mark, links = np.zeros(len(vocabulary), bool), []
+    for i in np.flatnonzero(own == one).tolist():
+        others = (own == two) & (group != group[i])
+        # a pair is looked at in the first list it has in common
+        others &= (posted == posted[i]).argmax(axis=1) == coordinate
+        if one == two:
+            others[: i + 1] = False
+        if not others.any():
+            continue
+        mark[ids[at[i] : at[i + 1]]] = True
+        common = np.bincount(row_of[mark[ids]], minlength=len(sets))
+        mark[ids[at[i] : at[i + 1]]] = False
+        for j in np.flatnonzero(others & (100 * common >= percent * (size + size[i] - common))).tolist():
+            if group[i] != group[j]:
+                links.append((i, j))
+                group[group == group[j]] = group[i]
+    return np.array(links, np.int64).reshape(-1, 2)
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (node, target) whose full sets are similar enough.
 
@@ -278,18 +371,27 @@ def _component_of(classes: DataFrame, first: DataFrame) -> DataFrame:
     return classes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row: doc, key (the row's node), n_shingles, component (the smallest node reachable)."""
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT, long_list: int | None = None) -> DataFrame:
+    """One row per row: doc, key (the row's node), n_shingles, component (the smallest node reachable).
+
+    ``long_list`` (``LONG_LIST``): members from which on a list's pairs are not told, but joined where its sets meet; no link is lost either way.
+    """
     keyed = keyed_documents(docs, doc_id, text)
     rows = cut_lineage(sketches(keyed, width).withColumn("node", F.struct("doc", "key")))
-    classes = cut_lineage(rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("node", "posted", "sketch")).alias("_c")).select("s1", "s2", "_c.node", "_c.posted", "_c.sketch"))
+    classes = cut_lineage(rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("node", "n", "posted", "sketch")).alias("_c")).select("s1", "s2", "_c.node", "_c.n", "_c.posted", "_c.sketch"))
     postings = _postings(classes)
     first = cut_lineage(first_candidates(postings))
     links = cut_lineage(confirmed(keyed, first, width, percent))
     components = cut_lineage(_component_of(classes, star_components(links)))
-    second = cut_lineage(second_candidates(postings, classes, components))
-    if second.limit(1).count():
-        more = cut_lineage(confirmed(keyed, second, width, percent))
+    lists = cut_lineage(open_lists(postings, classes, components))
+    long_list = LONG_LIST if long_list is None else long_list
+    long = lists.where(F.col("members") > long_list)
+    second = cut_lineage(second_candidates(postings, classes, components, lists.where(F.col("members") <= long_list)))
+    found = [confirmed(keyed, second, width, percent)] if second.limit(1).count() else []
+    if long.limit(1).count():
+        found.append(long_list_links(keyed, postings, classes, components, long, width, percent))
+    if found:
+        more = cut_lineage(found[0] if len(found) == 1 else found[0].unionByName(found[1]))
         of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
         between = more.join(of("node"), "node").join(of("target"), "target").select(F.col("_node").alias("node"), F.col("_target").alias("target"))
         merged = star_components(between).select(F.col("node").alias("component"), F.col("component").alias("_root"))

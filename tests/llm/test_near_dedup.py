@@ -83,6 +83,28 @@ def test_lists_of_several_blocks_and_shares(spark, monkeypatch):
     assert report(spark, docs) == expected(docs)
 
 
+@pytest.mark.parametrize("shingles", [150, 2_000_000])
+def test_long_lists_meet_by_their_sets(spark, monkeypatch, shingles):
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    for seed in (1, 11):
+        docs = corpus(seed)
+        assert report(spark, docs) == expected(docs)
+
+
+def test_many_copies_just_below_the_threshold(spark):
+    """Copies of one text that are less alike than linked ones: no pair of them leaves a task, the few links do."""
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for n in range(300):
+        words = list(base)
+        for k in range(2 if n % 60 == 0 else 4):
+            words[r.randrange(5, 115)] = f"x{n}-{k}"
+        docs.append((n, " ".join(words)))
+    assert report(spark, docs) == expected(docs)
+
+
 def test_second_round_finds_what_first_classes_do_not(spark):
     """Two lists' first class is unlike both members of a similar pair."""
     base = [f"w{i}" for i in range(100)]
