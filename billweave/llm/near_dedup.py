@@ -34,7 +34,7 @@ PERCENT = 75
 COORDINATES, POSTED, LEAST_MATCHES = 512, 10, 338
 SHORT, LEAST_SHORT_MATCHES, CENTRE_SAMPLE = 48, 22, 48
 BLOCK = 2_000
-LONG_LIST, BLOCK_SHINGLES = 256, 2_000_000
+LONG_LIST, BLOCK_SHINGLES = 256, 500_000
 PIVOT_SHARE = 5_000
 _LAST = (1 << 63) - 1
 _ODD = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
