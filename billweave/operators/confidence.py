@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from billweave import fixed
-from billweave.functions.grounding import grounds_date, grounds_money, grounds_name, grounds_token
+from billweave.functions.grounding import Printed, grounds_date, grounds_money, grounds_name, grounds_token, printed_in
 from billweave.functions.text import collapse
 
 _TEXT_FIELDS = ("invoiceNumber",)
@@ -30,11 +30,11 @@ def add_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     return joined.withColumn("validation_flags", F.concat("validation_flags", compared)).drop("second")
 
 
-def _is_grounded(field: str, text: Column, value: Column) -> Column:
+def _is_grounded(field: str, text: Column, value: Column, printed: Printed) -> Column:
     if field in fixed.MONEY_FIELDS:
-        return grounds_money(text, value)
+        return grounds_money(text, value, printed)
     if field in ("invoiceDate", "dueDate"):
-        return grounds_date(text, value)
+        return grounds_date(text, value, printed)
     if field == "vendor":
         return grounds_name(text, value)
     if field == "suggestedCategory":
@@ -52,12 +52,14 @@ def _condemns(field: str):
     return test
 
 
-def field_confidence(source_text: Column, self_report: Column | None = None) -> Column:
+def field_confidence(source_text: Column, self_report: Column | None = None, printed: Printed | None = None) -> Column:
     """MAP field -> flagged / low / high for the typed bill columns of a row.
 
     A failed check outranks everything and shows even without a value; then a
-    disagreement; then the source text; then the model's own report, else low.
+    disagreement; then the source text; then the model's own report, else low. ``printed``: columns with
+    what ``printed_in`` found in the text, so that it is read once for all fields.
     """
+    printed = printed or printed_in(source_text)
     flags = F.coalesce(F.col("validation_flags"), F.array().cast("array<string>"))
     bad_sum = F.array_contains(flags, fixed.ARITHMETIC_FLAG)
     entries = []
@@ -71,7 +73,7 @@ def field_confidence(source_text: Column, self_report: Column | None = None) ->
             F.when(condemned, "flagged")
             .when(value.isNull(), F.lit(None))
             .when(F.array_contains(flags, fixed.AGREEMENT_PREFIX + field), "low")
-            .when(_is_grounded(field, source_text, value), "high")
+            .when(_is_grounded(field, source_text, value, printed), "high")
             .otherwise(reported)
         )
         entries.append(F.struct(F.lit(field).alias("key"), level.alias("value")))
@@ -83,7 +85,11 @@ def score_bills(bills: DataFrame, texts: DataFrame) -> DataFrame:
     joined = bills.join(texts.select("file_hash", "reference_text"), "file_hash", "left").withColumn(
         "_text", collapse(F.coalesce("reference_text", F.lit("")))
     )
-    return joined.withColumn("field_confidence", field_confidence(F.col("_text"))).drop("_text", "reference_text")
+    found = printed_in(F.col("_text"))
+    joined = joined.withColumns({"_charges": found.charges, "_credits": found.credits, "_dates": found.dates})
+    printed = Printed(F.col("_charges"), F.col("_credits"), F.col("_dates"))
+    level = field_confidence(F.col("_text"), printed=printed)
+    return joined.withColumn("field_confidence", level).drop("_text", "_charges", "_credits", "_dates", "reference_text")
 
 
 def flagged_fields() -> Column:
