@@ -22,17 +22,31 @@ _LAYOUTS = (
 )
 
 
+_READ = r"^={1,2}([1-9][0-9]{3}-[0-9]{1,2}-[0-9]{1,2})\z"
+
+
 def printed_to_date(raw: Column) -> Column:
     """DATE of a printed date, null when absent or unreadable.
 
-    Numeric dates are month-first unless the first number cannot be a month.
+    Numeric dates are month-first unless the first number cannot be a month. Dates that
+    are written year first are read as they are, and named months are only looked for where there are letters.
     """
+    trimmed = trim_all(raw)
+    return F.when(F.rlike(trimmed, F.lit(r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}\z")), trimmed.try_cast("date")).otherwise(_any_to_date(raw))
+
+
+def _any_to_date(raw: Column) -> Column:
     text = F.translate(F.lower(trim_all(raw)), "=", "?")
     for pattern, layout in _LAYOUTS:
         text = F.regexp_replace(text, pattern, layout)
+    numeric = F.regexp_extract(text, _READ, 1)
+    return F.when(F.rlike(text, F.lit(r"^=[^a-z]*\z")), numeric.try_cast("date")).otherwise(_named_to_date(text))
+
+
+def _named_to_date(text: Column) -> Column:
     for number, name in enumerate(_SHORT, 1):
         text = F.replace(text, F.lit(f"-{name}-"), F.lit(f"-{number}-"))
-    return F.regexp_extract(text, r"^={1,2}([1-9][0-9]{3}-[0-9]{1,2}-[0-9]{1,2})\z", 1).try_cast("date")
+    return F.regexp_extract(text, _READ, 1).try_cast("date")
 
 
 def date_is_flagged(raw: Column) -> Column:

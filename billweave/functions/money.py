@@ -35,13 +35,23 @@ def _whole_number(digits: Column) -> Column:
     return F.regexp_replace(digits, _TOO_LARGE, "").try_cast("bigint")
 
 
+# what most amounts look like: nothing to decide about marks, signs or range
+_PLAIN = r"^\$?(?:[0-9]{1,12}|[0-9]{1,3}(?:,[0-9]{3}){1,3})\.[0-9]{2}\z"
+
+
 def printed_to_cents(raw: Column) -> Column:
     """Integer cents of a printed amount, or null when it carries no readable number.
 
-    Extra decimals are cut, never rounded. One pass of rewrites, each reading the
-    previous text once, which keeps the generated code small.
+    Extra decimals are cut, never rounded. Plain amounts are only stripped of their marks.
     """
     trimmed = trim_all(raw)
+    plain = F.translate(trimmed, "$,.", "").cast("bigint")
+    return F.when(F.rlike(trimmed, F.lit(_PLAIN)), plain).otherwise(_any_to_cents(raw))
+
+
+def _any_to_cents(raw: Column) -> Column:
+    """One pass of rewrites, each reading the previous text once, which keeps the generated code small."""
+    trimmed = trim_all(raw)
     number = F.regexp_replace(F.regexp_replace(trimmed, r"[^0-9.,]", ""), r"[.,]+\z", "")
     marked = F.translate(F.regexp_replace(number, _DECIMAL, "$1$2d$3"), ".,", "")
     marked = F.regexp_replace(F.regexp_replace(marked, r"^([0-9]+)\z", "$1d"), r"^\z", "none")
