@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from billweave import fixed
 from billweave.functions import names
 from billweave.operators import reconcile, reference
 from billweave.plans.intake import by_case
@@ -244,7 +245,27 @@ def name_tokens(t):
     return t.part.select("p_partkey", F.explode(words).alias("word")).groupBy("p_partkey", "word").agg(F.count("*").alias("copies"))
 
 
-@query("jaro_winkler")
+def _jaro_winkler_sql(pairs: str, name: str) -> str:
+    """CTEs that give ``name``(a, b, score) for the rows of ``pairs``(a, b), letter by letter.
+
+    ``hit``: for each letter of a the place in b it is matched with, the first free one in reach, or 0.
+    """
+    reach = "greatest(0, greatest(len(a), len(b)) // 2 - 1)"
+    prefix = f"list_max(list_filter(range({fixed.WINKLER_PREFIX + 1}), lambda k: k <= least(len(a), len(b)) AND a[1:k] = b[1:k]))"
+    return f"""{name}_1 AS (SELECT a, b, list_reduce([[]::BIGINT[]] || list_transform(range(1, len(a) + 1), lambda i: [i]), lambda done, i: done || [coalesce(list_filter(
+      range(greatest(1, i[1] - {reach}), least(len(b), i[1] + {reach}) + 1), lambda j: b[j] = a[i[1]] AND NOT list_contains(done, j))[1], 0)]) AS hit FROM {pairs}),
+{name}_2 AS (SELECT a, b, list_transform(list_filter(range(1, len(a) + 1), lambda i: hit[i] > 0), lambda i: a[i]) AS mine, list_transform(list_sort(list_filter(hit, lambda j: j > 0)), lambda j: b[j]) AS theirs FROM {name}_1),
+{name}_3 AS (SELECT a, b, len(mine) AS m, len(list_filter(range(1, len(mine) + 1), lambda k: mine[k] <> theirs[k])) AS crossed, {prefix} AS same FROM {name}_2),
+{name}_4 AS (SELECT *, CASE WHEN m = 0 THEN 0.0::DOUBLE ELSE (m::DOUBLE / len(a) + m::DOUBLE / len(b) + (m - crossed::DOUBLE / 2) / m) / 3 END AS jaro FROM {name}_3),
+{name} AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN jaro < {fixed.WINKLER_FLOOR}::DOUBLE THEN jaro ELSE jaro + same * {fixed.WINKLER_SCALE}::DOUBLE * (1 - jaro) END AS score FROM {name}_4)"""
+
+
+@query(
+    "jaro_winkler",
+    f"""WITH p AS (SELECT DISTINCT x.p_name AS a, y.p_name AS b FROM lineitem l JOIN lineitem r ON r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber + 1
+      JOIN part x ON x.p_partkey = l.l_partkey JOIN part y ON y.p_partkey = r.l_partkey),
+    {_jaro_winkler_sql("p", "w")} SELECT a AS p_name, b AS other, score FROM w""",
+)
 def jaro_winkler(t):
     """Scores of the distinct pairs of names that stand in neighbouring lines of an order."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
@@ -253,6 +274,33 @@ def jaro_winkler(t):
     return pairs.withColumn("score", names.jaro_winkler("p_name", "other"))
 
 
+@query(
+    "token_set_score",
+    f"""WITH p AS (SELECT DISTINCT x.p_name || ' ' || x.p_brand AS a, y.p_brand || ' ' || y.p_name AS b FROM lineitem l JOIN lineitem r ON r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber + 1
+      JOIN part x ON x.p_partkey = l.l_partkey JOIN part y ON y.p_partkey = r.l_partkey),
+    s AS (SELECT a, b, list_distinct(string_split(lower(a), ' ')) AS aw, list_distinct(string_split(lower(b), ' ')) AS bw FROM p),
+    v AS (SELECT DISTINCT x AS a, y AS b FROM (SELECT unnest(aw) AS x, bw FROM s), unnest(bw) u(y)), {_jaro_winkler_sql("v", "vw")},
+    g AS (SELECT s.a, s.b, len(aw) + len(bw) AS n, list({{'total': 0.0::DOUBLE, 'mine': []::VARCHAR[], 'theirs': []::VARCHAR[], 'word': vw.a, 'similar': vw.b, 'weight': score}}
+        ORDER BY score DESC, least(vw.a, vw.b), greatest(vw.a, vw.b), vw.a, vw.b) AS pairs
+      FROM s JOIN vw ON list_contains(aw, vw.a) AND list_contains(bw, vw.b) AND score >= {fixed.TOKEN_MATCH_FLOOR} GROUP BY 1, 2, 3),
+    o AS (SELECT a, b, 2 * list_reduce([{{'total': 0.0::DOUBLE, 'mine': []::VARCHAR[], 'theirs': []::VARCHAR[], 'word': '', 'similar': '', 'weight': 0.0::DOUBLE}}] || pairs, lambda done, p: CASE
+      WHEN list_contains(done.mine, p.word) OR list_contains(done.theirs, p.similar) THEN done
+      ELSE {{'total': done.total + p.weight, 'mine': done.mine || [p.word], 'theirs': done.theirs || [p.similar], 'word': p.word, 'similar': p.similar, 'weight': p.weight}} END).total / n AS overlap FROM g)
+    SELECT a, b, coalesce(overlap, 0.0::DOUBLE) AS score FROM p LEFT JOIN o USING (a, b)""",
+)
+def token_set_score(t):
+    """Word overlap of names that stand in neighbouring lines of an order, similar words counting as far as they are alike."""
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.concat_ws(" ", "p_brand", "p_name").alias("b"))
+    pairs = lines.select("l_orderkey", "l_linenumber", F.concat_ws(" ", "p_name", "p_brand").alias("a")).join(after, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+    pairs = pairs.withColumns({"aw": names.words_of(F.lower("a")), "bw": names.words_of(F.lower("b"))})
+    soft = reconcile.similar_words(pairs.select(F.explode("aw").alias("word")).distinct(), pairs.select(F.explode("bw").alias("word")).distinct())
+    found = pairs.select("a", "b", "bw", F.explode("aw").alias("word")).join(soft, "word").filter(F.array_contains("bw", F.col("similar")))
+    met = found.groupBy("a", "b").agg(F.collect_list(F.struct("word", "similar", "weight")).alias("met"))
+    score = names.word_overlap(F.col("met"), F.col("aw"), F.col("bw"))
+    return pairs.join(met, ["a", "b"], "left").select("a", "b", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 # --- matching ------------------------------------------------------------------
 def vendor_reference(t):
     """Vendors named after what they sell and where: part name, nation and brand."""
@@ -308,14 +356,63 @@ def printed_vendors(t):
     )
 
 
-@query("match_vendor")
+_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+_FORMS = ", ".join(f"'{w}'" for w in fixed.COMPANY_FORM_WORDS)
+
+
+def _normal_sql(texts: str, name: str) -> str:
+    """CTEs that give ``name``(text, norm) for the plain texts of ``texts``(text)."""
+    return f"""{name}_1 AS (SELECT DISTINCT text, list_filter(string_split(regexp_replace(replace(lower(text), '&', ' and '), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM {texts}),
+{name}_2 AS (SELECT text, ws, list_filter(ws, lambda w: w NOT IN ({_FORMS})) AS kept FROM {name}_1),
+{name} AS (SELECT text, array_to_string(CASE WHEN len(kept) > 0 THEN kept ELSE ws END, ' ') AS norm FROM {name}_2)"""
+
+
+def _ranked_sql(asked: str, offered: str, kind: str = "v") -> str:
+    """CTEs that end with ``<kind>_ranked``: the five best options (id, name, text) of ``offered`` for each text of ``asked``.
+
+    Words are weighed once, every two of both vocabularies; names that share no similar word stay below the
+    floor, as letters alone reach it for equal names only. Pairs of words are made heaviest first, each word once.
+    """
+    words = "list_distinct(string_split(norm, ' '))"
+    return f"""{_normal_sql(asked, f"{kind}_qn")}, {_normal_sql(f"(SELECT text FROM {offered})", f"{kind}_pn")},
+{kind}_qw AS (SELECT DISTINCT norm, {words} AS ws FROM {kind}_qn WHERE norm <> ''), {kind}_ow AS (SELECT DISTINCT norm, {words} AS ws FROM {kind}_pn WHERE norm <> ''),
+{kind}_v AS (SELECT x.a, y.b FROM (SELECT DISTINCT unnest(ws) AS a FROM {kind}_qw) x CROSS JOIN (SELECT DISTINCT unnest(ws) AS b FROM {kind}_ow) y),
+{_jaro_winkler_sql(f"{kind}_v", f"{kind}_vw")},
+{kind}_met AS (SELECT q.norm AS a, o.norm AS b, len(q.ws) + len(o.ws) AS n, list({{'total': 0.0::DOUBLE, 'mine': []::VARCHAR[], 'theirs': []::VARCHAR[], 'word': {kind}_vw.a, 'similar': {kind}_vw.b, 'weight': score}}
+    ORDER BY score DESC, least({kind}_vw.a, {kind}_vw.b), greatest({kind}_vw.a, {kind}_vw.b), {kind}_vw.a, {kind}_vw.b) AS pairs
+  FROM (SELECT norm, ws, unnest(ws) AS word FROM {kind}_qw) q JOIN {kind}_vw ON {kind}_vw.a = q.word AND score >= {fixed.TOKEN_MATCH_FLOOR} JOIN (SELECT norm, ws, unnest(ws) AS word FROM {kind}_ow) o ON o.word = {kind}_vw.b GROUP BY 1, 2, 3),
+{kind}_made AS (SELECT a, b, 2 * list_reduce([{{'total': 0.0::DOUBLE, 'mine': []::VARCHAR[], 'theirs': []::VARCHAR[], 'word': '', 'similar': '', 'weight': 0.0::DOUBLE}}] || pairs, lambda done, p: CASE
+    WHEN list_contains(done.mine, p.word) OR list_contains(done.theirs, p.similar) THEN done
+    ELSE {{'total': done.total + p.weight, 'mine': done.mine || [p.word], 'theirs': done.theirs || [p.similar], 'word': p.word, 'similar': p.similar, 'weight': p.weight}} END).total / n AS overlap FROM {kind}_met),
+{kind}_hope AS (SELECT a, b, overlap FROM {kind}_made WHERE {fixed.TOKEN_WEIGHT} * overlap + {fixed.CHARACTER_WEIGHT} >= {fixed.CANDIDATE_FLOOR} - 0.0001),
+{_jaro_winkler_sql(f"{kind}_hope", f"{kind}_hw")},
+{kind}_scored AS (SELECT a, b, floor(CASE WHEN a = b THEN 1.0 ELSE least(1.0, greatest(0.0, {fixed.TOKEN_WEIGHT}::DOUBLE * overlap + {fixed.CHARACTER_WEIGHT}::DOUBLE * score)) END * 10000 + 0.5) / 10000 AS score FROM {kind}_hope JOIN {kind}_hw USING (a, b)),
+{kind}_ranked AS (SELECT {kind}_qn.text AS query, row_number() OVER (PARTITION BY {kind}_qn.text ORDER BY score DESC, o.name, o.id)::INTEGER AS candidate_rank, o.id, o.name, score
+  FROM {kind}_scored JOIN {kind}_qn ON {kind}_qn.norm = a JOIN {kind}_pn ON {kind}_pn.norm = b JOIN {offered} o ON o.text = {kind}_pn.text WHERE score >= {fixed.CANDIDATE_FLOOR} QUALIFY candidate_rank <= {fixed.MAX_CANDIDATES})"""
+
+
+_TIER_SQL = f"""CASE WHEN max(score) < {fixed.SUGGEST_FLOOR} THEN 'none' WHEN max(score) >= {fixed.AUTO_SCORE} AND (count(*) = 1 OR max(score) - max(score) FILTER (candidate_rank = 2) >= {fixed.AUTO_MARGIN}::DOUBLE) THEN 'auto' ELSE 'suggested' END"""
+_VENDORS_SQL = f"""sold AS (SELECT l_suppkey, min(l_partkey) AS partkey FROM lineitem GROUP BY 1),
+vendors AS (SELECT l_suppkey, s_nationkey % 7 <> 3 AS active, {_TITLE.format("concat_ws(' ', p_name, r_name, p_type, replace(p_brand, '#', ' '))")} AS name
+  FROM sold JOIN part ON p_partkey = partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey),
+printed AS (SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 1 THEN name WHEN l_linenumber = 2 THEN upper(name) || ', L.L.C' WHEN l_linenumber = 3 THEN regexp_replace(name, ' [^ ]+ [^ ]+$', ' Co.')
+  WHEN l_linenumber = 4 THEN regexp_replace(name, '([aeiou])([a-z])', '\\2\\1', 'g') WHEN l_linenumber = 5 THEN 'Quality Craft Tools ' || l_returnflag ELSE name || ' Supplies Inc' END AS query FROM lineitem JOIN vendors USING (l_suppkey)),
+asked AS (SELECT DISTINCT query AS text FROM printed), offered AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, name, name AS text FROM vendors WHERE active),
+{_ranked_sql("asked", "offered")}"""
+
+
+@query("match_vendor", f"WITH {_VENDORS_SQL} SELECT 'r1' AS realm_id, query, candidate_rank, id AS option_id, name AS option_name, score FROM v_ranked")
 def match_vendor(t):
     """Ranked vendor candidates of every distinct printed name."""
     asked = printed_vendors(t).select(F.lit("r1").alias("realm_id"), "query")
     return reconcile.rank_candidates(asked, reconcile.vendor_options(vendor_reference(t)))
 
 
-@query("match_tier")
+@query(
+    "match_tier",
+    f"""WITH {_VENDORS_SQL}, t AS (SELECT query, {_TIER_SQL} AS level, max(id) FILTER (candidate_rank = 1) AS best FROM v_ranked GROUP BY 1)
+    SELECT coalesce(level, 'none') AS confidence, CASE WHEN level <> 'none' THEN best END IS NOT DISTINCT FROM CAST(l_suppkey AS VARCHAR) AS "right", count(*) AS lines FROM printed LEFT JOIN t USING (query) GROUP BY 1, 2""",
+)
 def match_tier(t):
     """Lines per match tier and whether the answer is the true vendor."""
     lines = printed_vendors(t)
@@ -329,13 +426,25 @@ def match_tier(t):
     )
 
 
-@query("match_batch")
+_ANSWER_SQL = f"""SELECT query, {_TIER_SQL} AS level, max(id) FILTER (candidate_rank = 1) AS best FROM {{0}} GROUP BY 1"""
+
+
+@query(
+    "match_batch",
+    f"""WITH {_VENDORS_SQL}, parsed AS (SELECT l_orderkey, first(query ORDER BY l_linenumber, query) AS vendor, min('small ' || lower(query)) AS category FROM printed GROUP BY 1),
+    leaves AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS id, p_type || ':' || p_name AS name, p_name AS text FROM part WHERE p_type <> 'PROMO' GROUP BY p_type, p_name),
+    small AS (SELECT DISTINCT category AS text FROM parsed), {_ranked_sql("small", "leaves", "c")},
+    va AS ({_ANSWER_SQL.format("v_ranked")}), ca AS ({_ANSWER_SQL.format("c_ranked")})
+    SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS file_hash, CASE WHEN va.level <> 'none' THEN va.best END AS vendor_selected_id, coalesce(va.level, 'none') AS vendor_confidence,
+      CASE WHEN ca.level <> 'none' THEN ca.best END AS category_selected_id, coalesce(ca.level, 'none') AS category_confidence, CAST(NULL AS VARCHAR) AS error
+    FROM orders LEFT JOIN parsed ON l_orderkey = o_orderkey LEFT JOIN va ON va.query = vendor LEFT JOIN ca ON ca.query = category""",
+)
 def match_batch(t):
     """Vendor and category answer per order, through the parse table."""
     parsed = (
         printed_vendors(t)
         .groupBy(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("file_hash"))
-        .agg(F.min_by("query", "l_linenumber").alias("vendor"), F.min(F.concat(F.lit("small "), F.lower("query"))).alias("suggested_category"))
+        .agg(F.min_by("query", F.struct("l_linenumber", "query")).alias("vendor"), F.min(F.concat(F.lit("small "), F.lower("query"))).alias("suggested_category"))
         .withColumn("schema_version", F.lit(2))
     )
     hashes = t.orders.select(F.lit("r1").alias("realm_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"))
