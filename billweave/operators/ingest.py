@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from billweave import fixed
 from billweave.functions.text import SPACE, trim_all
 from billweave.operators.joins import left_join_sparse
-from billweave.session import cut_lineage
 
 LOADED = "loaded"
 DUPLICATE_IN_BATCH = "duplicate-in-batch"
@@ -281,21 +280,37 @@ def _counted(name: Column, number: Column) -> Column:
     return F.concat(_stem(name), F.lit(" ("), number.cast("string"), F.lit(")"), _extension(name))
 
 
-def _take_numbers(family: pd.DataFrame) -> pd.DataFrame:
-    """Walk one wanted name's arrivals in order; a family is at most 999 of each kind of row."""
-    blocked = {int(n): at for n, at in zip(family["n"], family["at"]) if n > 0}  # number -> taken from this arrival on
-    arrivals = sorted(int(at) for n, at in zip(family["n"], family["at"]) if n == 0)
-    got, mine = [], set()
-    for at in arrivals:
-        for n in range(1, fixed.COLLISION_LAST_NUMBER + 1):
-            if n not in mine and blocked.get(n, at) >= at:
+def _root(name: Column) -> Column:
+    """A name without any of its counters: ``a (2) (3).pdf`` -> ``a.pdf``."""
+    return F.concat(F.regexp_replace(_stem(name), r"(?s)^(.+?)(?: \((?:[2-9]|[1-9][0-9]{1,2})\))+\z", "$1"), _extension(name))
+
+
+def _walk_family(family: pd.DataFrame) -> pd.DataFrame:
+    """Numbers for the arrivals of all names that are counted forms of one root, plain names before their numbered forms.
+
+    Rows: n = 0 is an arrival, n > 0 a number that is taken from ``at`` on; ``level`` counts a name's counters and
+    ``head`` and ``tail`` are what stands before and behind a further one. A name has 999 of each kind at most.
+    """
+    given: dict[str, int] = {}  # names an arrival got with a number, and when
+    got = []
+    for _, names in family.groupby("level", sort=True):
+        for desired, rows in names.groupby("desired", sort=False):
+            blocked: dict[int, int] = {}
+            for n, at in zip(rows["n"], rows["at"]):
+                if n > 0:
+                    blocked[n] = min(at, blocked.get(n, at))
+            if desired in given:
+                blocked[1] = min(given[desired], blocked.get(1, given[desired]))
+            head, tail, mine = rows["head"].iloc[0], rows["tail"].iloc[0], set()
+            for at in sorted(int(at) for n, at in zip(rows["n"], rows["at"]) if n == 0):
+                n = next((n for n in range(1, fixed.COLLISION_LAST_NUMBER + 1) if n not in mine and blocked.get(n, at) >= at), None)
+                if n is None:
+                    continue
                 mine.add(n)
-                got.append((at, n))
-                break
-    first = family.iloc[0]
-    return pd.DataFrame(
-        [(first["folder"], first["desired"], at, n) for at, n in got], columns=["folder", "desired", "arrival", "n"]
-    )
+                got.append((family["folder"].iloc[0], at, n))
+                if n > 1:
+                    given[f"{head} ({n}){tail}"] = at
+    return pd.DataFrame(got, columns=["folder", "arrival", "n"])
 
 
 def collision_names(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
@@ -307,8 +322,8 @@ def collision_names(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
     999 arrivals of one name can get a number, so only those are ranked together.
 
     Most names only compete with themselves: their k-th arrival takes the k-th free
-    number. Where a name and one of its numbered forms both arrive, the arrivals
-    are walked in order, name by name, plain names before their numbered forms.
+    number. Where a name and one of its numbered forms both arrive, all counted forms of
+    its root are one group, walked in order; other names never meet in a task.
     """
     last = fixed.COLLISION_LAST_NUMBER
     key = ["folder", "desired"]
@@ -340,31 +355,20 @@ def collision_names(arrivals: DataFrame, existing: DataFrame) -> DataFrame:
         .select(*key, "arrival", F.get(free, F.col("_k") - 1).alias("n"))
     )
 
-    level = F.when(F.col("desired").isNotNull(), F.size(F.regexp_extract_all(F.regexp_extract(_stem(F.col("desired")), r"((?: \([0-9]+\))*)\z", 1), F.lit(r"\([0-9]+\)"), F.lit(0))))
-    depths = tangled.withColumn("_level", level)
-    deepest = depths.agg(F.max("_level")).first()[0]  # a single number: counters in the longest chained name
-    given = None
-    for step in range(0 if deepest is None else deepest + 1):
-        names = depths.filter(F.col("_level") == step).select(*key)
-        rows = (
-            ranked.select(*key, F.lit(0).alias("n"), "arrival")
-            .unionByName(used.select(*key, "n", F.lit(-1).cast("bigint").alias("arrival")))
-            .unionByName(children.select(*key, "n", F.col("at").alias("arrival")))
-        )
-        if given is not None:
-            rows = rows.unionByName(given.select("folder", _counted(F.col("desired"), F.col("n")).alias("desired"), F.lit(1).alias("n"), "arrival"))
-        # a number may be blocked twice: by an existing file and by a later arrival
-        rows = rows.withColumn("at", F.col("arrival").cast("bigint")).join(names, key, "left_semi")
-        blocked = rows.filter(F.col("n") > 0).groupBy(*key, "n").agg(F.min("at").alias("at"))
-        family = rows.filter(F.col("n") == 0).select(*key, "n", "at").unionByName(blocked)
-        taken = cut_lineage(
-            family.groupBy(*key).applyInPandas(_take_numbers, "folder string, desired string, arrival bigint, n int")
-        )
-        given = taken.filter(F.col("n") > 1)
-        numbers = numbers.unionByName(taken.withColumn("arrival", F.col("arrival").cast(arrivals.schema["arrival"].dataType)))
+    rows = (
+        ranked.select(*key, F.lit(0).alias("n"), F.col("arrival").cast("bigint").alias("at"))
+        .unionByName(used.select(*key, "n", F.lit(-1).cast("bigint").alias("at")))
+        .unionByName(children.select(*key, "n", F.col("at").cast("bigint").alias("at")))
+        .join(tangled, key, "left_semi")
+    )
+    name = F.col("desired")
+    counters = F.regexp_extract(_stem(name), r"((?: \([0-9]+\))*)\z", 1)
+    family = rows.withColumns({"root": _root(name), "head": _stem(name), "tail": _extension(name), "level": F.size(F.split(counters, r"\("))})
+    walked = family.groupBy("folder", "root").applyInPandas(_walk_family, "folder string, arrival bigint, n int")
+    numbers = numbers.select("folder", F.col("arrival").cast("bigint").alias("arrival"), "n").unionByName(walked)
     n = F.col("n")
     return (
-        arrivals.join(numbers.select("folder", "arrival", "n"), ["folder", "arrival"], "left")
+        arrivals.join(numbers, ["folder", "arrival"], "left")
         .withColumn(
             "saved_name",
             F.when(n == 1, F.col("desired"))

@@ -291,6 +291,35 @@ def collision_names(t):
     return ingest.collision_names(arrivals, existing).select("folder", "arrival", "saved_name")
 
 
+def _chained_names(t):
+    """Arrivals whose names are numbered forms of each other, up to two counters deep."""
+    size = F.pmod("p_size", F.lit(4))
+    counters = by_case(size, F.lit(""), F.lit(" (2)"), F.lit(" (3)"), F.lit(" (2) (2)"))
+    return t.part.select(
+        F.col("p_type").alias("folder"),
+        F.col("p_partkey").alias("arrival"),
+        F.concat(F.substring_index("p_name", " ", 1), counters, F.lit(".pdf")).alias("desired"),
+        F.col("p_partkey").alias("arrived_ms"),
+    )
+
+
+@query(
+    "collision_chains",
+    """WITH RECURSIVE a AS (SELECT p_type AS folder, p_partkey AS arrival, split_part(p_name, ' ', 1) || [' ', ' (2)', ' (3)', ' (2) (2)'][p_size % 4 + 1] AS base FROM part),
+    b AS (SELECT folder, arrival, trim(base) AS base, split_part(base, ' ', 1) AS root, row_number() OVER (PARTITION BY folder, split_part(base, ' ', 1) ORDER BY arrival) AS i FROM a),
+    w(folder, root, i, arrival, saved, taken) AS (
+      SELECT DISTINCT folder, root, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::VARCHAR[] FROM b
+      UNION ALL SELECT folder, root, i, arrival, name, taken || [name] FROM (
+        SELECT b.folder, b.root, b.i, b.arrival, w.taken, list_filter([base] || list_transform(range(2, 1000), lambda n: base || ' (' || n || ')'), lambda x: NOT list_contains(w.taken, x))[1] AS name
+        FROM w JOIN b ON b.folder = w.folder AND b.root = w.root AND b.i = w.i + 1))
+    SELECT folder, arrival, coalesce(saved, base || ' (' || arrival || ')') || '.pdf' AS saved_name FROM w JOIN b USING (folder, root, arrival)""",
+)
+def collision_chains(t):
+    """Names that arrive in plain and in numbered forms take what is free when they come."""
+    none = t.part.limit(0).select(F.col("p_type").alias("folder"), F.col("p_name").alias("filename"))
+    return ingest.collision_names(_chained_names(t), none).select("folder", "arrival", "saved_name")
+
+
 @query(
     "intake_filter",
     """WITH u AS (SELECT l_orderkey AS request_id, l_linenumber AS line, l_partkey, l_suppkey,
