@@ -18,7 +18,7 @@ from billweave.session import cut_lineage
 
 WIDTH = 64  # hexadecimal digits of a digest
 BLOCK = 256  # nodes of a block at most; the largest power of the fan-out up to it is taken
-ROWS_A_RANGE = 1 << 18
+ROWS_A_RANGE = 1 << 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
