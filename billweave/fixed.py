@@ -174,3 +174,34 @@ GAP_TXN_DATE = "pick an entry date"
 GAP_PAID_FROM = "pick the account that paid it"
 GAP_DUE_DATE = "fix the due date"
 GAP_REF_NUMBER = "shorten the reference number to 21 characters or fewer"
+
+# --- fixed values: texts shown for a state ---------------------------------------
+ENTRY_REMOVED = "Removed"
+ENTRY_CONFIRMED = "Entered"
+ENTRY_FAILED = "Did not go in"
+ENTRY_SENT = "Sending"
+ENTRY_PENDING = "Waiting"
+
+BATCH_UNDONE = "Removed"
+BATCH_PARTIALLY_UNDONE = "Partly removed"
+BATCH_WITH_FAILURES = "Needs another try"
+BATCH_COMPLETE = "Sent"
+BATCH_OPEN = "Not finished"
+
+BATCH_LINE_ENTERED = "%d of %d entered"
+BATCH_LINE_FAILED = "%d did not go in"
+BATCH_LINE_REMOVED = "%d later removed"
+
+FILE_POSTED_ON = "Already entered on "
+FILE_POSTED = "Already entered"
+FILE_DUPLICATE = "Duplicate in this scan"
+FILE_NOT_READY = "Not downloaded yet, re-scan shortly"
+FILE_UNSUPPORTED = "Unsupported"
+FILE_PARSE_FAILED = "Could not read"
+FILE_FLAGGED = "Needs review"
+FILE_CACHED = "Already read"
+FILE_PARSED = "Ready to review"
+FILE_LOADED = "Loaded"
+
+NOTICE_ONCE = "Looks like this was already sent on %s."
+NOTICE_OFTEN = "Looks like this was already sent %d times, first on %s."

@@ -19,14 +19,6 @@ def split_by_cache(files: DataFrame, parsed: DataFrame, force: bool = False) ->
     return answered, files.join(current.select("file_hash"), "file_hash", "left_anti")
 
 
-def with_cache_hit(files: DataFrame, parsed: DataFrame, force: bool = False) -> DataFrame:
-    """Same test as one boolean column ``cached``."""
-    current = parsed.filter((F.col("schema_version") == fixed.PARSE_SCHEMA_VERSION) & F.lit(not force)).select(
-        "file_hash", F.lit(True).alias("cached")
-    )
-    return files.join(current, "file_hash", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
-
-
 def store(parsed: DataFrame, fresh: DataFrame, newest: str = "parsed_at") -> DataFrame:
     """New snapshot of the parse table: one row per file, the fresh one (the newest of several) wins."""
     values = [c for c in parsed.columns if c != "file_hash"]

@@ -214,16 +214,16 @@ def status_label(status: Column, posted_at: Column, parse_status: Column, flagge
     """The one label a file shows, first match wins."""
     posted_day = F.date_format(posted_at, "yyyy-MM-dd")
     return (
-        F.when((status == DUPLICATE_EXCLUDED) & posted_at.isNotNull(), F.concat(F.lit("Already entered on "), posted_day))
-        .when(status == DUPLICATE_EXCLUDED, "Already entered")
-        .when(status == DUPLICATE_IN_BATCH, "Duplicate in this scan")
-        .when(status == NOT_READY, "Not downloaded yet, re-scan shortly")
-        .when(status == UNSUPPORTED, "Unsupported")
-        .when(parse_status == "parse-failed", "Could not read")
-        .when(F.coalesce(flagged, F.lit(False)), "Needs review")
-        .when(parse_status == "cached", "Already read")
-        .when(parse_status == "parsed", "Ready to review")
-        .otherwise("Loaded")
+        F.when((status == DUPLICATE_EXCLUDED) & posted_at.isNotNull(), F.concat(F.lit(fixed.FILE_POSTED_ON), posted_day))
+        .when(status == DUPLICATE_EXCLUDED, fixed.FILE_POSTED)
+        .when(status == DUPLICATE_IN_BATCH, fixed.FILE_DUPLICATE)
+        .when(status == NOT_READY, fixed.FILE_NOT_READY)
+        .when(status == UNSUPPORTED, fixed.FILE_UNSUPPORTED)
+        .when(parse_status == "parse-failed", fixed.FILE_PARSE_FAILED)
+        .when(F.coalesce(flagged, F.lit(False)), fixed.FILE_FLAGGED)
+        .when(parse_status == "cached", fixed.FILE_CACHED)
+        .when(parse_status == "parsed", fixed.FILE_PARSED)
+        .otherwise(fixed.FILE_LOADED)
     )
 
 

@@ -62,15 +62,6 @@ def document_route(files: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
-def page_is_selected(page_index: Column, page_count: Column) -> Column:
-    """Zero-based page filter: all of up to ten pages, else the first three and the last two."""
-    count = F.when(page_count > 0, F.floor(page_count)).otherwise(1)
-    in_range = (page_index >= 0) & (page_index < count)
-    return in_range & (
-        (count <= fixed.MAX_PAGES) | (page_index < fixed.HEAD_PAGES) | (page_index >= count - fixed.TAIL_PAGES)
-    )
-
-
 def selected_pages(page_count: Column) -> Column:
     """The same rule as an array of zero-based page numbers."""
     count = F.when(page_count > 0, F.floor(page_count)).otherwise(1)

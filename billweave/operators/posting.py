@@ -335,30 +335,30 @@ def report_lines(entries: DataFrame) -> DataFrame:
 
 def entry_label(state: Column, undone_at: Column) -> Column:
     return (
-        F.when((state == "confirmed") & undone_at.isNotNull(), "Removed")
-        .when(state == "confirmed", "Entered")
-        .when(state == "failed", "Did not go in")
-        .when(state == "sent", "Sending")
-        .otherwise("Waiting")
+        F.when((state == "confirmed") & undone_at.isNotNull(), fixed.ENTRY_REMOVED)
+        .when(state == "confirmed", fixed.ENTRY_CONFIRMED)
+        .when(state == "failed", fixed.ENTRY_FAILED)
+        .when(state == "sent", fixed.ENTRY_SENT)
+        .otherwise(fixed.ENTRY_PENDING)
     )
 
 
 def batch_label() -> Column:
     return (
-        F.when(F.col("state") == "undone", "Removed")
-        .when(F.col("state") == "partially-undone", "Partly removed")
-        .when(F.col("failed") > 0, "Needs another try")
-        .when(F.col("state") == "complete", "Sent")
-        .otherwise("Not finished")
+        F.when(F.col("state") == "undone", fixed.BATCH_UNDONE)
+        .when(F.col("state") == "partially-undone", fixed.BATCH_PARTIALLY_UNDONE)
+        .when(F.col("failed") > 0, fixed.BATCH_WITH_FAILURES)
+        .when(F.col("state") == "complete", fixed.BATCH_COMPLETE)
+        .otherwise(fixed.BATCH_OPEN)
     )
 
 
 def batch_line() -> Column:
     return F.concat_ws(
         ", ",
-        F.format_string("%d of %d entered", F.col("confirmed") - F.col("undone"), F.col("total")),
-        F.when(F.col("failed") > 0, F.format_string("%d did not go in", F.col("failed"))),
-        F.when(F.col("undone") > 0, F.format_string("%d later removed", F.col("undone"))),
+        F.format_string(fixed.BATCH_LINE_ENTERED, F.col("confirmed") - F.col("undone"), F.col("total")),
+        F.when(F.col("failed") > 0, F.format_string(fixed.BATCH_LINE_FAILED, F.col("failed"))),
+        F.when(F.col("undone") > 0, F.format_string(fixed.BATCH_LINE_REMOVED, F.col("undone"))),
     )
 
 

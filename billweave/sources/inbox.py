@@ -1,4 +1,8 @@
-"""The inbox folder: file bytes in batch and as a stream."""
+"""The inbox folder as a stream of files with their hashes.
+
+Spark's file sources leave out names starting with a dot or underscore; the
+rules for those work on an inventory table (see ``operators.ingest``).
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,14 +20,5 @@ def _rows(files: DataFrame) -> DataFrame:
     )
 
 
-def read_inbox(spark: SparkSession, folder: str) -> DataFrame:
-    """Files directly inside a folder with their content hash.
-
-    Spark's file sources leave out names starting with a dot or underscore; the
-    rules for those work on an inventory table (see ``operators.ingest``).
-    """
-    return _rows(spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder))
-
-
 def stream_inbox(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder))
