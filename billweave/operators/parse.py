@@ -6,11 +6,14 @@ from billweave import fixed
 from billweave.functions.dates import printed_to_date
 from billweave.functions.money import printed_to_cents
 from billweave.functions.replies import error_detail, reply_errors, reply_field, with_reply_value
-from billweave.functions.text import SPACE, is_blank, trim_all, trim_end, trim_start
+from billweave.functions.text import SPACE, is_blank, trim_all, trim_start
 
 NATIVE = "native"
 IMAGE_ONLY = "image-only"
 
+#: page numbers a block of a file covers: what one task sorts by itself
+PAGES_A_BLOCK = 256
+
 
 # --- routing -------------------------------------------------------------------
 def page_signals(operations: DataFrame) -> DataFrame:
@@ -73,55 +76,61 @@ def pages_are_truncated(page_count: Column) -> Column:
     return F.coalesce(page_count > fixed.MAX_PAGES, F.lit(False))
 
 
-def reference_text(page_text: DataFrame) -> DataFrame:
-    """Pages (file_hash, page_no, text) -> clipped reference text per file.
+def reference_text(page_text: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    """Pages (file_hash, page_no, text) -> clipped reference text per file: reference_text, full_length, text_truncated.
+
+    Pages are joined by a blank line, trimmed, and clipped at 50,000 characters. With ``routes``
+    (file_hash, route) only native files have a text.
 
-    Pages are joined by a blank line, trimmed, and clipped at 50,000 characters,
-    so the text of a file never grows past that: what is collected are only the
-    pages that reach into the clip. Its true length comes from sums alone.
+    Every page gets its place in the joined text by sums in two steps: of the pages inside a block
+    of page numbers, then of the blocks of a file. So the pages of a file of any size are dealt over
+    tasks, only blocks that reach into the clip are read for their text, and what a file collects
+    is the clip itself. Empty files have no row; pages without a file or a number are left out, a
+    null text is an empty page, and pages of one number follow each other by a hash of their texts.
     """
     limit = fixed.REFERENCE_TEXT_CHARS
-    text = F.coalesce(F.col("text"), F.lit(""))
-    by_page = Window.partitionBy("file_hash").orderBy("page_no")
-    page_key = F.struct("page_no")
-    bare = F.length(trim_all(text))
-    edges = (
-        page_text.withColumn("_full", ~is_blank(text))
-        .withColumn("_lead", F.length(text) - F.length(trim_start(text)))
-        .withColumn("_tail", F.length(text) - F.col("_lead") - bare)
-        .filter("_full")
-        .groupBy("file_hash")
-        .agg(
-            F.min_by(F.struct("page_no", "_lead"), page_key).alias("_a"),
-            F.max_by(F.struct("page_no", "_tail"), page_key).alias("_z"),
-        )
+    pages = page_text.filter(F.col("file_hash").isNotNull() & F.col("page_no").isNotNull()).select(
+        "file_hash", "page_no", F.floor(F.col("page_no") / PAGES_A_BLOCK).alias("_block"), F.coalesce("text", F.lit("")).alias("_t")
     )
-    inside = page_text.join(edges, "file_hash").filter(F.col("page_no").between(F.col("_a.page_no"), F.col("_z.page_no")))
-    totals = inside.groupBy("file_hash").agg(
-        (F.sum(F.length(text)) + 2 * (F.count("*") - 1) - F.max("_a._lead") - F.max("_z._tail")).alias("full_length")
+    if routes is not None:
+        pages = pages.join(routes.filter(F.col("route") == NATIVE).select("file_hash"), "file_hash", "left_semi")
+    pages = pages.withColumn("_tie", F.xxhash64("_t"))
+    bare = F.length(trim_all(F.col("_t")))
+    earlier = Window.partitionBy("file_hash", "_block").orderBy("page_no", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    in_block = F.coalesce(F.sum("_width").over(earlier), F.lit(0))
+
+    sizes = pages.select(
+        "file_hash", "page_no", "_block", "_tie", (F.length("_t") + 2).alias("_width"),
+        F.when(bare > 0, F.length("_t") - F.length(trim_start(F.col("_t")))).alias("_lead"), bare.alias("_bare"),
+    ).withColumn("_first", in_block + F.col("_lead"))
+    blocks = sizes.groupBy("file_hash", "_block").agg(
+        F.sum("_width").alias("_span"), F.min("_first").alias("_first"), F.max(F.col("_first") + F.col("_bare")).alias("_last")
     )
-    # every page adds at least its two separator characters
-    head = inside.select(
-        "file_hash",
-        "page_no",
-        F.when(F.col("page_no") == F.col("_a.page_no"), trim_start(text)).otherwise(text).alias("_t"),
-        F.row_number().over(by_page).alias("_n"),
-    ).filter(F.col("_n") <= limit // 2 + 1)
-    before = F.sum(F.length("_t") + 2).over(by_page.rowsBetween(Window.unboundedPreceding, -1))
-    clipped = (
-        head.withColumn("_at", F.coalesce(before, F.lit(0)))
-        .filter(F.col("_at") < limit)
-        .groupBy("file_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("page_no", F.left("_t", F.lit(limit)).alias("_t")))).alias("_p"))
+    by_block = Window.partitionBy("file_hash").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file_hash")
+    placed = blocks.withColumn("_at", F.coalesce(F.sum("_span").over(by_block), F.lit(0))).select(
+        "file_hash", "_block", "_span", "_at",
+        F.min(F.col("_at") + F.col("_first")).over(whole).alias("_start"),
+        F.max(F.col("_at") + F.col("_last")).over(whole).alias("_end"),
+    ).withColumn("_stop", F.least("_end", F.col("_start") + limit))
+    reached = placed.filter((F.col("_at") < F.col("_stop")) & (F.col("_at") + F.col("_span") > F.col("_start"))).drop("_span")
+
+    skip = F.greatest(F.col("_start") - F.col("_at"), F.lit(0))
+    take = F.least(F.col("_stop") - F.col("_at"), F.col("_width")) - skip
+    pieces = (
+        pages.withColumn("_width", F.length("_t") + 2)
+        .join(reached, ["file_hash", "_block"])
+        .withColumn("_at", F.col("_at") + in_block)
+        .withColumn("_skip", skip)
+        .withColumn("_take", take)
+        .filter(F.col("_take") > 0)
+        .withColumn("_piece", F.substring(F.concat("_t", F.lit("\n\n")), (F.col("_skip") + 1).cast("int"), F.col("_take").cast("int")))
     )
-    joined = F.array_join(F.col("_p._t"), "\n\n")
-    return clipped.join(totals, "file_hash").select(
-        "file_hash",
-        F.when(
-            F.col("full_length") > limit, F.left(joined, F.lit(limit))
-        ).otherwise(trim_end(joined)).alias("reference_text"),
-        "full_length",
-        (F.col("full_length") > limit).alias("text_truncated"),
+    length = F.col("_end") - F.col("_start")
+    return (
+        pieces.groupBy("file_hash", length.alias("full_length"))
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
+        .select("file_hash", F.array_join("_p._piece", "").alias("reference_text"), "full_length", (F.col("full_length") > limit).alias("text_truncated"))
     )
 
 

@@ -387,8 +387,7 @@ def duplicate_warnings(
     a bucket of days are equality keys, so a probe only ever meets entries of two
     window widths around it, never a vendor's whole history.
     """
-    posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
-    prior = lookup(prior_entries(entries), posted, "file_hash").select(
+    prior = prior_entries(entries).select(
         "vendor_id",
         "amount_cents",
         day_bucket(F.col("txn_date"), window_days).alias("_bucket"),
@@ -400,17 +399,18 @@ def duplicate_warnings(
         "entry_type",
         "remote_id",
         "vendor_name",
-        "posted_at",
     )
     asked = near_buckets(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
     apart = days_between(F.col("txn_date"), F.col("_day"))
-    return (
+    matched = (
         asked.join(prior, ["vendor_id", "amount_cents", "_bucket"])
         .withColumn("days_apart", apart)
         .filter(F.col("days_apart").between(-window_days, window_days))
         .drop("txn_date", "_bucket")
         .withColumnRenamed("_day", "txn_date")
     )
+    # only matched entries meet the ledger
+    return lookup(matched, ledger.select(F.col("hash").alias("file_hash"), "posted_at"), "file_hash")
 
 
 def duplicate_counts(
@@ -421,23 +421,24 @@ def duplicate_counts(
     Entries are counted per vendor, amount and day and probes are reduced to their
     distinct questions first, so equal entries never multiply with equal probes.
     """
-    posted = ledger.select(F.col("hash").alias("file_hash"), "posted_at")
-    prior = lookup(prior_entries(entries), posted, "file_hash").withColumn("_day", F.col("txn_date"))
     daily = (
-        prior.groupBy("vendor_id", "amount_cents", "_day")
-        .agg(F.count("*").alias("_n"), F.min_by(F.struct("posted_at"), "id").alias("_first"))
+        prior_entries(entries)
+        .groupBy("vendor_id", "amount_cents", F.col("txn_date").alias("_day"))
+        .agg(F.count("*").alias("_n"), F.min_by("file_hash", "id").alias("_first"))
         .withColumn("_bucket", day_bucket(F.col("_day"), window_days))
     )
     questions = probes.select("vendor_id", "amount_cents", "txn_date").distinct()
-    shown = F.coalesce(F.date_format("_first.posted_at", "yyyy-MM-dd"), iso(F.col("_day")))
     answers = (
         near_buckets(questions, window_days)
         .join(daily, ["vendor_id", "amount_cents", "_bucket"])
         .filter(days_between(F.col("txn_date"), F.col("_day")).between(-window_days, window_days))
         .groupBy("vendor_id", "amount_cents", "txn_date")
-        .agg(F.sum("_n").alias("warnings"), F.min_by(shown, "_day").alias("first_day"))
+        .agg(F.sum("_n").alias("warnings"), F.min("_day").alias("_day"), F.min_by("_first", "_day").alias("file_hash"))
     )
-    return probes.join(answers, ["vendor_id", "amount_cents", "txn_date"]).select("row_key", "warnings", "first_day")
+    # the ledger is asked for the first entry of an answer only
+    dated = lookup(answers, ledger.select(F.col("hash").alias("file_hash"), "posted_at"), "file_hash")
+    shown = F.coalesce(F.date_format("posted_at", "yyyy-MM-dd"), iso(F.col("_day"))).alias("first_day")
+    return probes.join(dated, ["vendor_id", "amount_cents", "txn_date"]).select("row_key", "warnings", shown)
 
 
 # --- undo ----------------------------------------------------------------------

@@ -1,10 +1,15 @@
 """Intake queries. A listing is derived from ``documents``: the language is the folder, the text the bytes."""
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from billweave.functions.dates import iso
 from billweave.operators import ingest
 from billweave.plans.registry import query
+from billweave.session import cut_lineage, shared_folder
+from billweave.sources.folder import read_folder
 
 
 def _style():
@@ -343,3 +348,55 @@ def intake_filter(t):
         F.round(F.col("l_extendedprice") * 270).cast("bigint").alias("size_bytes"),
     )
     return ingest.intake(uploads).select("request_id", "line", "l_partkey", "l_suppkey", "reject_reason")
+
+
+# --- a real folder -------------------------------------------------------------
+def _put(batches, root):
+    """Write one file, folder or link a row; a name that stands already is left, so a repeated task changes nothing."""
+    for rows in batches:
+        for scan, name, is_file, is_link, text in zip(*(rows[c] for c in ("scan_id", "filename", "is_file", "is_symlink", "text"))):
+            folder = os.path.join(root, scan)
+            os.makedirs(folder, exist_ok=True)
+            target = os.path.join(folder, name)
+            if not is_file:
+                os.makedirs(target, exist_ok=True)
+            elif is_link:
+                if not os.path.lexists(target):
+                    os.symlink("nowhere", target)
+            else:
+                part = os.path.join(root, f"{os.getpid()}-{uuid.uuid4().hex}")  # outside every listing until it is whole
+                with open(part, "w", encoding="utf-8", newline="") as file:
+                    file.write(text or "")
+                os.replace(part, target)
+        yield rows[["filename"]].iloc[:0]
+
+
+def written_folder(t) -> str:
+    """The documents' listing as real folders below the shared one, a folder a language."""
+    root = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    named = inventory(t).select(F.col("position").alias("doc_id"), "filename", "is_file", "is_symlink")
+    rows = t.documents.select("doc_id", F.coalesce("lang", F.lit("none")).alias("scan_id"), "text").join(named, "doc_id").filter(F.col("filename") != "Thumbs.db")
+    put = rows.select("scan_id", "filename", F.coalesce("is_file", F.lit(True)).alias("is_file"), F.coalesce("is_symlink", F.lit(False)).alias("is_symlink"), "text")
+    os.makedirs(root)
+    put.mapInPandas(lambda batches: _put(batches, root), "filename string").count()
+    return root
+
+
+@query(
+    "scan_folder",
+    r"""WITH f AS (SELECT coalesce(lang, 'none') AS scan_id, CASE doc_id % 12 WHEN 0 THEN 'bill-' || doc_id || '.PDF' WHEN 1 THEN 'scan-' || doc_id || '.jpg' WHEN 2 THEN 'photo-' || doc_id || '.heic'
+      WHEN 3 THEN 'notes-' || doc_id || '.docx' WHEN 6 THEN '.bill-' || doc_id || '.pdf.icloud' WHEN 7 THEN 'bill-' || doc_id || '.pdf' WHEN 8 THEN '.bill-' || (doc_id - 8) || '.PDF.icloud'
+      WHEN 9 THEN 'x' || doc_id || '.png' WHEN 11 THEN 'receipt-' || doc_id || '.pdf' END AS entry, coalesce(source, '') NOT IN ('src3', 'src5') AS plain, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 12 NOT IN (4, 5, 10)),
+    l AS (SELECT *, starts_with(entry, '.') AS stub, CASE WHEN starts_with(entry, '.') THEN substr(entry, 2, length(entry) - 8) ELSE entry END AS filename FROM f),
+    s AS (SELECT scan_id, filename, CASE WHEN stub THEN 'not-ready-skipped' WHEN ends_with(filename, '.docx') THEN 'unsupported-skipped' ELSE 'loaded' END AS status, h FROM l
+      WHERE plain AND NOT (stub AND EXISTS (SELECT 1 FROM f o WHERE o.scan_id = l.scan_id AND o.entry = l.filename))),
+    n AS (SELECT *, row_number() OVER (PARTITION BY scan_id, status, h ORDER BY filename) AS copy FROM s),
+    ledger AS (SELECT sha256(d.text) AS lh, strftime(min(DATE '2024-01-01' + CAST(d.doc_id AS INTEGER)), '%Y-%m-%d') AS posted_at FROM documents d JOIN labels g ON d.doc_id = g.doc_id WHERE g.quality = 0 GROUP BY 1)
+    SELECT scan_id, filename, CASE WHEN status <> 'loaded' THEN status WHEN lh IS NOT NULL THEN 'duplicate-excluded' WHEN copy > 1 THEN 'duplicate-in-batch' ELSE 'loaded' END AS status,
+      CASE WHEN status = 'loaded' THEN h END AS hash, CASE WHEN status = 'loaded' THEN posted_at END AS posted_at FROM n LEFT JOIN ledger ON lh = h""",
+)
+def scan_folder(t):
+    """Full scan of real folders with dotfiles, placeholders, links and subfolders in them."""
+    listed = read_folder(t.spark, written_folder(t), subfolders=True, platform="linux")
+    scanned = ingest.scan(cut_lineage(listed), ledger(t))
+    return scanned.select("scan_id", "filename", "status", "hash", iso(F.col("posted_at")).alias("posted_at"))

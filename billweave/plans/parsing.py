@@ -101,6 +101,30 @@ def reference_text(t):
     )
 
 
+@query(
+    "native_text",
+    r"""WITH r AS (SELECT concat(coalesce(source, 'none'), '/', coalesce(lang, 'none')) AS file_hash, avg(CASE WHEN coalesce(n_chars, 0) >= 2000 THEN 1.0 ELSE 0.0 END) >= 0.5 AND coalesce(source, 'none') <> 'src5' AS native FROM documents GROUP BY 1, coalesce(source, 'none')),
+    j AS (SELECT concat(coalesce(source, 'none'), '/', coalesce(lang, 'none')) AS file_hash, regexp_replace(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id),
+      '^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g') AS t FROM documents GROUP BY 1)
+    SELECT r.file_hash, CASE WHEN native THEN 'native' ELSE 'image-only' END AS route, CASE WHEN native AND t <> '' THEN md5(left(t, 50000)) END AS text_md5, native AND length(t) > 50000 AS text_truncated FROM r JOIN j ON j.file_hash = r.file_hash""",
+)
+def native_text(t):
+    """Reference text goes along only with files whose pages are mostly native; the others have none."""
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")))
+    pages = t.documents.select(name.alias("file_hash"), F.col("doc_id").alias("page_no"), "text", "n_chars", "source")
+    signals = pages.select(
+        "file_hash", F.lit(0.0).alias("bitmap_coverage"), F.lit(0.0).alias("invisible_glyph_ratio"),
+        F.when(F.col("n_chars") >= 2000, F.col("n_chars")).otherwise(0).alias("non_ws_chars"), F.lit(1).alias("embedded_fonts"),
+    )
+    names = pages.groupBy("file_hash").agg(F.bool_or(F.coalesce(F.col("source") == "src5", F.lit(False))).alias("photo"))
+    files = names.select("file_hash", F.concat("file_hash", F.when(F.col("photo"), ".jpg").otherwise(".pdf")).alias("filename"))
+    routes = parse.document_route(files, signals).select("file_hash", "route")
+    texts = parse.reference_text(pages, routes)
+    return routes.join(texts, "file_hash", "left").select(
+        "file_hash", "route", F.md5("reference_text").alias("text_md5"), F.coalesce("text_truncated", F.lit(False)).alias("text_truncated")
+    )
+
+
 # --- replies -------------------------------------------------------------------
 def _cents(t):
     return t.orders.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))

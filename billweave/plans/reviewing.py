@@ -240,27 +240,57 @@ def duplicate_probes(t):
     return review.duplicate_probes(rows(t)).withColumn("txn_date", F.col("txn_date").cast("string"))
 
 
+def sent_before(t):
+    """Entries of earlier batches: bills that name a vendor and an amount were entered up to five days before, some undone or not confirmed."""
+    k = F.floor(F.col("position") / 2)
+    day = F.date_sub(F.lit(BATCH_DATE).cast("date"), F.pmod(k, F.lit(6)).cast("int"))
+    prior = rows(t).filter((F.coalesce("vendor_id", F.lit("")) != "") & F.col("amount_cents").isNotNull())
+    text = lambda name: F.lit(None).cast("string").alias(name)
+    return prior.select(
+        F.concat(F.lit("e-"), "file_hash").alias("id"), F.sha2(F.concat(F.lit("e-"), k.cast("string")), 256).alias("file_hash"),
+        F.lit("b").alias("batch_id"), "vendor_id", "amount_cents", day.alias("txn_date"),
+        F.when(F.pmod(k, F.lit(5)) == 0, "failed").otherwise("confirmed").alias("state"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.lit(BATCH_DATE).cast("date")).alias("undone_at"),
+        text("filename"), text("entry_type"), text("remote_id"), text("vendor_name"),
+    )
+
+
+def sent_ledger(t):
+    """Every third bill entered before is in the ledger, a day later."""
+    k = F.floor(F.col("position") / 2)
+    posted = F.date_add(F.date_sub(F.lit(BATCH_DATE).cast("date"), F.pmod(k, F.lit(6)).cast("int")), 1)
+    return seeds(t).filter(F.pmod(k, F.lit(3)) == 0).select(F.sha2(F.concat(F.lit("e-"), k.cast("string")), 256).alias("hash"), posted.alias("posted_at"))
+
+
+_BEFORE = """sent AS (SELECT 'e-' || file_hash AS id, vendor_id, amount_cents, DATE '2024-03-01' - CAST((position // 2) % 6 AS INTEGER) AS day, (position // 2) % 3 = 0 AS posted FROM gaps
+  WHERE vendor_id IS NOT NULL AND amount_cents IS NOT NULL AND (position // 2) % 5 <> 0 AND (position // 2) % 7 <> 0),
+warned AS (SELECT g.file_hash, s.day, s.posted, count(*) OVER (PARTITION BY g.file_hash) AS warnings, row_number() OVER (PARTITION BY g.file_hash ORDER BY s.day, s.id) AS n
+  FROM gaps g JOIN sent s ON s.vendor_id = g.vendor_id AND s.amount_cents = g.amount_cents AND s.day >= DATE '2024-03-01' - 3 WHERE g.amount_cents >= 1 AND g.txn_date = '2024-03-01'),
+firsts AS (SELECT file_hash, warnings, strftime(CASE WHEN posted THEN day + 1 ELSE day END, '%Y-%m-%d') AS first_day FROM warned WHERE n = 1)"""
+
+
 def _counts(t):
-    docs = documents(t).filter(F.col("st") == "F")
-    return docs.select(F.col("file_hash").alias("row_key"), F.when(F.col("p") == "2", 2).otherwise(1).cast("bigint").alias("warnings"), F.lit("2024-02-28").alias("first_day"))
+    """Earlier entries per complete row, looked up among those sent before."""
+    return posting.duplicate_counts(review.duplicate_probes(rows(t)), sent_before(t), sent_ledger(t))
 
 
 @query(
     "duplicate_notice",
-    f"""WITH {_DOCS} SELECT file_hash AS row_key, CASE WHEN p = '2' THEN 'Looks like this was already sent 2 times, first on 2024-02-28.' ELSE 'Looks like this was already sent on 2024-02-28.' END AS notice FROM docs WHERE st = 'F'""",
+    f"""WITH {_DOCS}, {_BEFORE} SELECT file_hash AS row_key, CASE WHEN warnings > 1 THEN 'Looks like this was already sent ' || warnings || ' times, first on ' || first_day || '.'
+      ELSE 'Looks like this was already sent on ' || first_day || '.' END AS notice FROM firsts""",
 )
 def duplicate_notice(t):
+    """What a row says about the entries of its vendor, amount and days that were sent before."""
     return _counts(t).select("row_key", review.notice_line(F.col("warnings"), F.col("first_day")).alias("notice"))
 
 
 @query(
     "attention_rows",
-    f"""WITH {_DOCS} SELECT file_hash FROM gaps WHERE parse_status = 'parse-failed' OR p = '5' OR (p = '4' AND st = 'F') OR (included AND gap IS NOT NULL) OR st = 'F'""",
+    f"""WITH {_DOCS}, {_BEFORE} SELECT file_hash FROM gaps WHERE parse_status = 'parse-failed' OR p = '5' OR (p = '4' AND st = 'F') OR (included AND gap IS NOT NULL)
+      OR file_hash IN (SELECT file_hash FROM firsts)""",
 )
 def attention_rows(t):
     """Rows that want a person: unread, flagged, incomplete or likely duplicates."""
-
-
     return review.attention_rows(rows(t), _counts(t), is_flagged()).select("file_hash")
 
 

@@ -62,6 +62,24 @@ def test_reference_text_equals_plain_join(spark):
             assert (got[f]["reference_text"], got[f]["text_truncated"], got[f]["full_length"]) == (joined[:50000], len(joined) > 50000, len(joined)), f
 
 
+def test_reference_text_of_one_large_file(spark):
+    """20,000 pages of one file, more beside it; blank ones in front, inside and behind; out of order."""
+    r = random.Random(5)
+    pages = {"big": ["" if i < 700 or i > 19_000 or i % 5 == 0 else r.choice([" a", "b\n", " c ", "d" * 9]) for i in range(20_000)], "one": ["", " x ", ""], "blank": [" "] * 600}
+    rows = [(f, i - 300, t) for f, texts in pages.items() for i, t in enumerate(texts)] + [("one", None, "left out"), (None, 1, "left out"), ("nulls", 1, None), ("nulls", 2, "n")]
+    r.shuffle(rows)
+    routes = spark.createDataFrame([("big", "native"), ("one", "image-only"), ("nulls", "native")], "file_hash string, route string")
+    frame = spark.createDataFrame(rows, "file_hash string, page_no int, text string")
+    got = {x["file_hash"]: x for x in parse.reference_text(frame).collect()}
+    joined = "\n\n".join(pages["big"]).strip(" \n ")
+    assert (got["big"]["reference_text"], got["big"]["full_length"], got["big"]["text_truncated"]) == (joined[:50_000], len(joined), len(joined) > 50_000)
+    assert (got["one"]["reference_text"], got["nulls"]["reference_text"], sorted(got)) == ("x", "n", ["big", "nulls", "one"])
+    assert {x["file_hash"] for x in parse.reference_text(frame, routes).collect()} == {"big", "nulls"}
+    assert parse.reference_text(frame.limit(0)).count() == 0
+    plan = parse.reference_text(frame)._jdf.queryExecution().executedPlan().toString()
+    assert all("_block" in line for line in plan.splitlines() if "Window [" in line and "_t#" in line)
+
+
 def test_ladder(spark):
     ok, bad = '{"vendor": "v", "total": "1"}', "{}"
     calls = [
