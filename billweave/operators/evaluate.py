@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, functions as F
 
 from billweave.functions.text import SPACE, trim_all
+from billweave.operators.joins import left_join_sparse
+from billweave.operators.reconcile import category_options
 
 
 _CHECKS = {
@@ -112,6 +114,31 @@ def category_resolution(documents: DataFrame) -> DataFrame:
     )
 
 
+def category_outcomes(documents: DataFrame, answers: DataFrame, reference: DataFrame) -> DataFrame:
+    """One row over all documents: how many category phrases the matcher resolves, and to what.
+
+    ``documents``: realm_id, file_hash, phrase. ``answers``: what ``reconcile.match_batch`` says of them.
+    documents, inferred, long_phrases (more than four words), resolved (suggested or better),
+    resolved_share (null without documents), without_record (resolved to no record) and
+    not_expense (resolved to anything but an active expense account, as a payment account is; wanted are none).
+    """
+    key = ["realm_id", "file_hash"]
+    given = documents.select(*key, trim_all(F.coalesce("phrase", F.lit(""))).alias("_phrase"))
+    picked = answers.select(*key, "category_selected_id", "category_confidence")
+    expense = category_options(reference).select("realm_id", F.col("option_id").alias("category_selected_id")).distinct()
+    known = left_join_sparse(given.join(picked, key, "left"), expense.withColumn("_expense", F.lit(True)), "category_selected_id", ["realm_id"])
+    resolved = F.coalesce(F.col("category_confidence").isin("auto", "suggested"), F.lit(False))
+    return known.agg(
+        F.count("*").alias("documents"),
+        F.count_if(F.col("_phrase") != "").alias("inferred"),
+        F.count_if(F.size(F.split("_phrase", f"{SPACE}+")) > 4).alias("long_phrases"),
+        F.count_if(resolved).alias("resolved"),
+        F.try_divide(F.count_if(resolved), F.count("*")).alias("resolved_share"),
+        F.count_if(resolved & F.col("category_selected_id").isNull()).alias("without_record"),
+        F.count_if(F.col("category_selected_id").isNotNull() & F.col("_expense").isNull()).alias("not_expense"),
+    )
+
+
 def corpus_invariants(truth: DataFrame, lines: DataFrame) -> DataFrame:
     """Truth rows must add up: subtotal + tax = total, and line amounts = subtotal.
 

@@ -92,8 +92,6 @@ def reference_text(page_text: DataFrame, routes: DataFrame | None = None) -> Dat
     pages = page_text.filter(F.col("file_hash").isNotNull() & F.col("page_no").isNotNull()).select(
         "file_hash", "page_no", F.floor(F.col("page_no") / PAGES_A_BLOCK).alias("_block"), F.coalesce("text", F.lit("")).alias("_t")
     )
-    if routes is not None:
-        pages = pages.join(routes.filter(F.col("route") == NATIVE).select("file_hash"), "file_hash", "left_semi")
     pages = pages.withColumn("_tie", F.xxhash64("_t"))
     bare = F.length(trim_all(F.col("_t")))
     earlier = Window.partitionBy("file_hash", "_block").orderBy("page_no", "_tie").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,6 +104,8 @@ def reference_text(page_text: DataFrame, routes: DataFrame | None = None) -> Dat
     blocks = sizes.groupBy("file_hash", "_block").agg(
         F.sum("_width").alias("_span"), F.min("_first").alias("_first"), F.max(F.col("_first") + F.col("_bare")).alias("_last")
     )
+    if routes is not None:  # asked for short rows, so that no file's texts are shuffled by file
+        blocks = blocks.join(routes.filter(F.col("route") == NATIVE).select("file_hash"), "file_hash", "left_semi")
     by_block = Window.partitionBy("file_hash").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file_hash")
     placed = blocks.withColumn("_at", F.coalesce(F.sum("_span").over(by_block), F.lit(0))).select(

@@ -13,7 +13,7 @@ from billweave.functions.names import (
     words_of,
 )
 from billweave.functions.text import is_blank, trim_all
-from billweave.operators.joins import lookup
+from billweave.operators.joins import left_join_sparse, lookup
 from billweave.operators.reference import account_leaf
 from billweave.session import cut_lineage
 
@@ -224,7 +224,7 @@ def match_batch(hashes: DataFrame, parsed: DataFrame, reference: DataFrame) -> D
         matched = match_texts(docs.select("realm_id", F.col(text).alias("query")), options)
         columns = ["selected_id", "selected_name", "confidence", "candidates"]
         matched = matched.select("realm_id", F.col("query").alias(text), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
-        answers = lookup(answers, matched, ["realm_id", text]).withColumn(
+        answers = left_join_sparse(answers, matched, text, ["realm_id"]).withColumn(
             f"{prefix}_confidence", F.coalesce(f"{prefix}_confidence", F.lit("none"))
         )
     offered = (

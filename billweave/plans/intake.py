@@ -24,7 +24,8 @@ def by_case(selector, *values):
     return expression
 
 
-def inventory(t):
+def inventory(t, *more):
+    """The listing, with ``more`` columns of its documents."""
     key = F.col("doc_id").cast("string")
     name = by_case(
         _style(),
@@ -53,6 +54,7 @@ def inventory(t):
         F.when(F.col("lang") == "en", "darwin").otherwise("win32").alias("platform"),
         (_style() != 9).alias("settled"),
         ingest.content_hash(F.col("text")).alias("hash"),
+        *more,
     )
 
 
@@ -374,9 +376,10 @@ def _put(batches, root):
 def written_folder(t) -> str:
     """The documents' listing as real folders below the shared one, a folder a language."""
     root = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
-    named = inventory(t).select(F.col("position").alias("doc_id"), "filename", "is_file", "is_symlink")
-    rows = t.documents.select("doc_id", F.coalesce("lang", F.lit("none")).alias("scan_id"), "text").join(named, "doc_id").filter(F.col("filename") != "Thumbs.db")
-    put = rows.select("scan_id", "filename", F.coalesce("is_file", F.lit(True)).alias("is_file"), F.coalesce("is_symlink", F.lit(False)).alias("is_symlink"), "text")
+    put = inventory(t, "text").filter(F.col("filename") != "Thumbs.db").select(
+        F.coalesce("scan_id", F.lit("none")).alias("scan_id"), "filename", F.coalesce("is_file", F.lit(True)).alias("is_file"),
+        F.coalesce("is_symlink", F.lit(False)).alias("is_symlink"), "text",
+    )
     os.makedirs(root)
     put.mapInPandas(lambda batches: _put(batches, root), "filename string").count()
     return root

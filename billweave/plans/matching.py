@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from billweave import fixed
 from billweave.functions import names
-from billweave.operators import reconcile, reference
+from billweave.operators import evaluate, reconcile, reference
 from billweave.plans.intake import by_case
-from billweave.plans.registry import query
+from billweave.plans.registry import ORACLES, query
+from billweave.session import cut_lineage
 from billweave.sources import remote
 from billweave.sources.remote import wanted_records
 
@@ -441,16 +442,40 @@ _ANSWER_SQL = f"""SELECT query, {_TIER_SQL} AS level, max(id) FILTER (candidate_
 )
 def match_batch(t):
     """Vendor and category answer per order, through the parse table."""
-    parsed = (
+    answers = _batch_answers(t, _batch_parsed(t))
+    return answers.select("file_hash", "vendor_selected_id", "vendor_confidence", "category_selected_id", "category_confidence", "error")
+
+
+def _batch_parsed(t):
+    return (
         printed_vendors(t)
         .groupBy(F.sha2(F.col("l_orderkey").cast("string"), 256).alias("file_hash"))
         .agg(F.min_by("query", F.struct("l_linenumber", "query")).alias("vendor"), F.min(F.concat(F.lit("small "), F.lower("query"))).alias("suggested_category"))
         .withColumn("schema_version", F.lit(2))
     )
+
+
+def _batch_answers(t, parsed):
     hashes = t.orders.select(F.lit("r1").alias("realm_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash"))
     both = vendor_reference(t).unionByName(account_reference(t))
-    answers = reconcile.match_batch(hashes, parsed, both)
-    return answers.select("file_hash", "vendor_selected_id", "vendor_confidence", "category_selected_id", "category_confidence", "error")
+    return reconcile.match_batch(hashes, parsed, both)
+
+
+@query(
+    "category_outcomes",
+    f"""WITH {_VENDORS_SQL}, phrases AS (SELECT l_orderkey, min('small ' || lower(query)) AS phrase FROM printed GROUP BY 1),
+    answers AS ({ORACLES["match_batch"]}),
+    d AS (SELECT phrase, category_confidence IN ('auto', 'suggested') AS resolved, category_selected_id AS id FROM orders LEFT JOIN phrases ON l_orderkey = o_orderkey LEFT JOIN answers ON file_hash = sha256(CAST(o_orderkey AS VARCHAR)))
+    SELECT count(*) AS documents, count(*) FILTER (coalesce(trim(phrase), '') <> '') AS inferred, count(*) FILTER (len(regexp_split_to_array(trim(phrase), '\\s+')) > 4) AS long_phrases,
+      count(*) FILTER (resolved) AS resolved, count(*) FILTER (resolved) / nullif(count(*), 0)::DOUBLE AS resolved_share, count(*) FILTER (resolved AND id IS NULL) AS without_record,
+      count(*) FILTER (id IS NOT NULL AND id NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_type <> 'PROMO')) AS not_expense FROM d""",
+)
+def category_outcomes(t):
+    """How many of the orders' category phrases the matcher resolves, and whether always to an expense account."""
+    parsed = cut_lineage(_batch_parsed(t))
+    phrases = parsed.select("file_hash", F.col("suggested_category").alias("phrase"))
+    documents = t.orders.select(F.lit("r1").alias("realm_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("file_hash")).join(phrases, "file_hash", "left")
+    return evaluate.category_outcomes(documents, _batch_answers(t, parsed), account_reference(t))
 
 
 @query(

@@ -266,3 +266,25 @@ def test_review_clears_are_kept_apart_from_untouched(spark):
     edit = spark.sql("select 'h' as file_hash, cast(null as string) as entry_type, cast(null as string) as vendor_id, true as vendor_touched, 'X' as category_account_id, false as category_touched, '35' as paid_from_account_id, cast(null as string) as amount_text, cast(null as string) as txn_date, cast(null as string) as due_date, cast(null as string) as ref_number, cast(null as boolean) as included")
     row = review.resolve_rows(seeds, edit).first()
     assert (row["vendor_id"], row["vendor_tier"], row["category_account_id"], row["category_tier"], row["paid_from_account_id"], row["amount_cents"]) == (None, None, "C", "auto", None, 1000)
+
+
+def test_category_outcomes(spark):
+    """Payment accounts, records of another realm, inactive ones and missing answers are told apart."""
+    from billweave.operators import evaluate
+
+    documents = spark.createDataFrame(
+        [("r", "a", "office supplies"), ("r", "b", "one two three four five"), ("r", "c", None), ("r", "d", "  "), ("r", "e", "bank"), ("s", "f", "x"), ("r", "g", "gone"), ("r", "h", "no answer")],
+        "realm_id string, file_hash string, phrase string",
+    )
+    answers = spark.createDataFrame(
+        [("r", "a", "1", "auto"), ("r", "b", "1", "suggested"), ("r", "c", None, "none"), ("r", "d", None, "none"), ("r", "e", "2", "auto"), ("s", "f", "1", "suggested"), ("r", "g", "3", "auto"), ("r", "x", "9", "auto")],
+        "realm_id string, file_hash string, category_selected_id string, category_confidence string",
+    )
+    reference = spark.createDataFrame(
+        [("r", "account", "1", "Office", True, "Expense"), ("r", "account", "2", "Checking", True, "Bank"), ("r", "account", "3", "Old", False, "Expense")],
+        "realm_id string, entity_kind string, entity_id string, name string, active boolean, account_type string",
+    )
+    got = evaluate.category_outcomes(documents, answers, reference).first()
+    assert tuple(got) == (8, 6, 1, 5, 5 / 8, 0, 3)
+    none = evaluate.category_outcomes(documents.limit(0), answers, reference).first()
+    assert (none["documents"], none["resolved_share"]) == (0, None)
