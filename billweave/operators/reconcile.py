@@ -77,6 +77,16 @@ def _with_words(names: DataFrame, side: str) -> DataFrame:
     )
 
 
+_MEET = ["realm_id", "_at", "_part"]
+_WORD_PARTS = 16
+
+
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Short rows that mean long work, in a number of partitions of their own: their bytes alone would make them one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def candidate_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
     """Pairs of distinct normal forms that can reach the candidate floor, with their word overlap.
 
@@ -84,10 +94,11 @@ def candidate_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
     later deduplication of pairs is needed; pairs whose best possible score is
     too low are dropped inside the join.
     """
-    # the words of a query's near forms; the join's own shuffle deals the probes
+    # the words of a query's near forms; a frequent word's queries are dealt to several tasks, each with all its options
     probes = q.join(near, ["realm_id", "query_norm"]).withColumn("reach", F.array_sort(F.array_distinct(F.transform("near", lambda p: p["similar"]))))
-    probes = probes.withColumn("_at", F.explode("reach"))
-    postings = o.withColumn("_at", F.explode("o_words"))
+    probes = probes.withColumns({"_at": F.explode("reach"), "_part": F.pmod(F.xxhash64("query_norm"), F.lit(_WORD_PARTS))})
+    postings = o.withColumn("_at", F.explode("o_words")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_WORD_PARTS - 1)).cast("array<bigint>")))
+    probes, postings = _dealt(probes, *_MEET), _dealt(postings, *_MEET)
 
     common = F.array_intersect(F.col("reach"), F.col("o_words"))
     nq, no = F.size("q_words"), F.size("o_words")
@@ -101,7 +112,7 @@ def candidate_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
     best_letters = best_jaro + prefix * fixed.WINKLER_SCALE * (1 - best_jaro)
     best = fixed.TOKEN_WEIGHT * best_words + fixed.CHARACTER_WEIGHT * best_letters
     return (
-        probes.join(postings, ["realm_id", "_at"])
+        probes.join(postings, _MEET)
         .filter(
             (F.array_min(common) == F.col("_at"))
             & ((best >= fixed.CANDIDATE_FLOOR - 1e-4) | (F.col("query_norm") == F.col("option_norm")))
