@@ -12,3 +12,41 @@ def test_events_are_folded_without_a_call_per_entry(spark, tmp_path):
     for job in (stateful.fold_stream, stateful.correction_stream):
         assert "TransformWithState" not in job(events)._jdf.queryExecution().analyzed().toString()
         assert "TransformWithState" in job(events, kept_ms=1000)._jdf.queryExecution().analyzed().toString()
+
+
+def test_short_lists_of_names_are_scored_in_many_tasks(spark):
+    from billweave.operators import reconcile
+
+    names = [(f"north pipe {i}",) for i in range(40)]
+    q = spark.createDataFrame(names, "query_norm string").selectExpr("'r' as realm_id", "query_norm", "split(query_norm, ' ') as q_words")
+    o = spark.createDataFrame(names, "option_norm string").selectExpr("'r' as realm_id", "option_norm", "split(option_norm, ' ') as o_words")
+    near = q.withColumn("near", F.transform("q_words", lambda w: F.struct(w.alias("word"), w.alias("similar"), F.lit(1.0).alias("weight")))).drop("q_words")
+    pairs = reconcile.candidate_pairs(q, o, near)
+    used = pairs.withColumn("part", F.spark_partition_id()).select("part").distinct().count()
+    found = [tuple(r)[1:3] for r in pairs.collect()]
+    assert used > 4
+    assert len(found) == len(set(found)) and {(n, n) for (n,) in names} <= set(found)
+
+
+class Few:
+    """An order that is a batch and one that is a send; the send lists one supplier's bill twice."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.orders = spark.sql(
+            "select * from values (1L, timestamp'1992-05-01', '1-URGENT'), (2L, timestamp'1995-05-01', '1-URGENT') as o(o_orderkey, o_orderdate, o_orderpriority)"
+        )
+        self.lineitem = spark.sql(
+            "select o as l_orderkey, p as l_partkey, s as l_suppkey, n as l_linenumber, 10.0D as l_extendedprice, 0.0D as l_discount, 0.0D as l_tax, f as l_returnflag, 'O' as l_linestatus, "
+            "timestamp'1995-06-01' as l_shipdate from values (1L, 5L, 7L, 1, 'R'), (2L, 6L, 7L, 2, 'N'), (2L, 5L, 7L, 1, 'N'), (2L, 5L, 8L, 3, 'N') as l(o, p, s, n, f)"
+        )
+
+
+def test_documents_of_orders_are_computed_once(spark):
+    from billweave.plans import posting
+
+    found = posting.documents_of_orders(Few(spark))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["batch_id"], r["vendor_id"], r["position"]) for r in found.collect()) == [("1", "7", 1), ("2", "7", 1), ("2", "8", 3)]
+    opened = [(r["send_no"], r["batch_id"], r["resumed"]) for r in posting.open_batch(Few(spark)).collect()]
+    assert opened == [(2, "1", True)]
