@@ -224,9 +224,13 @@ def match_batch(hashes: DataFrame, parsed: DataFrame, reference: DataFrame) -> D
     is the error ``reference-empty``.
     """
     current = parsed.filter(F.col("schema_version") == fixed.PARSE_SCHEMA_VERSION)
-    docs = hashes.select("realm_id", "file_hash").distinct().join(
-        current.select("file_hash", "vendor", "suggested_category"), "file_hash", "left"
+    # documents and records are read for each of the two answers: compute them once
+    docs = cut_lineage(
+        hashes.select("realm_id", "file_hash").distinct().join(
+            current.select("file_hash", "vendor", "suggested_category"), "file_hash", "left"
+        )
     )
+    reference = cut_lineage(reference.select("realm_id", "entity_kind", "entity_id", "name", "active", "account_type"))
     answers = docs
     for text, options, prefix in (
         ("vendor", vendor_options(reference), "vendor"),

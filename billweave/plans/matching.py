@@ -416,14 +416,15 @@ def match_vendor(t):
 )
 def match_tier(t):
     """Lines per match tier and whether the answer is the true vendor."""
-    lines = printed_vendors(t)
+    # lines of one vendor and printed name have one answer: they are counted before the join
+    lines = cut_lineage(printed_vendors(t).groupBy("l_suppkey", "query").agg(F.count("*").alias("_lines")))
     answers = reconcile.match_texts(
         lines.select(F.lit("r1").alias("realm_id"), "query"), reconcile.vendor_options(vendor_reference(t))
     )
     return (
         lines.join(answers.select("query", "selected_id", "confidence"), "query", "left")
         .groupBy(F.coalesce("confidence", F.lit("none")).alias("confidence"), F.col("selected_id").eqNullSafe(F.col("l_suppkey").cast("string")).alias("right"))
-        .agg(F.count("*").alias("lines"))
+        .agg(F.sum("_lines").alias("lines"))
     )
 
 
