@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from billweave.operators import posting, review
 from billweave.operators.confidence import is_flagged
 from billweave.plans.registry import query
+from billweave.session import cut_lineage
 
 BATCH_DATE = "2024-03-01"
 
@@ -240,11 +241,11 @@ def duplicate_probes(t):
     return review.duplicate_probes(rows(t)).withColumn("txn_date", F.col("txn_date").cast("string"))
 
 
-def sent_before(t):
+def sent_before(rows):
     """Entries of earlier batches: bills that name a vendor and an amount were entered up to five days before, some undone or not confirmed."""
     k = F.floor(F.col("position") / 2)
     day = F.date_sub(F.lit(BATCH_DATE).cast("date"), F.pmod(k, F.lit(6)).cast("int"))
-    prior = rows(t).filter((F.coalesce("vendor_id", F.lit("")) != "") & F.col("amount_cents").isNotNull())
+    prior = rows.filter((F.coalesce("vendor_id", F.lit("")) != "") & F.col("amount_cents").isNotNull())
     text = lambda name: F.lit(None).cast("string").alias(name)
     return prior.select(
         F.concat(F.lit("e-"), "file_hash").alias("id"), F.sha2(F.concat(F.lit("e-"), k.cast("string")), 256).alias("file_hash"),
@@ -271,7 +272,11 @@ firsts AS (SELECT file_hash, warnings, strftime(CASE WHEN posted THEN day + 1 EL
 
 def _counts(t):
     """Earlier entries per complete row, looked up among those sent before."""
-    return posting.duplicate_counts(review.duplicate_probes(rows(t)), sent_before(t), sent_ledger(t))
+    return _counts_of(t, cut_lineage(rows(t)))
+
+
+def _counts_of(t, resolved):
+    return posting.duplicate_counts(review.duplicate_probes(resolved), sent_before(resolved), sent_ledger(t))
 
 
 @query(
@@ -291,7 +296,8 @@ def duplicate_notice(t):
 )
 def attention_rows(t):
     """Rows that want a person: unread, flagged, incomplete or likely duplicates."""
-    return review.attention_rows(rows(t), _counts(t), is_flagged()).select("file_hash")
+    resolved = cut_lineage(rows(t))  # rows, their questions and what was sent before are all made of them
+    return review.attention_rows(resolved, _counts_of(t, resolved), is_flagged()).select("file_hash")
 
 
 @query(
