@@ -22,6 +22,8 @@ _LAYOUTS = (
 )
 
 
+# what the second and third layout read
+_NUMERIC = r"^[0-9]{1,2}[/.-][0-9]{1,2}[/.-](?:[0-9]{2}|[0-9]{4})\z"
 _READ = r"^={1,2}([1-9][0-9]{3}-[0-9]{1,2}-[0-9]{1,2})\z"
 
 
@@ -29,10 +31,21 @@ def printed_to_date(raw: Column) -> Column:
     """DATE of a printed date, null when absent or unreadable.
 
     Numeric dates are month-first unless the first number cannot be a month. Dates that
-    are written year first are read as they are, and named months are only looked for where there are letters.
+    are written year first are read as they are, plain numeric ones by their own layouts, and named months are only
+    looked for where there are letters.
     """
     trimmed = trim_all(raw)
-    return F.when(F.rlike(trimmed, F.lit(r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}\z")), trimmed.try_cast("date")).otherwise(_any_to_date(raw))
+    return (
+        F.when(F.rlike(trimmed, F.lit(r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}\z")), trimmed.try_cast("date"))
+        .when(F.rlike(trimmed, F.lit(_NUMERIC)), _numeric_to_date(trimmed))
+        .otherwise(_any_to_date(raw))
+    )
+
+
+def _numeric_to_date(text: Column) -> Column:
+    for pattern, layout in _LAYOUTS[1:5]:
+        text = F.regexp_replace(text, pattern, layout)
+    return F.regexp_extract(text, _READ, 1).try_cast("date")
 
 
 def _any_to_date(raw: Column) -> Column:

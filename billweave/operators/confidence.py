@@ -98,12 +98,16 @@ def flagged_fields() -> Column:
     flags = F.coalesce(F.col("validation_flags"), F.array().cast("array<string>"))
     marked = F.map_keys(F.map_filter(F.col("field_confidence"), lambda k, v: v == "flagged"))
     marked = F.coalesce(marked, F.array().cast("array<string>"))
-    named = F.transform(flags, lambda f: F.when(F.instr(f, ":") > 0, F.regexp_replace(f, r"(?s)^[^:]*:", "")))
-    suspects = F.concat(marked, named)
-    hits = F.filter(suspects, lambda f: F.coalesce(F.array_contains(known, f), F.lit(False)))
-    stray = F.size(suspects) > F.size(hits)
-    money = F.when(stray, F.array(*[F.lit(f) for f in fixed.MONEY_FIELDS])).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_union(hits, money))
+    named = F.transform(flags, lambda f: F.when(F.instr(f, ":") > 0, F.substring(f, F.instr(f, ":") + 1, F.length(f))))
+
+    def with_money(suspects: Column) -> Column:
+        hits = F.filter(suspects, lambda f: F.coalesce(F.array_contains(known, f), F.lit(False)))
+        stray = F.exists(suspects, lambda f: ~F.coalesce(F.array_contains(known, f), F.lit(False)))
+        money = F.when(stray, F.array(*[F.lit(f) for f in fixed.MONEY_FIELDS])).otherwise(F.array().cast("array<string>"))
+        return F.array_sort(F.array_union(hits, money))
+
+    # in an array of one, so that it is made once and not at each mention
+    return F.get(F.transform(F.array(F.concat(marked, named)), with_money), F.lit(0))
 
 
 def is_flagged() -> Column:
