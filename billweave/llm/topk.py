@@ -73,14 +73,18 @@ def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
     return salted.groupBy(*keys, "_part").applyInArrow(pack, schema)
 
 
-def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products: doubles while every sum stays below 2**53, then long integers, beyond them Python's own."""
+def _products(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray) -> np.ndarray:
+    """Exact inner products: doubles while every sum stays below 2**53, then long integers, beyond them Python's own.
+
+    A row is no candidate of its own, so its product with itself may leave the range of a long.
+    """
     bound = float(np.sqrt((q.astype(float) ** 2).sum(1).max(initial=0)) * np.sqrt((x.astype(float) ** 2).sum(1).max(initial=0)))
     if bound < 2**52:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
     if bound < 2**62:
         return q @ x.T
     exact = q.astype(object) @ x.T.astype(object)
+    exact[q_ids[:, None] == x_ids[None, :]] = 0
     if exact.size and (exact.max() >= 1 << 63 or exact.min() < -(1 << 63)):
         raise ValueError("an inner product leaves the range of a long")
     return exact.astype(np.int64)
@@ -99,7 +103,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, x: np.ndar
         # length pruning: rows are sorted by norm, so what is long enough for the easiest of these queries is a prefix
         floor = np.where(theta[by_length] > 0, theta[by_length] / np.maximum(q_norm[by_length], 1e-300), 0).min() * (1 - 1e-9)
         n = int(np.searchsorted(-x_norm, -floor, "right"))
-        out.append(_best(_products(q[by_length], x[:n]), by_length, x_ids[:n], q_ids, theta, k))
+        out.append(_best(_products(q[by_length], x[:n], q_ids[by_length], x_ids[:n]), by_length, x_ids[:n], q_ids, theta, k))
     for i in np.flatnonzero((needed >= COORDINATE_FROM) & (needed <= 1)):
         # coordinate pruning: unit vectors of cosine t differ by at most sqrt(2 - 2t), hence in each coordinate
         focus = int(np.abs(q[i]).argmax())
@@ -108,7 +112,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, x: np.ndar
         # a shorter vector needs a higher cosine than the bucket's threshold, so the bound holds for all of them
         near = np.flatnonzero(np.abs(unit - q[i, focus] / q_norm[i]) <= gap)
         if len(near):
-            out.append(_best(_products(q[i : i + 1], x[near]), np.array([i]), x_ids[near], q_ids, theta, k))
+            out.append(_best(_products(q[i : i + 1], x[near], q_ids[i : i + 1], x_ids[near]), np.array([i]), x_ids[near], q_ids, theta, k))
     if not out:
         none = np.empty(0, np.int64)
         return none, none, none
