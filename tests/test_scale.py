@@ -1,5 +1,7 @@
 """What keeps work, disk and tasks in proportion to the tables: plans and partitions of the steps that once were not."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from billweave.streaming import stateful
@@ -14,6 +16,47 @@ def test_events_are_folded_without_a_call_per_entry(spark, tmp_path):
         assert "TransformWithState" in job(events, kept_ms=1000)._jdf.queryExecution().analyzed().toString()
 
 
+def _states(spark, rows, job, path, kept_ms=None):
+    """What a stream over the rows tells last of each key, and how many states it holds."""
+    rows.repartition(3).write.parquet(f"{path}/in")
+    stream = job(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), kept_ms)
+    told = []
+    writer = stream.writeStream.outputMode("update").foreachBatch(lambda batch, number: told.extend(batch.collect())).option("checkpointLocation", f"{path}/check")
+    query = (writer if kept_ms else writer.trigger(availableNow=True)).start()
+    if kept_ms:  # time alone starts micro-batches, so it runs on
+        until = time.time() + 60
+        while time.time() < until and sum(p["numInputRows"] for p in query.recentProgress) < rows.count():
+            time.sleep(0.2)
+        query.stop()
+    query.awaitTermination()
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    return told, states
+
+
+def test_files_share_calls_and_state(spark, tmp_path, monkeypatch):
+    from billweave.operators import ingest
+
+    monkeypatch.setattr(stateful, "BUCKETS", 5, raising=False)
+    samples = [(f"p{i % 40}", i % 7 // 2, i % 3, None if i % 90 == 0 else i * 7 % 200) for i in range(200)]
+    rows = spark.createDataFrame(samples, "path string, size_bytes long, mtime long, at long").withColumn("sample_ts", F.timestamp_seconds("at")).drop("at")
+    want = {tuple(r) for r in ingest.settled_files(rows.withColumnRenamed("size_bytes", "size")).collect()}
+    for kept_ms, most in ((None, 5), (10**9, 40)):
+        told, states = _states(spark, rows, stateful.settle_stream, tmp_path / f"settle{kept_ms}", kept_ms)
+        assert set({r["path"]: tuple(r) for r in told}.values()) == want
+        assert states <= most
+
+
+def test_documents_share_calls_and_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "BUCKETS", 5, raising=False)
+    files = [(f"s{i % 2}", f"h{i % 60}", 1000 - i, f"f{i}", i, "loaded") for i in range(300)] + [("s0", None, i, f"n{i}", i, "loaded") for i in range(3)]
+    rows = spark.createDataFrame(files, "scan_id string, hash string, position long, filename string, size_bytes long, status string")
+    for kept_ms, most in ((None, 5), (10**9, 61)):
+        told, states = _states(spark, rows, stateful.first_copies, tmp_path / f"copies{kept_ms}", kept_ms)
+        last = {r["filename"]: r["status"] for r in told}
+        assert {f for f, status in last.items() if status == "loaded"} == {f"f{i}" for i in range(240, 300)} | {"n0"} and len(last) == 303
+        assert states <= most
+
+
 def test_short_lists_of_names_are_scored_in_many_tasks(spark):
     from billweave.operators import reconcile
 
