@@ -14,20 +14,21 @@ is taken off is the probability of a word not met in training.
 The lower layer grows with the corpus. Its contexts are the last one to ``MAX_DEPTH`` words as
 they are, the beginning included; a context is a candidate when it was met ``LEAST_COUNT`` times,
 and retained by the same divergence test against the longest one inside it (for a
-single word: its class). Contexts and next-word counts are tables, one grouped count a depth. A
-``Sieve`` of the candidates keeps other rows out of the exchange; it only ever lets too many pass.
+single word: its class).
 
 Upper alphabet and contexts are bounded by the shares whatever the size of the corpus, so that tree
-travels to tasks by value. Word counts and lower contexts are not bounded: they stay in tables, and
-documents meet them in one exchange. A token's logarithm is the class value plus one term for each
-retained context and each run of words met behind one, so a document's score is a sum of looked-up
-values. Words and runs of at least ``HOT_SHARE`` of all tokens (at most 1 / HOT_SHARE a depth) are
-added up where the text is read; the others go as blobs (hashes, rows of the slice they stand in)
-to the bucket that holds their values, and partial sums come back per slice.
+travels to tasks by value. Word counts and lower contexts are not bounded. Texts are cut into words
+once and kept as slices; a slice asks the buckets that add up the words for the counts of its own. Then
+every place behind a word that may be a context goes to the bucket of that word, with the words before
+it as far as they may make a longer one. A bucket so holds whole subtrees of contexts, with everything
+that follows them: it learns them and scores the places in one go, and sums come back per slice and row.
+A context met twice as often as a bucket has places on average (``BUCKET_PLACES``) would not fit one (there are
+at most tokens / 2 BUCKET_PLACES a depth): what follows it is counted in buckets of its own, its figures are added up over
+them, and its places go on to the buckets of the contexts one word longer.
 """
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.text import LOWER, NOT_SPACE, Rolling, Slice, text_slices, word_hashes, word_spans
+from billweave.llm.text import LOWER, NOT_SPACE, Rolling, Slice, mix, text_slices, word_hashes, word_spans
 from billweave.session import cut_lineage
 
 FOLDS, HELD_OUT_FOLD = 7, 2
 MAX_DEPTH = 4
 SYMBOL_SHARE = 1e-3
 CONTEXT_SHARE = 1e-3
-HOT_SHARE = 1e-4
+BUCKET_PLACES = 2_000_000
+_COMMON = 2
+_SLICE_WORDS, _PIECE_WORDS, _AT_ONCE = 1_200_000, 300_000, 1 << 17
+_READ_BYTES = 1 << 20
 LEAST_COUNT = 20
 DIVERGENCE = 20.0
 DISCOUNT = 0.75
 _BASE = 4096
 _ENDINGS = 1 << 16
-_SIEVE_BITS = 26
-_BEGIN, _END = np.uint64(0x8B1F3C6A5D2E9074), np.uint64(0x5C93A7E1F06B4D28)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,19 +68,148 @@ def _words(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), before * 256 + last, at
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """hash, ending, count in training texts (0 for words of held-out texts only); from text and held_out."""
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            hashes, ending, at = _words(part)
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed value, byte by byte of their numbers: high bytes are mostly zero."""
+    body = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in map(np.ascontiguousarray, arrays))
+    return np.array([len(body), *map(len, arrays)], np.int64).tobytes() + _zstd().compress(body, asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    total, *lengths = np.frombuffer(data, np.int64, 1 + len(kinds)).tolist()
+    body = np.frombuffer(_zstd().decompress(memoryview(data)[8 * (1 + len(kinds)) :], decompressed_size=total, asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, length in zip(kinds, lengths):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(body[at : at + length * size].reshape(size, length).T).reshape(-1).view(kind))
+        at += length * size
+    return out
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+_SLICES = "slice long, tokens long, ends long, words binary, figures binary, texts binary"
+_FIGURES = (np.uint16, np.uint32)
+_TEXTS = (np.uint32, np.int64, np.int64, np.uint8, np.uint8)
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """One row per slice of doc_id, text and held_out: training tokens and texts, distinct words by hash, their endings and training counts, texts as ranks of words by count."""
+
+    def row(slice_id: int, parts: list[tuple]) -> pa.RecordBatch:
+        hashes, endings, n, which, n_words, doc, null, out = zip(*parts)
+        keys, first, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        place = place.reshape(-1)
+        count = np.bincount(place, weights=np.concatenate(n), minlength=len(keys)).astype(np.uint32)
+        rank = np.empty(len(keys), np.uint32)
+        rank[_by_count(count)] = np.arange(len(keys))
+        own = np.split(rank[place], np.cumsum([len(h) for h in hashes])[:-1])
+        texts = _packed(np.concatenate([r[w] for r, w in zip(own, which)]), *map(np.concatenate, (n_words, doc, null, out)))
+        ends = int((np.concatenate(out) == 0).sum())
+        return _batch([(slice_id, int(count.sum()) + ends, ends, _packed(keys), _packed(np.concatenate(endings)[first], count), texts)], _SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_id, number, parts, held = TaskContext.get().partitionId(), 0, [], 0
+        for part in text_slices(batches, "text", _READ_BYTES):
+            hashes, endings, at = _words(part)
             keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            train = ~np.repeat(part.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at))
-            n = np.bincount(which.reshape(-1)[train], minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ending[first].astype(np.int32)), pa.array(n)], names=["hash", "ending", "count"])
+            which = which.reshape(-1).astype(np.uint32)
+            out = part.rows.column("held_out").to_numpy(zero_copy_only=False)
+            n = np.bincount(which[~np.repeat(out, np.diff(at))], minlength=len(keys))
+            doc = part.rows.column("doc_id").cast(pa.int64())
+            ids, null = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
+            parts.append((keys, endings[first].astype(np.uint16), n, which, np.diff(at).astype(np.int64), ids, null.astype(np.uint8), out.astype(np.uint8)))
+            held += len(hashes)
+            if held >= _SLICE_WORDS:
+                yield row(part_id << 32 | number << 16, parts)
+                number, parts, held = number + 1, [], 0
+        if parts:
+            yield row(part_id << 32 | number << 16, parts)
+
+    return docs.mapInArrow(run, _SLICES)
+
+
+def _by_count(n: np.ndarray) -> np.ndarray:
+    """A slice's words, those met most often first."""
+    return np.argsort(-n.astype(np.int64), kind="stable")
+
+
+_ASKED = "bucket int, slice long, piece int, data binary"
+_TOLD = "kind int, bucket int, slice long, piece int, depth int, data binary"
+_FACTS, _ANSWER = range(2)
+
+
+def _edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins in sorted hashes: a bucket is a range of them."""
+    held = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(held, np.arange(buckets + 1).astype(np.uint64))
+
+
+def _by_bucket(slice_id: int, piece: int, hashes: np.ndarray, others: list[np.ndarray], buckets: int) -> list[tuple]:
+    edges = _edges(hashes, buckets)
+    return [(b, slice_id, piece, _packed(*(c[edges[b] : edges[b + 1]] for c in (hashes, *others)))) for b in np.flatnonzero(np.diff(edges)).tolist()]
+
+
+def _merged(blobs: pa.Table, kinds: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of all blobs, and where each blob begins in them."""
+    parts = [_unpacked(data, *kinds) for data in blobs.column("data").to_pylist()]
+    return [np.concatenate(c) for c in zip(*parts)], np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
+
+
+def _answers(blobs: pa.Table, depth: int, edges: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    bucket, ids, pieces = blobs.column("bucket")[0].as_py(), blobs.column("slice").to_pylist(), blobs.column("piece").to_pylist()
+    return [(_ANSWER, bucket, s, k, depth, _packed(*(c[a:b] for c in columns))) for s, k, a, b in zip(ids, pieces, edges[:-1], edges[1:])]
 
-    counted = docs.mapInArrow(count, "hash long, ending int, count long")
-    return counted.groupBy("hash").agg(F.first("ending").alias("ending"), F.sum("count").alias("count"))
+
+#: numbers of words: none, the beginning, the end; then a bucket's by how often they were met, so that small ones are frequent
+_NONE_ID, _BEGIN_ID, _END_ID, _FIRST_ID = range(4)
+
+
+def word_totals(slices: DataFrame, buckets: int) -> DataFrame:
+    """Words with a number and their counts in all training texts, and for each slice those of its own words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_id, words, figures in zip(*(batch.column(c).to_pylist() for c in ("slice", "words", "figures"))):
+                yield _batch(_by_bucket(slice_id, 0, *_unpacked(words, np.uint64), _unpacked(figures, *_FIGURES), buckets), _ASKED)
+
+    def tell(blobs: pa.Table) -> pa.Table:
+        (hashes, endings, n), edges = _merged(blobs, (np.uint64, *_FIGURES))
+        bucket = blobs.column("bucket")[0].as_py()
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+        total = np.bincount(which, weights=n, minlength=len(keys)).astype(np.int64)
+        ids = np.empty(len(keys), np.uint32)
+        ids[np.argsort(-total, kind="stable")] = np.arange(len(keys)) * buckets + bucket + _FIRST_ID
+        facts = (_FACTS, bucket, -1, 0, 0, _packed(keys, endings[first], total, ids))
+        return pa.Table.from_batches([_batch([facts, *_answers(blobs, 0, edges, total[which], ids[which])], _TOLD)])
+
+    return slices.select("slice", "words", "figures").mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(tell, _TOLD)
+
+
+def _words_of(totals: DataFrame) -> DataFrame:
+    """hash, ending, count in training texts (0 for words of held-out texts only), id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                keys, endings, total, ids = _unpacked(data, np.uint64, np.uint16, np.int64, np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings.astype(np.int32)), pa.array(total), pa.array(ids.astype(np.int64))], names=["hash", "ending", "count", "id"])
+
+    return totals.where((F.col("kind") == _FACTS) & (F.col("depth") == 0)).select("data").mapInArrow(run, "hash long, ending int, count long, id long")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """hash, ending, count in training texts (0 for words of held-out texts only); from doc_id, text and held_out."""
+    return _words_of(word_totals(tokenised(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))).drop("id")
 
 
 # ---- the tree
@@ -126,16 +257,20 @@ def alphabet_of(words: DataFrame, tokens: int, share: float) -> Alphabet:
 
 def encoded(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
     """One row per slice: its training texts as symbols, beginning and end included, one after another."""
+    return _encoded(tokenised(docs), alphabet)
+
 
+def _encoded(slices: DataFrame, alphabet: Alphabet) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            hashes, endings, at = _words(part)
-            symbols, _ = framed(alphabet.encode(hashes, endings), at, alphabet)
-            lengths = np.diff(at) + 2
-            train = np.repeat(~part.rows.column("held_out").to_numpy(zero_copy_only=False), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array([symbols[train].tobytes()], pa.binary())], names=["symbols"])
+        for batch in batches:
+            for words, figures, texts in zip(*(batch.column(c).to_pylist() for c in ("words", "figures", "texts"))):
+                (hashes,), (endings, count) = _unpacked(words, np.uint64), _unpacked(figures, *_FIGURES)
+                which, n, _, _, out = _unpacked(texts, *_TEXTS)
+                symbols, _ = framed(alphabet.encode(hashes, endings)[_by_count(count)][which], np.concatenate(([0], np.cumsum(n))), alphabet)
+                train = np.repeat(out == 0, n + 2)
+                yield pa.RecordBatch.from_arrays([pa.array([symbols[train].tobytes()], pa.binary())], names=["symbols"])
 
-    return docs.mapInArrow(encode, "symbols binary")
+    return slices.select("words", "figures", "texts").mapInArrow(encode, "symbols binary")
 
 
 def framed(symbols: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +302,14 @@ def _level(sequences: DataFrame, depth: int, candidates: np.ndarray, alphabet: A
                 symbols = np.frombuffer(row.as_buffer(), np.uint16).astype(np.int64)
                 place, code = _codes(symbols, depth, alphabet)
                 index, there = member(candidates, code)
-                pair, n = np.unique(index[there] * _BASE + symbols[place[there]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(candidates[pair // _BASE]), pa.array(pair % _BASE), pa.array(n)], names=["context", "symbol", "count"])
+                pair = index[there] * alphabet.size + symbols[place[there]]
+                if len(candidates) * alphabet.size <= 1 << 22:
+                    n = np.bincount(pair)
+                    pair = np.flatnonzero(n)
+                    n = n[pair]
+                else:
+                    pair, n = np.unique(pair, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(candidates[pair // alphabet.size]), pa.array(pair % alphabet.size), pa.array(n)], names=["context", "symbol", "count"])
 
     return sequences.mapInArrow(count, "context long, symbol long, count long").groupBy("context", "symbol").agg(F.sum("count").alias("count")).toArrow()
 
@@ -184,6 +325,10 @@ class SuffixTree:
 
     def score(self, symbols: np.ndarray, place: np.ndarray, begin: int, depth: int | None = None) -> np.ndarray:
         """log10 probability of the symbols at these places, each in its longest retained state (of at most ``depth`` symbols)."""
+        parts = [self._score(symbols, place[i : i + _AT_ONCE], begin, depth) for i in range(0, len(place), _AT_ONCE)]
+        return np.concatenate(parts) if parts else np.empty(0)
+
+    def _score(self, symbols: np.ndarray, place: np.ndarray, begin: int, depth: int | None) -> np.ndarray:
         node = np.zeros(len(place), np.int64)
         open_ = np.arange(len(place))
         for j in range(1, (self.depth if depth is None else min(depth, self.depth)) + 1):
@@ -248,242 +393,447 @@ def learn_tree(sequences: DataFrame, alphabet: Alphabet, *, max_depth: int = MAX
 # ---- contexts of words
 
 
+def _runs(words: np.ndarray, rolling: Rolling, place: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` words that end before each place; a single word has its own."""
+    return words[place - 1] if length == 1 else rolling.of(place - length, place)
+
+
 @dataclass
-class Sieve:
-    """Bits of the hashes of a table: what is in it passes, and some of what is not. Its size is fixed, results do not depend on it."""
+class Shares:
+    """What words have of their symbol: training counts and kinds of each symbol.
+
+    A symbol of one word has share one. In a symbol of several, ``DISCOUNT`` is taken off each
+    count, and what that gives is the probability of a word of this symbol not met before.
+    """
 
-    bits: np.ndarray
+    alphabet: Alphabet
+    n: np.ndarray
+    kinds: np.ndarray
 
-    def passes(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - _SIEVE_BITS)
-        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    def log_p(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+        all_, new = np.maximum(self.n[symbol], 1), DISCOUNT * np.maximum(self.kinds[symbol], 1)
+        return np.log10(np.where(symbol < len(self.alphabet.words), 1.0, np.where(count > 0, (count - DISCOUNT) / all_, np.where(self.n[symbol] > 0, new / all_, 1.0))))
 
 
-def sieve_of(hashes: DataFrame) -> Sieve:
-    """Of the column ``hash``; at most 2 ** 20 rows reach the driver."""
-    bit = f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - _SIEVE_BITS}) & 63 as int))"
-    found = hashes.select(F.expr(f"cast(shiftrightunsigned(hash, {70 - _SIEVE_BITS}) as int)").alias("at"), F.expr(bit).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(1 << _SIEVE_BITS - 6, np.uint64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return Sieve(bits)
+def shares_of(words: DataFrame, alphabet: Alphabet) -> Shares:
+    """From the table of word counts; one row per symbol reaches the driver."""
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.column("count").to_numpy()
+            symbol = alphabet.encode(batch.column("hash").to_numpy().view(np.uint64), batch.column("ending").to_numpy()).astype(np.int64)[count > 0]
+            n, kinds = np.bincount(symbol, weights=count[count > 0]).astype(np.int64), np.bincount(symbol)
+            own = np.flatnonzero(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(kinds[own])], names=["symbol", "n", "kinds"])
 
-def _runs(words: np.ndarray, rolling: Rolling, place: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words that end before each place; a single word has its own."""
-    return words[place - 1] if length == 1 else rolling.of(place - length, place)
+    facts = words.mapInArrow(place, "symbol long, n long, kinds long").groupBy("symbol").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    n, kinds = np.zeros(alphabet.size + 1), np.zeros(alphabet.size + 1)
+    n[facts.column("symbol").to_numpy()] = facts.column("n").to_numpy()
+    kinds[facts.column("symbol").to_numpy()] = facts.column("kinds").to_numpy()
+    return Shares(alphabet, n, kinds)
 
 
-def _framed_words(hashes: np.ndarray, at: np.ndarray, alphabet: Alphabet, symbols: np.ndarray, placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of framed symbols, and how many of its own text's stand before each."""
-    words = np.where(symbols == alphabet.begin, _BEGIN, _END)
-    words[placed] = hashes
-    return words, np.arange(len(words)) - np.repeat(at[:-1] + 2 * np.arange(len(at) - 1), np.diff(at) + 2)
+def word_values(words: DataFrame, alphabet: Alphabet, below: int) -> DataFrame:
+    """hash, count, base, log_p, known: the unigram value of each word, and its share of its symbol."""
+    shares = shares_of(words, alphabet)
 
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.column("count").to_numpy()
+            symbol = alphabet.encode(batch.column("hash").to_numpy().view(np.uint64), batch.column("ending").to_numpy())
+            columns = [batch.column("hash"), batch.column("count"), pa.array(np.log10((count + 1) / below)), pa.array(shares.log_p(symbol, count)), pa.array((count > 0).astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "count", "base", "log_p", "known"])
 
-def _followed(docs: DataFrame, depth: int, sieve: Sieve, alphabet: Alphabet, tree: SuffixTree) -> DataFrame:
-    """gram, context, inner, last, base, count: what follows the contexts of one depth in training texts.
+    return words.mapInArrow(value, "hash long, count long, base double, log_p double, known double")
 
-    ``gram`` is the context with the word behind it, ``inner`` the same without its first word, ``last``
-    the context's last word, ``base`` the log10 probability of the word's class behind the last word's.
-    """
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            hashes, endings, at = _words(part)
-            symbols, placed = framed(alphabet.encode(hashes, endings), at, alphabet)
-            words, since = _framed_words(hashes, at, alphabet, symbols, placed)
-            rolling = Rolling(words)
-            train = np.repeat(~part.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at) + 2)
-            place = np.flatnonzero(train & (since >= depth))
-            place = place[sieve.passes(_runs(words, rolling, place, depth))]
-            gram, first, n = np.unique(_runs(words, rolling, place + 1, depth + 1), return_index=True, return_counts=True)
-            place = place[first]
-            longs = [gram, _runs(words, rolling, place, depth), _runs(words, rolling, place + 1, depth), words[place - 1]]
-            base = tree.score(symbols, place, alphabet.begin, 1) if depth == 1 else np.zeros(len(place))
-            end = words[place] == _END
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in longs), pa.array(base), pa.array(end), pa.array(n)], names=["gram", "context", "inner", "last", "base", "end", "count"])
-
-    rows = docs.mapInArrow(follow, "gram long, context long, inner long, last long, base double, end boolean, count long")
-    return rows.groupBy("gram").agg(*(F.first(c).alias(c) for c in ("context", "inner", "last", "base", "end")), F.sum("count").alias("count"))
-
-
-def word_contexts(docs: DataFrame, words: DataFrame, values: DataFrame, alphabet: Alphabet, tree: SuffixTree, *, max_depth: int, least_count: int, divergence: float) -> tuple[DataFrame, DataFrame]:
-    """The retained contexts (hash, depth, last, count, back) and the runs met behind them (hash, count, log_p).
-
-    ``back`` is the log10 of what a context leaves to the longest one inside it, for words not met behind
-    it; ``log_p`` is what replaces it for one that was: the gain over that shorter context, less ``back``.
+@dataclass
+class Common:
+    """Contexts of one length that are met too often for a bucket, by hash: last word, training count, kinds of words behind, whether retained."""
+
+    keys: np.ndarray
+    last: np.ndarray
+    n: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+
+
+@dataclass
+class Model:
+    """What a task needs of the corpus to read a slice; none of it grows with it but ``commons``, of at most tokens / places a depth.
+
+    ``symbol_of``: the numbers of the words that are symbols, sorted, and the symbols.
     """
-    spark = docs.sparkSession
-    candidates = words.where(F.col("count") >= least_count).select("hash").union(spark.createDataFrame([(int(_BEGIN.view(np.int64)),)], "hash long"))
-    inside = values.select(F.col("hash").alias("inner"), F.col("log_p").alias("inner_p"))
-    contexts, runs = [], []
-    for depth in range(1, max_depth + 1):
-        counted = cut_lineage(_followed(docs, depth, sieve_of(candidates), alphabet, tree))
-        sums = counted.groupBy("context").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("kinds")).where(F.col("n") >= least_count)
-        # an end has no row among the words; its share of its symbol is one
-        met = counted.join(sums, "context").join(inside, "inner", "left" if depth == 1 else "inner")
-        met = cut_lineage(met.withColumn("inner_p", F.col("base") + F.coalesce("inner_p", F.lit(0.0))))
-        gain = F.col("count") * (F.ln(F.col("count") / F.col("n")) - F.col("inner_p") * float(np.log(10)))
-        facts = met.groupBy("context").agg(F.first("last").alias("last"), F.first("n").alias("n"), F.first("kinds").alias("kinds"), F.sum(gain).alias("gain"))
-        kept = cut_lineage(facts.where(F.col("gain") >= divergence).select("context", "last", "n", F.log10(F.col("kinds") / (F.col("n") + F.col("kinds"))).alias("back")))
-        own = F.log10((F.col("count") + F.col("kinds") * F.pow(F.lit(10.0), F.col("inner_p"))) / (F.col("n") + F.col("kinds")))
-        level = cut_lineage(met.join(kept.select("context", "back"), "context", "left").withColumn("p", F.when(F.col("back").isNull(), F.col("inner_p")).otherwise(own)))
-        contexts.append(kept.select(F.col("context").alias("hash"), F.lit(depth).alias("depth"), "last", F.col("n").alias("count"), "back"))
-        runs.append(level.where("back is not null").select(F.col("gram").alias("hash"), "count", (F.col("p") - F.col("inner_p") - F.col("back")).alias("log_p")))
-        candidates = level.where(~F.col("end") & (F.col("count") >= least_count)).select(F.col("gram").alias("hash"))
-        inside = level.select(F.col("gram").alias("inner"), F.col("p").alias("inner_p"))
-        if candidates.isEmpty():
+
+    alphabet: Alphabet
+    symbol_of: np.ndarray
+    tree: SuffixTree
+    shares: Shares
+    commons: list[Common] | None
+    ends: int
+    below: int
+    buckets: int
+    max_depth: int
+    least_count: int
+    divergence: float
+
+
+class Dictionary:
+    """A slice's words by rank: number, training count in all texts, symbol; and the answers to its pieces."""
+
+    def __init__(self, own: pa.Table, told: pa.Table, model: Model):
+        self.model = model
+        self.slice_id = own.column("slice")[0].as_py()
+        self.told = sorted(zip(*(told.column(c).to_pylist() for c in ("depth", "piece", "bucket", "data"))))
+        endings, own_count = _unpacked(own.column("figures")[0].as_py(), *_FIGURES)
+        self.texts = _unpacked(own.column("texts")[0].as_py(), *_TEXTS)
+        order = _by_count(own_count)
+        count, ids = self.answers(0, 0, np.int64, np.uint32)
+        self.count, self.ids = count[order], ids[order]
+        index, there = member(model.symbol_of[0], self.ids)
+        self.symbol = model.alphabet.of_ending[endings[order]].astype(np.uint16)
+        self.symbol[there] = model.symbol_of[1][index[there]]
+        self.share = model.shares.log_p(self.symbol, self.count)
+
+    def answers(self, depth: int, piece: int, *kinds: type) -> list[np.ndarray]:
+        """The buckets' answers about sorted hashes, one after another."""
+        parts = [_unpacked(data, *kinds) for d, k, _, data in self.told if (d, k) == (depth, piece)]
+        return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, k) for k in kinds]
+
+    def pieces(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Texts of about ``_PIECE_WORDS`` words in all, as a slice's figures take more room than its words."""
+        which, n_words, *rows = self.texts
+        at = np.concatenate(([0], np.cumsum(n_words)))
+        start = number = 0
+        while start < len(n_words):
+            stop = min(max(int(np.searchsorted(at, at[start] + _PIECE_WORDS, "right")) - 1, start + 1), len(n_words))
+            yield number, [which[at[start] : at[stop]], n_words[start:stop], *(c[start:stop] for c in rows)]
+            start, number = stop, number + 1
+
+
+class Read:
+    """A piece of a slice with the figures of its words, each place as far as common contexts settle it."""
+
+    def __init__(self, of: Dictionary, piece: int, texts: list[np.ndarray]):
+        self.model = model = of.model
+        self.slice_id, self.piece = of.slice_id, piece
+        which, self.n_words, self.doc, self.null, self.out = texts
+        alphabet, at = model.alphabet, np.concatenate(([0], np.cumsum(self.n_words)))
+        count, ids, symbol = of.count, of.ids, of.symbol
+        self.symbols, placed = framed(symbol[which], at, alphabet)
+        self.row = np.repeat(np.arange(len(self.n_words), dtype=np.uint32), self.n_words + 2)
+        self.number = np.where(self.symbols == alphabet.begin, np.uint32(_BEGIN_ID), np.uint32(_END_ID))
+        self.number[placed] = ids[which]
+        self.since = (np.arange(len(self.symbols)) - np.repeat(at[:-1] + 2 * np.arange(len(self.n_words)), self.n_words + 2)).astype(np.int32)
+        #: only runs that common contexts are part of need a hash
+        self.words = mix(self.number.astype(np.uint64)) if model.commons is not None else None
+        self.rolling = Rolling(self.words) if model.commons is not None else None
+        self.met = np.zeros(len(self.symbols), np.int64)
+        self.met[placed] = count[which]
+        self.met[self.symbols == alphabet.begin] = model.ends
+        text = self.row[placed]
+        self.base = np.bincount(text, weights=np.log10((count + 1) / model.below)[which], minlength=len(self.n_words))
+        self.known = np.bincount(text, weights=(count > 0)[which], minlength=len(self.n_words))
+        self.place = np.flatnonzero(self.symbols != alphabet.begin)
+        of_word = np.zeros(len(self.symbols))
+        of_word[placed] = of.share[which]
+        of_word = of_word[self.place]
+        self.by_class = model.tree.score(self.symbols, self.place, alphabet.begin) + of_word
+        self.p = model.tree.score(self.symbols, self.place, alphabet.begin, 1) + of_word
+        #: the length of the shortest context that is not common
+        self.start = np.ones(len(self.place), np.int8)
+        for depth, common in enumerate(model.commons or [], 1):
+            at, index = self.behind(depth, common.keys)
+            grams, which = np.unique(self.gram(depth, at), return_inverse=True)
+            n, kinds = common.n[index], common.kinds[index]
+            own_p = np.log10((of.answers(depth, piece, np.int64)[0][which.reshape(-1)] + kinds * 10.0 ** self.p[at]) / (n + kinds))
+            self.p[at] = np.where(common.kept[index], own_p, self.p[at])
+            self.start[at] = depth + 1
+
+    def behind(self, depth: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places behind one of these contexts, as indexes of ``place``, and which."""
+        at = np.flatnonzero((self.start == depth) & (self.since[self.place] >= depth))
+        index, there = member(keys, self.context(depth, at))
+        return at[there], index[there]
+
+    def context(self, depth: int, at: np.ndarray) -> np.ndarray:
+        return _runs(self.words, self.rolling, self.place[at], depth)
+
+    def gram(self, depth: int, at: np.ndarray) -> np.ndarray:
+        return _runs(self.words, self.rolling, self.place[at] + 1, depth + 1)
+
+
+# ---- contexts too common for a bucket
+
+_GRAMS = (np.uint64, np.uint32, np.uint32, np.float64, np.uint32)
+
+
+def _grams(read: Read, depth: int, keys: np.ndarray) -> list[tuple]:
+    """What follows these contexts in a slice, by bucket of context and word: hash, word, context, log10 probability inside, training count."""
+    at, index = read.behind(depth, keys)
+    grams, first, which = np.unique(read.gram(depth, at), return_index=True, return_inverse=True)
+    n = np.bincount(which.reshape(-1), weights=read.out[read.row[read.place[at]]] == 0, minlength=len(grams))
+    word = read.number[read.place[at[first]]]
+    return _by_bucket(read.slice_id, read.piece, grams, [word, index[first].astype(np.uint32), read.p[at[first]], n.astype(np.uint32)], read.model.buckets)
+
+
+def _gram_totals(asked: DataFrame, depth: int, places: int) -> DataFrame:
+    """Counts for each slice; the figures of the contexts as far as a bucket has them; and the grams that are common contexts of the next depth."""
+
+    def tell(blobs: pa.Table) -> pa.Table:
+        (grams, word, context, p, n), edges = _merged(blobs, _GRAMS)
+        keys, first, which = np.unique(grams, return_index=True, return_inverse=True)
+        total = np.bincount(which.reshape(-1), weights=n, minlength=len(keys)).astype(np.int64)
+        met = np.flatnonzero(total > 0)
+        own, index = np.unique(context[first[met]], return_inverse=True)
+        count, inner = total[met].astype(float), p[first[met]]
+        sums = [np.bincount(index.reshape(-1), weights=w, minlength=len(own)) for w in (count, np.ones(len(met)), count * (np.log(count) - inner * np.log(10)))]
+        often = (total >= places) & (word[first] != _END_ID)
+        facts = _packed(own.astype(np.int64), *sums, keys[often], word[first][often].astype(np.uint64), total[often])
+        return pa.Table.from_batches([_batch([(_FACTS, blobs.column("bucket")[0].as_py(), -1, 0, depth, facts), *_answers(blobs, depth, edges, total[which.reshape(-1)])], _TOLD)])
+
+    return asked.groupBy("bucket").applyInArrow(tell, _TOLD)
+
+
+_FACT = "hash long, last long, n double, kinds double, gain double"
+
+
+def _gram_facts(told: DataFrame) -> DataFrame:
+    """Figures of contexts (``hash``: which) without ``last``, and of common grams with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                own, n, kinds, gain, keys, last, total = _unpacked(data, np.int64, np.float64, np.float64, np.float64, np.uint64, np.uint64, np.int64)
+                rows = list(zip(own.tolist(), [None] * len(own), n.tolist(), kinds.tolist(), gain.tolist()))
+                rows += zip(keys.view(np.int64).tolist(), last.view(np.int64).tolist(), total.astype(float).tolist(), [0.0] * len(keys), [0.0] * len(keys))
+                yield _batch(rows, _FACT)
+
+    facts = told.where(F.col("kind") == _FACTS).select("data").mapInArrow(run, _FACT)
+    return facts.groupBy("hash", "last").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain"))
+
+
+def _commons(slices: DataFrame, told: DataFrame, words: DataFrame, model: Model, places: int) -> tuple[list[Common], DataFrame]:
+    """The contexts met at least ``places`` times, a depth at a time, and all answers to the slices."""
+    found = words.where(F.col("count") >= places).select("id").toArrow().column("id").to_numpy().astype(np.uint64)
+    last = np.append(found, np.uint64(_BEGIN_ID)) if model.ends >= places else found
+    last = last[np.argsort(mix(last))]
+    keys, commons = mix(last), []
+    for depth in range(1, model.max_depth + 1):
+        if not len(keys):
             break
-    all_contexts, all_runs = contexts[0], runs[0]
-    for more_contexts, more_runs in zip(contexts[1:], runs[1:]):
-        all_contexts, all_runs = all_contexts.union(more_contexts), all_runs.union(more_runs)
-    return all_contexts, all_runs
+        asked = _of_slices(slices, told, replace(model, commons=list(commons)), lambda read, depth=depth, keys=keys: _grams(read, depth, keys), _ASKED)
+        told = told.union(cut_lineage(_gram_totals(asked, depth, places)))
+        facts = _gram_facts(told.where(F.col("depth") == depth)).toArrow()
+        of, after, n, kinds, gain = [facts.column(c).to_numpy() for c in ("hash", "last", "n", "kinds", "gain")]
+        new = facts.column("last").is_valid().to_numpy()
+        order = of[~new]
+        figures = np.zeros((3, len(keys)))
+        figures[:, order] = np.stack([n, kinds, gain])[:, ~new]
+        total, kinds, gain = figures
+        kept = (total >= model.least_count) & (gain - total * np.log(np.maximum(total, 1)) >= model.divergence)
+        commons.append(Common(keys, last, total, kinds, kept))
+        keys = of[new].astype(np.int64).view(np.uint64)
+        last = after[new].astype(np.int64).view(np.uint64)
+        keys, last = keys[np.argsort(keys)], last[np.argsort(keys)]
+    return commons, told
 
 
-# ---- document sums
+def _of_slices(slices: DataFrame, told: DataFrame, model: Model, run: Callable[[Read], list[tuple]], schema: str) -> DataFrame:
+    """What ``run`` makes of each slice with the answers to it."""
 
-_BLOBS = "bucket int, slice long, kind int, hashes binary, number binary, rows binary, steps binary, header binary"
-_VALUES = ("base", "log_p", "known", "back", "opens")
+    def read(own: pa.Table, answers: pa.Table) -> pa.Table:
+        of = Dictionary(own, answers, model)
+        return pa.Table.from_batches([_batch([], schema), *(_batch(run(Read(of, number, texts)), schema) for number, texts in of.pieces())])
 
+    answers = told.where(F.col("kind") == _ANSWER).select("slice", "piece", "depth", "bucket", "data")
+    return slices.select("slice", "figures", "texts").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(read, schema)
 
-def _blobs(kind: int, slice_id: int, hashes: np.ndarray, row: np.ndarray, step: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Hashes by bucket, each once, with the rows they stand in and the step to the next token's class value there."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, row, step = hashes[order], row[order].astype(np.uint32), step[order].astype(np.float32)
-    new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
-    times = np.diff(np.append(new, len(hashes)))
-    held = (hashes[new] >> np.uint64(11)) % np.uint64(buckets)
-    by_bucket = np.argsort(held, kind="stable")
-    edges = np.searchsorted(held[by_bucket], np.arange(buckets + 1))
-    for bucket in np.flatnonzero(np.diff(edges)).tolist():
-        own = by_bucket[edges[bucket] : edges[bucket + 1]]
-        at = np.repeat(new[own] - np.concatenate(([0], np.cumsum(times[own])[:-1])), times[own]) + np.arange(int(times[own].sum()))
-        yield bucket, slice_id, kind, hashes[new[own]].tobytes(), times[own].astype(np.uint32).tobytes(), row[at].tobytes(), step[at].tobytes() if kind == 1 else b"", b""
 
+# ---- subtrees in buckets
 
-def _posted(docs: DataFrame, buckets: int, alphabet: Alphabet, tree: SuffixTree, sieve: Sieve, depth: int, hot: np.ndarray, hot_values: np.ndarray) -> DataFrame:
-    """What every slice sends to the buckets: its rare words and runs with the rows they stand in, and once its rows with what is known."""
+_POSTED = "bucket int, slice long, kind int, data binary"
+_HEADER, _PLACES = range(2)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        for number, part in enumerate(text_slices(batches, "text")):
-            hashes, endings, at = _words(part)
-            n = len(part.null)
-            symbols, placed = framed(alphabet.encode(hashes, endings), at, alphabet)
-            place = np.flatnonzero(symbols != alphabet.begin)
-            text_of = np.repeat(np.arange(n), np.diff(at) + 2)
-            by_class = np.zeros(len(symbols))
-            by_class[place] = tree.score(symbols, place, alphabet.begin)
-            words, since = _framed_words(hashes, at, alphabet, symbols, placed)
-            rolling = Rolling(words)
-            # behind a word of the lower layer, the class value is that of one symbol
-            step = np.zeros(len(symbols))
-            step[place - 1] = tree.score(symbols, place, alphabet.begin, 1) - by_class[place]
-            index, there = member(hot, words)
-            sums = np.stack([np.bincount(text_of[there], weights=column[index[there]], minlength=n).astype(float) for column in hot_values.T])
-            opened = np.bincount(text_of[there], weights=step[there] * hot_values[index[there], 4], minlength=n)
-            sums[1] += np.bincount(text_of, weights=by_class, minlength=n) + sums[3] + opened
-            rare = placed[~there[placed]]
-            runs, run_rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for length in range(2, depth + 2):
-                end = np.flatnonzero(since >= length - 1) + 1
-                run = _runs(words, rolling, end, length)
-                wanted = sieve.passes(_runs(words, rolling, end - 1, length - 1)) | sieve.passes(run)
-                run, end = run[wanted], end[wanted]
-                index, there = member(hot, run)
-                sums[1] += np.bincount(text_of[end[there] - 1], weights=hot_values[index[there], 1], minlength=n)
-                runs.append(run[~there])
-                run_rows.append(text_of[end[~there] - 1])
-            runs, run_rows = np.concatenate(runs), np.concatenate(run_rows)
-            slice_id = part_id << 32 | number
-            doc = part.rows.column("doc_id").cast(pa.int64())
-            header = np.stack([doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), part.rows.column("held_out").to_numpy(zero_copy_only=False), np.diff(at)]).astype(np.int64)
-            out = [(slice_id % buckets, slice_id, 0, b"", b"", b"", b"", header.tobytes() + sums[:3].tobytes())]
-            out += _blobs(1, slice_id, words[rare], text_of[rare], step[rare], buckets)
-            out += _blobs(2, slice_id, runs, run_rows, np.zeros(len(runs)), buckets)
-            kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in _BLOBS.split(", ")])
-
-    return docs.mapInArrow(post, _BLOBS)
-
-
-def _answered(blobs: pa.Table, values: pa.Table) -> pa.Table:
-    """In a bucket: for each slice the sums of its words' values by row."""
-    key = values.column("hash").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    base, log_p, known, back, opens = [values.column(c).to_numpy()[order].astype(float) for c in _VALUES]
-    log_p = log_p + back
-    out: list[tuple] = []
-    for batch in blobs.to_batches():
-        for i in range(batch.num_rows):
-            slice_id, kind, hashes, number, rows, steps, header = [batch.column(c)[i].as_py() for c in ("slice", "kind", "hashes", "number", "rows", "steps", "header")]
-            if kind == 0:
-                out.append((slice_id, 0, header))
-                continue
-            index, there = member(key, np.frombuffer(hashes, np.uint64))
-            if kind == 1 and not there.all():
-                raise ValueError("a word without values")
-            number = np.frombuffer(number, np.uint32)
-            met = np.repeat(there, number)
-            index = np.repeat(index, number)[met]
-            own, which = np.unique(np.frombuffer(rows, np.uint32)[met], return_inverse=True)
-            if not len(own):
-                continue
-            weights = [base[index], log_p[index] + (opens[index] * np.frombuffer(steps, np.float32)[met] if kind == 1 else 0.0), known[index]]
-            sums = np.stack([np.bincount(which.reshape(-1), weights=w) for w in weights])
-            out.append((slice_id, 1, own.tobytes() + sums.tobytes()))
-    return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["slice", "kind", "data"])
+
+_COMMON_ROOT = np.uint64(1 << 63)
+_BLOB = (np.uint64, np.uint32, np.uint16, np.uint32, np.uint32, np.uint16, np.int64, np.uint32, np.uint32, np.float32, np.float32, np.uint32)
+
+
+def _post(read: Read, opened: np.ndarray, asking: np.ndarray | None = None) -> list[tuple]:
+    """A slice's places to the buckets of their shortest contexts that are not common, and once its rows with what is known.
+
+    A word opens the lower layer where it ends a retained context; ``opened`` are the common ones that do.
+    With ``asking``, only places behind these words are posted, to learn whether such contexts end with them.
+    """
+    model, place, start = read.model, read.place, read.start
+    before = read.number[place - 1]
+    common = start > 1
+    lower = common & member(opened if asking is None else asking, before)[1]
+    value = np.where(lower, read.p, read.by_class)
+    go = (lower | ~common if asking is None else lower) & (start <= model.max_depth) & (read.since[place] >= start)
+    go[go] = read.met[place[go] - start[go]] >= model.least_count
+    go = np.flatnonzero(go)
+    # a word's number is the root of its subtree; a longer one, behind common contexts, is a hash
+    root = before[go].astype(np.uint64)
+    for depth in np.unique(start[go][common[go]]).tolist():
+        own = start[go] == depth
+        root[own] = read.context(depth, go[own]) | _COMMON_ROOT
+    # the words further back, as far as each may be part of a context
+    further = np.full((max(model.max_depth - 1, 0), len(go)), _NONE_ID, np.uint32)
+    open_ = np.arange(len(go))
+    for k in range(model.max_depth - 1):
+        length = start[go[open_]] + k + 1
+        open_ = open_[(length <= model.max_depth) & (read.since[place[go[open_]]] >= length)]
+        back = place[go[open_]] - start[go[open_]] - k - 1
+        open_, back = open_[read.met[back] >= model.least_count], back[read.met[back] >= model.least_count]
+        further[k, open_] = read.number[back]
+    order = np.lexsort((*further[:1], mix(root)))
+    root, go, further = root[order], go[order], further[:, order]
+    edges = _edges(mix(root), model.buckets)
+    at = place[go]
+    rows = read.row[at] << np.uint32(1) | read.out[read.row[at]]
+    out = []
+    if asking is None:
+        sums = np.bincount(read.row[place], weights=value, minlength=len(read.n_words))
+        header = _packed(read.doc, read.null, read.out, read.n_words, read.known.astype(np.int64), read.base, sums)
+        out.append(((read.slice_id >> 16) % model.buckets, read.slice_id + read.piece, _HEADER, header))
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        own = slice(edges[bucket], edges[bucket + 1])
+        here, roots = at[own], root[own]
+        new = np.flatnonzero(np.concatenate(([True], roots[1:] != roots[:-1])))
+        words, first, index = np.unique(read.number[here], return_index=True, return_inverse=True)
+        apart = roots >= _COMMON_ROOT
+        data = _packed(
+            roots[new],
+            np.diff(np.append(new, len(roots))).astype(np.uint32),
+            read.symbols[here[new] - 1],
+            read.number[here[new] - 1] if asking is not None else np.empty(0, np.uint32),
+            np.diff(words, prepend=np.uint32(0)),
+            read.symbols[here[first]],
+            read.met[here[first]],
+            index.reshape(-1).astype(np.uint32),
+            further[:, own].reshape(-1),
+            read.p[go[own]][apart].astype(np.float32),
+            (read.p[go[own]] - value[go[own]]).astype(np.float32),
+            rows[own],
+        )
+        out.append((bucket, read.slice_id + read.piece, _PLACES, data))
+    return out
+
+
+def _subtrees(blobs: list[bytes], model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The contexts below a bucket's roots learned, and its places scored.
+
+    Each blob's rows; for every place the gain over what its slice has summed; and the last words (where
+    posted) of roots below which a context is retained.
+    """
+    parts = [[] for _ in range(8)]
+    first_state = model.tree.state[np.maximum(model.tree.child[0], 0)]
+    for data in blobs:
+        roots, times, symbol, last, words, of_word, count, index, further, apart, step, rows = _unpacked(data, *_BLOB)
+        share = model.shares.log_p(of_word, count)
+        p = (model.tree.log_p[np.repeat(first_state[symbol], times), of_word[index]] + share[index]).astype(np.float32)
+        p[np.repeat(roots >= _COMMON_ROOT, times)] = apart
+        for part, column in zip(parts, (roots, times, last, np.cumsum(words, dtype=np.uint32)[index], further.reshape(-1, len(rows)), p, step, rows)):
+            part.append(column)
+    rows_of = [x >> np.uint32(1) for x in parts[7]]
+    train = np.concatenate([x & np.uint32(1) for x in parts.pop()]) == 0
+    step, given = np.concatenate(parts.pop()), np.concatenate(parts.pop())
+    further, word = np.concatenate(parts.pop(), axis=1), np.concatenate(parts.pop())
+    lasts, times, roots = np.concatenate(parts.pop()), np.concatenate(parts.pop()), np.concatenate(parts.pop())
+    roots, first, root = np.unique(roots, return_index=True, return_inverse=True)
+    root = np.repeat(root.reshape(-1).astype(np.int32), times)
+    p, opens = given.astype(float), np.zeros(len(roots), bool)
+    # subtrees know nothing of each other: some at a time
+    size = np.bincount(root, minlength=len(roots))
+    turn = ((np.cumsum(size) - size) // (4 * _AT_ONCE)).astype(np.int32)
+    turns = turn[root]
+    for number in np.unique(turn).tolist():
+        own = np.flatnonzero(turns == number)
+        p[own], kept = _learned(root[own], word[own], further[:, own], train[own], p[own], model)
+        opens[root[own[kept]]] = True
+    return rows_of, np.where(opens[root], p - given + step, 0.0), np.unique(lasts[first[opens]]) if len(lasts) else lasts
+
+
+def _learned(root: np.ndarray, word: np.ndarray, further: np.ndarray, train: np.ndarray, p: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of the word at each place by the retained contexts before it, and the places behind one."""
+    kept_places = np.zeros(len(root), bool)
+    live, size, shift = np.arange(len(root)), int(root.max()) + 1, 1 << 32
+    context = root.astype(np.int64)
+    for depth in range(model.max_depth):
+        if depth:
+            there = further[depth - 1][live] != _NONE_ID
+            live, context = live[there], context[there]
+            own, context = np.unique(context * shift + further[depth - 1][live], return_inverse=True)
+            context, size = context.reshape(-1), len(own)
+        n = np.bincount(context[train[live]], minlength=size)
+        often = n[context] >= model.least_count
+        live, context = live[often], context[often]
+        if not len(live):
+            break
+        gram, which = np.unique(context * shift + word[live], return_inverse=True)
+        which, of = which.reshape(-1), gram // shift
+        count = np.bincount(which[train[live]], minlength=len(gram))
+        inner = np.zeros(len(gram))
+        inner[which] = p[live]
+        met = count > 0
+        kinds = np.bincount(of[met], minlength=size)
+        gain = np.bincount(of[met], weights=count[met] * (np.log(count[met] / n[of[met]]) - inner[met] * np.log(10)), minlength=size)
+        kept = (n >= model.least_count) & (gain >= model.divergence)
+        own = np.log10((count + kinds[of] * 10.0**inner) / (n[of] + kinds[of]))
+        p[live] = np.where(kept[of], own, inner)[which]
+        kept_places[live[kept[context]]] = True
+    return p, kept_places
+
+
+def _scored(posted: DataFrame, model: Model) -> DataFrame:
+    """For each slice its header, and from every bucket sums by row."""
+
+    def run(blobs: pa.Table) -> pa.Table:
+        ids, kinds, datas = [blobs.column(c).to_pylist() for c in ("slice", "kind", "data")]
+        out = [(s, k, d) for s, k, d in zip(ids, kinds, datas) if k == _HEADER]
+        ids = [s for s, k in zip(ids, kinds) if k == _PLACES]
+        if ids:
+            rows, gain, _ = _subtrees([d for k, d in zip(kinds, datas) if k == _PLACES], model)
+            at = 0
+            for s, own in zip(ids, rows):
+                sums = np.bincount(own, weights=gain[at : at + len(own)])
+                at += len(own)
+                there = np.flatnonzero(sums)
+                if len(there):
+                    out.append((s, _PLACES, _packed(there.astype(np.uint32), sums[there])))
+        return pa.Table.from_batches([_batch(out, "slice long, kind int, data binary")])
+
+    return posted.groupBy("bucket").applyInArrow(run, "slice long, kind int, data binary")
+
+
+def _opening(posted: DataFrame, model: Model) -> np.ndarray:
+    """The last words of retained contexts in what was posted for asked words; these are common, so few."""
+
+    def run(blobs: pa.Table) -> pa.Table:
+        _, _, lasts = _subtrees(blobs.column("data").to_pylist(), model)
+        return pa.table({"last": lasts.astype(np.int64)})
+
+    return posted.groupBy("bucket").applyInArrow(run, "last long").distinct().toArrow().column("last").to_numpy().astype(np.uint64)
 
 
 def _summed(answers: pa.Table) -> pa.Table:
     """One slice: its rows with the sums of all buckets."""
     kinds, datas = answers.column("kind").to_pylist(), answers.column("data").to_pylist()
-    head = datas[kinds.index(0)]
-    n = len(head) // 56
-    doc, null, out, words = np.frombuffer(head, np.int64, 4 * n).reshape(4, n)
-    sums = np.frombuffer(head, np.float64, 3 * n, 32 * n).reshape(3, n).copy()
+    doc, null, out, words, known, base, sums = _unpacked(datas[kinds.index(_HEADER)], np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64, np.float64)
     for kind, data in zip(kinds, datas):
-        if kind == 1:
-            m = len(data) // 28
-            sums[:, np.frombuffer(data, np.uint32, m)] += np.frombuffer(data[4 * m :], np.float64).reshape(3, m)
+        if kind == _PLACES:
+            rows, own = _unpacked(data, np.uint32, np.float64)
+            sums[rows] += own
     return pa.table(
-        [pa.array(doc, mask=null.astype(bool)), pa.array(out.astype(bool)), pa.array(words), pa.array(np.rint(sums[2]).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+        [pa.array(doc, mask=null.astype(bool)), pa.array(out.astype(bool)), *map(pa.array, (words, known, base, sums))],
         names=["doc_id", "held_out", "n_words", "n_known", "base", "log_p"],
     )
 
 
-def word_values(words: DataFrame, alphabet: Alphabet, below: int) -> DataFrame:
-    """hash, count, base, log_p, known: the unigram value of each word, and its share of its symbol.
-
-    A symbol of one word has share one. In a symbol of several, ``DISCOUNT`` is taken off each
-    count, and what that gives is the probability of a word of this symbol not met before.
-    """
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbol = alphabet.encode(batch.column("hash").to_numpy().astype(np.int64).view(np.uint64), batch.column("ending").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("count"), pa.array(symbol.astype(np.int32))], names=["hash", "count", "symbol"])
-
-    placed = words.mapInArrow(place, "hash long, count long, symbol int")
-    facts = placed.where("count > 0").groupBy("symbol").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("kinds")).toArrow()
-    n, kinds = np.zeros(alphabet.size + 1), np.zeros(alphabet.size + 1)
-    n[facts.column("symbol").to_numpy()] = facts.column("n").to_numpy()
-    kinds[facts.column("symbol").to_numpy()] = facts.column("kinds").to_numpy()
-
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count, symbol = batch.column("count").to_numpy(), batch.column("symbol").to_numpy()
-            all_, new = np.maximum(n[symbol], 1), DISCOUNT * np.maximum(kinds[symbol], 1)
-            share = np.where(symbol < len(alphabet.words), 1.0, np.where(count > 0, (count - DISCOUNT) / all_, np.where(n[symbol] > 0, new / all_, 1.0)))
-            columns = [batch.column("hash"), batch.column("count"), pa.array(np.log10((count + 1) / below)), pa.array(np.log10(share)), pa.array((count > 0).astype(float))]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "count", "base", "log_p", "known"])
-
-    return placed.mapInArrow(value, "hash long, count long, base double, log_p double, known double")
-
-
 def score_documents(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_depth: int = MAX_DEPTH, symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, divergence: float = DIVERGENCE, least_count: int = LEAST_COUNT, buckets: int | None = None
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", max_depth: int = MAX_DEPTH, symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, divergence: float = DIVERGENCE, least_count: int = LEAST_COUNT, buckets: int | None = None, bucket_places: int = BUCKET_PLACES
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -491,38 +841,33 @@ def score_documents(
     in which all words of one symbol that were not met in training are one event.
     A null or empty text is just the end. Repeated rows are counted and scored each. Ids are
     integers or null. Without training texts all symbols are equally likely.
-    ``buckets``: the shuffle partitions of the session unless given; a bucket's words must fit a task.
+    ``buckets``: unless given, the shuffle partitions of the session, or as many as hold ``bucket_places`` places
+    each on average if that is more; a context met twice as often is counted apart. Results do not depend on either.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = cut_lineage(word_counts(picked))
-    ends = picked.where("not held_out").count()
-    facts = words.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    tokens = (facts["n"] or 0) + ends
-    below = tokens + (facts["v"] or 0) + (1 if ends else 0) + 1
+    slices = cut_lineage(tokenised(picked))
+    facts = slices.agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends")).first()
+    tokens, ends = facts["tokens"] or 0, facts["ends"] or 0
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // bucket_places))
+    told = cut_lineage(word_totals(slices, buckets))
+    words = _words_of(told)
+    below = tokens + words.where("count > 0").count() + (1 if ends else 0) + 1
     alphabet = alphabet_of(words, tokens, symbol_share)
-    tree = learn_tree(cut_lineage(encoded(picked, alphabet)), alphabet, max_depth=max_depth, share=context_share, divergence=divergence)
-    values = cut_lineage(word_values(words, alphabet, below))
-    contexts, runs = word_contexts(picked, words, values, alphabet, tree, max_depth=max_depth, least_count=least_count, divergence=divergence)
-    # a word opens the lower layer where it ends a retained context
-    ends_one = contexts.groupBy(F.col("last").alias("hash")).agg(F.sum(F.when(F.col("depth") == 1, F.col("back")).otherwise(0.0)).alias("back"), F.lit(1.0).alias("opens"))
-    begins = ends_one.where(F.col("hash") == int(_BEGIN.view(np.int64))).select("hash", F.lit(ends).cast("long").alias("count"), F.lit(0.0).alias("base"), F.lit(0.0).alias("log_p"), F.lit(0.0).alias("known"), "back", "opens")
-    of_words = values.join(ends_one, "hash", "left").fillna(0.0, ["back", "opens"]).select(*begins.columns)
-    # a run that is met is a context for what comes next, unless it ends the text
-    of_runs = runs.union(contexts.where("depth > 1").select("hash", "count", F.col("back").alias("log_p"))).groupBy("hash").agg(F.max("count").alias("count"), F.sum("log_p").alias("log_p"))
-    of_runs = of_runs.select("hash", "count", F.lit(0.0).alias("base"), "log_p", *(F.lit(0.0).alias(c) for c in ("known", "back", "opens")))
-    values = cut_lineage(of_words.union(of_runs))
-    sieve = sieve_of(contexts.select("hash"))
-    least = max(2.0, HOT_SHARE * tokens)
-    hot = values.where(F.col("count") >= least).union(begins).toArrow()
-    hot_keys = hot.column("hash").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(hot_keys)
-    hot_values = np.stack([hot.column(c).to_numpy().astype(float) for c in _VALUES], axis=1)[order]
-    rare = values.where(F.col("count") < least).withColumn("bucket", F.pmod(F.shiftrightunsigned("hash", 11), F.lit(buckets)).cast("int"))
-    posted = _posted(picked, buckets, alphabet, tree, sieve, max_depth, hot_keys[order], hot_values)
-    answered = posted.groupBy("bucket").cogroup(rare.select("bucket", "hash", *_VALUES).groupBy("bucket")).applyInArrow(_answered, "slice long, kind int, data binary")
-    summed = answered.groupBy("slice").applyInArrow(_summed, "doc_id long, held_out boolean, n_words long, n_known long, base double, log_p double")
+    tree = learn_tree(_encoded(slices, alphabet), alphabet, max_depth=max_depth, share=context_share, divergence=divergence)
+    frequent = words.where(F.col("count") >= max(2.0, symbol_share * tokens)).select("hash", "id").toArrow()
+    ids = frequent.column("id").to_numpy().astype(np.uint32)
+    symbols, _ = member(alphabet.words, frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64))
+    order = np.argsort(ids)
+    model = Model(alphabet, np.stack((ids[order], symbols[order].astype(np.uint32))), tree, shares_of(words, alphabet), [], ends, below, buckets, max_depth, least_count, divergence)
+    commons, told = _commons(slices, told, words, model, _COMMON * bucket_places)
+    model = replace(model, commons=commons or None)
+    opened = np.unique(np.concatenate([np.empty(0, np.uint64), *(c.last[c.kept] for c in commons)]))
+    asking = np.setdiff1d(commons[0].last, opened) if commons else opened
+    if len(asking):
+        opened = np.union1d(opened, _opening(_of_slices(slices, told, model, lambda read: _post(read, opened, asking), _POSTED), model))
+    posted = _of_slices(slices, told, model, lambda read: _post(read, opened), _POSTED)
+    summed = _scored(posted, model).groupBy("slice").applyInArrow(_summed, "doc_id long, held_out boolean, n_words long, n_known long, base double, log_p double")
     return summed.select(
         "doc_id",
         "held_out",
