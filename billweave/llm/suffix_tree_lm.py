@@ -195,13 +195,16 @@ def word_totals(slices: DataFrame, buckets: int) -> DataFrame:
     return slices.select("slice", "words", "figures").mapInArrow(ask, _ASKED).groupBy("bucket").applyInArrow(tell, _TOLD)
 
 
+_WORD = (np.uint64, np.uint16, np.int64, np.uint32)
+
+
 def _words_of(totals: DataFrame) -> DataFrame:
     """hash, ending, count in training texts (0 for words of held-out texts only), id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                keys, endings, total, ids = _unpacked(data, np.uint64, np.uint16, np.int64, np.uint32)
+                keys, endings, total, ids = _unpacked(data, *_WORD)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(endings.astype(np.int32)), pa.array(total), pa.array(ids.astype(np.int64))], names=["hash", "ending", "count", "id"])
 
     return totals.where((F.col("kind") == _FACTS) & (F.col("depth") == 0)).select("data").mapInArrow(run, "hash long, ending int, count long, id long")
@@ -263,16 +266,24 @@ def encoded(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
 def _encoded(slices: DataFrame, alphabet: Alphabet) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, figures, texts in zip(*(batch.column(c).to_pylist() for c in ("words", "figures", "texts"))):
-                (hashes,), (endings, count) = _unpacked(words, np.uint64), _unpacked(figures, *_FIGURES)
-                which, n, _, _, out = _unpacked(texts, *_TEXTS)
-                symbols, _ = framed(alphabet.encode(hashes, endings)[_by_count(count)][which], np.concatenate(([0], np.cumsum(n))), alphabet)
-                train = np.repeat(out == 0, n + 2)
-                yield pa.RecordBatch.from_arrays([pa.array([symbols[train].tobytes()], pa.binary())], names=["symbols"])
+            for symbols in _sequences(batch, alphabet):
+                yield pa.RecordBatch.from_arrays([pa.array([symbols.tobytes()], pa.binary())], names=["symbols"])
 
     return slices.select("words", "figures", "texts").mapInArrow(encode, "symbols binary")
 
 
+def _sequences(batch: pa.RecordBatch, alphabet: Alphabet) -> Iterator[np.ndarray]:
+    """Training texts as symbols, of encoded rows or of slices."""
+    if "symbols" in batch.schema.names:
+        yield from (np.frombuffer(row.as_buffer(), np.uint16) for row in batch.column("symbols"))
+        return
+    for words, figures, texts in zip(*(batch.column(c).to_pylist() for c in ("words", "figures", "texts"))):
+        (hashes,), (endings, count) = _unpacked(words, np.uint64), _unpacked(figures, *_FIGURES)
+        which, n, _, _, out = _unpacked(texts, *_TEXTS)
+        symbols, _ = framed(alphabet.encode(hashes, endings)[_by_count(count)][which], np.concatenate(([0], np.cumsum(n))), alphabet)
+        yield symbols[np.repeat(out == 0, n + 2)]
+
+
 def framed(symbols: np.ndarray, at: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
     """Each row's symbols between a beginning and an end; and where the words went."""
     rows = np.arange(len(at) - 1)
@@ -298,8 +309,8 @@ def _level(sequences: DataFrame, depth: int, candidates: np.ndarray, alphabet: A
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column("symbols"):
-                symbols = np.frombuffer(row.as_buffer(), np.uint16).astype(np.int64)
+            for symbols in _sequences(batch, alphabet):
+                symbols = symbols.astype(np.int64)
                 place, code = _codes(symbols, depth, alphabet)
                 index, there = member(candidates, code)
                 pair = index[there] * alphabet.size + symbols[place[there]]
@@ -416,12 +427,17 @@ class Shares:
 
 
 def shares_of(words: DataFrame, alphabet: Alphabet) -> Shares:
-    """From the table of word counts; one row per symbol reaches the driver."""
+    """From the table of word counts or what buckets told of words; one row per symbol reaches the driver."""
+
+    def own_columns(batch: pa.RecordBatch) -> Iterator[tuple]:
+        if "data" in batch.schema.names:
+            yield from (_unpacked(data, *_WORD)[:3] for data in batch.column("data").to_pylist())
+        else:
+            yield batch.column("hash").to_numpy().view(np.uint64), batch.column("ending").to_numpy(), batch.column("count").to_numpy()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count = batch.column("count").to_numpy()
-            symbol = alphabet.encode(batch.column("hash").to_numpy().view(np.uint64), batch.column("ending").to_numpy()).astype(np.int64)[count > 0]
+        for keys, endings, count in (columns for batch in batches for columns in own_columns(batch)):
+            symbol = alphabet.encode(keys, endings).astype(np.int64)[count > 0]
             n, kinds = np.bincount(symbol, weights=count[count > 0]).astype(np.int64), np.bincount(symbol)
             own = np.flatnonzero(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own]), pa.array(kinds[own])], names=["symbol", "n", "kinds"])
@@ -733,7 +749,7 @@ def _subtrees(blobs: list[bytes], model: Model) -> tuple[list[np.ndarray], np.nd
     for data in blobs:
         roots, times, symbol, last, words, of_word, count, index, further, apart, step, rows = _unpacked(data, *_BLOB)
         share = model.shares.log_p(of_word, count)
-        p = (model.tree.log_p[np.repeat(first_state[symbol], times), of_word[index]] + share[index]).astype(np.float32)
+        p = model.tree.log_p[np.repeat(first_state[symbol], times), of_word[index]] + share[index]
         p[np.repeat(roots >= _COMMON_ROOT, times)] = apart
         for part, column in zip(parts, (roots, times, last, np.cumsum(words, dtype=np.uint32)[index], further.reshape(-1, len(rows)), p, step, rows)):
             part.append(column)
@@ -744,7 +760,7 @@ def _subtrees(blobs: list[bytes], model: Model) -> tuple[list[np.ndarray], np.nd
     lasts, times, roots = np.concatenate(parts.pop()), np.concatenate(parts.pop()), np.concatenate(parts.pop())
     roots, first, root = np.unique(roots, return_index=True, return_inverse=True)
     root = np.repeat(root.reshape(-1).astype(np.int32), times)
-    p, opens = given.astype(float), np.zeros(len(roots), bool)
+    p, opens = given.copy(), np.zeros(len(roots), bool)
     # subtrees know nothing of each other: some at a time
     size = np.bincount(root, minlength=len(roots))
     turn = ((np.cumsum(size) - size) // (4 * _AT_ONCE)).astype(np.int32)
@@ -854,12 +870,12 @@ def score_documents(
     words = _words_of(told)
     below = tokens + words.where("count > 0").count() + (1 if ends else 0) + 1
     alphabet = alphabet_of(words, tokens, symbol_share)
-    tree = learn_tree(_encoded(slices, alphabet), alphabet, max_depth=max_depth, share=context_share, divergence=divergence)
+    tree = learn_tree(slices.select("words", "figures", "texts"), alphabet, max_depth=max_depth, share=context_share, divergence=divergence)
     frequent = words.where(F.col("count") >= max(2.0, symbol_share * tokens)).select("hash", "id").toArrow()
     ids = frequent.column("id").to_numpy().astype(np.uint32)
     symbols, _ = member(alphabet.words, frequent.column("hash").to_numpy().astype(np.int64).view(np.uint64))
     order = np.argsort(ids)
-    model = Model(alphabet, np.stack((ids[order], symbols[order].astype(np.uint32))), tree, shares_of(words, alphabet), [], ends, below, buckets, max_depth, least_count, divergence)
+    model = Model(alphabet, np.stack((ids[order], symbols[order].astype(np.uint32))), tree, shares_of(told.where(F.col("kind") == _FACTS).select("data"), alphabet), [], ends, below, buckets, max_depth, least_count, divergence)
     commons, told = _commons(slices, told, words, model, _COMMON * bucket_places)
     model = replace(model, commons=commons or None)
     opened = np.unique(np.concatenate([np.empty(0, np.uint64), *(c.last[c.kept] for c in commons)]))

@@ -150,3 +150,42 @@ def test_word_scores_by_hand(spark):
         t = ["^", *token(t), "$"]
         want = sum(math.log10(p(t[k], tuple(t[max(0, k - 2) : k]))) for k in range(1, len(t)))
         assert got[i, len(t) - 1] == pytest.approx(want, abs=1e-3)
+
+
+def test_common_contexts_and_pieces_change_nothing(spark, monkeypatch):
+    """Contexts counted apart, small buckets and small pieces give the scores of one bucket that holds everything."""
+    docs = frame(spark, corpus(6, 250) + [(30000 + k, "one two three four five " * 12 + ("six" if k % 2 else "seven")) for k in range(60)])
+    rows = lambda **kwargs: sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score_documents(docs, divergence=5.0, **kwargs).collect()))
+    want = rows(buckets=1, bucket_places=10**9)
+    monkeypatch.setattr(lm, "_PIECE_WORDS", 500)
+    monkeypatch.setattr(lm, "_SLICE_WORDS", 2_000)
+    for places in (20, 150):
+        got = rows(buckets=3, bucket_places=places)
+        assert [w[:4] for w in want] == [g[:4] for g in got]
+        assert np.allclose([w[4:] for w in want], [g[4:] for g in got], atol=1e-3)
+
+
+def test_common_words_that_are_no_context_themselves(spark):
+    """A common word that is not retained still opens the lower layer if a longer context that ends with it is."""
+    texts = [f"{'zig' if k % 2 else 'zag'} mid {'left' if k % 2 else 'right'}" for k in range(300)] + ["mid left", "mid right"] * 20
+    docs = frame(spark, list(enumerate(texts)))
+    kwargs = {"symbol_share": 0.02, "context_share": 0.9, "divergence": 15.0}
+    want, got = [{r.doc_id: r.score for r in lm.score_documents(docs, **kwargs, **more).collect()} for more in ({"bucket_places": 10**9}, {"bucket_places": 10})]
+    assert want.keys() == got.keys() and np.allclose([want[k] for k in want], [got[k] for k in want], atol=1e-3)
+
+
+def test_intermediate_tables_stay_below_the_texts(spark, tmp_path):
+    """Pairs of words that stand once or twice each do not become rows of a table."""
+    from pathlib import Path
+
+    from billweave.session import shared_folder
+
+    r = random.Random(7)
+    words = [f"word{i:05d}" for i in range(3000)]
+    texts = [" ".join(r.choices(words, k=400)) for _ in range(400)]
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "docs"))
+    used = lambda: sum(p.stat().st_size for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.is_file())
+    lm.score_documents(spark.read.parquet(str(tmp_path / "docs"))).count()  # classes are made and folders exist
+    before = used()
+    assert lm.score_documents(spark.read.parquet(str(tmp_path / "docs"))).where("score < 0").count() == 400
+    assert used() - before < 1.0 * sum(map(len, texts))
