@@ -22,8 +22,8 @@ once and kept as slices; a slice asks the buckets that add up the words for the
 every place behind a word that may be a context goes to the bucket of that word, with the words before
 it as far as they may make a longer one. A bucket so holds whole subtrees of contexts, with everything
 that follows them: it learns them and scores the places in one go, and sums come back per slice and row.
-A context met twice as often as a bucket has places on average (``BUCKET_PLACES``) would not fit one (there are
-at most tokens / 2 BUCKET_PLACES a depth): what follows it is counted in buckets of its own, its figures are added up over
+A context met four times as often as a bucket has places on average (``BUCKET_PLACES``) would not fit one (there are
+at most tokens / 4 BUCKET_PLACES a depth): what follows it is counted in buckets of its own, its figures are added up over
 them, and its places go on to the buckets of the contexts one word longer.
 """
 
@@ -43,9 +43,9 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 MAX_DEPTH = 4
 SYMBOL_SHARE = 1e-3
 CONTEXT_SHARE = 1e-3
-BUCKET_PLACES = 2_000_000
-_COMMON = 2
-_SLICE_WORDS, _PIECE_WORDS, _AT_ONCE = 1_200_000, 300_000, 1 << 17
+BUCKET_PLACES = 1_000_000
+_COMMON = 4
+_SLICE_WORDS, _PIECE_WORDS, _AT_ONCE = 2_500_000, 500_000, 1 << 17
 _READ_BYTES = 1 << 20
 LEAST_COUNT = 20
 DIVERGENCE = 20.0
@@ -858,7 +858,7 @@ def score_documents(
     A null or empty text is just the end. Repeated rows are counted and scored each. Ids are
     integers or null. Without training texts all symbols are equally likely.
     ``buckets``: unless given, the shuffle partitions of the session, or as many as hold ``bucket_places`` places
-    each on average if that is more; a context met twice as often is counted apart. Results do not depend on either.
+    each on average if that is more; a context met four times as often is counted apart. Results do not depend on either.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.col(doc_id)).alias("held_out"))
