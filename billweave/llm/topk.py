@@ -9,6 +9,8 @@ threshold prunes by coordinates (a vector of that cosine must be near the query'
 coordinate), a low one by length (only vectors with |x| >= theta / |q|). What is left is
 verified by exact integer products. Queries travel in blocks too; a query block meets a
 candidate block in one task, and only scores that can still be among the best leave it.
+Blocks hold components in the narrowest integers that take them all. Every query block goes to every slot of
+candidate blocks, so there are as many slots as make the copies about as large as the candidates, and never a broadcast.
 """
 
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ BLOCK_ROWS = 2048
 BUCKETS_PER_OCTAVE = 8
 COORDINATE_FROM = 0.7
 _NO_BOUND = -(1 << 63)
+_WIDTHS = (np.int8, np.int16, np.int32, np.int64)
 
 
 def integer_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -66,13 +69,26 @@ def _blocks(rows: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
         order = np.lexsort((ids, -norm))
         need = np.where(theta > 0, np.divide(theta, norm, out=np.full(len(ids), np.inf), where=norm > 0), 0).min()
         row = [table.column(k)[0].as_py() for k in [*keys, "_part"]]
-        row += [len(ids), float(norm.max()), float(need) * (1 - 1e-9), ids[order].tobytes(), theta[order].tobytes(), values[order].astype(np.int64).tobytes()]
+        row += [len(ids), float(norm.max()), float(need) * (1 - 1e-9), ids[order].tobytes(), theta[order].tobytes(), _narrow(values[order]).tobytes()]
         kinds = [pa.int32()] * (len(keys) + 2) + [pa.float64()] * 2 + [pa.binary()] * 3
         return pa.table([pa.array([v], kind) for v, kind in zip(row, kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
     return salted.groupBy(*keys, "_part").applyInArrow(pack, schema)
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same integers in the fewest bytes that hold each of them."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return values.astype(next(kind for kind in _WIDTHS if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max))
+
+
+def _matrix(packed: np.ndarray, rows: int, dim: int) -> np.ndarray:
+    """The long integers of a block; how many bytes each has follows from the block's size."""
+    width = len(packed) // max(1, rows * dim)
+    kind = next((kind for kind in _WIDTHS if np.dtype(kind).itemsize == width), np.int64)
+    return packed.view(kind).reshape(rows, dim).astype(np.int64)
+
+
 def _products(q: np.ndarray, x: np.ndarray, q_ids: np.ndarray, x_ids: np.ndarray) -> np.ndarray:
     """Exact inner products: doubles while every sum stays below 2**53, then long integers, beyond them Python's own.
 
@@ -120,8 +136,10 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, x: np.ndar
 
 
 def _best(scores: np.ndarray, rows: np.ndarray, x_ids: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, k: int):
-    a, b, s = [], [], []
-    for row, line in zip(rows, scores):
+    a, b, s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # most queries have nothing left that reaches their bound
+    for at in np.flatnonzero((scores >= theta[rows][:, None]).any(axis=1)):
+        row, line = rows[at], scores[at]
         ok = np.flatnonzero((line >= theta[row]) & (x_ids != q_ids[row]))
         if len(ok) > k:
             cut = np.partition(line[ok], len(ok) - k)[len(ok) - k]
@@ -142,7 +160,8 @@ def _meet(pairs: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 read = lambda c, kind: np.frombuffer(columns[c][i].as_buffer(), kind)  # noqa: B023, E731
                 q_ids, x_ids = read("q_ids", np.int64), read("ids", np.int64)
-                q, x = read("q_vectors", np.int64).reshape(len(q_ids), -1), read("vectors", np.int64).reshape(len(x_ids), -1)
+                dim = columns["dim"][i].as_py()
+                q, x = _matrix(read("q_vectors", np.uint8), len(q_ids), dim), _matrix(read("vectors", np.uint8), len(x_ids), dim)
                 found = search_block(q, q_ids, read("q_theta", np.int64), x, x_ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["query_id", "vec_id", "score"])
 
@@ -176,9 +195,14 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
     bound = _kept(first, k).groupBy("query_id").agg(F.min("score").alias("_low"), F.count(F.lit(1)).alias("_n"))
     bound = bound.where(F.col("_n") == k).select(F.col("query_id").alias("vec_id"), "_low")
     queries = queries.join(bound, "vec_id", "left").withColumn("theta", F.coalesce("_low", "theta")).drop("_low")
-    # every query block goes once to each slot of candidate blocks, so that no task gets all blocks of a dimension
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # every query block goes once to each slot of candidate blocks, so that no task gets all blocks of a dimension; the copies are
+    # made behind the last size Spark can see, so the join must not go by it, and the slots are the partitions: few bytes, much work
+    spark = vectors.sparkSession
+    asked, offered = rows.agg(F.count_if(F.col("vec_id") % query_every == 0), F.count(F.lit(1))).first()
+    slots = max(2 * spark.sparkContext.defaultParallelism, min(int(spark.conf.get("spark.sql.shuffle.partitions")), offered // max(1, asked)))
     blocks = as_queries(_blocks(queries, ["dim", "bucket"], block_rows)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     placed = candidates.withColumn("slot", F.pmod(F.xxhash64("bucket", "part"), F.lit(slots)).cast("int"))
-    pairs = blocks.join(placed, ["dim", "slot"]).where(F.col("norm_to") >= F.col("q_need"))
+    parts = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks, placed = blocks.repartition(parts, "dim", "slot"), placed.repartition(parts, "dim", "slot")
+    pairs = blocks.hint("merge").join(placed, ["dim", "slot"]).where(F.col("norm_to") >= F.col("q_need"))
     return _kept(_meet(pairs, k), k).select("query_id", "rank", "vec_id", "score")
