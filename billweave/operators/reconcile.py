@@ -1,15 +1,16 @@
 """Match printed vendor and category texts to reference records."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from billweave import fixed
+from billweave.functions.best_names import best_pairs
 from billweave.functions.names import (
     normal_form,
     rounded_score,
     similarity,
     weighed_once,
     word_block_keys,
-    word_overlap,
     words_of,
 )
 from billweave.functions.text import is_blank, trim_all
@@ -65,20 +66,14 @@ def near_words(names: DataFrame, soft: DataFrame) -> DataFrame:
     return pairs.groupBy("realm_id", "query_norm").agg(F.collect_list(F.struct("word", "similar", "weight")).alias("near"))
 
 
-def _overlap() -> Column:
-    """Word overlap of a candidate pair, from the weights its query name carries."""
-    met = F.filter("near", lambda p: F.array_contains(F.col("o_words"), p["similar"]))
-    return F.coalesce(word_overlap(met, F.col("q_words"), F.col("o_words")), F.lit(0.0))
-
-
 def _with_words(names: DataFrame, side: str) -> DataFrame:
     return names.filter(F.col("norm") != "").select(
         "realm_id", F.col("norm").alias(f"{side}_norm"), words_of(F.col("norm")).alias(f"{side[0]}_words")
     )
 
 
-_MEET = ["realm_id", "_at", "_part"]
-_WORD_PARTS = 16
+_MEET = ["realm_id", "_block", "_part"]
+_BLOCK_NAMES, _PART_NAMES = 32_768, 2_048
 
 
 def _dealt(df: DataFrame, *by: str) -> DataFrame:
@@ -88,41 +83,31 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
 
 
 def candidate_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of distinct normal forms that can reach the candidate floor, with their word overlap.
+    """(realm_id, query_norm, option_norm, score): of the pairs of distinct normal forms with a similar word those that can be in an answer.
 
-    A pair is emitted at one word only, the lowest it has in common, so no
-    later deduplication of pairs is needed; pairs whose best possible score is
-    too low are dropped inside the join.
+    Parts of the queries meet blocks of the options. Of each query a block's best options stay, and all that equal the last of
+    them, so an answer of ``MAX_CANDIDATES`` loses none; which pairs are scored at all follows from bounds (``best_names``).
     """
-    # the words of a query's near forms; a frequent word's queries are dealt to several tasks, each with all its options
-    probes = q.join(near, ["realm_id", "query_norm"]).withColumn("reach", F.array_sort(F.array_distinct(F.transform("near", lambda p: p["similar"]))))
-    probes = probes.withColumns({"_at": F.explode("reach"), "_part": F.pmod(F.xxhash64("query_norm"), F.lit(_WORD_PARTS))})
-    postings = o.withColumn("_at", F.explode("o_words")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_WORD_PARTS - 1)).cast("array<bigint>")))
-    probes, postings = _dealt(probes, *_MEET), _dealt(postings, *_MEET)
-
-    common = F.array_intersect(F.col("reach"), F.col("o_words"))
-    nq, no = F.size("q_words"), F.size("o_words")
-    best_words = 2.0 * F.least(F.size(common), nq, no) / (nq + no)
-    lq, lo = F.length("query_norm"), F.length("option_norm")
-    best_jaro = (F.least(lq, lo) / F.greatest(lq, lo) + 2.0) / 3.0
-    prefix = sum(
-        (F.left("query_norm", F.lit(n)) == F.left("option_norm", F.lit(n))).cast("int")
-        for n in range(1, fixed.WINKLER_PREFIX + 1)
-    )
-    best_letters = best_jaro + prefix * fixed.WINKLER_SCALE * (1 - best_jaro)
-    best = fixed.TOKEN_WEIGHT * best_words + fixed.CHARACTER_WEIGHT * best_letters
-    return (
-        probes.join(postings, _MEET)
-        .filter(
-            (F.array_min(common) == F.col("_at"))
-            & ((best >= fixed.CANDIDATE_FLOOR - 1e-4) | (F.col("query_norm") == F.col("option_norm")))
-        )
-        .select("realm_id", "query_norm", "option_norm", _overlap().alias("overlap"))
-    )
+    spark = q.sparkSession
+    parts = max(8 * spark.sparkContext.defaultParallelism, -(-q.count() // _PART_NAMES))
+    blocks = max(1, -(-o.count() // _BLOCK_NAMES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = q.join(near, ["realm_id", "query_norm"]).withColumn("_part", of("query_norm", parts)).withColumn("_block", every(blocks))
+    offered = o.withColumn("_block", of("option_norm", blocks)).withColumn("_part", every(parts))
+    realm = o.schema["realm_id"].dataType.simpleString()
+
+    def meet(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        found = best_pairs(left, right, fixed.MAX_CANDIDATES) if left.num_rows and right.num_rows else ([], [], [])
+        columns = [pa.array([key[0].as_py()] * len(found[0]), key[0].type), pa.array(found[0], pa.string()), pa.array(found[1], pa.string()), pa.array(found[2], pa.float64())]
+        return pa.table(columns, names=["realm_id", "query_norm", "option_norm", "score"])
+
+    groups = [_dealt(side, *_MEET).groupBy(*_MEET) for side in (asked, offered.filter(F.col("realm_id").isNotNull()))]
+    return groups[0].cogroup(groups[1]).applyInArrow(meet, f"realm_id {realm}, query_norm string, option_norm string, score double")
 
 
 def _long_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of very long names, which may match by letters alone.
+    """Pairs of very long names without a similar word, which may match by letters alone.
 
     They then need Jaro above 0.9998, so their lengths differ by less than
     0.0556 percent: names meet in neighbouring buckets of the length's logarithm.
@@ -134,22 +119,19 @@ def _long_pairs(q: DataFrame, o: DataFrame, near: DataFrame) -> DataFrame:
     asked = q.filter(F.length("query_norm") > LONGEST_BLOCKED_NAME - 2).withColumn("_bucket", F.explode(near_buckets))
     offered = o.filter(F.length("option_norm") > LONGEST_BLOCKED_NAME - 2).withColumn("_bucket", bucket("option_norm"))
     pairs = asked.join(offered, ["realm_id", "_bucket"]).join(near, ["realm_id", "query_norm"], "left")
-    return pairs.select("realm_id", "query_norm", "option_norm", _overlap().alias("overlap"))
+    apart = F.coalesce(~F.exists("near", lambda p: F.array_contains(F.col("o_words"), p["similar"])), F.lit(True))
+    return pairs.filter(apart).select("realm_id", "query_norm", "option_norm")
 
 
 def scored_pairs(queries: DataFrame, options: DataFrame) -> DataFrame:
-    """(realm_id, query_norm, option_norm, score) at or above the candidate floor."""
-    key = ["realm_id", "query_norm", "option_norm"]
+    """(realm_id, query_norm, option_norm, score) at or above the candidate floor; of each query those that can be among its best."""
     q, o = _with_words(queries, "query"), _with_words(options, "option")
     soft = similar_words(q.select(F.explode("q_words").alias("word")).distinct(), o.select(F.explode("o_words").alias("word")).distinct())
     near = near_words(q, soft)
-    blocked = candidate_pairs(q, o, near)
-    long = [F.length(c) > LONGEST_BLOCKED_NAME - 2 for c in key[1:]]
-    by_letters = _long_pairs(q, o, near).join(blocked.filter(long[0] & long[1]).select(*key), key, "left_anti")
-    pairs = blocked.unionByName(by_letters).withColumn(
-        "score",
-        rounded_score(similarity(F.col("query_norm"), F.col("option_norm"), F.col("overlap"), fixed.CANDIDATE_FLOOR - 1e-4)),
+    by_letters = _long_pairs(q, o, near).withColumn(
+        "score", rounded_score(similarity(F.col("query_norm"), F.col("option_norm"), F.lit(0.0), fixed.CANDIDATE_FLOOR - 1e-4))
     )
+    pairs = candidate_pairs(q, o, near).unionByName(by_letters)
     empties = queries.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("query_norm")).join(
         options.filter(F.col("norm") == "").select("realm_id", F.col("norm").alias("option_norm")), "realm_id"
     )
