@@ -392,14 +392,12 @@ def near_buckets(probes: DataFrame, window_days: int) -> DataFrame:
     return probes.withColumn("_bucket", F.explode(F.array_distinct(F.array(first, last))))
 
 
-def duplicate_warnings(
-    probes: DataFrame, entries: DataFrame, ledger: DataFrame, window_days: int = fixed.DUPLICATE_WINDOW_DAYS
-) -> DataFrame:
-    """Earlier confirmed entries of the same vendor and amount within a few days of each probe.
+def likely_duplicates(probes: DataFrame, entries: DataFrame, window_days: int = fixed.DUPLICATE_WINDOW_DAYS) -> DataFrame:
+    """Earlier confirmed entries of the same vendor and amount within a few days of each probe, without the ledger's dates.
 
     ``probes``: row_key, vendor_id, amount_cents, txn_date DATE. Vendor, amount and
     a bucket of days are equality keys, so a probe only ever meets entries of two
-    window widths around it, never a vendor's whole history.
+    window widths around it, never a vendor's whole history. The document is ``_hash``, its packed digest.
     """
     prior = prior_entries(entries).select(
         "vendor_id",
@@ -407,7 +405,7 @@ def duplicate_warnings(
         day_bucket(F.col("txn_date"), window_days).alias("_bucket"),
         F.col("txn_date").alias("_day"),
         "batch_id",
-        "file_hash",
+        packed(F.col("file_hash")).alias("_hash"),  # shuffled as bytes, twice
         F.col("id").alias("entry_id"),
         "filename",
         "entry_type",
@@ -416,15 +414,27 @@ def duplicate_warnings(
     )
     asked = near_buckets(probes.select("row_key", "vendor_id", "amount_cents", "txn_date"), window_days)
     apart = days_between(F.col("txn_date"), F.col("_day"))
-    matched = (
+    return (
         asked.join(prior, ["vendor_id", "amount_cents", "_bucket"])
         .withColumn("days_apart", apart)
         .filter(F.col("days_apart").between(-window_days, window_days))
         .drop("txn_date", "_bucket")
         .withColumnRenamed("_day", "txn_date")
     )
-    # only matched entries meet the ledger
-    return lookup(matched, ledger.select(F.col("hash").alias("file_hash"), "posted_at"), "file_hash")
+
+
+def dated_duplicates(found: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``likely_duplicates`` with the day their document was posted; only matched entries meet the ledger."""
+    dated = lookup(found, ledger.select(packed(F.col("hash")).alias("_hash"), "posted_at"), "_hash")
+    kept = [c for c in dated.columns if c not in ("_hash", "posted_at")]
+    return dated.select(unpacked(F.col("_hash")).alias("file_hash"), *kept, "posted_at")
+
+
+def duplicate_warnings(
+    probes: DataFrame, entries: DataFrame, ledger: DataFrame, window_days: int = fixed.DUPLICATE_WINDOW_DAYS
+) -> DataFrame:
+    """Earlier confirmed entries of the same vendor and amount within a few days of each probe, with the ledger's dates."""
+    return dated_duplicates(likely_duplicates(probes, entries, window_days), ledger)
 
 
 def duplicate_counts(
